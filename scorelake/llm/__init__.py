@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .mixing import op4_mixing
+from .simhash import op2_simhash
+from .topk import OP10_SQL, op10_topk
+from .url_filter import OP8_SQL, op8_url_filter
 
 _QUERIES = [
     (op1_exact_dedup, OP1_SQL),
+    (op2_simhash, None),
+    (op4_mixing, None),
+    (op8_url_filter, OP8_SQL),
+    (op10_topk, OP10_SQL),
 ]
 
 

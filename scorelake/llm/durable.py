@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -27,3 +28,11 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/scorelake-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_by_worker(name: str, key: object) -> dict:
+    """A dictionary that a Python worker keeps from task to task, emptied when key changes. For caches only."""
+    held = sys.__dict__.setdefault("_scorelake_kept", {})
+    if name not in held or held[name][0] != key:
+        held[name] = (key, {})
+    return held[name][1]
