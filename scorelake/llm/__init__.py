@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .language import op9_language_id
 from .mixing import op4_mixing
+from .sentencepiece import op3_sentencepiece
 from .simhash import op2_simhash
 from .topk import OP10_SQL, op10_topk
+from .toxicity import op5_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
 
 _QUERIES = [
     (op1_exact_dedup, OP1_SQL),
     (op2_simhash, None),
+    (op3_sentencepiece, None),
     (op4_mixing, None),
+    (op5_toxicity, None),
     (op8_url_filter, OP8_SQL),
+    (op9_language_id, None),
     (op10_topk, OP10_SQL),
 ]
 
