@@ -1,17 +1,85 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: language, exact and near copies, source weights, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame; all but the last
+return the columns of documents. Stages number the rows of docs where they join decisions back, so
+docs is to be a written table, as `run` and the check see to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorelake.llm.durable import table
+from scorelake.llm.exact_dedup import exact_dedup
+from scorelake.llm.language import documents_model, language_id
+from scorelake.llm.mixing import mix
+from scorelake.llm.sentencepiece import sentencepiece_encode
+from scorelake.llm.simhash import simhash_dedup
+
+#: Row numbers to drop go to every task up to so many (8 bytes each); beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows numbered in dropped (column _row)."""
+    dropped = table(dropped)
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return _numbered(docs).join(dropped, "_row", "left_anti").drop("_row")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any word of letters, or of no likely language, go."""
+    found = language_id(docs, documents_model(docs), id_col="doc_id", host=F.col("source"))
+    return _without(docs, found.filter("not kept").select(F.col("uid").alias("_row")))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space one stays."""
+    return _without(docs, exact_dedup(docs).filter("not kept").select(F.col("uid").alias("_row")))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id stays."""
+    found = table(simhash_dedup(docs))
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("a"), "id", "uid")).alias("least")).select(F.col("least.uid").alias("uid"))
+    return _without(docs, found.join(stays, "uid", "left_anti").select(F.col("uid").alias("_row")))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in whole copies: words taken by its size, halves rounded up."""
+    copies = mix(docs).taken().select(F.col("uid").alias("_row"), F.expr("CASE WHEN size = 0 THEN 0 ELSE cast(floor(taken / size + 0.5) as int) END").alias("_copies")).filter("_copies > 0")
+    every = _numbered(docs).join(copies, "_row")
+    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, pieces and byte_pieces of every document."""
+    return sentencepiece_encode(docs).withColumnRenamed("id", "doc_id").drop("uid")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", token_stage),
+]
 
+#: Fingerprints, schedules and segmentations are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of sf_dir."""
+    """Apply the stages to the documents of sf_dir, each on what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = table(docs)
     return docs

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op9_language_id
+from .lm import op6_lm_score
 from .mixing import op4_mixing
+from .preference import OP7_SQL, op7_preference
 from .sentencepiece import op3_sentencepiece
 from .simhash import op2_simhash
 from .topk import OP10_SQL, op10_topk
@@ -21,6 +23,8 @@ _QUERIES = [
     (op3_sentencepiece, None),
     (op4_mixing, None),
     (op5_toxicity, None),
+    (op6_lm_score, None),
+    (op7_preference, OP7_SQL),
     (op8_url_filter, OP8_SQL),
     (op9_language_id, None),
     (op10_topk, OP10_SQL),

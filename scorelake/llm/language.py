@@ -114,7 +114,7 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
 
     A row is rejected (kept false) if its text has no word with a letter, or if no language reaches
     `least`. Null and empty texts are rejected; their lang is what the other evidence says. Null hosts,
-    suffixes and declared languages are no evidence. Without languages, lang is null and nothing is kept.
+    suffixes and declared languages are no evidence. Without languages, lang is null and texts with letters are kept.
     Ties go to the first language. Empty input: empty output. Other columns are not read.
     """
     none = F.lit(None).cast("string")
@@ -125,7 +125,7 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
     scored = rows.mapInArrow(_likelihoods(model, key), f"uid long, id {kind}, host string, suffix string, declared string, text_ll array<double>")
     n = len(model.languages)
     if not n:
-        return scored.select("uid", "id", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), none.alias("text_lang"), F.lit(False).alias("kept"))
+        return scored.select("uid", "id", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), none.alias("text_lang"), F.col("text_ll").isNotNull().alias("kept"))
     first = lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int")
     scored = scored.withColumn("best", F.when(F.col("text_ll").isNotNull(), first(F.col("text_ll"))))
     scored = table(scored.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)))

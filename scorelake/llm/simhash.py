@@ -124,11 +124,12 @@ def links(fps: DataFrame, bucket_cap: int = 4096) -> DataFrame:
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, bucket_cap: int = 4096) -> DataFrame:
-    """uid, id, fp (signed 64 bits) and component_id of every row of df.
+    """uid, id, fp (signed 64 bits), root and component_id of every row of df.
 
     The fingerprint: A-Z lower-cased, words split at U+0020 and U+0009 to U+000D, shingles of `words`
     words (all of them, if fewer), XXH64 of each, repeats counted; a bit is 1 if set in over half.
-    Fingerprints link at 4 or fewer differing bits; component_id is the smallest id reachable.
+    Fingerprints link at 4 or fewer differing bits; component_id is the smallest id reachable, root a
+    fingerprint that names the component.
 
     Copies share a fingerprint, so linking runs on distinct fingerprints and a group of copies costs
     one. Null text and text without words have fingerprint 0 and link like any other. A null id
@@ -141,8 +142,8 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links(classes.select("fp"), bucket_cap))
     placed = table(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = table(placed.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = table(placed.join(least, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("uid", "id", "fp", "component_id")
+    named = table(placed.join(least, "root").select("fp", "root", "component_id"))
+    return marked.join(named, "fp").select("uid", "id", "fp", "root", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
