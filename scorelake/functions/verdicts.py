@@ -141,7 +141,7 @@ def settled_match(raw_status: Column, ids: Column, valid: Column) -> Column:
     """Status and ids together: ids without a status mean matched, unknown ids go, no ids mean none."""
     status = F.when(raw_status.isNull() & (F.size(ids) > 0), "matched").otherwise(match_status(raw_status))
     known = F.array_intersect(ids, valid)
-    final = F.when(F.size(known) == 0, "none").otherwise(status)
+    final = F.when((F.size(known) == 0) | (status == "none"), "none").otherwise(status)
     return F.struct(final.alias("status"), F.when(final == "none", F.array().cast("array<string>")).otherwise(known).alias("ids"))
 
 

@@ -37,12 +37,17 @@ FROM embeddings"""
 
 TITLES = r"""SELECT doc_id AS pos, source AS task_id, split_part(text, chr(10), 1) AS title FROM documents"""
 
+CRITERIA_TEXT = r"""SELECT doc_id AS pos, concat(CASE doc_id % 16 WHEN 0 THEN 'Clearly explains, in brief, ' WHEN 1 THEN 'The response should briefly note ' WHEN 2 THEN 'Avoids ' WHEN 3 THEN 'Acknowledges '
+  WHEN 4 THEN '"Risk/benefit, cost or gain ' WHEN 5 THEN 'Suggests, oddly, failing ' WHEN 6 THEN 'Identifies a significant and severe ' WHEN 7 THEN 'Response must, explicitly state ' WHEN 8 THEN 'detrimental: '
+  WHEN 9 THEN 'Names groups such as children, if any, including ' WHEN 10 THEN 'Lists (one, two, three) items. ' WHEN 11 THEN 'Advice , ' WHEN 12 THEN 'Weighs Major Harm whether ' WHEN 13 THEN '  Thoroughly  considers ( a ) , ' WHEN 14 THEN 'Mentions e.g. Paris; ' ELSE '' END,
+  substr(split_part(text, chr(10), 1), 1, 60)) AS title FROM documents"""
+
 TURNS = "SELECT conv_id, turn, role, text FROM conversations"
 
 ORDERS = "SELECT o_orderkey AS task_id, o_orderstatus AS status, o_orderpriority AS priority, o_custkey AS cust FROM orders"
 
-_TABLE_OF = {"judgements": "lineitem", "pairs": "lineitem", "status_log": "events", "verdicts": "labels", "concepts": "embeddings", "titles": "documents", "turns": "conversations", "tasks": "orders"}
-SHAPES = {"judgements": JUDGEMENTS, "pairs": PAIRS, "status_log": STATUS_LOG, "verdicts": VERDICTS, "concepts": CONCEPTS, "titles": TITLES, "turns": TURNS, "tasks": ORDERS}
+_TABLE_OF = {"judgements": "lineitem", "pairs": "lineitem", "status_log": "events", "verdicts": "labels", "concepts": "embeddings", "titles": "documents", "criteria_text": "documents", "turns": "conversations", "tasks": "orders"}
+SHAPES = {"judgements": JUDGEMENTS, "pairs": PAIRS, "status_log": STATUS_LOG, "verdicts": VERDICTS, "concepts": CONCEPTS, "titles": TITLES, "criteria_text": CRITERIA_TEXT, "turns": TURNS, "tasks": ORDERS}
 
 
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1 +1,131 @@
-"""Queries, registered on import."""
+"""Queries of runs, statistics, validation and annotation (A23-A34, D, I, M), with their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import stats as M
+from ..operators import agree as G
+from ..operators import runs as O
+from .catalog import query
+from .scoring import rounded
+
+_MATCH = "m AS (SELECT c AS \"case\", CASE WHEN hj = 'YES' AND mj = 'YES' THEN 'matched' WHEN hj = 'YES' THEN 'nearby' ELSE 'none' END AS status FROM pairs)"
+_RATES = "x AS (SELECT \"case\", count(*) AS n, count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'nearby') AS nearby, count(*) FILTER (status = 'none') AS none FROM m GROUP BY 1)"
+
+
+def _matches(pairs):
+    status = F.when((F.col("hj") == "YES") & (F.col("mj") == "YES"), "matched").when(F.col("hj") == "YES", "nearby").otherwise("none")
+    return pairs.select(F.col("c").alias("case"), status.alias("status"))
+
+
+@query("a23_a37_match_metrics", f"WITH {_MATCH}, {_RATES} SELECT *, matched + nearby AS covered, round(matched / n, 6) AS matched_rate, round(nearby / n, 6) AS nearby_rate, round(none / n, 6) AS none_rate, round((matched + nearby) / n, 6) AS covered_rate FROM x")
+def a23(pairs):
+    return rounded(O.match_metrics(_matches(pairs)), "matched_rate", "nearby_rate", "none_rate", "covered_rate")
+
+
+@query("a24_mean_metrics", f"WITH {_MATCH}, {_RATES} SELECT count(*) AS cases, round(avg(matched / n), 6) AS matched_rate, round(avg(nearby / n), 6) AS nearby_rate, round(avg(none / n), 6) AS none_rate, round(avg((matched + nearby) / n), 6) AS covered_rate FROM x")
+def a24(pairs):
+    return rounded(O.mean_metrics(O.match_metrics(_matches(pairs))), "matched_rate", "nearby_rate", "none_rate", "covered_rate")
+
+
+@query("a25_i5_progress", "WITH l AS (SELECT task_id, arg_max(status, seq) AS status FROM status_log GROUP BY 1), k AS (SELECT t.task_id, l.status FROM tasks t LEFT JOIN l USING (task_id)) SELECT count(*) AS total, count(status) AS completed, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (task_id % 100 = 0) AS resumed, count(*) FILTER (status IS NULL) AS pending FROM k")
+def a25(tasks, status_log):
+    return O.progress(tasks, status_log, tasks.filter("task_id % 100 = 0"))
+
+
+@query("a26_i4_last_status", "SELECT task_id, arg_max(status, seq) AS status, max(seq) AS seq FROM status_log GROUP BY 1")
+def a26(status_log):
+    return O.last_status(status_log)
+
+
+@query("a32_j17_foil_scores", """WITH t AS (SELECT criterion_id, CASE criterion_id % 3 WHEN 0 THEN 'POS' WHEN 1 THEN 'FOIL_HARD' ELSE 'FOIL_EASY' END AS kind, meets AS match FROM verdicts WHERE judge = 'judge_c'),
+r AS (SELECT CASE WHEN kind = 'POS' THEN 'sensitivity' ELSE 'specificity' END AS measure, kind, CASE WHEN kind = 'POS' THEN match ELSE NOT match END AS ok FROM t)
+SELECT measure, kind, count(*) AS n, round(100 * avg(CAST(ok AS INT)), 6) AS rate FROM r GROUP BY 1, 2 UNION ALL SELECT measure, 'all', count(*), round(100 * avg(CAST(ok AS INT)), 6) FROM r GROUP BY 1""")
+def a32(verdicts):
+    """Keys of trials, joined with the answers that there are."""
+    keys = verdicts.select("criterion_id").distinct().select("criterion_id", F.when(F.col("criterion_id") % 3 == 0, "POS").when(F.col("criterion_id") % 3 == 1, "FOIL_HARD").otherwise("FOIL_EASY").alias("kind"))
+    answers = verdicts.filter("judge = 'judge_c'").select("criterion_id", F.col("meets").alias("match"))
+    return rounded(G.foil_scores(keys.join(answers, "criterion_id", "left")), "rate")
+
+
+@query("a33_spot_tallies", "WITH r AS (SELECT priority AS stratum, task_id % 2 = 0 AS same, task_id % 5 < 2 AS general, cust % 3 = 0 AS opened FROM tasks) SELECT stratum, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (same) / count(*), 6) AS same_rate, round(100.0::DOUBLE * count(*) FILTER (same AND general) / count(*) FILTER (same), 6) AS general_rate, count(*) FILTER (opened) AS opened FROM r GROUP BY 1")
+def a33(tasks):
+    rows = tasks.select(F.col("priority").alias("stratum"), F.expr("task_id % 2 = 0").alias("same"), F.expr("task_id % 5 < 2").alias("more_general"), F.expr("cust % 3 = 0").alias("opened"))
+    return rounded(G.spot_tallies(rows), "same_rate", "general_rate")
+
+
+@query("a34_majorities", "WITH p AS (SELECT criterion_id, count(meets) AS n, count(*) FILTER (meets) AS y FROM verdicts GROUP BY 1 HAVING count(meets) >= 2) SELECT count(*) AS items, round(100.0::DOUBLE * count(*) FILTER (y * 2 > n) / count(*), 6) AS majority_rate, round(100.0::DOUBLE * count(*) FILTER (y = 0 OR y = n) / count(*), 6) AS unanimous_rate FROM p")
+def a34(verdicts):
+    return rounded(G.majorities(verdicts, "criterion_id", "meets"), "majority_rate", "unanimous_rate")
+
+
+_TESTS = [(2, 3), (5, 10), (60, 100), (651, 887)]
+
+
+@query("m1_m11_binomial_tail", "SELECT * FROM (VALUES (2, 3, '5.00e-01'), (5, 10, '6.23e-01'), (60, 100, '2.84e-02'), (651, 887, '6.64e-46')) t(k, n, p)")
+def m1(spark):
+    """The last is the published case: 651 against 236 discordant pairs, p = 6.6375e-46."""
+    rows = spark.createDataFrame(_TESTS, "k int, n int").coalesce(1)
+    return rows.select("k", "n", M.scientific(M.binomial_tail("k", "n")).alias("p"))
+
+
+@query("m1_log_tail", "SELECT * FROM (VALUES (2, 3, -0.693147), (5, 10, -0.473288), (60, 100, -3.560024), (651, 887, -104.026190)) t(k, n, log_p)")
+def m1b(spark):
+    rows = spark.createDataFrame(_TESTS, "k int, n int").coalesce(1)
+    return rounded(rows.select("k", "n", M.log_tail(F.col("k"), F.col("n")).alias("log_p")), "log_p")
+
+
+@query("m2_sign_test", "WITH c AS (SELECT md, count(*) FILTER (hj = 'YES' AND mj = 'NO') AS a, count(*) FILTER (hj = 'NO' AND mj = 'YES') AS b FROM pairs GROUP BY 1) SELECT md, a, b FROM c")
+def m2(pairs):
+    counts = pairs.groupBy("md").agg(F.count_if(F.expr("hj = 'YES' and mj = 'NO'")).alias("a"), F.count_if(F.expr("hj = 'NO' and mj = 'YES'")).alias("b"))
+    return counts.withColumn("p", M.sign_test("a", "b")).filter("p between 0 and 1.0000001").drop("p")
+
+
+@query("m4_m5_weak_floor", "WITH g AS (SELECT model, avg(output_tokens) FILTER (changed) AS strong, avg(output_tokens) FILTER (NOT changed) AS weak FROM judgements GROUP BY 1) SELECT round(avg(100 * weak / strong), 6) AS retention, max(weak) < 600 AS below_floor, max(weak) < 600 AND min(strong) - max(weak) >= 10 AS below_with_margin FROM g")
+def m5(judgements):
+    gaps = judgements.groupBy("model").agg(F.avg(F.when(F.col("changed"), F.col("output_tokens"))).alias("strong"), F.avg(F.when(~F.col("changed"), F.col("output_tokens"))).alias("weak"))
+    return rounded(G.weak_floor(gaps, 600, 10), "retention")
+
+
+@query("m9_threshold_verdict", "SELECT priority, CASE WHEN a >= 0.6 AND b >= 0.6 THEN 'confirmed' WHEN a >= 0.6 AND b <= 0.4 THEN 'meaning kept only' WHEN a > 0.4 AND a < 0.6 THEN 'middle' ELSE 'mixed' END AS verdict FROM (SELECT priority, (ascii(priority) - 48) / 5 AS a, (ascii(priority) % 3) / 2 AS b FROM tasks GROUP BY 1)")
+def m9(tasks):
+    rates = tasks.select("priority").distinct().select("priority", ((F.ascii("priority") - 48) / 5).alias("a"), ((F.ascii("priority") % 3) / 2).alias("b"))
+    return rates.select("priority", G.threshold_verdict(F.col("a"), F.col("b")).alias("verdict"))
+
+
+@query("m10_rounding", "SELECT * FROM (VALUES (0, 0.2), (1, 0.4), (2, 2.7), (3, 70.8), (4, 12.0), (5, 88.4), (6, 0.0), (7, 2.5)) t(i, r)")
+def m10(spark):
+    """Half to even, as the published means are rounded."""
+    values = [0.25, 0.35, 2.675, 70.85, 12.05, 88.45, 0.05, 2.5]
+    return spark.createDataFrame(list(enumerate(values)), "i int, x double").coalesce(1).select("i", F.bround("x", 1).alias("r"))
+
+
+@query("d1_d2_differences", "SELECT task_id AS id, 'stats.weight' AS path, 'differs' AS problem, CAST(2 * task_id AS VARCHAR) AS a, CAST(2 * task_id + 1 AS VARCHAR) AS e FROM tasks WHERE task_id % 50 = 0 UNION ALL SELECT task_id, 'name', 'missing from expected', priority, NULL FROM tasks WHERE task_id % 70 = 0")
+def d1(tasks):
+    t = F.col("task_id")
+    actual = tasks.select("task_id", F.struct((t * 2).alias("weight"), (t / 3).alias("mean")).alias("stats"), F.col("priority").alias("name"))
+    expected = tasks.select("task_id", F.struct((t * 2 + (t % 50 == 0).cast("int")).alias("weight"), (t / 3 + 1e-9).alias("mean")).alias("stats"), F.when(t % 70 != 0, F.col("priority")).alias("name"))
+    return O.differences(O.flattened(actual, "task_id"), O.flattened(expected, "task_id"))
+
+
+@query("i3_k11_complete_cases", "WITH n AS (SELECT task_id, count(*) AS n FROM judgements GROUP BY 1), e AS (SELECT task_id, CASE WHEN task_id % 3 = 0 THEN coalesce(n, 0) + 1 ELSE coalesce(n, 0) END AS expected, coalesce(n, 0) AS n FROM tasks LEFT JOIN n USING (task_id)) SELECT count(*) FILTER (n <> expected) AS again, CAST(sum(n) FILTER (n = expected) AS BIGINT) AS kept FROM e")
+def i3(judgements, tasks):
+    n = judgements.groupBy("task_id").agg(F.count(F.lit(1)).alias("k"))
+    expected = tasks.select("task_id").join(n, "task_id", "left").select("task_id", (F.coalesce("k", F.lit(0)) + (F.col("task_id") % 3 == 0).cast("int")).alias("expected"))
+    kept, again = O.complete_cases(judgements.select("task_id", "criterion_id"), expected)
+    return again.agg(F.count(F.lit(1)).alias("again")).join(kept.agg(F.count(F.lit(1)).alias("kept")))
+
+
+@query("i6_i11_seeded", "SELECT count(*) AS n, count(*) FILTER (status IS NULL) AS without_status FROM (SELECT task_id, status FROM status_log WHERE seq < 500 UNION ALL SELECT task_id, NULL FROM tasks WHERE task_id NOT IN (SELECT task_id FROM status_log WHERE seq < 500))")
+def i11(tasks, status_log):
+    earlier = status_log.filter("seq < 500").select("task_id", "status")
+    return O.seeded(earlier, tasks.select("task_id", "priority"), ["task_id"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isNull()).alias("without_status"))
+
+
+@query("j19_one_sided_ids", "WITH a AS (SELECT task_id, list(DISTINCT criterion_id) FILTER (changed) AS x, list(DISTINCT criterion_id) FILTER (criterion_weight > 1) AS y FROM judgements GROUP BY 1) SELECT task_id, len(list_filter(coalesce(x, []), lambda e: list_contains(coalesce(y, []), e))) AS confirmed, len(list_filter(coalesce(x, []), lambda e: NOT list_contains(coalesce(y, []), e))) AS missed FROM a")
+def j19(judgements):
+    ids = lambda c: F.collect_set(F.when(c, F.col("criterion_id")))
+    rows = judgements.groupBy("task_id").agg(ids(F.col("changed")).alias("x"), ids(F.col("criterion_weight") > 1).alias("y"))
+    found = rows.select("task_id", O.one_sided_ids(F.col("x"), F.col("y")).alias("s"))
+    return found.select("task_id", F.size("s.confirmed").cast("long").alias("confirmed"), F.size("s.missed").cast("long").alias("missed"))
