@@ -126,7 +126,8 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
     n = len(model.languages)
     if not n:
         return scored.select("uid", "id", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), none.alias("text_lang"), F.col("text_ll").isNotNull().alias("kept"))
-    first = lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    # place of the greatest, the first of equal ones
+    first = lambda a: -F.array_max(F.transform(a, lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"]
     scored = scored.withColumn("best", F.when(F.col("text_ll").isNotNull(), first(F.col("text_ll"))))
     scored = table(scored.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)))
     even = F.array(*[F.lit(1.0 / n)] * n)
@@ -153,7 +154,7 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
     names = F.array(*[F.lit(x) for x in model.languages])
     top = F.array_max("sum")
     posterior = 1.0 / _total(F.transform("sum", lambda x: F.exp(x - top)))
-    out = full.select("uid", "id", names[first(F.col("sum"))].alias("lang"), posterior.alias("posterior"), names[F.col("best")].alias("text_lang"), F.col("best").isNotNull().alias("some"))
+    out = full.select("uid", "id", F.get(names, first(F.col("sum"))).alias("lang"), posterior.alias("posterior"), F.get(names, F.col("best")).alias("text_lang"), F.col("best").isNotNull().alias("some"))
     return out.select("uid", "id", "lang", "posterior", "text_lang", (F.col("some") & (F.col("posterior") >= least)).alias("kept"))
 
 
