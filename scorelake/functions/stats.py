@@ -7,9 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series) -> pd.Series:
     """M1: chance of k or more of n fair coins, from whole numbers, so that it is exact to the last digit of a double."""
     import math
@@ -28,7 +29,7 @@ def binomial_tail(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else tail(int(a), int(b)) for a, b in zip(k, n, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sign_test(a: pd.Series, b: pd.Series) -> pd.Series:
     """M2: two-sided sign test of a against b one-sided cases: exact under 1100 of them, then normal; NaN without any."""
     import math

@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 
 from ..functions.verdicts import contained_verdict, credit, leading_verdict, starts_y
 
-_W, _J = F.col("criterion_weight"), F.col("judgement")
+
+def _weight() -> Column:
+    return F.col("criterion_weight")
+
+
+def _judgement() -> Column:
+    return F.col("judgement")
 
 
 def _ratio() -> tuple[Column, Column]:
-    return F.sum(credit(_J, _W)).alias("achieved"), F.sum(F.abs(_W)).alias("possible")
+    return F.sum(credit(_judgement(), _weight())).alias("achieved"), F.sum(F.abs(_weight())).alias("possible")
 
 
 def task_scores(rows: DataFrame, empty: str = "zero", by: Sequence[str] = ()) -> DataFrame:
@@ -85,7 +91,7 @@ def category_means(rows: DataFrame, categories: Sequence[str] = ("dilemma_source
 
 def fulfilment(rows: DataFrame, categories: Sequence[str] = ("criterion_dimension", "criterion_weight")) -> DataFrame:
     """Share of criteria fulfilled, in percent, by category."""
-    done = rows.withColumn("done", (credit(_J, _W) > 0).cast("int"))
+    done = rows.withColumn("done", (credit(_judgement(), _weight()) > 0).cast("int"))
     return _long(_sets(done, categories, False, [(100 * F.avg("done")).alias("rate"), F.count(F.lit(1)).alias("n")]), categories, ["n", "rate"])
 
 
@@ -128,8 +134,8 @@ def all_metrics(rows: DataFrame) -> DataFrame:
 
 def capture(rows: DataFrame) -> DataFrame:
     """A yes earns the weight's size, whatever its sign: overall, by task, dimension and weight. Rows of no weight name their group but count for nothing; a group without weight has a null share."""
-    weight = F.coalesce(_W.try_cast("int"), F.lit(0))
-    ready = rows.select("task_id", F.lower(F.coalesce("criterion_dimension", F.lit("unknown"))).alias("dimension"), weight.alias("weight"), F.abs(weight).alias("size"), ((leading_verdict(_J) == "yes") & (weight != 0)).alias("yes"))
+    weight = F.coalesce(_weight().try_cast("int"), F.lit(0))
+    ready = rows.select("task_id", F.lower(F.coalesce("criterion_dimension", F.lit("unknown"))).alias("dimension"), weight.alias("weight"), F.abs(weight).alias("size"), ((leading_verdict(_judgement()) == "yes") & (weight != 0)).alias("yes"))
     categories = ["task_id", "dimension", "weight"]
     sums = [F.sum(F.when(F.col("yes"), F.col("size")).otherwise(0)).alias("yes_weight"), F.sum("size").alias("total_weight"), F.count_if("yes").alias("n_yes"), F.count_if(F.col("size") > 0).alias("n")]
     return _long(_sets(ready, categories, True, sums), categories, ["yes_weight", "total_weight", "n_yes", "n", F.try_divide(100.0 * F.col("yes_weight"), F.col("total_weight")).alias("capture")])
@@ -137,12 +143,12 @@ def capture(rows: DataFrame) -> DataFrame:
 
 def positive_pass_rate(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of yes among criteria of positive weight, in percent."""
-    return rows.filter(_W > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((leading_verdict(_J) == "yes").cast("int"))).alias("pass_rate"))
+    return rows.filter(_weight() > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((leading_verdict(_judgement()) == "yes").cast("int"))).alias("pass_rate"))
 
 
 def pass_by_author(rows: DataFrame) -> DataFrame:
     """Pass rates of each model on changed and unchanged criteria, and how far each model's difference is from all models' mean difference."""
-    rates = rows.groupBy("model").agg(*[(100 * F.avg(F.when(F.col("changed") == c, (credit(_J, _W) > 0).cast("int")))).alias(n) for c, n in ((True, "changed_rate"), (False, "unchanged_rate"))])
+    rates = rows.groupBy("model").agg(*[(100 * F.avg(F.when(F.col("changed") == c, (credit(_judgement(), _weight()) > 0).cast("int")))).alias(n) for c, n in ((True, "changed_rate"), (False, "unchanged_rate"))])
     mean = rates.agg(F.avg(F.col("changed_rate") - F.col("unchanged_rate")).alias("mean_diff"))
     diff = F.col("changed_rate") - F.col("unchanged_rate")
     return rates.join(F.broadcast(mean)).select("model", "changed_rate", "unchanged_rate", (diff - F.col("mean_diff")).alias("diff_in_diff"))
@@ -159,7 +165,7 @@ def abilities(rows: DataFrame, of: dict[str, str], by: str = "model") -> DataFra
 
 def changed_by_sign(rows: DataFrame) -> DataFrame:
     """Criteria by whether they changed and by their weight's sign."""
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"), F.count_if(F.col("changed") & (_W > 0)).alias("changed_positive"), F.count_if(F.col("changed") & (_W < 0)).alias("changed_negative"))
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"), F.count_if(F.col("changed") & (_weight() > 0)).alias("changed_positive"), F.count_if(F.col("changed") & (_weight() < 0)).alias("changed_negative"))
 
 
 def score_ranges(rows: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
@@ -175,13 +181,13 @@ def score_ranges(rows: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame
 def universal_failures(rows: DataFrame, key: Sequence[str] = ("criterion_id",)) -> DataFrame:
     """Positive criteria (by key) failed by every model that answered, and answered by all models but one at least."""
     models = rows.agg(F.count_distinct("model").alias("models"))
-    failed = rows.filter(_W > 0).groupBy(*key).agg(F.count_distinct("model").alias("seen"), F.count_distinct(F.when(contained_verdict(_J) == "yes", F.col("model"))).alias("passed"))
+    failed = rows.filter(_weight() > 0).groupBy(*key).agg(F.count_distinct("model").alias("seen"), F.count_distinct(F.when(contained_verdict(_judgement()) == "yes", F.col("model"))).alias("passed"))
     return failed.join(F.broadcast(models)).filter((F.col("passed") == 0) & (F.col("seen") >= F.col("models") - 1)).select(*key, "seen")
 
 
 def tasks_with_criteria(rows: DataFrame, missed: int = 5) -> DataFrame:
     """Score of each task, its first response, and its first `missed` criteria without credit, in order."""
-    lost = F.array_sort(F.collect_list(F.when(credit(_J, _W) <= 0, F.struct("pos", "criterion_id"))))
+    lost = F.array_sort(F.collect_list(F.when(credit(_judgement(), _weight()) <= 0, F.struct("pos", "criterion_id"))))
     gathered = rows.groupBy("task_id").agg(*_ratio(), F.min_by(F.coalesce(F.length("response"), F.lit(0)), F.col("pos")).alias("response_length"), F.slice(F.transform(lost, lambda x: x["criterion_id"]), 1, missed).alias("missed"))
     return gathered.select("task_id", F.coalesce(F.try_divide(100.0 * F.col("achieved"), F.col("possible")), F.lit(0.0)).alias("score"), "response_length", F.array_join("missed", ",").alias("missed"))
 
