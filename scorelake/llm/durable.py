@@ -1,33 +1,12 @@
-"""Tables that cut lineage: written to the folder all executors share, then read back."""
+"""Lineage cuts, and caches of Python workers."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.durable import shared_dir, table
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/scorelake-{sc.applicationId}"
-    return folder
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Write df once under the shared folder and return a scan of what was written.
-
-    A lost executor costs its running tasks only: the rows are in the shared store, not on its
-    disk. The folder is named by application, so one recursive delete clears a finished job.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scorelake-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["kept_by_worker", "shared_dir", "table"]
 
 
 def kept_by_worker(name: str, key: object) -> dict:

@@ -52,7 +52,7 @@ def _likelihoods(model: NgramModel, key: int, room: int = 500_000):
             kept.clear()
         new = list({w for t in words for w in t if w not in kept})
         start = kept.get("", (0,))[0] if kept else 0  # the empty string is no word: it holds the rows
-        rows = kept[""][1] if kept else np.zeros((0, len(model.languages)))
+        rows = kept[""][1] if kept else np.zeros((0, model.weights.shape[1]))
         if new:
             values = np.concatenate([model.values(new[a : a + 50_000]) for a in range(0, len(new), 50_000)])
             kept.update(zip(new, range(start, start + len(new)), strict=True))
