@@ -31,14 +31,14 @@ def binomial_tail(k: pd.Series, n: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def sign_test(a: pd.Series, b: pd.Series) -> pd.Series:
-    """M2: two-sided sign test of a against b one-sided cases: exact under 1100 of them, then normal; NaN without any."""
+    """M2: two-sided sign test of a against b one-sided cases: exact under 1100 of them, then normal; null without any."""
     import math
     from statistics import NormalDist
 
-    def p(a: int, b: int) -> float:
+    def p(a: int, b: int) -> float | None:
         n, k = a + b, min(a, b)
         if n == 0:
-            return float("nan")
+            return None
         if n < 1100:
             return 2 * sum(math.comb(n, i) for i in range(k + 1)) / (1 << n)
         return 2 * (1 - NormalDist().cdf(abs(a - b) / math.sqrt(n)))
@@ -47,12 +47,15 @@ def sign_test(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def log_tail(k: Column, n: Column) -> Column:
-    """M1 without Python: natural logarithm of the tail, from logarithms of factorials; about 1e-12 off."""
-    logs = F.transform(F.sequence(F.lit(1), n), lambda i: F.log(i.cast("double")))
-    upto = F.aggregate(logs, F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    term = F.transform(F.sequence(k, n), lambda i: F.element_at(upto, n + 1) - F.element_at(upto, i + 1) - F.element_at(upto, n - i + 1) - n * math.log(2))
-    top = F.array_max(term)
-    return F.when(k > n, F.lit(float("-inf"))).otherwise(top + F.log(F.aggregate(term, F.lit(0.0), lambda s, x: s + F.exp(x - top))))
+    """M1 without Python: natural logarithm of the tail for k >= 1, in one fold over its terms, each from the one before."""
+    base = -n * math.log(2)
+    first = F.aggregate(F.sequence(F.lit(1), k), base, lambda s, j: s + F.log((n - k + j) / j))
+
+    def add(s: Column, i: Column) -> Column:
+        term = s["term"] + F.log((n - i) / (i + 1.0))
+        return F.when(i >= n, s).otherwise(F.struct(term.alias("term"), (s["total"] + F.log1p(F.exp(term - s["total"]))).alias("total")))
+
+    return F.when(k > n, F.lit(float("-inf"))).otherwise(F.aggregate(F.sequence(k, F.greatest(k, n)), F.struct(first.alias("term"), first.alias("total")), add, lambda s: s["total"]))
 
 
 def scientific(p: Column) -> Column:
