@@ -81,11 +81,13 @@ def _likelihoods(model: NgramModel, key: int, room: int = 500_000):
 
 def sample_texts(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, longest: int, languages: int, seed: int) -> tuple[list[str], list[str]]:
     """At most per_language texts of each of the `languages` commonest labels, of at most `longest` characters each: so much comes to the driver."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("y")).filter("y is not null and text is not null").filter(F.length("text") <= longest)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("y")).filter("id is not null and y is not null").filter(F.length("text") <= longest)
     common = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(languages)
-    rank = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(seed)), "id", "text")
-    ids = rows.select("id", "y", "text").join(F.broadcast(common.select("y")), "y").withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= per_language)
-    got = ids.select("text", "y").collect()
+    rank = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    ids = rows.select("id", "y").join(F.broadcast(common.select("y")), "y").withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= per_language)
+    # ids are ranked without their texts; those picked are languages * per_language at most, and go to the texts
+    picked = rows.join(F.broadcast(ids.select("id", "y").distinct()), ["id", "y"])
+    got = picked.orderBy(F.xxhash64("id", F.lit(seed)), "id", "text").limit(languages * per_language).collect()
     return [r["text"] for r in got], [r["y"] for r in got]
 
 
