@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    for suite in ("scoring", "relational", "texts", "vectors", "runs"):
+    for suite in ("scoring", "relational", "texts", "vectors", "runs", "files"):
         import_module(f"{__package__}.{suite}")
 
 
