@@ -1,8 +1,8 @@
 """The corpus pipeline: language, exact and near copies, source weights, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame; all but the last
-return the columns of documents. Stages number the rows of docs where they join decisions back, so
-docs is to be a written table, as `run` and the check see to.
+return the columns of documents. Stages that join decisions back write docs with numbered rows first:
+decision and drop read the same stored number, however the two scans are split.
 """
 
 from __future__ import annotations
@@ -22,40 +22,45 @@ BROADCAST_ROWS = 200_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    """docs, written once with the number of each row in _row."""
+    return table(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows numbered in dropped (column _row)."""
+    """Numbered docs without the rows in dropped (column _row)."""
     dropped = table(dropped)
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return _numbered(docs).join(dropped, "_row", "left_anti").drop("_row")
+    return docs.join(dropped, "_row", "left_anti").drop("_row")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any word of letters, or of no likely language, go."""
-    found = language_id(docs, documents_model(docs), id_col="doc_id", host=F.col("source"))
+    docs = _numbered(docs)
+    found = language_id(docs, documents_model(docs), id_col="doc_id", host=F.col("source"), row=F.col("_row"))
     return _without(docs, found.filter("not kept").select(F.col("uid").alias("_row")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space one stays."""
-    return _without(docs, exact_dedup(docs).filter("not kept").select(F.col("uid").alias("_row")))
+    docs = _numbered(docs)
+    return _without(docs, exact_dedup(docs, row=F.col("_row")).filter("not kept").select(F.col("uid").alias("_row")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least id stays."""
-    found = table(simhash_dedup(docs))
+    docs = _numbered(docs)
+    found = table(simhash_dedup(docs, row=F.col("_row")))
     stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("a"), "id", "uid")).alias("least")).select(F.col("least.uid").alias("uid"))
     return _without(docs, found.join(stays, "uid", "left_anti").select(F.col("uid").alias("_row")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in whole copies: words taken by its size, halves rounded up."""
-    copies = mix(docs).taken().select(F.col("uid").alias("_row"), F.expr("CASE WHEN size = 0 THEN 0 ELSE cast(floor(taken / size + 0.5) as int) END").alias("_copies")).filter("_copies > 0")
-    every = _numbered(docs).join(copies, "_row")
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns, docs = docs.columns, _numbered(docs)
+    copies = mix(docs, row=F.col("_row")).taken().select(F.col("uid").alias("_row"), F.expr("CASE WHEN size = 0 THEN 0 ELSE cast(floor(taken / size + 0.5) as int) END").alias("_copies")).filter("_copies > 0")
+    every = docs.join(copies, "_row")
+    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

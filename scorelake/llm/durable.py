@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import sys
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..sources.durable import shared_dir, table
 
-__all__ = ["kept_by_worker", "shared_dir", "table"]
+__all__ = ["kept_by_worker", "row_key", "shared_dir", "table"]
+
+
+def row_key(row: Column | None) -> Column:
+    """uid: the stored row number where there is one. Numbers given to a scan differ from those of the next, whose splits depend on the cores alive."""
+    return (F.monotonically_increasing_id() if row is None else row).alias("uid")
 
 
 def kept_by_worker(name: str, key: object) -> dict:

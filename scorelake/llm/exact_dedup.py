@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import table
+from .durable import row_key, table
 
 #: The white space of the contracts: U+0020 and U+0009 to U+000D.
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -22,7 +22,7 @@ def squeezed(text: Column) -> Column:
     return out
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, filter_bits: int = 1 << 22, digest_all: bool = False) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, filter_bits: int = 1 << 22, digest_all: bool = False, row: Column | None = None) -> DataFrame:
     """One row per row of df: uid, id, keep_id, group_size, kept, full_hash.
 
     Texts are equal when identical without white space. The row with the most code points in its
@@ -37,9 +37,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     number of groups; a full filter loses its savings, not its rightness.
 
     Null text: as empty; all empty texts are one group. Empty input: empty output. Other columns are
-    not read, so their names can't clash. uid numbers the rows of this scan.
+    not read, so their names can't clash. uid is `row`, a stored and unique whole number, where given;
+    else it numbers the rows of this scan, and is good for nothing outside the result.
     """
-    norm = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"), squeezed(F.col(text_col)).alias("norm"))
+    norm = df.select(row_key(row), F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"), squeezed(F.col(text_col)).alias("norm"))
     coarse = [F.octet_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix")]
     slot = F.pmod(F.xxhash64("len", "prefix"), F.lit(filter_bits))
     alive = (

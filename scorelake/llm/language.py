@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import kept_by_worker, table
+from .durable import kept_by_worker, row_key, table
 from .ngrams import subwords
 from .url_filter import url_host
 
@@ -105,7 +105,7 @@ def _smoothed(counts: Column, prior: Column, weight: float) -> Column:
     return F.transform(F.arrays_zip(counts.alias("c"), prior.alias("p")), lambda x: (x["c"] + x["p"] * weight) / (_total(counts) + F.lit(weight)))
 
 
-def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col: str = "text", host: Column | None = None, suffix: Column | None = None, declared: Column | None = None, temper: float = 0.2, weight: float = 20.0, least: float = 0.5) -> DataFrame:
+def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col: str = "text", host: Column | None = None, suffix: Column | None = None, declared: Column | None = None, temper: float = 0.2, weight: float = 20.0, least: float = 0.5, row: Column | None = None) -> DataFrame:
     """uid, id, lang, posterior, text_lang and kept of every row of df.
 
     Posterior of a language: its text likelihood (to the power `temper`, as n-grams overlap), times the
@@ -118,10 +118,11 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
     `least`. Null and empty texts are rejected; their lang is what the other evidence says. Null hosts,
     suffixes and declared languages are no evidence. Without languages, lang is null and texts with letters are kept.
     Ties go to the first language. Empty input: empty output. Other columns are not read.
+    uid is `row` (stored, unique) where given, else the number of the row in this scan.
     """
     none = F.lit(None).cast("string")
     host, suffix, declared = (none if c is None else F.nullif(c, F.lit("")) for c in (host, suffix, declared))
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"))
+    rows = df.select(row_key(row), F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"))
     kind = rows.schema["id"].dataType.simpleString()
     key = crc32(model.weights.tobytes())
     scored = rows.mapInArrow(_likelihoods(model, key), f"uid long, id {kind}, host string, suffix string, declared string, text_ll array<double>")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import table
+from .durable import row_key, table
 
 
 def word_count(text: Column) -> Column:
@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...], share: float, ceiling: flo
     return rows.withColumn("water", water).select("sid", "source", "size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("w"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block_words: int = 1024, least_blocks: int = 256, chunk_bits: int = 12, seed: int = 42) -> Mix:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block_words: int = 1024, least_blocks: int = 256, chunk_bits: int = 12, seed: int = 42, row: Column | None = None) -> Mix:
     """Plan a mix of all rows of df that takes about `target` words of each source.
 
     A source's documents, shuffled by a hash of id and text, form one stream of words, cut into blocks
@@ -79,11 +79,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     so a source with a third of all rows is many small windows. Reruns agree whatever the partitions.
 
     Null text: size 0, nothing taken. A null source is a source. Null ids and repeated rows are rows of
-    their own. Empty input: empty plan. Other columns are not read.
+    their own. Empty input: empty plan. Other columns are not read. uid is `row` (stored, unique) where
+    given, else the number of the row in this scan.
     """
     spark = df.sparkSession
     text = F.col(text_col)
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"))
+    rows = df.select(row_key(row), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"))
     rows = table(rows)
     sized = targets(rows.groupBy("source").agg(F.sum("size").alias("size")), cycle, share, ceiling)
     length = F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr(f"size div {least_blocks}"))).cast("long")

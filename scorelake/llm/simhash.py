@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import table
+from .durable import row_key, table
 from .graph import components
 
 #: Set bits of each byte value, lowest bit first.
@@ -123,7 +123,7 @@ def links(fps: DataFrame, bucket_cap: int = 4096) -> DataFrame:
     return found
 
 
-def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, bucket_cap: int = 4096) -> DataFrame:
+def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, bucket_cap: int = 4096, row: Column | None = None) -> DataFrame:
     """uid, id, fp (signed 64 bits), root and component_id of every row of df.
 
     The fingerprint: A-Z lower-cased, words split at U+0020 and U+0009 to U+000D, shingles of `words`
@@ -135,8 +135,9 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one. Null text and text without words have fingerprint 0 and link like any other. A null id
     takes no part in the smallest id; a component of null ids has a null component_id. Repeated rows
     are rows of their own. Empty input: empty output. Whole texts are read, one batch at a time.
+    uid is `row` (stored, unique) where given, else the number of the row in this scan.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(row_key(row), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = table(rows.mapInArrow(_fingerprints(words, seed), "uid long, id long, fp long"))
     classes = table(marked.groupBy("fp").agg(F.min("id").alias("rep")))
     roots = components(links(classes.select("fp"), bucket_cap))

@@ -1,5 +1,8 @@
 from collections import Counter
 
+import pyarrow.parquet as pq
+import pytest
+
 import corpus_pipeline
 from scorelake.llm.durable import table
 from scorelake.llm.mixing import mix
@@ -54,3 +57,25 @@ def test_run_and_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = table(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+@pytest.mark.parametrize("stage, operator", [("language_id", "language_id"), ("exact_dedup", "exact_dedup"), ("simhash_dedup", "simhash_dedup"), ("mixing", "mix")])
+def test_decisions_hold_when_the_next_scan_is_split_anew(spark, monkeypatch, tmp_path, stage, operator):
+    """The operator's scan has other splits than the one that its decisions are joined to, as when executors come or go."""
+    rows = pq.read_table(f"{SF}/documents.parquet")
+    pq.write_table(rows, tmp_path / "docs.parquet", row_group_size=8)
+    docs = spark.read.parquet(str(tmp_path / "docs.parquet"))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    want = Counter(r["doc_id"] for r in run(spark, docs, SF).collect())
+    plain = getattr(corpus_pipeline, operator)
+
+    def split_anew(df, *args, **named):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        try:
+            found = plain(df, *args, **named)
+            return found if operator == "mix" else table(found)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    monkeypatch.setattr(corpus_pipeline, operator, split_anew)
+    assert Counter(r["doc_id"] for r in run(spark, docs, SF).collect()) == want
