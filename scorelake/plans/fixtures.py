@@ -42,12 +42,18 @@ CRITERIA_TEXT = r"""SELECT doc_id AS pos, concat(CASE doc_id % 16 WHEN 0 THEN 'C
   WHEN 9 THEN 'Names groups such as children, if any, including ' WHEN 10 THEN 'Lists (one, two, three) items. ' WHEN 11 THEN 'Advice , ' WHEN 12 THEN 'Weighs Major Harm whether ' WHEN 13 THEN '  Thoroughly  considers ( a ) , ' WHEN 14 THEN 'Mentions e.g. Paris; ' ELSE '' END,
   substr(split_part(text, chr(10), 1), 1, 60)) AS title FROM documents"""
 
+#: The same shapes over whole documents.
+WHOLE_TITLES = "SELECT doc_id AS pos, source AS task_id, text AS title FROM documents"
+WHOLE_CRITERIA = CRITERIA_TEXT.replace("substr(split_part(text, chr(10), 1), 1, 60)", "text")
+
 TURNS = "SELECT conv_id, turn, role, text FROM conversations"
 
 ORDERS = "SELECT o_orderkey AS task_id, o_orderstatus AS status, o_orderpriority AS priority, o_custkey AS cust FROM orders"
 
-_TABLE_OF = {"judgements": "lineitem", "pairs": "lineitem", "status_log": "events", "verdicts": "labels", "concepts": "embeddings", "titles": "documents", "criteria_text": "documents", "turns": "conversations", "tasks": "orders"}
-SHAPES = {"judgements": JUDGEMENTS, "pairs": PAIRS, "status_log": STATUS_LOG, "verdicts": VERDICTS, "concepts": CONCEPTS, "titles": TITLES, "criteria_text": CRITERIA_TEXT, "turns": TURNS, "tasks": ORDERS}
+_TABLE_OF = {"judgements": "lineitem", "pairs": "lineitem", "status_log": "events", "verdicts": "labels", "concepts": "embeddings", "titles": "documents", "criteria_text": "documents", "turns": "conversations", "tasks": "orders", "whole_documents": "documents", "whole_criteria": "documents"}
+SHAPES = {"judgements": JUDGEMENTS, "pairs": PAIRS, "status_log": STATUS_LOG, "verdicts": VERDICTS, "concepts": CONCEPTS, "titles": TITLES, "criteria_text": CRITERIA_TEXT, "turns": TURNS, "tasks": ORDERS, "whole_documents": WHOLE_TITLES, "whole_criteria": WHOLE_CRITERIA}
+#: The shape of whole documents for each that holds their first lines.
+WHOLE = {"titles": "whole_documents", "criteria_text": "whole_criteria"}
 
 
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

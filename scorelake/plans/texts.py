@@ -23,17 +23,17 @@ b AS (SELECT *, regexp_replace(t, '(?i)^({"|".join(X.LEADING_ADVERBS)})\s+', '')
 SELECT pos, CASE WHEN t = '' OR regexp_matches(t, '(?i)^(the )?response\b') OR regexp_matches(t, '(?i)^advice\s*,') OR regexp_matches(t, '(?i)^suggests?\s*,.*\bfails?\b') OR regexp_matches(t, '(?i)^({_NEG})') OR regexp_matches(t, '(?i)^detrimental\s*:') THEN t
 WHEN regexp_matches(t, '^\S*[-/]') AND regexp_matches(t, '(?s)^\S+(?:\s*,\s*[\p{{L}}\p{{N}}_]+)*(?:\s+or\s+[\p{{L}}\p{{N}}_]+)?\s+(.+)$') THEN '{X.QUESTION}' || regexp_extract(t, '(?s)^\S+(?:\s*,\s*[\p{{L}}\p{{N}}_]+)*(?:\s+or\s+[\p{{L}}\p{{N}}_]+)?\s+(.+)$', 1)
 WHEN regexp_matches(bare, '(?s)^([\p{{L}}\p{{N}}_]+),\s*[^,]+,\s*(.+)$') THEN '{X.QUESTION}' || regexp_extract(bare, '(?s)^([\p{{L}}\p{{N}}_]+),\s*[^,]+,\s*(.+)$', 2)
-WHEN regexp_matches(bare, '(?s)^[\p{{L}}\p{{N}}_]+\s+(.+)$') THEN '{X.QUESTION}' || regexp_extract(bare, '(?s)^[\p{{L}}\p{{N}}_]+\s+(.+)$', 1) ELSE t END AS text FROM b""")
+WHEN regexp_matches(bare, '(?s)^[\p{{L}}\p{{N}}_]+\s+(.+)$') THEN '{X.QUESTION}' || regexp_extract(bare, '(?s)^[\p{{L}}\p{{N}}_]+\s+(.+)$', 1) ELSE t END AS text FROM b""", whole=True)
 def x1(criteria_text):
     return criteria_text.select("pos", X.embedding_form(F.col("title")).alias("text"))
 
 
-@query("x2_x3_normal_space", f"SELECT pos, {_ns('title')} AS spaced, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS folded FROM criteria_text")
+@query("x2_x3_normal_space", f"SELECT pos, {_ns('title')} AS spaced, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS folded FROM criteria_text", whole=True)
 def x2(criteria_text):
     return criteria_text.select("pos", X.normal_space(F.col("title")).alias("spaced"), X.folded(F.col("title")).alias("folded"))
 
 
-@query("x4_shell", "SELECT pos, CASE " + " ".join(f"WHEN starts_with(title, '{p}') THEN '{p}'" for p in X.SHELL_PREFIXES) + " ELSE '' END AS shell FROM criteria_text")
+@query("x4_shell", "SELECT pos, CASE " + " ".join(f"WHEN starts_with(title, '{p}') THEN '{p}'" for p in X.SHELL_PREFIXES) + " ELSE '' END AS shell FROM criteria_text", whole=True)
 def x4(criteria_text):
     return criteria_text.select("pos", X.shell(F.col("title")).alias("shell"))
 
@@ -45,13 +45,13 @@ _ADVERBS = "(" + ", ".join(f"'{a}'" for a in X.OPENING_ADVERBS) + ")"
 @query("x5_opening", rf"""WITH w AS (SELECT pos, title, ltrim(substr(title, length({_SHELL}) + 1)) AS working FROM criteria_text), t AS (SELECT *, list_filter(regexp_split_to_array(working, '\s+'), lambda x: x <> '') AS tokens FROM w),
 a AS (SELECT *, coalesce(list_position(list_transform(tokens, lambda x: NOT (lower(trim(x, ' ,.;:!?')) IN {_ADVERBS})), true), 0) AS k FROM t)
 SELECT pos, substr(title, 1, length(title) - length(working)) AS shell, array_to_string(CASE WHEN k > 0 THEN tokens[1:k - 1] ELSE tokens END, ' ') AS adverbs, CASE WHEN k > 0 THEN lower(trim(tokens[k], ' ,.;:!?')) END AS verb, CASE WHEN k > 0 THEN tokens[k] END AS verb_token,
-CASE WHEN k > 0 THEN substr(working, length(array_to_string(tokens[1:k], ' ')) + 1) ELSE '' END AS rest FROM a""")
+CASE WHEN k > 0 THEN substr(working, length(array_to_string(tokens[1:k], ' ')) + 1) ELSE '' END AS rest FROM a""", whole=True)
 def x5(criteria_text):
     rows = criteria_text.select("pos", X.opening(F.col("title")).alias("o")).select("pos", "o.*")
     return rows.withColumn("adverbs", F.array_join("adverbs", " "))
 
 
-@query("x6_with_verb")
+@query("x6_with_verb", whole=True)
 def x6(criteria_text):
     return criteria_text.select("pos", X.with_verb(F.col("title"), F.lit("Weighs")).alias("text"))
 
@@ -60,39 +60,39 @@ _STRIPPED = rf"regexp_replace(title, '(?i)\b(?:{'|'.join(X.DEGREE_WORDS)})\b\s*'
 
 
 @query("x7_degree_words", f"""SELECT pos, array_to_string(list_filter([{', '.join(f"'{w}'" for w in X.DEGREE_WORDS)}], lambda w: regexp_matches(title, '(?i)\\b' || w || '\\b')), ',') AS words,
-CASE WHEN {_ns(_STRIPPED)} <> {_ns('title')} THEN {_ns(_STRIPPED)} END AS text FROM criteria_text""")
+CASE WHEN {_ns(_STRIPPED)} <> {_ns('title')} THEN {_ns(_STRIPPED)} END AS text FROM criteria_text""", whole=True)
 def x7(criteria_text):
     return criteria_text.select("pos", F.array_join(X.degree_words(F.col("title")), ",").alias("words"), X.without_degrees(F.col("title")).alias("text"))
 
 
 @query("x8_enumerations", r"""SELECT pos, array_to_string(list_filter([CASE WHEN contains(lower(title), 'including') THEN 'including' END, CASE WHEN contains(lower(title), 'such as') THEN 'such as' END, CASE WHEN contains(lower(title), 'e.g.') THEN 'e.g.' END,
-CASE WHEN contains(lower(title), 'for example') THEN 'for example' END, CASE WHEN contains(lower(title), 'i.e.') THEN 'i.e.' END, CASE WHEN regexp_matches(title, '\([^)]*,[^)]*,[^)]*\)') THEN 'parenthetical_list' END], lambda x: x IS NOT NULL), ',') AS marks FROM criteria_text""")
+CASE WHEN contains(lower(title), 'for example') THEN 'for example' END, CASE WHEN contains(lower(title), 'i.e.') THEN 'i.e.' END, CASE WHEN regexp_matches(title, '\([^)]*,[^)]*,[^)]*\)') THEN 'parenthetical_list' END], lambda x: x IS NOT NULL), ',') AS marks FROM criteria_text""", whole=True)
 def x8(criteria_text):
     return criteria_text.select("pos", F.array_join(X.enumeration_marks(F.col("title")), ",").alias("marks"))
 
 
-@query("x8_without_enumerations")
+@query("x8_without_enumerations", whole=True)
 def x8b(criteria_text):
     return criteria_text.select("pos", X.without_enumerations(F.col("title")).alias("text"))
 
 
-@query("x9_counts", r"""SELECT pos, CAST(1 + len(regexp_extract_all(title, '(?i),|\bif\b|\bwhether\b|\bincluding\b|\bsuch as\b')) AS INTEGER) AS units FROM criteria_text""")
+@query("x9_counts", r"""SELECT pos, CAST(1 + len(regexp_extract_all(title, '(?i),|\bif\b|\bwhether\b|\bincluding\b|\bsuch as\b')) AS INTEGER) AS units FROM criteria_text""", whole=True)
 def x9(criteria_text):
     return criteria_text.select("pos", X.info_units(F.col("title")).alias("units"))
 
 
-@query("x9_inner_capitals")
+@query("x9_inner_capitals", whole=True)
 def x9b(criteria_text):
     return criteria_text.select("pos", X.inner_capitals(F.col("title")).alias("capitals"))
 
 
-@query("x10_rewrites")
+@query("x10_rewrites", whole=True)
 def x10(criteria_text):
     pairs = criteria_text.withColumn("model", F.when(F.col("pos") % 5 == 0, "").otherwise("Weighs the cost"))
     return X.rewrites(pairs, ["pos"], "title", "model")
 
 
-@query("x11_length_order", "SELECT pos, CASE WHEN length(title) < 60 THEN '<' WHEN length(title) > 60 THEN '>' ELSE '=' END AS o FROM criteria_text")
+@query("x11_length_order", "SELECT pos, CASE WHEN length(title) < 60 THEN '<' WHEN length(title) > 60 THEN '>' ELSE '=' END AS o FROM criteria_text", whole=True)
 def x11(criteria_text):
     return criteria_text.select("pos", X.length_order(F.col("title"), F.repeat(F.lit("x"), F.lit(60))).alias("o"))
 

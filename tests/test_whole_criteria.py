@@ -1,0 +1,24 @@
+"""The text queries over whole documents, against Python."""
+
+import re
+
+import duckdb
+
+from scorelake.functions import text as X
+from scorelake.plans import catalog
+from scorelake.plans.fixtures import shape
+
+SF = "/root/testdata/sf0.001"
+
+
+def _documents():
+    return duckdb.execute(f"SELECT doc_id, text FROM read_parquet('{SF}/documents.parquet')").fetchall()
+
+
+def test_text_queries_read_whole_documents(spark):
+    texts = {r["pos"]: r["title"] for r in shape(spark, SF, "whole_criteria").collect()}
+    assert all(texts[i].endswith(t) for i, t in _documents()) and max(map(len, texts.values())) > 1000
+    units = {r["pos"]: r["units"] for r in catalog.queries()["x9_counts_whole"](spark, SF).collect()}
+    assert units == {i: 1 + len(re.findall(r"(?i),|\bif\b|\bwhether\b|\bincluding\b|\bsuch as\b", t)) for i, t in texts.items()}
+    words = {r["pos"]: r["words"] for r in catalog.queries()["x7_degree_words_whole"](spark, SF).collect()}
+    assert words == {i: ",".join(w for w in X.DEGREE_WORDS if re.search(rf"(?i)\b{w}\b", t)) for i, t in texts.items()}
