@@ -56,7 +56,7 @@ def s6(spark, tasks):
     return readers.csv_rows(spark, path, "task_id long, priority string, note string")
 
 
-@query("s8_missing_embeddings", "SELECT DISTINCT title AS text FROM titles WHERE title NOT IN (SELECT title FROM titles WHERE pos % 3 = 0)")
+@query("s8_missing_embeddings", "SELECT DISTINCT title AS text FROM titles WHERE title NOT IN (SELECT title FROM titles WHERE pos % 3 = 0)", whole=True)
 def s8(titles):
     texts = titles.select(F.col("title").alias("text"))
     return readers.missing_embeddings(texts, titles.filter("pos % 3 = 0").select(F.col("title").alias("text")))

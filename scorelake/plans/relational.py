@@ -193,7 +193,7 @@ def j8(tasks, status_log):
     return R.resume(tasks, status_log.filter("status = 'ok'"), ["task_id"]).select("task_id", "priority")
 
 
-@query("j9_untouched", "SELECT a.title IS NOT DISTINCT FROM b.title AS same, count(*) AS n FROM titles a JOIN titles b ON a.pos = b.pos + 1 GROUP BY 1")
+@query("j9_untouched", "SELECT a.title IS NOT DISTINCT FROM b.title AS same, count(*) AS n FROM titles a JOIN titles b ON a.pos = b.pos + 1 GROUP BY 1", whole=True)
 def j9(titles):
     other = titles.select((F.col("pos") + 1).alias("pos"), F.col("title").alias("other"))
     return titles.join(other, "pos").groupBy(F.col("title").eqNullSafe(F.col("other")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
@@ -305,7 +305,7 @@ def w7(judgements):
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("dilemma_source").orderBy("n", "model")).cast("long"))
 
 
-@query("w9_w10_longest", "SELECT pos, length(title) AS n FROM titles ORDER BY length(title) DESC, pos LIMIT 10")
+@query("w9_w10_longest", "SELECT pos, length(title) AS n FROM titles ORDER BY length(title) DESC, pos LIMIT 10", whole=True)
 def w9(titles):
     return titles.select("pos", F.length("title").cast("long").alias("n")).orderBy(F.desc("n"), "pos").limit(10)
 
@@ -334,12 +334,12 @@ def u5(judgements):
     return found.select("task_id", *[F.array_join(f"s.{c}", ",").alias(c) for c in ("agree", "extra", "missed")])
 
 
-@query("u6_registry", "WITH f AS (SELECT title AS text, min(pos) AS first FROM titles GROUP BY 1) SELECT text, first, row_number() OVER (ORDER BY first) - 1 AS text_idx FROM f")
+@query("u6_registry", "WITH f AS (SELECT title AS text, min(pos) AS first FROM titles GROUP BY 1) SELECT text, first, row_number() OVER (ORDER BY first) - 1 AS text_idx FROM f", whole=True)
 def u6(titles):
     return R.registry(titles, F.col("title"), "pos")
 
 
-@query("u7_repeated_keys", "SELECT lower(trim(title)) AS k, count(*) AS n FROM titles GROUP BY 1 HAVING count(*) > 1")
+@query("u7_repeated_keys", "SELECT lower(trim(title)) AS k, count(*) AS n FROM titles GROUP BY 1 HAVING count(*) > 1", whole=True)
 def u7(titles):
     return R.repeated_keys(titles, F.lower(F.trim("title")).alias("k"))
 

@@ -83,7 +83,7 @@ def c10(concepts):
     return C.case_components(rows.select("case", "pos"), edges)
 
 
-@query("c11_embedded")
+@query("c11_embedded", whole=True)
 def c11(titles):
     """Letter shares in place of a paid embedder; the interface is the same."""
 

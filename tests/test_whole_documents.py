@@ -1,0 +1,32 @@
+"""The registry and other queries of document texts over whole documents, against Python."""
+
+from collections import Counter
+
+import duckdb
+
+from scorelake.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+def _documents():
+    return duckdb.execute(f"SELECT doc_id, text FROM read_parquet('{SF}/documents.parquet')").fetchall()
+
+
+def test_registry_repeats_and_lengths_are_of_whole_texts(spark):
+    docs = _documents()
+    queries = catalog.queries()
+    first = {}
+    for i, t in docs:
+        first[t] = min(i, first.get(t, i))
+    order = {t: n for n, t in enumerate(sorted(first, key=first.get))}
+    assert {(r["text"], r["first"], r["text_idx"]) for r in queries["u6_registry_whole"](spark, SF).collect()} == {(t, first[t], order[t]) for t in first}
+    keys = Counter(t.strip(" ").lower() for _, t in docs)
+    assert {r["k"]: r["n"] for r in queries["u7_repeated_keys_whole"](spark, SF).collect()} == {k: n for k, n in keys.items() if n > 1}
+    longest = sorted((-len(t), i) for i, t in docs)[:10]
+    assert [(-r["n"], r["pos"]) for r in queries["w9_w10_longest_whole"](spark, SF).collect()] == longest
+    known = {t for i, t in docs if i % 3 == 0}
+    assert {r["text"] for r in queries["s8_missing_embeddings_whole"](spark, SF).collect()} == {t for _, t in docs} - known
+    vectors = {r["pos"]: r["vec"] for r in queries["c11_embedded_whole"](spark, SF).collect()}
+    for i, t in docs:
+        assert all(abs(x - t.lower().count(c) / max(1, len(t))) < 1e-6 for x, c in zip(vectors[i], "aeiou", strict=True))
