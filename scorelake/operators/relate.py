@@ -68,13 +68,14 @@ def first_label_wins(pairs: DataFrame, labels: DataFrame, on: Sequence[str], ord
     return pairs.join(first, list(on), "left")
 
 
-def resolved_ids(concepts: DataFrame, criteria: DataFrame, norm) -> DataFrame:
-    """The criterion a concept's title names: equal title (the last such criterion), else equal in normal form, else the first whose title holds the concept's or is held by it; else null."""
+def resolved_ids(concepts: DataFrame, criteria: DataFrame, norm, blocks: int = 16) -> DataFrame:
+    """The criterion a concept's title names: equal title (the last such criterion), else equal in normal form, else the first whose title holds the concept's or is held by it; else null. The last step meets every criterion of the task, in `blocks` blocks of its concepts, so a hot task is that many joins."""
     by_title = criteria.groupBy("task_id", "title").agg(F.max_by("criterion_id", "place").alias("exact"))
     by_norm = criteria.groupBy("task_id", norm(F.col("title")).alias("norm")).agg(F.max_by("criterion_id", "place").alias("normal"))
     found = concepts.join(by_title, ["task_id", "title"], "left").withColumn("norm", norm(F.col("title"))).join(by_norm, ["task_id", "norm"], "left")
-    rest = found.filter("exact is null and normal is null").select("concept_id", "task_id", F.lower("title").alias("t"))
-    held = rest.join(criteria.select("task_id", "place", "criterion_id", F.lower("title").alias("c")), "task_id").filter(F.col("c").contains(F.col("t")) | F.col("t").contains(F.col("c")))
+    rest = found.filter("exact is null and normal is null").select("concept_id", "task_id", F.pmod(F.xxhash64("concept_id"), F.lit(blocks)).cast("int").alias("block"), F.lower("title").alias("t"))
+    every = criteria.select("task_id", "place", "criterion_id", F.lower("title").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    held = rest.join(every, ["task_id", "block"]).filter(F.col("c").contains(F.col("t")) | F.col("t").contains(F.col("c")))
     partial = held.groupBy("concept_id").agg(F.min_by("criterion_id", "place").alias("partial"))
     return found.join(partial, "concept_id", "left").select("concept_id", F.coalesce("exact", "normal", "partial").alias("criterion_id"))
 

@@ -258,7 +258,19 @@ n AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM
 e AS (SELECT kn.pos, max(n.pos) FILTER (n.title = kn.title) AS a, max(n.pos) FILTER (n.nt = kn.nt) AS b, min(n.pos) FILTER (contains(lower(n.title), lower(kn.title)) OR contains(lower(kn.title), lower(n.title))) AS c FROM kn LEFT JOIN n USING (task_id) GROUP BY 1)
 SELECT pos AS concept_id, coalesce(a, b, c) AS criterion_id FROM e""")
 def j14(titles):
-    t = titles.filter("length(title) between 5 and 60")
+    return _resolved(titles.filter("length(title) between 5 and 60"))
+
+
+@query("j14_j15_resolved_ids_whole", """WITH k AS (SELECT pos, task_id, CASE pos % 3 WHEN 0 THEN title WHEN 1 THEN '  ' || title ELSE substr(title, 2, 12) END AS title FROM whole_documents),
+n AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM whole_documents), kn AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM k),
+e AS (SELECT kn.pos, max(n.pos) FILTER (n.title = kn.title) AS a, max(n.pos) FILTER (n.nt = kn.nt) AS b, min(n.pos) FILTER (contains(lower(n.title), lower(kn.title)) OR contains(lower(kn.title), lower(n.title))) AS c FROM kn LEFT JOIN n USING (task_id) GROUP BY 1)
+SELECT pos AS concept_id, coalesce(a, b, c) AS criterion_id FROM e""")
+def j14_whole(whole_documents):
+    """Every concept, whatever the length of its title."""
+    return _resolved(whole_documents)
+
+
+def _resolved(t):
     kind = F.col("pos") % 3
     concepts = t.select(F.col("pos").alias("concept_id"), "task_id", F.when(kind == 0, F.col("title")).when(kind == 1, F.concat(F.lit("  "), "title")).otherwise(F.substring("title", 2, 12)).alias("title"))
     norm = lambda c: F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))

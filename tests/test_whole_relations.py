@@ -1,0 +1,11 @@
+"""Queries that took a share of their rows, over all of them."""
+
+from scorelake.plans import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_concept_is_resolved(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = catalog.queries()["j14_j15_resolved_ids_whole"](spark, SF)
+    assert {r["concept_id"] for r in found.collect()} == {r["doc_id"] for r in docs.collect()}
