@@ -90,6 +90,16 @@ def s14(spark, tasks):
     return readers.submissions(spark, path, "match:string")
 
 
+@query("s14_submissions_whole", "SELECT 'p' || (task_id % 1009) AS annotator, 't' || task_id AS trial_id, priority AS match FROM tasks")
+def s14_whole(spark, tasks):
+    """Submissions for all tasks, a file for each of many annotators."""
+    rows = tasks.groupBy(F.concat(F.lit("p"), (F.col("task_id") % 1009).cast("string")).alias("annotator"))
+    docs = rows.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("t"), F.col("task_id").cast("string")), F.struct(F.col("priority").alias("match"))))).alias("answers"))
+    path = _place(spark)
+    docs.repartition("annotator").write.option("maxRecordsPerFile", 1).json(path)
+    return readers.submissions(spark, path, "match:string")
+
+
 @query("k6_i7_dead_letters", "SELECT status = 'error' AS failed, count(*) AS n FROM status_log GROUP BY 1")
 def k6(status_log):
     good, bad = writers.split_errors(status_log, F.col("status") == "error")

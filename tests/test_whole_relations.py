@@ -9,3 +9,8 @@ def test_every_concept_is_resolved(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = catalog.queries()["j14_j15_resolved_ids_whole"](spark, SF)
     assert {r["concept_id"] for r in found.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_every_task_is_submitted(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert catalog.queries()["s14_submissions_whole"](spark, SF).count() == orders > 70
