@@ -123,6 +123,13 @@ def i11(tasks, status_log):
     return O.seeded(earlier, tasks.select("task_id", "priority"), ["task_id"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isNull()).alias("without_status"))
 
 
+@query("i6_i11_seeded_whole", "SELECT count(*) AS n, count(*) FILTER (status IS NULL) AS without_status FROM (SELECT task_id, status FROM status_log WHERE status = 'ok' UNION ALL SELECT task_id, NULL FROM tasks WHERE task_id NOT IN (SELECT task_id FROM status_log WHERE status = 'ok'))")
+def i11_whole(tasks, status_log):
+    """Seeded from every event that ended well."""
+    earlier = status_log.filter("status = 'ok'").select("task_id", "status")
+    return O.seeded(earlier, tasks.select("task_id", "priority"), ["task_id"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isNull()).alias("without_status"))
+
+
 @query("j19_one_sided_ids", "WITH a AS (SELECT task_id, list(DISTINCT criterion_id) FILTER (changed) AS x, list(DISTINCT criterion_id) FILTER (criterion_weight > 1) AS y FROM judgements GROUP BY 1) SELECT task_id, len(list_filter(coalesce(x, []), lambda e: list_contains(coalesce(y, []), e))) AS confirmed, len(list_filter(coalesce(x, []), lambda e: NOT list_contains(coalesce(y, []), e))) AS missed FROM a")
 def j19(judgements):
     ids = lambda c: F.collect_set(F.when(c, F.col("criterion_id")))
