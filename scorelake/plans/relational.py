@@ -99,6 +99,13 @@ def p19(titles):
     return titles.join(other, "pos").filter(~F.substring("title", 1, 20).eqNullSafe(F.substring("other", 1, 20))).agg(F.count(F.lit(1)).alias("differing"))
 
 
+@query("p19_prefix_guard_whole", "SELECT count(*) AS differing FROM whole_documents a JOIN whole_documents b ON a.pos + 1 = b.pos WHERE substr(a.title, 1, 200) IS DISTINCT FROM substr(b.title, 1, 200)")
+def p19_whole(whole_documents):
+    """The reference's guard: the first 200 characters of the text."""
+    other = whole_documents.select((F.col("pos") - 1).alias("pos"), F.col("title").alias("other"))
+    return whole_documents.join(other, "pos").filter(~F.substring("title", 1, 200).eqNullSafe(F.substring("other", 1, 200))).agg(F.count(F.lit(1)).alias("differing"))
+
+
 @query("p20_truthy", "SELECT count(*) FILTER (lower(CASE WHEN changed THEN 'True' ELSE 'no' END) = 'true') AS n FROM judgements")
 def p20(judgements):
     return judgements.agg(F.count_if(P.truthy(F.when(F.col("changed"), "True").otherwise("no"))).alias("n"))
