@@ -4,19 +4,41 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.durable import shared_dir, table
 
-__all__ = ["kept_by_worker", "row_key", "shared_dir", "table"]
+__all__ = ["fields", "kept_by_worker", "row_key", "shared_dir", "stored_rows", "table"]
 
 
 def row_key(row: Column | None) -> Column:
-    """uid: the stored row number where there is one. Numbers given to a scan differ from those of the next, whose splits depend on the cores alive."""
+    """uid: the stored row key where there is one. Numbers given to a scan differ from those of the next, whose splits depend on the cores alive."""
     return (F.monotonically_increasing_id() if row is None else row).alias("uid")
 
 
+def stored_rows(df: DataFrame, name: str = "_row") -> DataFrame:
+    """df with a key of each row that every scan of it gives alike, however it is split: the row's file and its place in it.
+
+    Parquet files tell both, so a table as it was read is not written again; anything else is, first.
+    A file is known by 64 bits of its path's hash; files that share them (a chance of 3e-8 in a million files) fail.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = table(df)
+    files = df.inputFiles()
+    if len({xxhash.xxh64_intdigest(f, 42) for f in files}) < len(files):
+        raise RuntimeError("two files have paths of one hash; rename one")
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return df.select("*", key.alias(name))
+
+
+def fields(df: DataFrame, *names: str, **more: str) -> T.StructType:
+    """Schema of some columns of df and of others by their types' names."""
+    return T.StructType([T.StructField(n, df.schema[n].dataType) for n in names] + [T.StructField(n, T.StructType.fromDDL(f"x {kind}")["x"].dataType) for n, kind in more.items()])
+
+
 def kept_by_worker(name: str, key: object) -> dict:
     """A dictionary that a Python worker keeps from task to task, emptied when key changes. For caches only."""
     held = sys.__dict__.setdefault("_scorelake_kept", {})

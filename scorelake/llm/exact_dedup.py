@@ -37,8 +37,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     number of groups; a full filter loses its savings, not its rightness.
 
     Null text: as empty; all empty texts are one group. Empty input: empty output. Other columns are
-    not read, so their names can't clash. uid is `row`, a stored and unique whole number, where given;
-    else it numbers the rows of this scan, and is good for nothing outside the result.
+    not read, so their names can't clash. uid is `row`, a stored and unique key of any type that sorts, where
+    given; else it numbers the rows of this scan, and is good for nothing outside the result.
     """
     norm = df.select(row_key(row), F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"), squeezed(F.col(text_col)).alias("norm"))
     coarse = [F.octet_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix")]

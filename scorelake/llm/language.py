@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import kept_by_worker, row_key, table
+from .durable import fields, kept_by_worker, row_key, table
 from .ngrams import subwords
 from .url_filter import url_host
 
@@ -123,9 +123,8 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
     none = F.lit(None).cast("string")
     host, suffix, declared = (none if c is None else F.nullif(c, F.lit("")) for c in (host, suffix, declared))
     rows = df.select(row_key(row), F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.alias("host"), suffix.alias("suffix"), declared.alias("declared"))
-    kind = rows.schema["id"].dataType.simpleString()
     key = crc32(model.weights.tobytes())
-    scored = rows.mapInArrow(_likelihoods(model, key), f"uid long, id {kind}, host string, suffix string, declared string, text_ll array<double>")
+    scored = rows.mapInArrow(_likelihoods(model, key), fields(rows, "uid", "id", "host", "suffix", "declared", text_ll="array<double>"))
     n = len(model.languages)
     if not n:
         return scored.select("uid", "id", none.alias("lang"), F.lit(None).cast("double").alias("posterior"), none.alias("text_lang"), F.col("text_ll").isNotNull().alias("kept"))

@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import row_key, table
-from .graph import components
+from .durable import fields, row_key, table
+from .graph import components, forest
 
 #: Set bits of each byte value, lowest bit first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -44,28 +44,112 @@ def _fingerprints(words: int, seed: int):
     return run
 
 
-def _segment(diff: Column, i: int, size: int) -> Column:
-    """Differing bits of the i-th segment."""
-    return F.bit_count(F.shiftrightunsigned(diff, i * size).bitwiseAND(F.lit((1 << size) - 1)))
+#: A ring of five segments of a fingerprint, their bits, and how many bits may differ: l segments of a chain may hold l * BITS / 5, rounded down.
+RING, BITS = (13, 13, 13, 13, 12), 4
+_FROM = np.cumsum((0, *RING[:-1]))
 
 
-def pigeonring(diff: Column, bits: int, segments: int = 4) -> Column:
-    """Whether some chain of segments round the ring keeps each of its first l sums within l * bits / segments.
+def turned(fps: np.ndarray, start: int) -> np.ndarray:
+    """Fingerprints with the ring turned so that segment `start` has the lowest bits."""
+    by = np.uint64(_FROM[start])
+    return fps if not by else (fps >> by) | (fps << (np.uint64(64) - by))
 
-    Every pair within `bits` has such a chain; most others are ruled out before the full count.
-    """
-    size = 64 // segments
-    some = [_segment(diff, i, size) for i in range(segments)]
-    found = None
-    for start in range(segments):
-        chain, total = None, None
-        for n in range(1, segments):
-            x = some[(start + n - 1) % segments]
-            total = x if total is None else total + x
-            ok = total <= (n * bits) // segments
-            chain = ok if chain is None else chain & ok
-        found = chain if found is None else found | chain
-    return found
+
+def chain(diff: np.ndarray, start: int) -> np.ndarray:
+    """Whether the chain of turned differences from its first segment keeps each of its sums within its budget."""
+    ok, upto = np.ones(len(diff), dtype=bool), 0
+    for n in range(1, len(RING)):
+        upto += RING[(start + n - 1) % len(RING)]
+        ok &= np.bitwise_count(diff & np.uint64((1 << upto) - 1)) <= n * BITS // len(RING)
+    return ok
+
+
+def pigeonring(diff: np.ndarray) -> np.ndarray:
+    """Whether a difference has a chain from some segment. Every one of BITS bits or fewer does; most others don't."""
+    return np.logical_or.reduce([chain(turned(diff, s), s) for s in range(len(RING))])
+
+
+def _keys(fps: np.ndarray, start: int) -> np.ndarray:
+    """The first three segments of turned fingerprints (rows), as they are and with each bit of the second and third flipped (columns)."""
+    widths = [RING[(start + n) % len(RING)] for n in range(3)]
+    flips = [0] + [1 << b for b in range(widths[0], sum(widths))]
+    return (fps & np.uint64((1 << sum(widths)) - 1))[:, None] ^ np.array(flips, dtype=np.uint64)[None, :]
+
+
+def _meet(keys: np.ndarray, fps: np.ndarray, start: int, dense: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, int]:
+    """Links among turned fingerprints that share a key: ends, the members of runs of over `dense`, and how many pairs a chain let through."""
+    order = np.argsort(keys, kind="stable")
+    keys, fps = keys[order], fps[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[first, len(keys)])
+    size = np.repeat(sizes, sizes)
+    crowded = np.unique(fps[size > dense])
+    some = np.flatnonzero((size > 1) & (size <= dense))
+    keys, fps, room = keys[some], fps[some], (np.repeat(first + sizes, sizes) - np.arange(len(size)))[some]
+    low = np.uint64((1 << sum(RING[(start + n) % len(RING)] for n in range(3))) - 1)
+    a_ends, b_ends, through = [], [], 0
+    for step in range(1, int(room.max(initial=1))):
+        at = np.flatnonzero(room > step)
+        a, b, key = np.minimum(fps[at], fps[at + step]), np.maximum(fps[at], fps[at + step]), keys[at]
+        diff = a ^ b
+        d = diff & low
+        flip = np.where(np.bitwise_count(d) == 2, d & (~d + np.uint64(1)), np.uint64(0))
+        once = key == (a & low) ^ flip  # of the numbers that both reach, the pair is taken at one: the lesser's own, or its lower differing bit flipped
+        found = once & chain(diff, start)
+        through += int(found.sum())
+        found &= np.bitwise_count(diff) <= BITS
+        a_ends.append(a[found])
+        b_ends.append(b[found])
+    return a_ends, b_ends, crowded, through
+
+
+def _back(fps: np.ndarray, start: int) -> np.ndarray:
+    by = np.uint64(_FROM[start])
+    return (fps if not by else (fps << by) | (fps >> (np.uint64(64) - by))).view(np.int64)
+
+
+def _linked(dense: int, keyed: bool, rows: int = 1 << 16):
+    """Links (a, b) of a partition's fingerprints by ring start and key; a member of a crowded run is linked to itself; start -1 counts pairs that passed a chain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not got:
+            return
+        start, key, fps = (np.concatenate(x) for x in zip(*got, strict=True))
+        fps = fps.view(np.uint64)
+        order = np.lexsort((key, start))
+        start, key, fps = start[order], key[order], fps[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, (start[1:] != start[:-1]) | (key[1:] != key[:-1])]), len(key)]
+        at = 0
+        while at < len(cuts) - 1:  # whole groups of one first segment, of one start, about so many rows at once
+            upto = max(at + 1, int(np.searchsorted(cuts, cuts[at] + rows, side="right")) - 1)
+            upto = min(upto, int(np.searchsorted(cuts, np.searchsorted(start, start[cuts[at]], side="right"))))
+            s, some = int(start[cuts[at]]), fps[cuts[at] : cuts[upto]]
+            if keyed:
+                keys, members = key[cuts[at] : cuts[upto]].view(np.uint64), some
+            else:
+                every = _keys(some, s)
+                keys, members = every.ravel(), np.repeat(some, every.shape[1])
+            a, b, crowded, through = _meet(keys, members, s, dense)
+            root, node = forest(np.concatenate([np.zeros(0, np.uint64), *a]), np.concatenate([np.zeros(0, np.uint64), *b]))
+            ends = [pa.array(np.concatenate([_back(x, s), _back(crowded, s)])) for x in (root, node)]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(np.full(len(ends[0]), s, dtype=np.int32))], names=["a", "b", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array([through], pa.int64()), pa.array([len(members)], pa.int64()), pa.array([-1], pa.int32())], names=["a", "b", "start"])
+            at = upto
+
+    return run
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of crowded first segments, by all keys of their first three."""
+    for batch in batches:
+        start, fps = batch.column("start").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        for s in np.unique(start).tolist():
+            some = fps[start == s]
+            for a in range(0, len(some), 4096):
+                every = _keys(some[a : a + 4096], s)
+                n = every.size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, dtype=np.int32)), pa.array(every.ravel().view(np.int64)), pa.array(np.repeat(some[a : a + 4096], every.shape[1]).view(np.int64))], names=["start", "key", "fp"])
 
 
 def _ball(bits: int):
@@ -84,46 +168,62 @@ def _ball(bits: int):
     return run
 
 
-def links(fps: DataFrame, bucket_cap: int = 4096) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints (column fp) that connect all those at 4 or fewer differing bits.
-
-    Chains are found by key: of the two halves of such a pair one differs in 2 bits at most, so both
-    fingerprints reach a common number by flipping at most one bit of that half each. Each fingerprint
-    gives 66 keys, however many others there are; a pair is checked at only one of its common keys.
-    The pigeonring test on 16-bit segments comes before the full count, both inside the join.
-
-    Buckets of over bucket_cap fingerprints are not paired off. Their members link, instead, to the
-    least fingerprint of every number within two flips: two fingerprints share such a number just when
-    they differ in 4 bits or fewer, so no link is lost, and the work is linear in the members.
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, fp), members of a key linked to its least one; no key has more members than a ball."""
+    got = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    if got:
+        key, fp = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((fp, key))
+        key, fp = key[order], fp[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        root, node = forest(np.repeat(fp[first], np.diff(np.r_[first, len(key)])), fp)
+        yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(node)], names=["a", "b"])
+
+
+def links(fps: DataFrame, dense: int = 256, hot: int = 1 << 18) -> DataFrame:
+    """Pairs (a, b) that connect just those distinct fingerprints (column fp) that chains of links at 4 or fewer differing bits connect.
+
+    Pigeonring: of two such fingerprints, cut into a ring of five segments, some run of segments holds
+    at most 0, 1, 2 and 3 differing bits in its first one, two, three and four. So each fingerprint is
+    sent to five places, by ring start and first segment, which must be equal: the only shuffle. There the
+    chain goes on: at most one flip on either side in the second and third segment takes a pair to a common
+    39-bit key, and only pairs that keep every budget of the chain come to the full count.
+
+    First segments of over `hot` fingerprints (40960 segments at most, the one thing collected) are dealt
+    by those 39-bit keys instead. Runs of over `dense` members of one key are not paired off: their members
+    link to the least fingerprint of every number within two flips. Two fingerprints share such a number
+    just when they differ in 4 bits or fewer, so no link is lost, and the work is linear in the members.
+    Each task passes on a spanning forest of the links it finds.
     """
-    keys = fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
-    own = F.when(F.col("half") == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
-    keys = keys.withColumn("own", own)
-    # a bucket holds the members of 33 halves, so none is over the cap unless some half has a 33rd of it
-    heavy = table(keys.groupBy("half", "own").count().filter(F.col("count") > bucket_cap // 33).select("half", "own"))
-    flips = F.expr("transform(sequence(-1, 31), i -> CASE WHEN i < 0 THEN own ELSE own ^ shiftleft(1L, i) END)")
-    spread = keys.select("fp", "half", "own", F.explode(flips).alias("z"))
-    dense = not heavy.isEmpty()
-    if dense:
-        large = table(heavy.select("half", F.explode(flips).alias("z")).distinct())
-        crowded = table(spread.join(large, ["half", "z"], "left_semi").select("fp").distinct())
-        spread = spread.join(large, ["half", "z"], "left_anti")
-    spread = spread.select("fp", "own", F.expr("z * 2 + half").alias("key"))
-    x, y = spread.select(F.col("fp").alias("a"), F.col("own").alias("own_a"), "key"), spread.select(F.col("fp").alias("b"), F.col("own").alias("own_b"), F.col("key").alias("key_b"))
-    diff, d = F.col("a").bitwiseXOR(F.col("b")), F.col("own_a").bitwiseXOR(F.col("own_b"))
-    low = d.bitwiseAND(-d)  # the pair's one key: own_a with the lowest differing bit flipped
-    one = F.expr("key div 2").bitwiseXOR(F.col("own_a")) == F.when(F.bit_count(d) == 2, low).otherwise(F.lit(0))
-    first = (F.col("key") % 2 == 0) | (F.bit_count(diff.bitwiseAND(F.lit(0xFFFFFFFF))) > 2)  # near in both halves: the lower one's
-    near = first & pigeonring(diff, 4) & (F.bit_count(diff) <= 4)
-    found = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & one & near).select("a", "b")
-    if dense:
-        ball = crowded.mapInArrow(_ball(2), "key long, fp long")
-        hubs = table(ball.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("key", "a"))
-        found = found.unionByName(ball.join(hubs, "key").select("a", F.col("fp").alias("b")).filter("a <> b").distinct())
+    spark = fps.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turns = [F.when(F.col("start") == s, F.shiftrightunsigned("fp", int(n)).bitwiseOR(F.shiftleft("fp", 64 - int(n)))) for s, n in enumerate(_FROM) if n]
+    rows = fps.select("fp", F.explode(F.array(*[F.lit(s) for s in range(len(RING))])).alias("start"))
+    rows = rows.select("start", F.coalesce(*turns, "fp").alias("fp"))
+    head = F.when(F.col("start") == 4, F.col("fp").bitwiseAND(F.lit((1 << RING[4]) - 1))).otherwise(F.col("fp").bitwiseAND(F.lit((1 << RING[0]) - 1)))
+    rows = rows.select("start", head.alias("key"), "fp")
+    number = fps.count()
+    heavy = [] if number <= hot else [(r["start"], r["key"]) for r in rows.groupBy("start", "key").count().filter(F.col("count") > hot).collect()]
+    shape = "a long, b long, start int"
+    parts = max(least, number * len(RING) // 1_000_000)
+    if heavy:
+        names = spark.createDataFrame(heavy, "start int, key long")
+        full = rows.join(F.broadcast(names), ["start", "key"], "left_semi").select("start", "fp").mapInArrow(_spread, "start int, key long, fp long")
+        rows = rows.join(F.broadcast(names), ["start", "key"], "left_anti")
+    found = rows.repartition(parts, "start", "key").mapInArrow(_linked(dense, False), shape)
+    if heavy:
+        found = found.unionByName(full.repartition(parts * 27, "start", "key").mapInArrow(_linked(dense, True), shape))
+    found = table(found)
+    crowded = table(found.filter("start >= 0 and a = b").select(F.col("a").alias("fp")).distinct())
+    found = found.filter("start >= 0 and a <> b").select("a", "b")
+    members = crowded.count()
+    if members:
+        ball = crowded.repartition(max(least, members // 1000), "fp").mapInArrow(_ball(2), "key long, fp long")
+        found = found.unionByName(ball.repartition(max(least, members * 2081 // 2_000_000), "key").mapInArrow(_stars, "a long, b long"))
     return found
 
 
-def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, bucket_cap: int = 4096, row: Column | None = None) -> DataFrame:
+def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, dense: int = 256, row: Column | None = None) -> DataFrame:
     """uid, id, fp (signed 64 bits), root and component_id of every row of df.
 
     The fingerprint: A-Z lower-cased, words split at U+0020 and U+0009 to U+000D, shingles of `words`
@@ -132,15 +232,16 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fingerprint that names the component.
 
     Copies share a fingerprint, so linking runs on distinct fingerprints and a group of copies costs
-    one. Null text and text without words have fingerprint 0 and link like any other. A null id
-    takes no part in the smallest id; a component of null ids has a null component_id. Repeated rows
-    are rows of their own. Empty input: empty output. Whole texts are read, one batch at a time.
-    uid is `row` (stored, unique) where given, else the number of the row in this scan.
+    one. Null text and text without words have fingerprint 0 and link like any other. Ids are of any
+    type that sorts. A null id takes no part in the smallest id; a component of null ids has a null
+    component_id. Repeated rows are rows of their own. Empty input: empty output. Whole texts are read,
+    one batch at a time. uid is `row` (a stored, unique key of any type) where given, else the number
+    of the row in this scan.
     """
     rows = df.select(row_key(row), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = table(rows.mapInArrow(_fingerprints(words, seed), "uid long, id long, fp long"))
+    marked = table(rows.mapInArrow(_fingerprints(words, seed), fields(rows, "uid", "id", fp="long")))
     classes = table(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = components(links(classes.select("fp"), bucket_cap))
+    roots = components(links(classes.select("fp"), dense))
     placed = table(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = table(placed.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = table(placed.join(least, "root").select("fp", "root", "component_id"))

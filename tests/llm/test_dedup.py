@@ -7,7 +7,7 @@ import xxhash
 
 from scorelake.llm.exact_dedup import exact_dedup
 from scorelake.llm.graph import components
-from scorelake.llm.simhash import fingerprint, links, simhash_dedup
+from scorelake.llm.simhash import fingerprint, links, pigeonring, simhash_dedup
 
 DOCS = "doc_id long, text string, keep_id string, kept string, TEXT2 string"
 
@@ -71,27 +71,38 @@ def brute_components(fps):
     return label
 
 
-@pytest.mark.parametrize("cap", [4096, 40])
-def test_links_lose_nothing_in_dense_and_sparse_groups(spark, cap):
+@pytest.mark.parametrize("dense, hot", [(256, 1 << 18), (3, 1 << 18), (256, 2), (3, 2)])
+def test_links_lose_nothing_in_dense_and_sparse_groups(spark, dense, hot):
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1}
     for centre in list(fps)[:6]:
         for _ in range(30):
             fps.add(centre ^ sum(1 << b for b in set(rng.choices(range(64), k=rng.randint(0, 6)))))
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    found = links(spark.createDataFrame([(f,) for f in signed], "fp long"), cap)
-    for a, b in {(r["a"], r["b"]) for r in found.collect()}:
-        # hubs of a crowded bucket are members within two flips of the same number
-        assert bin((a ^ b) % 2**64).count("1") <= 4
+    found = links(spark.createDataFrame([(f,) for f in signed], "fp long"), dense, hot)
     roots = {r["node"]: r["root"] for r in components(found).collect()}
     want = brute_components(signed)
     groups = lambda label: {frozenset(f for f in signed if label.get(f, f) == r) for r in {label.get(f, f) for f in signed}}
     assert groups(roots) == groups(want)
 
 
-def test_components_of_long_chains_and_stars(spark):
+def test_a_chain_lets_all_near_pairs_through_and_few_others():
+    rng = random.Random(4)
+    flipped = lambda n: np.array([sum(1 << b for b in rng.sample(range(64), n)) for _ in range(2000)], dtype=np.uint64)
+    for n in range(5):
+        assert pigeonring(flipped(n)).all()
+    assert pigeonring(flipped(8)).mean() < 0.3 and pigeonring(flipped(32)).mean() < 0.001
+
+
+def test_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), (None, "x")], "doc_id string, text string")
+    assert sorted((str(r["id"]), str(r["component_id"])) for r in simhash_dedup(rows).collect()) == [("None", "None"), ("a", "a"), ("b", "a")]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_of_long_chains_and_stars(spark, few):
     edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 80)] + [(7, 7)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     assert len({got[i] for i in range(101)}) == 1 and len({got[500 + i] for i in range(80)}) == 1 and len(set(got.values())) == 2
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
