@@ -32,6 +32,22 @@ def test_round_trip(spark, pieces):
     assert sp.sentencepiece_encode(df.limit(0)).count() == 0
 
 
+def test_units_are_words_after_their_spaces_and_line_feeds():
+    texts = ["a  b \n\n c", "", "x", " \n", "é\n d"]
+    found, counts = sp.units([t.encode() for t in texts])
+    cut = [[" a", "  b", " ", "\n", "\n", " c"], [], [" x"], ["  ", "\n"], [" é", "\n", " d"]]
+    assert found.to_pylist() == sum(cut, []) and counts.tolist() == [len(c) for c in cut]
+
+
+def test_ids_of_any_type_and_models_without_bytes(spark, pieces):
+    df = spark.createDataFrame([("k", "né"), (None, None)], "doc_id string, text string")
+    assert {(r["id"], r["text"]) for r in sp.sentencepiece_decode(sp.sentencepiece_encode(df)).collect()} == {("k", "né"), (None, "")}
+    body = lambda p, kind: b"\x0a" + bytes([len(p) + 4]) + b"\x0a" + bytes([len(p)]) + p + b"\x18" + bytes([kind])
+    bare = sp.Pieces(body(b"<unk>", 2) + body("▁".encode(), 1) + body(b"a", 1))
+    ids, _ = sp.encode(bare, [b"az"], {})
+    assert ids.tolist() == [1, 2, 0] and not bare.is_byte.any() and bare.decode(ids.tolist()) == "a ⁇ "
+
+
 def brute_score(pieces, unit):
     known = {}
     for keys, ids, points in pieces.tables.values():
@@ -50,8 +66,9 @@ def brute_score(pieces, unit):
 def test_viterbi_matches_plain_dynamic_programming(pieces):
     units = [" Hello", " world", " naïve", "🙂🙂x", " supercalifragilistic", "     ", "   deep", " \u2581b", "z" * 40, "------------------"]
     known = {int(i) for _, ids, _ in pieces.tables.values() for i in ids}
-    for unit, coded in zip(units, pieces.encode_units(units)):
-        ids = np.frombuffer(coded, dtype=np.int32).tolist()
+    flat, sizes = pieces.encode_units(units)
+    for unit, ids in zip(units, np.split(flat, np.cumsum(sizes)[:-1])):
+        ids = ids.tolist()
         score, at = 0.0, 0
         while at < len(ids):
             if ids[at] in known:
@@ -101,7 +118,8 @@ def test_same_as_the_library_under_its_unigram_algorithm(pieces):
     library = spm.SentencePieceProcessor(model_proto=out)
     texts = ["Hello world, this is an implementation.", "naïve café Ünïcode ß", "日本語 text 🙂", "Administration of characteristics", "The and attion to thanedble the, anea."]
     same = total = 0
-    for text, ids in zip(texts, sp.encode(pieces, texts, {})):
+    flat, sizes = sp.encode(pieces, [t.encode() for t in texts], {})
+    for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
         want = library.encode(text)
         assert pieces.decode(want) == text
         mine, theirs = (sum(pieces.scores[k] for k in x) for x in (ids.tolist(), want))
