@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .durable import fields, kept_by_worker, row_key, table
-from .ngrams import subwords
+from .ngrams import spread_slices, subwords
 from .url_filter import url_host
 
 
@@ -79,15 +79,18 @@ def _likelihoods(model: NgramModel, key: int, room: int = 500_000):
     return run
 
 
-def sample_texts(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, longest: int, languages: int, seed: int) -> tuple[list[str], list[str]]:
-    """At most per_language texts of each of the `languages` commonest labels, of at most `longest` characters each: so much comes to the driver."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("y")).filter("id is not null and y is not null").filter(F.length("text") <= longest)
-    common = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(languages)
-    rank = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    ids = rows.select("id", "y").join(F.broadcast(common.select("y")), "y").withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= per_language)
-    # ids are ranked without their texts; those picked are languages * per_language at most, and go to the texts
-    picked = rows.join(F.broadcast(ids.select("id", "y").distinct()), ["id", "y"])
-    got = picked.orderBy(F.xxhash64("id", F.lit(seed)), "id", "text").limit(languages * per_language).collect()
+def sample_texts(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, longest: int, seed: int) -> tuple[list[str], list[str]]:
+    """Texts and labels of at most per_language rows of every label, each of at most `longest` characters (spread over the whole of a longer one): so much comes to the driver.
+
+    A label's rows are thinned to about twice per_language by their hash before they are ranked, so no task ranks a common label.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("y")).filter("id is not null and y is not null and text is not null")
+    counts = table(rows.groupBy("y").count())
+    drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
+    few = rows.select("id", "y", drawn.alias("h")).join(counts, "y").filter(F.col("h") * F.col("count") <= float(2 * per_language * (1 << 40)))
+    ids = few.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).filter(F.col("n") <= per_language).select("id", "y").distinct()
+    picked = rows.join(table(ids), ["id", "y"]).select("id", "y", spread_slices(F.col("text"), longest).alias("text"))
+    got = picked.orderBy(F.xxhash64("id", F.lit(seed)), "id", "text").collect()
     return [r["text"] for r in got], [r["y"] for r in got]
 
 
@@ -117,7 +120,7 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
     A row is rejected (kept false) if its text has no word with a letter, or if no language reaches
     `least`. Null and empty texts are rejected; their lang is what the other evidence says. Null hosts,
     suffixes and declared languages are no evidence. Without languages, lang is null and texts with letters are kept.
-    Ties go to the first language. Empty input: empty output. Other columns are not read.
+    Ties go to the first language. Ids are of any type. Empty input: empty output. Other columns are not read.
     uid is `row` (stored, unique) where given, else the number of the row in this scan.
     """
     none = F.lit(None).cast("string")
@@ -132,24 +135,22 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
     first = lambda a: -F.array_max(F.transform(a, lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"]
     scored = scored.withColumn("best", F.when(F.col("text_ll").isNotNull(), first(F.col("text_ll"))))
     scored = table(scored.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)))
-    even = F.array(*[F.lit(1.0 / n)] * n)
-    every = scored.withColumn("all", F.lit(1))
-    overall = table(_grouped(every, "all", n).select("all", _smoothed(F.col("counts"), even, weight).alias("prior"), "counts"))
-    domains = _grouped(scored, "domain", n).withColumn("all", F.lit(1)).join(overall.select("all", "prior"), "all")
-    domains = table(domains.select("domain", _smoothed(F.col("counts"), F.col("prior"), weight).alias("domain_prior")))
+    sums = scored.filter("best is not null").agg(*[F.count_if(F.col("best") == i).cast("double").alias(f"n{i}") for i in range(n)]).first()
+    sizes = [float(x) for x in sums]
+    prior = [(c + weight / n) / (sum(sizes) + weight) for c in sizes]
+    all_prior = F.array(*[F.lit(p) for p in prior])
+    domains = table(_grouped(scored, "domain", n).select("domain", _smoothed(F.col("counts"), all_prior, weight).alias("domain_prior")))
     hosts = _grouped(scored, "host", n).withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)).join(domains, "domain")
     hosts = table(hosts.select("host", _smoothed(F.col("counts"), F.col("domain_prior"), weight).alias("host_prior")))
-    base = overall.first()
-    prior, sizes = (base["prior"], base["counts"]) if base else ([1.0 / n] * n, [0.0] * n)
 
     def given(by: str) -> DataFrame:
         """Log probability of each value of `by` given each language, one row of doubt added for every value."""
         some = table(_grouped(scored, by, n))
         values = some.count() + 1
-        share = F.transform(F.arrays_zip(F.col("counts").alias("c"), F.array(*[F.lit(float(s)) for s in sizes]).alias("s")), lambda x: F.log((x["c"] + 1.0) / (x["s"] + F.lit(float(values)))))
+        share = F.transform(F.arrays_zip(F.col("counts").alias("c"), F.array(*[F.lit(s) for s in sizes]).alias("s")), lambda x: F.log((x["c"] + 1.0) / (x["s"] + F.lit(float(values)))))
         return table(some.select(by, share.alias(f"{by}_ll")))
 
-    zero, all_prior = F.array(*[F.lit(0.0)] * n), F.array(*[F.lit(float(p)) for p in prior])
+    zero = F.array(*[F.lit(0.0)] * n)
     full = scored.join(hosts, "host", "left").join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
     parts = F.arrays_zip(F.coalesce("text_ll", zero).alias("a"), F.coalesce("declared_ll", zero).alias("b"), F.coalesce("suffix_ll", zero).alias("c"), F.coalesce("host_prior", all_prior).alias("d"))
     full = full.withColumn("sum", F.transform(parts, lambda x: x["a"] * F.lit(temper) + x["b"] + x["c"] + F.log(x["d"])))
@@ -170,9 +171,9 @@ def html_language(html: Column) -> Column:
     return F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""", 1))
 
 
-def documents_model(docs: DataFrame, per_language: int = 512, longest: int = 20_000, languages: int = 64, seed: int = 9) -> NgramModel:
+def documents_model(docs: DataFrame, per_language: int = 512, longest: int = 20_000, seed: int = 9) -> NgramModel:
     """The text model, learnt from a bounded sample of the documents' own language labels."""
-    return train(*sample_texts(docs, "doc_id", "text", "lang", per_language, longest, languages, seed))
+    return train(*sample_texts(docs, "doc_id", "text", "lang", per_language, longest, seed))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ def _offsets(rows: DataFrame, group: str, chunk: str, value: Column) -> DataFram
 
 @dataclass
 class Mix:
-    """sources: sid, source, size, target, block_words, blocks, slots. docs: uid, id, sid, size.
-    schedule: slot, sid, rank, epoch, block. pieces: uid, sid, block, words (a document's words in a block)."""
+    """sources: sid, source, size, target, words (the target in whole words), blocks, slots, cut (words of the last slot). docs: uid, id, sid, size.
+    schedule: slot, sid, rank, epoch, block, words. pieces: uid, sid, block, at, words (a document's words in a block, and where they begin in it)."""
 
     sources: DataFrame
     docs: DataFrame
@@ -38,10 +38,12 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """uid, id, size, source_size, target and taken (words, repeats counted) of every document."""
-        times = self.schedule.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-        took = self.pieces.join(times, ["sid", "block"]).groupBy("uid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        block = self.schedule.groupBy("sid", "block").agg(F.count_if(F.col("words").isNull()).alias("times"), F.max("words").alias("cut"))
+        part = F.greatest(F.lit(0), F.least(F.col("words"), F.coalesce("cut", F.lit(0)) - F.col("at")))
+        # these sides grow with the documents, so none is to be broadcast
+        took = self.pieces.join(block.hint("merge"), ["sid", "block"]).groupBy("uid").agg(F.sum(F.col("words") * F.col("times") + part).alias("taken"))
         per_source = self.sources.select("sid", F.col("size").alias("source_size"), "target")
-        return self.docs.join(took, "uid", "left").join(per_source, "sid").select("uid", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return self.docs.join(took.hint("merge"), "uid", "left").join(per_source, "sid").select("uid", "id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...], share: float, ceiling: float) -> DataFrame:
@@ -64,55 +66,56 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...], share: float, ceiling: flo
     return rows.withColumn("water", water).select("sid", "source", "size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("w"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block_words: int = 1024, least_blocks: int = 256, chunk_bits: int = 12, seed: int = 42, row: Column | None = None) -> Mix:
-    """Plan a mix of all rows of df that takes about `target` words of each source.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block_words: int = 1024, chunk_bits: int = 12, seed: int = 42, row: Column | None = None) -> Mix:
+    """Plan a mix of all rows of df that takes `target` words of each source, to the nearest word.
 
     A source's documents, shuffled by a hash of id and text, form one stream of words, cut into blocks
-    of block_words words (fewer for a source of under least_blocks blocks; the last may be short).
+    of block_words words, the same for all sources (a source's last one may be short). A source gets as
+    many slots as its target holds blocks: all of them once for each time that the target holds the whole
+    source, then from the first one on; the last slot may take the first words of its block only.
     Slots are van der Corput points: slot numbers with their bits reversed fall into the sources'
-    cumulative numbers of blocks to take, so each source's slots are spread evenly and count exactly
-    target / block_words, rounded. A source's slots are ranked, and the k-th takes block k modulo the
-    source's blocks: every block once before any twice. So a document is taken `ceiling` times at most,
-    and a source's words come within a block of its target.
+    cumulative numbers of slots, so each source's slots are spread evenly. A source's slots are ranked, and
+    the k-th takes block k modulo the source's blocks: every block once before any twice. So a document is
+    taken `ceiling` times at most.
 
     Streams and ranks are prefix sums in two levels, by 2**chunk_bits chunks of the order and inside each,
     so a source with a third of all rows is many small windows. Reruns agree whatever the partitions.
 
     Null text: size 0, nothing taken. A null source is a source. Null ids and repeated rows are rows of
     their own. Empty input: empty plan. Other columns are not read. uid is `row` (stored, unique) where
-    given, else the number of the row in this scan.
+    given, else the number of the row in this scan. Ids are of any type that sorts.
     """
     spark = df.sparkSession
     text = F.col(text_col)
     rows = df.select(row_key(row), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"))
     rows = table(rows)
     sized = targets(rows.groupBy("source").agg(F.sum("size").alias("size")), cycle, share, ceiling)
-    length = F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr(f"size div {least_blocks}"))).cast("long")
-    sources = sized.withColumn("block_words", length).withColumn("blocks", F.expr("(size + block_words - 1) div block_words"))
-    sources = table(sources.withColumn("slots", F.least(F.round(F.col("target") / F.col("block_words")).cast("long"), (F.col("blocks") * F.lit(float(ceiling))).cast("long"))))
+    sources = sized.withColumn("words", F.round("target").cast("long")).withColumn("blocks", F.expr(f"(size + {block_words - 1}) div {block_words}"))
+    rest = F.expr("CASE WHEN size > 0 THEN words % size ELSE 0L END")
+    sources = sources.withColumn("rest", rest).withColumn("slots", F.expr(f"CASE WHEN size > 0 THEN (words div size) * blocks ELSE 0L END + (rest + {block_words - 1}) div {block_words}"))
+    sources = table(sources.withColumn("cut", F.when(F.col("rest") > 0, (F.col("rest") - 1) % block_words + 1)).drop("rest"))
 
     docs = rows.join(sources.select("sid", F.col("source").alias("name")), F.col("source").eqNullSafe(F.col("name"))).select("uid", "id", "sid", "size", "h")
     docs = table(docs.withColumn("chunk", F.shiftrightunsigned("h", 64 - chunk_bits)))
     within = Window.partitionBy("sid", "chunk").orderBy("h", "id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.filter("size > 0").withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(_offsets(docs, "sid", "chunk", F.col("size")), ["sid", "chunk"]).withColumn("start", F.col("offset") + F.col("before"))
-    placed = placed.join(sources.select("sid", "block_words"), "sid")
-    pieces = placed.select("uid", "sid", "start", "size", "block_words", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - F.greatest(F.col("start"), F.col("block") * F.col("block_words"))
-    pieces = pieces.select("uid", "sid", "block", words.alias("words"))
+    pieces = placed.select("uid", "sid", "start", "size", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")).alias("block"))
+    at = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
+    pieces = pieces.select("uid", "sid", "block", at.alias("at"), (F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)) - at).alias("words"))
 
     runs = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    spans = table(sources.select("sid", "blocks", "slots", F.coalesce(F.sum("slots").over(runs), F.lit(0)).alias("first")))
+    spans = table(sources.select("sid", "blocks", "slots", "cut", F.coalesce(F.sum("slots").over(runs), F.lit(0)).alias("first")))
     total = spans.agg(F.sum("slots")).first()[0] or 0
     bits = max(1, (max(1, total) - 1).bit_length())
     step = 4096
-    starts = spans.filter("slots > 0").select("sid", "blocks", "slots", "first", F.explode(F.expr(f"sequence(0L, slots - 1, {step}L)")).alias("a"))
-    points = starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("sid", "blocks", F.explode(F.expr(f"sequence(first + a, first + least(a + {step - 1}, slots - 1))")).alias("v"))
+    starts = spans.filter("slots > 0").select("sid", "blocks", "slots", "cut", "first", F.explode(F.expr(f"sequence(0L, slots - 1, {step}L)")).alias("a"))
+    points = starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("sid", "blocks", "slots", "cut", F.explode(F.expr(f"sequence(first + a, first + least(a + {step - 1}, slots - 1))")).alias("v"))
     reversed_bits = F.conv(F.reverse(F.lpad(F.bin("v"), bits, "0")), 2, 10).cast("long")
-    slots = points.select("sid", "blocks", reversed_bits.alias("slot")).withColumn("chunk", F.expr(f"slot div {max(1, (1 << bits) >> chunk_bits)}"))
+    slots = points.select("sid", "blocks", "slots", "cut", reversed_bits.alias("slot")).withColumn("chunk", F.expr(f"slot div {max(1, (1 << bits) >> chunk_bits)}"))
     inside = Window.partitionBy("sid", "chunk").orderBy("slot")
     ranked = slots.withColumn("n", F.row_number().over(inside)).join(_offsets(slots, "sid", "chunk", F.lit(1)), ["sid", "chunk"]).withColumn("rank", F.col("offset") + F.col("n") - 1)
-    schedule = table(ranked.select("slot", "sid", "rank", F.expr("rank div blocks").alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block")))
+    schedule = table(ranked.select("slot", "sid", "rank", F.expr("rank div blocks").alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"), F.when(F.col("rank") == F.col("slots") - 1, F.col("cut")).alias("words")))
     return Mix(sources, docs.select("uid", "id", "sid", "size"), schedule, pieces)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scorelake.llm import lm
 from scorelake.llm import sentencepiece as sp
-from scorelake.llm.language import documents_model, html_language, html_text, language_id, op9_language_id
+from scorelake.llm.language import NgramModel, documents_model, html_language, html_text, language_id, letters, op9_language_id
 from scorelake.llm.ngrams import subwords
 from scorelake.llm.toxicity import op5_toxicity, toxicity
 
@@ -278,6 +278,42 @@ def test_evidence_and_edges(spark):
     assert {(r["lang"], r["kept"]) for r in language_id(df.filter("id in (100, 101)"), unlabelled).collect()} == {(None, True), (None, False)}
 
 
+def test_seventy_languages_and_long_texts_only(spark):
+    words = lambda n: " ".join(chr(0x4E00 + 50 * n + k % 40) * 3 for k in range(300))
+    rows = [(i, words(i % 70), f"l{i % 70:02}") for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = documents_model(docs, per_language=2, longest=160)  # every text is longer
+    assert model.languages == [f"l{n:02}" for n in range(70)]
+    assert {r["id"]: r["lang"] for r in language_id(docs, model, id_col="doc_id").collect()} == {i: y for i, _, y in rows}
+
+
+def test_fusion_matches_plain_python(spark):
+    """Posteriors by the formula of the docstring, over few rows."""
+    model = NgramModel(["aa", "bb"], np.log(np.stack([np.linspace(1, 2, 4096), np.linspace(2, 1, 4096)], 1) / 6144))
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(list("abcdefgh "), 30)), ["x.com", "y.x.com", "z.org", None][i % 4], ["com", "org", None][i % 3], ["aa", None, "bb"][i * 7 % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, host string, suffix string, declared string")
+    got = {r["id"]: r for r in language_id(df, model, host=F.col("host"), suffix=F.col("suffix"), declared=F.col("declared")).collect()}
+    ll = [model.values(letters(t)).sum(0) for _, t, *_ in rows]
+    best = [int(x.argmax()) for x in ll]
+    count = lambda where: np.array([sum(b == k and where(r) for b, r in zip(best, rows)) for k in (0, 1)], dtype=float)
+    smooth = lambda c, p: (c + 20 * p) / (c.sum() + 20)
+    every = count(lambda r: True)
+    prior = smooth(every, np.array([0.5, 0.5]))
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    for i, (_, _, host, suffix, declared) in enumerate(rows):
+        logs = 0.2 * ll[i]
+        if host is None:
+            logs = logs + np.log(prior)
+        else:
+            logs = logs + np.log(smooth(count(lambda r: r[2] == host), smooth(count(lambda r: r[2] is not None and domain(r[2]) == domain(host)), prior)))
+        for at, value in ((3, suffix), (4, declared)):
+            if value is not None:
+                logs = logs + np.log((count(lambda r: r[at] == value) + 1) / (every + len({r[at] for r in rows if r[at]}) + 1))
+        want = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert got[i]["posterior"] == pytest.approx(want.max()) and got[i]["lang"] == model.languages[int(want.argmax())]
+
+
 def test_pages(spark):
     html = '<!DOCTYPE html><HTML class="a" lang=\'pt-BR\'><script>var t="</p>"</script><p>some <b>text</b></p>'
     r = spark.createDataFrame([(html,)], "h string").select(html_language(F.col("h")).alias("l"), html_text(F.col("h")).alias("t")).first()

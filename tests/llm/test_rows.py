@@ -47,9 +47,32 @@ def test_mix_reaches_targets_within_the_ceiling(spark):
         source.setdefault((round(r["target"], 6), r["source_size"]), []).append(r)
         assert 0 <= r["taken"] <= 2 * r["size"]
     assert {(round(v, 6), sizes[k]) for k, v in want.items()} == set(source)
-    for (target, size), members in source.items():
-        # half a block for the rounding, and a short last block in each epoch
-        assert abs(sum(r["taken"] for r in members) - target) <= 2.5 * min(64, max(1, size // 256))
+    for (target, _), members in source.items():
+        assert abs(sum(r["taken"] for r in members) - target) <= 0.5
+
+
+@pytest.mark.parametrize("block_words", [1, 7, 64, 1024])
+def test_taken_words_are_those_of_the_scheduled_blocks(spark, block_words):
+    """Streams laid out word by word, and every slot's words handed out, in Python."""
+    df = spark.createDataFrame(mixed_rows(3)[:60] + [(2000, "one two", "lone")], "doc_id long, text string, source string")
+    hashed = df.select("doc_id", "source", word_count(F.col("text")).alias("n"), F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(42)).alias("h")).collect()
+    plan = mix(df, block_words=block_words)
+    sources = {r["sid"]: r for r in plan.sources.collect()}
+    slots = {}
+    for r in plan.schedule.collect():
+        slots.setdefault(r["sid"], []).append(r)
+    want = {}
+    for sid, s in sources.items():
+        stream = [r["doc_id"] for r in sorted((r for r in hashed if r["source"] == s["source"]), key=lambda r: (r["h"] >> 52 & 4095, r["h"], r["doc_id"])) for _ in range(r["n"])]
+        left = round(s["target"])
+        for slot in sorted(slots.get(sid, []), key=lambda r: r["slot"]):
+            words = stream[slot["block"] * block_words : (slot["block"] + 1) * block_words][:left]
+            left -= len(words)
+            for i in words:
+                want[i] = want.get(i, 0) + 1
+        assert left == 0
+    got = {r["id"]: r["taken"] for r in plan.taken().collect()}
+    assert {i: n for i, n in got.items() if n} == want
 
 
 def test_mix_reruns_agree_whatever_the_partitions(spark):
