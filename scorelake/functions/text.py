@@ -57,10 +57,18 @@ def embedding_form(title: Column) -> Column:
     )
 
 
+#: What spaces go from, lists and capitals.
+SPACES = ((r"\s+([,.;:!?])", "$1"), (r"\(\s+", "("), (r"\s+\)", ")"))
+_LIST = r"\([^)]*,[^)]*,[^)]*\)"
+_LONG_LIST = r"\s*\((?:[^)]*,){2,}[^)]*\)"
+_CAPITAL = r"\b[A-Z][A-Za-z0-9'’.-]*\b"
+_UNITS = r"(?i),|\bif\b|\bwhether\b|\bincluding\b|\bsuch as\b"
+
+
 def normal_space(text: Column) -> Column:
     """Single spaces, none before punctuation or inside the ends of parentheses."""
     t = strip(F.regexp_replace(text, r"(?U)\s+", " "))
-    for pattern, to in ((r"\s+([,.;:!?])", "$1"), (r"\(\s+", "("), (r"\s+\)", ")")):
+    for pattern, to in SPACES:
         t = F.regexp_replace(t, pattern, to)
     return t
 
@@ -117,9 +125,6 @@ def without_degrees(text: Column) -> Column:
     return F.when(out != normal_space(text), out)
 
 
-_LIST = r"\([^)]*,[^)]*,[^)]*\)"
-
-
 def enumeration_marks(text: Column) -> Column:
     """Which markers the text has, and whether a list of three in parentheses."""
     low = F.lower(text)
@@ -129,16 +134,13 @@ def enumeration_marks(text: Column) -> Column:
 
 def without_enumerations(text: Column) -> Column:
     """The text without such lists, and without what follows a marker up to a stop or semicolon; null if that changes nothing."""
-    out = F.regexp_replace(text, r"\s*\((?:[^)]*,){2,}[^)]*\)", "")
+    out = F.regexp_replace(text, _LONG_LIST, "")
     for m in ENUM_MARKERS:
         out = F.regexp_replace(out, rf"(?i),?\s*\Q{m}\E\s*.*?(?=[.;]|$)", "")
     out = normal_space(out)
     return F.when(out != normal_space(text), out)
 
 
-_CAPITAL = r"\b[A-Z][A-Za-z0-9'’.-]*\b"
-
-
 def inner_capitals(text: Column) -> Column:
     """Capitalised words other than the first one of the opening 80 characters."""
     first = F.regexp_extract(F.substring(text, 1, 80), rf"({_CAPITAL})", 1)
@@ -147,7 +149,7 @@ def inner_capitals(text: Column) -> Column:
 
 def info_units(text: Column) -> Column:
     """One more than its commas, ifs, whethers and list markers."""
-    return F.regexp_count(text, F.lit(r"(?i),|\bif\b|\bwhether\b|\bincluding\b|\bsuch as\b")) + 1
+    return F.regexp_count(text, F.lit(_UNITS)) + 1
 
 
 #: Rewrite factors and their steps.
@@ -162,20 +164,24 @@ FACTORS = {
 }
 
 
-def rewritten(human: Column, model: Column, factor: str) -> Column:
-    """A criterion under one factor's steps, each taken where it changes something; null if none does, or if a verb is asked for that the model's text lacks."""
-    steps = {"verb": lambda t: with_verb(t, opening(model)["verb_token"]), "degree": without_degrees, "enum": without_enumerations}
-    text = human
-    for s in FACTORS[factor]:
-        text = F.coalesce(steps[s](text), text)
-    out = F.when(normal_space(text) != normal_space(human), normal_space(text))
-    return F.when(opening(model)["verb_token"].isNotNull(), out) if "verb" in FACTORS[factor] else out
-
-
 def rewrites(df: DataFrame, keep: list[str], human: str, model: str) -> DataFrame:
-    """One row for each criterion and factor, rewritten or null."""
-    pairs = [x for f in FACTORS for x in (F.lit(f), rewritten(F.col(human), F.col(model), f))]
-    return df.select(*keep, F.explode(F.create_map(*pairs)).alias("factor", "text"))
+    """One row for each criterion and factor: the criterion under the factor's steps, each taken where it changes something; null if none does, or if a verb is asked for that the model's text lacks.
+
+    Every text on the way is a column of its own, from the one that it shares its first steps with, so that no step is worked out twice.
+    """
+    steps = {"verb": lambda t: with_verb(t, F.col("_verb")), "degree": without_degrees, "enum": without_enumerations}
+    out = df.withColumn("_verb", opening(F.col(model))["verb_token"]).withColumn("_at", F.col(human)).withColumn("_plain", normal_space(F.col(human)))
+    made = {(): "_at"}
+    for taken in sorted(FACTORS.values(), key=len):
+        name = "_at_" + "_".join(taken)
+        out = out.withColumn(name, F.coalesce(steps[taken[-1]](F.col(made[taken[:-1]])), F.col(made[taken[:-1]])))
+        made[taken] = name
+    found = []
+    for factor, taken in FACTORS.items():
+        text = normal_space(F.col(made[taken]))
+        changed = F.when((text != F.col("_plain")) & (F.col("_verb").isNotNull() if "verb" in taken else F.lit(True)), text)
+        found.append(F.struct(F.lit(factor).alias("factor"), changed.alias("text")))
+    return out.select(*keep, F.explode(F.array(*found)).alias("f")).select(*keep, "f.*")
 
 
 def length_order(text: Column, original: Column) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Python's strip() and Unicode classes, which Java's regular expressions have under (?U) only.
 _STRIP = r"(?U)^\s+|\s+$"
@@ -99,31 +105,131 @@ def _keyed(raw: Column, key: str) -> Column:
     return F.when(said("true"), True).when(said("false"), False)
 
 
-def ladder_verdict(raw: Column) -> Column:
-    """L4: the verdict by the first step that gives one: fenced or bare JSON, an object inside the text, a key and value as text, words of the last 600 characters, words after a leading "Reason:". Null if none does."""
+def ladder(raw: Column) -> Column:
+    """L4: verdict, reason and rewrite by the first step that gives a verdict: fenced or bare JSON, an object inside the text, a key and value as text, words of the last 600 characters, words after a leading "Reason:". Without JSON the reason is 200 characters of the answer: its end where its end decided, else its start."""
     of = lambda text: F.from_json(text, _VERDICT)
-    either = lambda x: F.coalesce(x["meets_requirements"], x["passes_generality"])
     inner = F.nullif(F.regexp_extract(raw, r'(?s)\{[^{}]*"(?:meets_requirements|passes_generality)"[^{}]*\}', 0), F.lit(""))
     tail, low = F.lower(F.substring(raw, -600, 600)), F.lower(raw)
+    #: The words that decide.
     words = F.when(tail.rlike(r"\bpasses\b|\bpass\b|\byes,? it (passes|satisfies)\b"), True).when(
         tail.rlike(r"\bfails?\b|\bdoes not (pass|satisfy)\b|\btoo specific\b|\boverly specific\b|\bnarrow\b|\bmandates a specific\b|\brequires a specific\b"), False)
     reason = F.when(raw.rlike(r"(?i)^\s*reason\s*:"), F.when(low.rlike(r"\bspecific\b|\bnarrow\b|\bmandates\b|\bparticular\b|\brequires\b"), False).when(low.rlike(r"\bbroad\b|\bgeneral\b|\bmost good\b|\bcommonly\b|\bnatural\b"), True))
-    return F.coalesce(either(of(unfenced(raw))), either(of(strip(raw))), either(of(inner)), _keyed(raw, "meets_requirements"), _keyed(raw, "passes_generality"), words, reason)
+    out = lambda verdict, why, rewrite: F.struct(verdict.alias("verdict"), why.alias("reason"), rewrite.alias("rewrite"))
+    start, end, none = F.substring(raw, 1, 200), F.substring(raw, -200, 200), F.lit("")
+    steps = []
+    for d in (of(unfenced(raw)), of(strip(raw)), of(inner)):
+        said = F.coalesce(d["meets_requirements"], d["passes_generality"])
+        steps.append((said, out(said, F.coalesce(d["reason"], none), F.coalesce(d["rewrite"], none))))
+    for said, why in ((_keyed(raw, "meets_requirements"), start), (_keyed(raw, "passes_generality"), start), (words, end), (reason, start)):
+        steps.append((said, out(said, why, none)))
+    found = [F.when(said.isNotNull(), whole) for said, whole in steps]
+    return F.coalesce(*found, out(F.lit(None).cast("boolean"), F.coalesce(start, none), none))
+
+
+def ladder_verdict(raw: Column) -> Column:
+    """L4: the verdict alone; null if no step gives one."""
+    return ladder(raw)["verdict"]
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _entry(key: Column, value: Column) -> Column:
+    return F.named_struct(F.lit("key"), key, F.lit("value"), value)
+
+
+def last_entries(entries: Column) -> Column:
+    """A map of an array of (key, value) in which the last of a repeated key wins; null keys are left out."""
+
+    def kept(some: Column) -> Column:
+        keys = F.array_distinct(F.transform(some, lambda e: e["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(some, lambda e: e["key"] == k), -1)["value"]))
+
+    return once(F.filter(entries, lambda e: e["key"].isNotNull()), kept)
+
+
+def batched(raw: Column) -> Column:
+    """Idx to verdict (true, yes and pass count, in any case; null if none is said) and reason of an array of objects, of a repeated idx the last; null where there is none."""
+    rows = F.from_json(repaired(first_array(raw)), "array<struct<idx:int,verdict:string,meets_requirements:string,reason:string>>")
+    said = lambda r: F.lower(strip(F.coalesce(r["verdict"], r["meets_requirements"]))).isin("true", "yes", "pass")
+    return last_entries(F.transform(rows, lambda r: _entry(r["idx"], F.named_struct(F.lit("verdict"), said(r), F.lit("reason"), F.coalesce(r["reason"], F.lit(""))))))
 
 
-def batched_verdicts(raw: Column) -> Column:
-    """Idx to verdict (true, yes and pass count, in any case) of an array of objects; null where there is none."""
-    rows = F.from_json(repaired(first_array(raw)), "array<struct<idx:int,verdict:string,meets_requirements:string>>")
-    pairs = F.transform(F.filter(rows, lambda r: r["idx"].isNotNull()), lambda r: F.struct(r["idx"], F.lower(F.coalesce(r["verdict"], r["meets_requirements"], F.lit(""))).isin("true", "yes", "pass")))
-    return F.map_from_entries(F.array_distinct(pairs))
+def batched_answer(found: Column, idx: Column) -> Column:
+    """Verdict and reason of one idx; a missing one has no verdict, and says so."""
+    missing = F.concat(F.lit("missing idx="), idx.cast("string"), F.lit(" in batched response"))
+    return F.coalesce(F.try_element_at(found, idx), F.struct(F.lit(None).cast("boolean").alias("verdict"), missing.alias("reason")))
 
 
 def numbered_map(raw: Column, n: Column) -> Column:
-    """Item number to yes or no of an object of answers; null with fewer than half of n answers."""
+    """Item number to yes or no of an object of answers, of a repeated number the last; null with answers for fewer than half of n items."""
     found = F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), "map<string,string>")
     entries = F.filter(F.map_entries(found), lambda e: strip(e["key"]).rlike(r"^[+-]?\d+$"))
-    out = F.map_from_entries(F.transform(entries, lambda e: F.struct(strip(e["key"]).cast("int"), F.when(F.lower(strip(e["value"])).startswith("yes"), "yes").otherwise("no"))))
-    return F.when(F.size(entries) >= F.greatest(F.lit(1), (n / 2).cast("int")), out)
+    out = last_entries(F.transform(entries, lambda e: _entry(strip(e["key"]).cast("int"), F.when(F.lower(strip(e["value"])).startswith("yes"), "yes").otherwise("no"))))
+    return once(out, lambda m: F.when(F.size(m) >= F.greatest(F.lit(1), (n / 2).cast("int")), m))
+
+
+def _objects(text: str) -> list[str]:
+    """What may be the object of an answer: inside fences; then objects that are not inside others, the last one first; then from the first brace to the last."""
+    found, depth, start = [], 0, 0
+    for mark in re.finditer(r"[{}]", text):
+        if mark[0] == "{":
+            start = start if depth else mark.start()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                found.insert(0, text[start : mark.end()])
+    return [*re.findall(r"(?s)```(?:json)?\s*(\{.*?\})\s*```", text), *found, text[text.find("{") : text.rfind("}") + 1]]
+
+
+def _item_numbers(value: object, most: int) -> list[int]:
+    """The least `most` item numbers that a value names; none of a boolean."""
+    if isinstance(value, bool):
+        return []
+    if isinstance(value, (int, float)):
+        return [int(value)]
+    if isinstance(value, list):
+        numbers = {int(t) for t in (str(x).strip() for x in value) if re.fullmatch(r"-?\d+", t)}
+    else:
+        numbers = {int(t) for t in re.findall(r"\d+", str(value))}
+    return sorted(numbers)[:most]
+
+
+@F.pandas_udf(T.MapType(T.IntegerType(), T.ArrayType(T.IntegerType())))
+def blind_map(raw: pd.Series, n: pd.Series) -> pd.Series:
+    """Item number to the numbers (two at most, in order; none is empty) that it matches, by the first of an answer's objects that has half of n items; null without. Values may be lists, numbers, or words."""
+
+    def read(text: str | None, items: int) -> dict[int, list[int]] | None:
+        for candidate in _objects(text or ""):
+            try:
+                got = json.loads(candidate)
+            except ValueError:
+                continue
+            found = {int(k): _item_numbers(v, 2) for k, v in got.items() if re.fullmatch(r"\s*[+-]?\d+\s*", k)} if isinstance(got, dict) else {}
+            if len(found) >= max(1, items // 2):
+                return found
+        return None
+
+    return pd.Series([read(t, int(k)) for t, k in zip(raw, n, strict=True)], dtype=object)
+
+
+def only_side(rows: Column, aliases: Column) -> Column:
+    """criterion_id, status (unique), reason and scenario of one side of a find-only answer (an array of criterion_id, status, reason, scenario).
+
+    Ids are stripped and upper-cased, and aliases (a map) replaced. Of a repeated id the last row counts; then rows whose status is neither empty nor begins with uniq go."""
+    text = lambda c: strip(F.coalesce(c, F.lit("")))
+    name = lambda r: F.upper(text(r["criterion_id"]))
+    named = F.transform(rows, lambda r: _entry(F.coalesce(F.try_element_at(aliases, name(r)), name(r)), r))
+    last = F.map_entries(last_entries(F.filter(named, lambda e: e["key"] != "")))
+    status = lambda r: F.lower(text(r["status"]))
+    kept = F.filter(last, lambda e: (status(e["value"]) == "") | status(e["value"]).startswith("uniq"))
+    return F.transform(kept, lambda e: F.struct(e["key"].alias("criterion_id"), F.lit("unique").alias("status"), text(e["value"]["reason"]).alias("reason"), text(e["value"]["scenario"]).alias("scenario")))
+
+
+ONLY_SIDE = "array<struct<criterion_id:string,status:string,reason:string,scenario:string>>"
 
 
 def match_status(raw: Column) -> Column:

@@ -68,16 +68,43 @@ def first_label_wins(pairs: DataFrame, labels: DataFrame, on: Sequence[str], ord
     return pairs.join(first, list(on), "left")
 
 
-def resolved_ids(concepts: DataFrame, criteria: DataFrame, norm, blocks: int = 16) -> DataFrame:
-    """The criterion a concept's title names: equal title (the last such criterion), else equal in normal form, else the first whose title holds the concept's or is held by it; else null. The last step meets every criterion of the task, in `blocks` blocks of its concepts, so a hot task is that many joins."""
+#: Characters of a run that containment is looked up by.
+_RUN = 6
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (_RUN - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(_RUN))))
+
+
+def _holding(inner: DataFrame, outer: DataFrame, blocks: int = 16) -> DataFrame:
+    """Pairs (task_id, inner, outer) of distinct texts (task_id, text) of which the outer one holds the inner one.
+
+    Candidates share the inner text's rarest six characters in a row, so that common words don't pair everything.
+    Shorter inner texts, which can be in any text, meet all texts of their task, in blocks.
+    """
+    index = outer.select("task_id", "text", F.explode(_grams(F.col("text"))).alias("gram")).withColumn("outer", F.col("text")).drop("text")
+    counts = index.groupBy("task_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    long, short = inner.filter(F.length("text") >= _RUN), inner.filter(F.length("text") < _RUN)
+    asked = long.select("task_id", F.col("text").alias("inner"), F.explode(_grams(F.col("text"))).alias("gram")).join(counts, ["task_id", "gram"], "left")
+    rarest = asked.groupBy("task_id", "inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0").select("task_id", "inner", F.col("g.gram").alias("gram"))
+    found = rarest.join(index, ["task_id", "gram"]).filter(F.col("outer").contains(F.col("inner"))).select("task_id", "inner", "outer")
+    dealt = outer.select("task_id", F.col("text").alias("outer"), F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
+    every = short.select("task_id", F.col("text").alias("inner"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return found.unionByName(every.join(dealt, ["task_id", "block"]).filter(F.col("outer").contains(F.col("inner"))).select("task_id", "inner", "outer"))
+
+
+def resolved_ids(concepts: DataFrame, criteria: DataFrame, norm) -> DataFrame:
+    """The criterion a concept's title names: equal title (the last such criterion), else equal in normal form, else the first whose title holds the concept's or is held by it; else null. The last step is on distinct texts."""
     by_title = criteria.groupBy("task_id", "title").agg(F.max_by("criterion_id", "place").alias("exact"))
     by_norm = criteria.groupBy("task_id", norm(F.col("title")).alias("norm")).agg(F.max_by("criterion_id", "place").alias("normal"))
-    found = concepts.join(by_title, ["task_id", "title"], "left").withColumn("norm", norm(F.col("title"))).join(by_norm, ["task_id", "norm"], "left")
-    rest = found.filter("exact is null and normal is null").select("concept_id", "task_id", F.pmod(F.xxhash64("concept_id"), F.lit(blocks)).cast("int").alias("block"), F.lower("title").alias("t"))
-    every = criteria.select("task_id", "place", "criterion_id", F.lower("title").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    held = rest.join(every, ["task_id", "block"]).filter(F.col("c").contains(F.col("t")) | F.col("t").contains(F.col("c")))
-    partial = held.groupBy("concept_id").agg(F.min_by("criterion_id", "place").alias("partial"))
-    return found.join(partial, "concept_id", "left").select("concept_id", F.coalesce("exact", "normal", "partial").alias("criterion_id"))
+    found = concepts.join(by_title, ["task_id", "title"], "left").withColumn("norm", norm(F.col("title"))).join(by_norm, ["task_id", "norm"], "left").withColumn("low", F.lower("title"))
+    rest = found.filter("exact is null and normal is null").select("task_id", F.col("low").alias("text")).distinct()
+    first = criteria.groupBy("task_id", F.lower("title").alias("text")).agg(F.min(F.struct("place", "criterion_id")).alias("first"))
+    texts = first.select("task_id", "text")
+    held = _holding(rest, texts).unionByName(_holding(texts, rest).select("task_id", F.col("outer").alias("inner"), F.col("inner").alias("outer")))
+    partial = held.join(first, (held["task_id"] == first["task_id"]) & (held["outer"] == first["text"])).groupBy(held["task_id"], F.col("inner").alias("low")).agg(F.min("first").alias("p"))
+    known = found.join(partial, ["task_id", "low"], "left")
+    return known.select("concept_id", F.coalesce("exact", "normal", F.col("p.criterion_id")).alias("criterion_id"))
 
 
 def paired_conditions(left: DataFrame, right: DataFrame, on: str, value: str) -> DataFrame:
@@ -101,11 +128,12 @@ def first_argmax(value: Column, index: Column) -> Column:
     return -F.max(F.struct(value, -index)).getField("col2")
 
 
-def interleaved(df: DataFrame, kind: str, key: Column) -> DataFrame:
-    """Rows of each kind spread evenly over the whole: order by (rank + 1/2) / size of the kind, then kind."""
-    by = Window.partitionBy(kind)
-    share = (F.row_number().over(by.orderBy(key)) - 0.5) / F.count(F.lit(1)).over(by)
-    return df.withColumn("share", share)
+def interleaved(df: DataFrame, kind: str, order: str, jitter: float = 0.0, seed: int = 0) -> DataFrame:
+    """Rows of each kind spread evenly over the whole: order by share, (rank + 1/2) / size of the kind, moved by up to `jitter` either way by a seeded draw. order: a whole number that is unique; ranks are prefix sums, so no task gathers a kind."""
+    ranked = numbered(df, order, "_rank", by=[kind])
+    sizes = df.groupBy(kind).agg(F.count(F.lit(1)).alias("_size"))
+    moved = (F.conv(F.substring(draw(F.col(order), seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 31)) - 1) * jitter
+    return ranked.join(sizes, ranked[kind].eqNullSafe(sizes[kind])).select(*[ranked[c] for c in df.columns], ((F.col("_rank") + 0.5) / F.col("_size") + (moved if jitter else 0.0)).alias("share"))
 
 
 def ordered_by_list(column: str, values: Sequence[str]) -> Column:
@@ -172,16 +200,19 @@ def foils(items: DataFrame, seed: int, each: int) -> DataFrame:
 def registry(df: DataFrame, text: Column, pos: str) -> DataFrame:
     """Distinct texts numbered from 0 by first appearance: ranks are prefix sums of ranges, so no task sorts all texts."""
     first = df.groupBy(text.alias("text")).agg(F.min(pos).alias("first"))
-    return numbered(first, "first", "text_idx")
+    return numbered(first, "first", "text_idx", chunk=1 << 16)
 
 
-def numbered(df: DataFrame, order: str, name: str, chunk: int = 1 << 16) -> DataFrame:
-    """Rows numbered from 0 in order of a whole number that is unique: chunks of its range are counted, then numbered inside."""
+def numbered(df: DataFrame, order: str, name: str, chunk: int = 1 << 26, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (of each group `by`) numbered from 0 in order of a whole number that is unique: chunks of its range are counted, then numbered inside."""
     chunked = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}"))
-    counts = chunked.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_chunk", F.coalesce(F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_chunk").orderBy(order))
-    return chunked.withColumn("_i", inside).join(before, "_chunk").select(*df.columns, (F.col("_before") + F.col("_i") - 1).cast("long").alias(name))
+    counts = chunked.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(order))
+    on = F.col("_chunk") == F.col("_c")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    return chunked.withColumn("_i", inside).join(before, on).select(*df.columns, (F.col("_before") + F.col("_i") - 1).cast("long").alias(name))
 
 
 def convergence(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.verdicts import strip
+from ..functions.verdicts import marked_item, marked_verdict, strip
 
 #: The weights that a criterion may have.
 WEIGHTS = (-3, -2, -1, 1, 2, 3)
@@ -122,6 +122,12 @@ def last_row_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("_last")).select(key, "_last.*")
 
 
+def keyed_verdicts(df: DataFrame, key: str, judgement: str, order: str) -> DataFrame:
+    """Of each key's rows with a readable verdict the last by order, with its verdict and item number; others are left out."""
+    said = df.withColumn("verdict", marked_verdict(F.col(judgement))).withColumn("item", marked_item(F.col(judgement))).filter("verdict is not null")
+    return last_row_wins(said, key, order)
+
+
 def first_n_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("_n") <= n).drop("_n")
@@ -132,6 +138,11 @@ def id_slice(df: DataFrame, key: str, start: int, count: int) -> DataFrame:
     return df.select(key).distinct().orderBy(key).offset(start).limit(count)
 
 
+def blank_rows(df: DataFrame, column: str) -> DataFrame:
+    """Rows without a text, which a run refuses (see require)."""
+    return df.filter(F.length(strip(F.coalesce(F.col(column), F.lit("")))) == 0)
+
+
 def require(violations: DataFrame, what: str, shown: int = 10) -> None:
     """Fail with the first offenders and how many more there are."""
     some = [str(tuple(r)) for r in violations.limit(shown).collect()]

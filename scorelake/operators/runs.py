@@ -107,3 +107,22 @@ def differences(actual: DataFrame, expected: DataFrame, tolerance: float = 1e-6)
 def one_sided_ids(residual: Column, found: Column) -> Column:
     """Residual ids that were found, and those that were missed."""
     return F.struct(F.array_intersect(residual, found).alias("confirmed"), F.array_except(residual, found).alias("missed"))
+
+
+def outcome(findings: DataFrame, by: str, names: Sequence[str]) -> DataFrame:
+    """For each of names how many findings there are, and ok or failed; names without any are ok."""
+    spark = findings.sparkSession
+    every = spark.createDataFrame([(n,) for n in names], f"{by} string")
+    counts = findings.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, by, "left").select(by, F.when(F.col("n") > 0, "failed").otherwise("ok").alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def backfilled(log: DataFrame, earlier: DataFrame, metric: str, key: str = "task_id", order: str = "seq") -> DataFrame:
+    """I4: each task's last status and metric; a metric that the last row lacks comes from an earlier table (key, metric)."""
+    last = log.groupBy(key).agg(F.max_by(F.struct("status", metric), order).alias("l")).select(key, "l.status", F.col(f"l.{metric}").alias("_now"))
+    return last.join(earlier.select(key, metric), key, "left").select(key, "status", F.coalesce("_now", metric).alias(metric))
+
+
+def timed_out(elapsed: Column, limit: float) -> Column:
+    """Whether a row took longer than it may; unknown times did not."""
+    return F.coalesce(elapsed > limit, F.lit(False))

@@ -120,22 +120,39 @@ def merged(found: DataFrame) -> DataFrame:
     return found.groupBy("case", "leader").agg(F.array_sort(F.collect_set("tag")).alias("tags"), (F.count(F.lit(1)) - 1).alias("n_merged"), F.max("cos").alias("max_cos_merged"))
 
 
-def leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _first_come(rows: pd.DataFrame) -> pd.DataFrame:
+    """Leaders among open nodes by their edges (a < b; a = b for a node by itself), in order."""
+    covered: set[int] = set()
+    by: dict[int, list[int]] = {}
+    for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
+        by.setdefault(a, []).append(b)
+    for a in sorted(by):
+        if a not in covered:
+            covered.update(b for b in by[a] if b != a)
+    return pd.DataFrame({"pos": [p for p in by if p not in covered]}, dtype="int64")
+
+
+def leaders(nodes: DataFrame, edges: DataFrame, few: int = 2_000_000) -> DataFrame:
     """Of nodes (pos) and edges (a < b): the nodes that greedy de-duplication in order of pos would keep.
 
     A node leads just when no earlier leader is its neighbour: the first maximal independent set. Each
-    round settles every node whose earlier neighbours are settled enough, so rounds follow the longest
-    chain of neighbours rather than the number of nodes. Each round's state is a written table.
+    round settles every node whose earlier neighbours are settled enough; each round's state is a written
+    table. Rounds would follow the longest chain of neighbours, so once the nodes still open and the edges
+    between them are `few` (16 bytes each), one task settles them in order.
     """
     edges = table(edges.select("a", "b"))
     state = table(nodes.select("pos", F.lit(1).alias("state")))  # 2 leads, 1 open, 0 covered
-    for _ in range(max_rounds):
-        if state.filter("state = 1").isEmpty():
-            return state.filter("state = 2").select("pos")
-        earlier = edges.join(state.filter("state > 0"), F.col("a") == F.col("pos")).groupBy(F.col("b").alias("pos")).agg(F.max("state").alias("before"))
-        now = F.when(F.col("state") != 1, F.col("state")).when(F.col("before").isNull(), 2).when(F.col("before") == 2, 0).otherwise(1)
-        state = table(state.join(earlier, "pos", "left").select("pos", now.alias("state")))
-    raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+    while True:
+        undecided = state.filter("state = 1").select("pos")
+        between = edges.join(undecided.select(F.col("pos").alias("a")), "a", "left_semi").join(undecided.select(F.col("pos").alias("b")), "b", "left_semi").select("a", "b")
+        left = table(between.unionByName(undecided.select(F.col("pos").alias("a"), F.col("pos").alias("b"))))
+        lead = state.filter("state = 2").select("pos")
+        if left.count() <= few:
+            return lead.unionByName(left.groupBy(F.lit(0).alias("all")).applyInPandas(_first_come, "pos long"))
+        earlier = left.filter("a <> b").groupBy(F.col("b").alias("pos")).agg(F.min("a").alias("before"))
+        new = table(undecided.join(earlier, "pos", "left_anti"))
+        covered = edges.join(new.select(F.col("pos").alias("a")), "a", "left_semi").select(F.col("b").alias("pos")).distinct().withColumn("gone", F.lit(0))
+        state = table(state.join(new.withColumn("leads", F.lit(2)), "pos", "left").join(covered, "pos", "left").select("pos", F.coalesce("leads", F.when(F.col("state") == 1, F.col("gone")), "state").alias("state")))
 
 
 def global_dedupe(rows: DataFrame, threshold: float, batch: int = 512, block: int = 1024) -> DataFrame:

@@ -2,39 +2,31 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .fixtures import WHOLE, shape, with_shapes
+from .fixtures import shape, with_shapes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, whole: bool = False) -> Callable:
-    """Register a function of the shapes that its parameters name, with the SQL that gives the same rows where there is one; if whole, also as name_whole, both over whole documents."""
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function of the shapes that its parameters name, with the SQL that gives the same rows where there is one."""
 
     def add(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
         names = build.__code__.co_varnames[: build.__code__.co_argcount]
 
-        def over(shapes: dict[str, str]) -> Query:
-            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                given = {"spark": spark, "sf_dir": sf_dir}
-                return build(**{n: given[n] if n in given else shape(spark, sf_dir, shapes.get(n, n)) for n in names})
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            given = {"spark": spark, "sf_dir": sf_dir}
+            return build(**{n: given[n] if n in given else shape(spark, sf_dir, n) for n in names})
 
-            return run
-
-        _QUERIES[name] = over({})
-        if whole:
-            _QUERIES[f"{name}_whole"] = over(WHOLE)
-            if sql is not None:
-                _ORACLES[f"{name}_whole"] = with_shapes(re.sub(rf"\b({'|'.join(WHOLE)})\b", lambda m: WHOLE[m[0]], sql))
+        _QUERIES[name] = run
         if sql is not None:
             _ORACLES[name] = with_shapes(sql)
         return build
@@ -43,7 +35,7 @@ def query(name: str, sql: str | None = None, whole: bool = False) -> Callable:
 
 
 def _load() -> None:
-    for suite in ("scoring", "relational", "texts", "vectors", "runs", "files"):
+    for suite in ("scoring", "relational", "texts", "answers", "trials", "vectors", "runs", "files"):
         import_module(f"{__package__}.{suite}")
 
 

@@ -56,21 +56,82 @@ def s6(spark, tasks):
     return readers.csv_rows(spark, path, "task_id long, priority string, note string")
 
 
-@query("s8_missing_embeddings", "SELECT DISTINCT title AS text FROM titles WHERE title NOT IN (SELECT title FROM titles WHERE pos % 3 = 0)", whole=True)
-def s8(titles):
-    texts = titles.select(F.col("title").alias("text"))
-    return readers.missing_embeddings(texts, titles.filter("pos % 3 = 0").select(F.col("title").alias("text")))
+@query("s8_missing_embeddings", "SELECT DISTINCT title AS text FROM texts WHERE title NOT IN (SELECT title FROM texts WHERE pos % 3 = 0)")
+def s8(texts):
+    named = texts.select(F.col("title").alias("text"), "pos")
+    return readers.missing_embeddings(named, named.filter("pos % 3 = 0"))
 
 
-@query("s11_s12_judgement_tree", "SELECT model, 'human' AS rubric, count(*) AS n FROM judgements GROUP BY 1")
+@query("s11_judgement_tree", "SELECT model, 'human' AS rubric, count(*) AS n FROM judgements GROUP BY 1")
 def s11(spark, judgements):
-    """Files by model and rubric, read as one table with both from their paths."""
+    """Folders by model and rubric, written in one pass, read as one table with both from their paths; files of errors and backups don't count."""
     path = _place(spark)
-    rows = judgements.select(F.col("task_id").cast("string").alias("task_id"), "judgement", "model")
-    for name in [f"model{i}" for i in range(11)]:
-        rows.filter(F.col("model") == name).coalesce(1).write.json(f"{path}/{name}/full/judgements/human/x.jsonl")
-    found = spark.read.schema(readers.JUDGEMENT).option("recursiveFileLookup", True).json(path)
-    return found.groupBy(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/full/judgements/", 1).alias("model"), F.regexp_extract(F.col("_metadata.file_path"), r"/judgements/([^/]+)/", 1).alias("rubric")).agg(F.count(F.lit(1)).alias("n"))
+    rows = judgements.select(F.col("task_id").cast("string").alias("task_id"), "judgement", "model", F.lit("human").alias("rubric"))
+    rows.write.partitionBy("model", "rubric").json(path)
+    rows.filter("judgement = ' No '").write.json(f"{path}/model=model1/rubric=human/pilot")
+    found = readers.judgement_tree(spark, path, suffix=".json", model=r"/model=([^/]+)/", rubric=r"/rubric=([^/]+)/", bad_folders=True)
+    return found.groupBy(F.col("_model").alias("model"), F.col("_rubric").alias("rubric")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s4_strict_lines", "SELECT task_id, priority FROM tasks")
+def s4(spark, tasks):
+    return readers.json_lines_strict(spark, _text(tasks, F.to_json(F.struct("task_id", "priority")), _place(spark)), "task_id long, priority string")
+
+
+@query("s5_s12_case_documents", "SELECT 'm' || (task_id // 1000 % 3) AS md, CAST(task_id // 1000 AS VARCHAR) AS c, CAST(count(*) AS BIGINT) AS n, sum(task_id) AS ids FROM tasks GROUP BY 1, 2")
+def s12(spark, tasks):
+    """A JSON document of several lines for each case, model and case in its path."""
+    path = _place(spark)
+    cases = tasks.groupBy(F.expr("task_id div 1000").alias("c")).agg(F.collect_list("task_id").alias("ids"))
+    text = F.concat(F.lit('{\n "items": [\n'), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",\n"), F.lit("\n]}"))
+    cases.select(F.concat(F.lit("m"), (F.col("c") % 3).cast("string")).alias("md"), F.col("c"), text.alias("value")).repartition("c").write.partitionBy("md", "c").text(path)
+    docs = readers.case_documents(spark, f"{path}/*/*/*.txt", "items array<long>", r"/md=([^/]+)/", r"/c=([^/]+)/")
+    return docs.select("md", "c", F.size("items").cast("long").alias("n"), F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x).cast("decimal(38,0)").alias("ids"))
+
+
+@query("s9_k3_single_file", "SELECT DISTINCT status FROM tasks")
+def s9(spark, tasks):
+    """A file replaced as a whole, beside errors and a backup, found as the one that is data."""
+    path = _place(spark)
+    lines = tasks.select(F.to_json(F.struct("status")).alias("value")).distinct()
+    for name in ("x.jsonl", "x.jsonl", "x.errors.jsonl", "x.bak.jsonl"):
+        writers.replace_file(lines, f"{path}/{name}")
+    return readers.json_lines(spark, readers.single_file(spark, path), "status string")
+
+
+@query("s10_rubric_pair", "SELECT DISTINCT 'ai' AS side, status FROM tasks UNION ALL SELECT DISTINCT 'human', priority FROM tasks")
+def s10(spark, tasks):
+    """No pair of the exact names, so the only ones that are neither pilots nor backups."""
+    path = _place(spark)
+    for name, column in (("ai_rubric_a.jsonl", "status"), ("human_rubric_a.jsonl", "priority"), ("ai_rubric_a.backup.jsonl", "priority"), ("pilot_human_rubric_a.jsonl", "status")):
+        writers.replace_file(tasks.select(F.to_json(F.struct(F.col(column).alias("status"))).alias("value")).distinct(), f"{path}/{name}")
+    ai, human = readers.rubric_pair(spark, path, "ai_rubric_500cases.jsonl", "human_rubric_500cases.jsonl")
+    read = lambda side, at: readers.json_lines(spark, at, "status string").select(F.lit(side).alias("side"), "status")
+    return read("ai", ai).unionByName(read("human", human))
+
+
+@query("d4_d5_inventory", "SELECT status AS section, CAST(1 AS BIGINT) AS files, true AS has_bytes, CASE WHEN status = 'P' THEN 'differs' ELSE 'same' END AS found FROM tasks GROUP BY 1")
+def d4(spark, tasks):
+    """Files and bytes of each section, held against how many there should be: one too many is asked of one section."""
+    path = _place(spark)
+    tasks.select("task_id", "status").repartition("status").write.partitionBy("status").json(path)
+    stock = readers.inventory(readers.listed(spark, path, ".json"), F.regexp_extract("path", "/status=([^/]+)/", 1))
+    expected = tasks.select(F.col("status").alias("section")).distinct().withColumn("expected", F.when(F.col("section") == "P", 2).otherwise(1).cast("long"))
+    return readers.provenance(stock, expected).select("section", "files", (F.col("bytes") > 0).alias("has_bytes"), "found")
+
+
+@query("k8_case_reports", """WITH s AS (SELECT task_id, model, avg(output_tokens) AS score, count(*) AS n FROM judgements GROUP BY 1, 2)
+SELECT task_id, '# ' || task_id || chr(10) || string_agg('## ' || model || ' ' || n || chr(10), '' ORDER BY score, model) AS text FROM s GROUP BY 1""")
+def k8(judgements):
+    rows = judgements.groupBy("task_id", "model").agg(F.avg("output_tokens").alias("score"), F.count(F.lit(1)).cast("string").alias("text"))
+    return writers.case_reports(rows, "task_id", "model", "score", "text")
+
+
+@query("k10_saved_vectors", "SELECT pos, round(vec[1], 6) AS first, len(vec) AS n FROM concepts")
+def k10(spark, concepts):
+    path = _place(spark)
+    writers.save_vectors(concepts, path, "pos", "model", "vec")
+    return spark.read.parquet(path).select("pos", F.round(F.col("vec")[0].cast("double"), 6).alias("first"), F.size("vec").cast("long").alias("n"))
 
 
 @query("s13_id_list", "SELECT task_id, status FROM tasks WHERE task_id % 40 = 0")
@@ -81,22 +142,13 @@ def s13(spark, tasks):
     return tasks.join(ids.select(F.col("id").cast("long").alias("task_id")), "task_id", "left_semi").select("task_id", "status")
 
 
-@query("s14_submissions", "SELECT 'p' || (task_id % 7) AS annotator, 't' || task_id AS trial_id, priority AS match FROM tasks WHERE task_id < 70")
+@query("s14_submissions", "SELECT 'p' || (task_id % 97) AS annotator, 't' || task_id AS trial_id, priority AS match FROM tasks")
 def s14(spark, tasks):
-    rows = tasks.filter("task_id < 70").groupBy(F.concat(F.lit("p"), (F.col("task_id") % 7).cast("string")).alias("annotator"))
-    docs = rows.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("t"), F.col("task_id").cast("string")), F.struct(F.col("priority").alias("match"))))).alias("answers"))
-    path = _place(spark)
-    docs.repartition(7, "annotator").write.option("maxRecordsPerFile", 1).json(path)
-    return readers.submissions(spark, path, "match:string")
-
-
-@query("s14_submissions_whole", "SELECT 'p' || (task_id % 1009) AS annotator, 't' || task_id AS trial_id, priority AS match FROM tasks")
-def s14_whole(spark, tasks):
-    """Submissions for all tasks, a file for each of many annotators."""
-    rows = tasks.groupBy(F.concat(F.lit("p"), (F.col("task_id") % 1009).cast("string")).alias("annotator"))
+    """Submissions for all tasks, a file for each annotator and range of tasks."""
+    rows = tasks.groupBy(F.concat(F.lit("p"), (F.col("task_id") % 97).cast("string")).alias("annotator"), F.expr("task_id div 100000").alias("part"))
     docs = rows.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("t"), F.col("task_id").cast("string")), F.struct(F.col("priority").alias("match"))))).alias("answers"))
     path = _place(spark)
-    docs.repartition("annotator").write.option("maxRecordsPerFile", 1).json(path)
+    docs.drop("part").repartition("annotator").write.option("maxRecordsPerFile", 1).json(path)
     return readers.submissions(spark, path, "match:string")
 
 

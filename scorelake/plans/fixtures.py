@@ -35,37 +35,41 @@ CONCEPTS = """SELECT vec_id AS pos, CASE WHEN label < 5 THEN 'human' ELSE 'model
   CASE WHEN label >= 5 THEN concat('m', CAST(label AS STRING)) END AS model, label AS grp, CAST(vec_id % 7 - 3 AS INT) AS weight, embedding AS vec
 FROM embeddings"""
 
-TITLES = r"""SELECT doc_id AS pos, source AS task_id, split_part(text, chr(10), 1) AS title FROM documents"""
+#: Each engine's rows (doc_id, source, line, t) of all lines of all documents.
+LINES = {
+    "spark": "(SELECT doc_id, source, posexplode(split(text, '\\n')) AS (line, t) FROM documents)",
+    "duckdb": "(SELECT doc_id, source, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line, unnest(string_split(text, chr(10))) AS t FROM documents)",
+}
 
-CRITERIA_TEXT = r"""SELECT doc_id AS pos, concat(CASE doc_id % 16 WHEN 0 THEN 'Clearly explains, in brief, ' WHEN 1 THEN 'The response should briefly note ' WHEN 2 THEN 'Avoids ' WHEN 3 THEN 'Acknowledges '
+#: Every line of every document is a title.
+TITLES = "SELECT doc_id * 1000000 + line AS pos, source AS task_id, t AS title FROM :lines"
+
+CRITERIA_TEXT = r"""SELECT doc_id * 1000000 + line AS pos, concat(CASE (doc_id + line) % 16 WHEN 0 THEN 'Clearly explains, in brief, ' WHEN 1 THEN 'The response should briefly note ' WHEN 2 THEN 'Avoids ' WHEN 3 THEN 'Acknowledges '
   WHEN 4 THEN '"Risk/benefit, cost or gain ' WHEN 5 THEN 'Suggests, oddly, failing ' WHEN 6 THEN 'Identifies a significant and severe ' WHEN 7 THEN 'Response must, explicitly state ' WHEN 8 THEN 'detrimental: '
   WHEN 9 THEN 'Names groups such as children, if any, including ' WHEN 10 THEN 'Lists (one, two, three) items. ' WHEN 11 THEN 'Advice , ' WHEN 12 THEN 'Weighs Major Harm whether ' WHEN 13 THEN '  Thoroughly  considers ( a ) , ' WHEN 14 THEN 'Mentions e.g. Paris; ' ELSE '' END,
-  substr(split_part(text, chr(10), 1), 1, 60)) AS title FROM documents"""
+  t) AS title FROM :lines"""
 
-#: The same shapes over whole documents.
-WHOLE_TITLES = "SELECT doc_id AS pos, source AS task_id, text AS title FROM documents"
-WHOLE_CRITERIA = CRITERIA_TEXT.replace("substr(split_part(text, chr(10), 1), 1, 60)", "text")
+#: Whole documents.
+TEXTS = "SELECT doc_id AS pos, source AS task_id, text AS title FROM documents"
 
 TURNS = "SELECT conv_id, turn, role, text FROM conversations"
 
 ORDERS = "SELECT o_orderkey AS task_id, o_orderstatus AS status, o_orderpriority AS priority, o_custkey AS cust FROM orders"
 
-_TABLE_OF = {"judgements": "lineitem", "pairs": "lineitem", "status_log": "events", "verdicts": "labels", "concepts": "embeddings", "titles": "documents", "criteria_text": "documents", "turns": "conversations", "tasks": "orders", "whole_documents": "documents", "whole_criteria": "documents"}
-SHAPES = {"judgements": JUDGEMENTS, "pairs": PAIRS, "status_log": STATUS_LOG, "verdicts": VERDICTS, "concepts": CONCEPTS, "titles": TITLES, "criteria_text": CRITERIA_TEXT, "turns": TURNS, "tasks": ORDERS, "whole_documents": WHOLE_TITLES, "whole_criteria": WHOLE_CRITERIA}
-#: The shape of whole documents for each that holds their first lines.
-WHOLE = {"titles": "whole_documents", "criteria_text": "whole_criteria"}
+_TABLE_OF = {"judgements": "lineitem", "pairs": "lineitem", "status_log": "events", "verdicts": "labels", "concepts": "embeddings", "titles": "documents", "criteria_text": "documents", "texts": "documents", "turns": "conversations", "tasks": "orders"}
+SHAPES = {"judgements": JUDGEMENTS, "pairs": PAIRS, "status_log": STATUS_LOG, "verdicts": VERDICTS, "concepts": CONCEPTS, "titles": TITLES, "criteria_text": CRITERIA_TEXT, "texts": TEXTS, "turns": TURNS, "tasks": ORDERS}
 
 
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of SHAPES over the tables of sf_dir."""
     source = _TABLE_OF[name]
-    sql = SHAPES[name].replace(f"FROM {source}", f"FROM {{{source}}}")
+    sql = SHAPES[name].replace(":lines", LINES["spark"]).replace(f"FROM {source}", f"FROM {{{source}}}")
     return spark.sql(sql, **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
 
 
 def with_shapes(sql: str) -> str:
     """DuckDB SQL in which the names of SHAPES are tables: common table expressions before what sql defines itself."""
-    used = [f"{n} AS ({s})" for n, s in SHAPES.items() if n in sql]
+    used = [f"{n} AS ({s.replace(':lines', LINES['duckdb'])})" for n, s in SHAPES.items() if n in sql]
     sql = sql.strip()
     if sql.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {', '.join(used)}{', ' if used else ''}{sql[14:]}"

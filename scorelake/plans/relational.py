@@ -93,17 +93,11 @@ def p18(judgements):
     return _rubric(judgements).select("task_id", F.explode(P.parsed_list(text)).alias("number", "title"))
 
 
-@query("p19_prefix_guard", "SELECT count(*) AS differing FROM titles a JOIN titles b ON a.pos + 1 = b.pos WHERE substr(a.title, 1, 20) IS DISTINCT FROM substr(b.title, 1, 20)")
-def p19(titles):
-    other = titles.select((F.col("pos") - 1).alias("pos"), F.col("title").alias("other"))
-    return titles.join(other, "pos").filter(~F.substring("title", 1, 20).eqNullSafe(F.substring("other", 1, 20))).agg(F.count(F.lit(1)).alias("differing"))
-
-
-@query("p19_prefix_guard_whole", "SELECT count(*) AS differing FROM whole_documents a JOIN whole_documents b ON a.pos + 1 = b.pos WHERE substr(a.title, 1, 200) IS DISTINCT FROM substr(b.title, 1, 200)")
-def p19_whole(whole_documents):
-    """The reference's guard: the first 200 characters of the text."""
-    other = whole_documents.select((F.col("pos") - 1).alias("pos"), F.col("title").alias("other"))
-    return whole_documents.join(other, "pos").filter(~F.substring("title", 1, 200).eqNullSafe(F.substring("other", 1, 200))).agg(F.count(F.lit(1)).alias("differing"))
+@query("p19_prefix_guard", "SELECT count(*) AS differing FROM texts a JOIN texts b ON a.pos + 1 = b.pos WHERE substr(a.title, 1, 200) IS DISTINCT FROM substr(b.title, 1, 200)")
+def p19(texts):
+    """The guard is on the first 200 characters of the whole text."""
+    other = texts.select((F.col("pos") - 1).alias("pos"), F.col("title").alias("other"))
+    return texts.join(other, "pos").filter(~F.substring("title", 1, 200).eqNullSafe(F.substring("other", 1, 200))).agg(F.count(F.lit(1)).alias("differing"))
 
 
 @query("p20_truthy", "SELECT count(*) FILTER (lower(CASE WHEN changed THEN 'True' ELSE 'no' END) = 'true') AS n FROM judgements")
@@ -200,10 +194,10 @@ def j8(tasks, status_log):
     return R.resume(tasks, status_log.filter("status = 'ok'"), ["task_id"]).select("task_id", "priority")
 
 
-@query("j9_untouched", "SELECT a.title IS NOT DISTINCT FROM b.title AS same, count(*) AS n FROM titles a JOIN titles b ON a.pos = b.pos + 1 GROUP BY 1", whole=True)
-def j9(titles):
-    other = titles.select((F.col("pos") + 1).alias("pos"), F.col("title").alias("other"))
-    return titles.join(other, "pos").groupBy(F.col("title").eqNullSafe(F.col("other")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+@query("j9_untouched", "SELECT a.title IS NOT DISTINCT FROM b.title AS same, count(*) AS n FROM texts a JOIN texts b ON a.pos = b.pos + 1 GROUP BY 1")
+def j9(texts):
+    other = texts.select((F.col("pos") + 1).alias("pos"), F.col("title").alias("other"))
+    return texts.join(other, "pos").groupBy(F.col("title").eqNullSafe(F.col("other")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j10_m6_judge_pairs", "SELECT a.judge AS judge_1, b.judge AS judge_2, count(*) AS n, round(100 * avg(CASE WHEN a.meets = b.meets THEN 1 ELSE 0 END), 6) AS agreement FROM verdicts a JOIN verdicts b ON a.criterion_id = b.criterion_id AND a.judge < b.judge GROUP BY 1, 2")
@@ -260,28 +254,18 @@ def j13(pairs):
     return R.first_label_wins(pairs.select("c", "ha"), labels, ["c", "ha"], "pos").groupBy(F.coalesce("status", F.lit("unlabelled")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j14_j15_resolved_ids", """WITH t AS (SELECT pos, task_id, title FROM titles WHERE length(title) BETWEEN 5 AND 60), k AS (SELECT pos, task_id, CASE pos % 3 WHEN 0 THEN title WHEN 1 THEN '  ' || title ELSE substr(title, 2, 12) END AS title FROM t),
-n AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM t), kn AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM k),
-e AS (SELECT kn.pos, max(n.pos) FILTER (n.title = kn.title) AS a, max(n.pos) FILTER (n.nt = kn.nt) AS b, min(n.pos) FILTER (contains(lower(n.title), lower(kn.title)) OR contains(lower(kn.title), lower(n.title))) AS c FROM kn LEFT JOIN n USING (task_id) GROUP BY 1)
-SELECT pos AS concept_id, coalesce(a, b, c) AS criterion_id FROM e""")
+@query("j14_j15_resolved_ids", """WITH k AS (SELECT pos, task_id, CASE pos % 3 WHEN 0 THEN title WHEN 1 THEN '  ' || title ELSE substr(title, 2, 12) END AS title FROM titles),
+n AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM titles), kn AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM k),
+a AS (SELECT task_id, title, max(pos) AS a FROM n GROUP BY 1, 2), b AS (SELECT task_id, nt, max(pos) AS b FROM n GROUP BY 1, 2),
+r AS (SELECT kn.*, a, b FROM kn LEFT JOIN a USING (task_id, title) LEFT JOIN b USING (task_id, nt)), d AS (SELECT task_id, lower(title) AS t, min(pos) AS c FROM n GROUP BY 1, 2),
+x AS (SELECT DISTINCT task_id, lower(title) AS t FROM r WHERE a IS NULL AND b IS NULL), y AS (SELECT x.task_id, x.t, min(d.c) AS c FROM x JOIN d ON x.task_id = d.task_id AND (contains(d.t, x.t) OR contains(x.t, d.t)) GROUP BY 1, 2)
+SELECT r.pos AS concept_id, coalesce(a, b, c) AS criterion_id FROM r LEFT JOIN y ON r.task_id = y.task_id AND lower(r.title) = y.t AND a IS NULL AND b IS NULL""")
 def j14(titles):
-    return _resolved(titles.filter("length(title) between 5 and 60"))
-
-
-@query("j14_j15_resolved_ids_whole", """WITH k AS (SELECT pos, task_id, CASE pos % 3 WHEN 0 THEN title WHEN 1 THEN '  ' || title ELSE substr(title, 2, 12) END AS title FROM whole_documents),
-n AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM whole_documents), kn AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM k),
-e AS (SELECT kn.pos, max(n.pos) FILTER (n.title = kn.title) AS a, max(n.pos) FILTER (n.nt = kn.nt) AS b, min(n.pos) FILTER (contains(lower(n.title), lower(kn.title)) OR contains(lower(kn.title), lower(n.title))) AS c FROM kn LEFT JOIN n USING (task_id) GROUP BY 1)
-SELECT pos AS concept_id, coalesce(a, b, c) AS criterion_id FROM e""")
-def j14_whole(whole_documents):
-    """Every concept, whatever the length of its title."""
-    return _resolved(whole_documents)
-
-
-def _resolved(t):
+    """Every line of every document, whole, cut or indented, among all lines of its source."""
     kind = F.col("pos") % 3
-    concepts = t.select(F.col("pos").alias("concept_id"), "task_id", F.when(kind == 0, F.col("title")).when(kind == 1, F.concat(F.lit("  "), "title")).otherwise(F.substring("title", 2, 12)).alias("title"))
+    concepts = titles.select(F.col("pos").alias("concept_id"), "task_id", F.when(kind == 0, F.col("title")).when(kind == 1, F.concat(F.lit("  "), "title")).otherwise(F.substring("title", 2, 12)).alias("title"))
     norm = lambda c: F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
-    return R.resolved_ids(concepts, t.select("task_id", F.col("pos").alias("place"), F.col("pos").alias("criterion_id"), "title"), norm)
+    return R.resolved_ids(concepts, titles.select("task_id", F.col("pos").alias("place"), F.col("pos").alias("criterion_id"), "title"), norm)
 
 
 @query("j18_m3_paired_conditions", """WITH a AS (SELECT model, avg(output_tokens) AS v FROM judgements WHERE changed AND model <> 'model3' GROUP BY 1), b AS (SELECT model, avg(output_tokens) AS v FROM judgements WHERE NOT changed AND model <> 'model5' GROUP BY 1),
@@ -306,14 +290,14 @@ def w1(titles):
     return R.top_groups(titles, "task_id", "pos", 7)
 
 
-@query("w4_first_argmax", "SELECT model, arg_max(pos, output_tokens * 1e15::DOUBLE - pos / 1e3::DOUBLE) IS NOT NULL AS some, (SELECT min(pos) FROM judgements b WHERE b.model = a.model AND b.output_tokens = max(a.output_tokens)) AS place FROM judgements a GROUP BY model")
+@query("w4_first_argmax", "SELECT model, (SELECT min(pos) FROM judgements b WHERE b.model = a.model AND b.output_tokens = max(a.output_tokens)) AS place FROM judgements a GROUP BY model")
 def w4(judgements):
-    return judgements.groupBy("model").agg(R.first_argmax(F.col("output_tokens"), F.col("pos")).alias("place")).withColumn("some", F.col("place").isNotNull())
+    return judgements.groupBy("model").agg(R.first_argmax(F.col("output_tokens"), F.col("pos")).alias("place"))
 
 
 @query("w5_interleaved", "SELECT pos, round((row_number() OVER (PARTITION BY task_id ORDER BY pos) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY task_id), 9) AS share FROM titles")
 def w5(titles):
-    return rounded(R.interleaved(titles, "task_id", F.col("pos")).select("pos", "share"), "share", digits=9)
+    return rounded(R.interleaved(titles, "task_id", "pos").select("pos", "share"), "share", digits=9)
 
 
 @query("w7_ranked_models", "SELECT model, dilemma_source, count(*) AS n, row_number() OVER (PARTITION BY dilemma_source ORDER BY count(*), model) AS rank FROM judgements GROUP BY 1, 2")
@@ -324,9 +308,9 @@ def w7(judgements):
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("dilemma_source").orderBy("n", "model")).cast("long"))
 
 
-@query("w9_w10_longest", "SELECT pos, length(title) AS n FROM titles ORDER BY length(title) DESC, pos LIMIT 10", whole=True)
-def w9(titles):
-    return titles.select("pos", F.length("title").cast("long").alias("n")).orderBy(F.desc("n"), "pos").limit(10)
+@query("w9_w10_longest", "SELECT pos, length(title) AS n FROM texts ORDER BY length(title) DESC, pos LIMIT 10")
+def w9(texts):
+    return texts.select("pos", F.length("title").cast("long").alias("n")).orderBy(F.desc("n"), "pos").limit(10)
 
 
 @query("w11_fixed_order", "SELECT DISTINCT priority, CAST(CASE priority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS BIGINT) AS place FROM tasks")
@@ -353,14 +337,14 @@ def u5(judgements):
     return found.select("task_id", *[F.array_join(f"s.{c}", ",").alias(c) for c in ("agree", "extra", "missed")])
 
 
-@query("u6_registry", "WITH f AS (SELECT title AS text, min(pos) AS first FROM titles GROUP BY 1) SELECT text, first, row_number() OVER (ORDER BY first) - 1 AS text_idx FROM f", whole=True)
-def u6(titles):
-    return R.registry(titles, F.col("title"), "pos")
+@query("u6_registry", "WITH f AS (SELECT title AS text, min(pos) AS first FROM texts GROUP BY 1) SELECT text, first, row_number() OVER (ORDER BY first) - 1 AS text_idx FROM f")
+def u6(texts):
+    return R.registry(texts, F.col("title"), "pos")
 
 
-@query("u7_repeated_keys", "SELECT lower(trim(title)) AS k, count(*) AS n FROM titles GROUP BY 1 HAVING count(*) > 1", whole=True)
-def u7(titles):
-    return R.repeated_keys(titles, F.lower(F.trim("title")).alias("k"))
+@query("u7_repeated_keys", "SELECT lower(trim(title)) AS k, count(*) AS n FROM texts GROUP BY 1 HAVING count(*) > 1")
+def u7(texts):
+    return R.repeated_keys(texts, F.lower(F.trim("title")).alias("k"))
 
 
 # ---- samples ----------------------------------------------------------------------------------

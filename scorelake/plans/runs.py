@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import stats as M
 from ..operators import agree as G
+from ..operators import control as J
 from ..operators import runs as O
+from ..sources import readers, writers
 from .catalog import query
 from .scoring import rounded
 
@@ -60,26 +64,37 @@ def a34(verdicts):
     return rounded(G.majorities(verdicts, "criterion_id", "meets"), "majority_rate", "unanimous_rate")
 
 
-_TESTS = [(2, 3), (5, 10), (60, 100), (651, 887)]
+_CHOOSE = "exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))"
+_TAIL = "list_sum(list_transform(range(k, n + 1), lambda i: " + _CHOOSE.format(n="n") + "))"
+
 
+@query("m1_binomial_tail", f"WITH t AS (SELECT task_id, task_id % 90 + 1 AS n, task_id % 7 * (task_id % 90 + 1) // 7 AS k FROM tasks) SELECT task_id, round({_TAIL}, 9) AS p FROM t")
+def m1(tasks):
+    """Chance of k or more of n, exactly; the published case is in the tests."""
+    n = F.col("task_id") % 90 + 1
+    rows = tasks.select("task_id", n.alias("n"), F.expr("(task_id % 7 * (task_id % 90 + 1)) div 7").alias("k"))
+    return rounded(rows.select("task_id", M.binomial_tail("k", "n").alias("p")), "p", digits=9)
 
-@query("m1_m11_binomial_tail", "SELECT * FROM (VALUES (2, 3, '5.00e-01'), (5, 10, '6.23e-01'), (60, 100, '2.84e-02'), (651, 887, '6.64e-46')) t(k, n, p)")
-def m1(spark):
-    """The last is the published case: 651 against 236 discordant pairs, p = 6.6375e-46."""
-    rows = spark.createDataFrame(_TESTS, "k int, n int").coalesce(1)
-    return rows.select("k", "n", M.scientific(M.binomial_tail("k", "n")).alias("p"))
 
+@query("m1_m11_log_tail", f"WITH t AS (SELECT task_id, task_id % 90 + 1 AS n, (task_id % 7 * (task_id % 90 + 1)) // 7 + 1 AS k FROM tasks) SELECT task_id, abs(round(ln({_TAIL}), 6)) AS log_p FROM t")
+def m1b(tasks):
+    rows = tasks.select("task_id", (F.col("task_id") % 90 + 1).cast("int").alias("n"), F.expr("cast((task_id % 7 * (task_id % 90 + 1)) div 7 + 1 as int)").alias("k"))
+    return rounded(rows.select("task_id", F.abs(M.log_tail(F.col("k"), F.col("n"))).alias("log_p")), "log_p")
 
-@query("m1_log_tail", "SELECT k, n, CAST(log_p AS DOUBLE) AS log_p FROM (VALUES (2, 3, -0.693147), (5, 10, -0.473134), (60, 100, -3.559819), (651, 887, -104.026179)) t(k, n, log_p)")
-def m1b(spark):
-    rows = spark.createDataFrame(_TESTS, "k int, n int").coalesce(1)
-    return rounded(rows.select("k", "n", M.log_tail(F.col("k"), F.col("n")).alias("log_p")), "log_p")
 
+# the normal tail by Simpson's rule over 2000 steps up to |z|
+_NORMAL = "1 - 2 * list_sum(list_transform(range(0, 2001), lambda j: (CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(z * j / 2000, 2) / 2))) * z / 6000 / sqrt(2 * pi())"
 
-@query("m2_sign_test", "WITH c AS (SELECT md, count(*) FILTER (hj = 'YES' AND mj = 'NO') AS a, count(*) FILTER (hj = 'NO' AND mj = 'YES') AS b FROM pairs GROUP BY 1) SELECT md, a, b FROM c")
+
+@query("m2_sign_test", f"""WITH c AS (SELECT h_part % 40 AS grp, count(*) FILTER (hj = 'YES' AND mj = 'NO') AS a, count(*) FILTER (hj = 'NO' AND mj = 'YES') AS b FROM pairs GROUP BY 1
+UNION ALL SELECT -1, count(*) FILTER (hj = 'YES' AND mj = 'NO'), count(*) FILTER (hj = 'NO' AND mj = 'YES') FROM pairs),
+n AS (SELECT grp, a, b, a + b AS n, least(a, b) AS k, abs(a - b) / sqrt(greatest(a + b, 1)) AS z FROM c)
+SELECT grp, a, b, CASE WHEN n = 0 THEN NULL WHEN n < 1100 THEN round(2 * list_sum(list_transform(range(0, k + 1), lambda i: {_CHOOSE.format(n="n")})), 9) WHEN z > 12 THEN 0 ELSE abs(round({_NORMAL}, 9)) END AS p FROM n""")
 def m2(pairs):
-    counts = pairs.groupBy("md").agg(F.count_if(F.expr("hj = 'YES' and mj = 'NO'")).alias("a"), F.count_if(F.expr("hj = 'NO' and mj = 'YES'")).alias("b"))
-    return counts.withColumn("p", M.sign_test("a", "b")).filter("p between 0 and 1.0000001").drop("p")
+    """Groups of pairs, exact where they are small, and all pairs."""
+    counted = lambda rows, grp: rows.groupBy(grp.alias("grp")).agg(F.count_if(F.expr("hj = 'YES' and mj = 'NO'")).alias("a"), F.count_if(F.expr("hj = 'NO' and mj = 'YES'")).alias("b"))
+    counts = counted(pairs, F.col("h_part") % 40).unionByName(counted(pairs, F.lit(-1).cast("long")))
+    return rounded(counts.withColumn("p", M.sign_test("a", "b")), "p", digits=9)
 
 
 @query("m4_m5_weak_floor", "WITH g AS (SELECT model, avg(output_tokens) FILTER (changed) AS strong, avg(output_tokens) FILTER (NOT changed) AS weak FROM judgements GROUP BY 1) SELECT round(avg(100 * weak / strong), 6) AS retention, max(weak) < 600 AS below_floor, max(weak) < 600 AND min(strong) - max(weak) >= 10 AS below_with_margin FROM g")
@@ -94,11 +109,10 @@ def m9(tasks):
     return rates.select("priority", G.threshold_verdict(F.col("a"), F.col("b")).alias("verdict"))
 
 
-@query("m10_rounding", "SELECT i, CAST(r AS DOUBLE) AS r FROM (VALUES (0, 0.2), (1, 0.4), (2, 2.7), (3, 70.8), (4, 12.0), (5, 88.4), (6, 0.0), (7, 2.5)) t(i, r)")
-def m10(spark):
+@query("m10_rounding", "SELECT task_id, round_even(task_id / 4.0::DOUBLE, 1) AS r FROM tasks")
+def m10(tasks):
     """Half to even, as the published means are rounded."""
-    values = [0.25, 0.35, 2.675, 70.85, 12.05, 88.45, 0.05, 2.5]
-    return spark.createDataFrame(list(enumerate(values)), "i int, x double").coalesce(1).select("i", F.bround("x", 1).alias("r"))
+    return tasks.select("task_id", F.bround(F.col("task_id") / 4, 1).alias("r"))
 
 
 @query("d1_d2_differences", "SELECT task_id AS id, 'stats.weight' AS path, 'differs' AS problem, CAST(2 * task_id AS VARCHAR) AS a, CAST(2 * task_id + 1 AS VARCHAR) AS e FROM tasks WHERE task_id % 50 = 0 UNION ALL SELECT task_id, 'name', 'missing from expected', priority, NULL FROM tasks WHERE task_id % 70 = 0")
@@ -117,14 +131,8 @@ def i3(judgements, tasks):
     return again.agg(F.count(F.lit(1)).alias("again")).join(kept.agg(F.count(F.lit(1)).alias("kept")))
 
 
-@query("i6_i11_seeded", "SELECT count(*) AS n, count(*) FILTER (status IS NULL) AS without_status FROM (SELECT task_id, status FROM status_log WHERE seq < 500 UNION ALL SELECT task_id, NULL FROM tasks WHERE task_id NOT IN (SELECT task_id FROM status_log WHERE seq < 500))")
+@query("i6_i11_seeded", "SELECT count(*) AS n, count(*) FILTER (status IS NULL) AS without_status FROM (SELECT task_id, status FROM status_log WHERE status = 'ok' UNION ALL SELECT task_id, NULL FROM tasks WHERE task_id NOT IN (SELECT task_id FROM status_log WHERE status = 'ok'))")
 def i11(tasks, status_log):
-    earlier = status_log.filter("seq < 500").select("task_id", "status")
-    return O.seeded(earlier, tasks.select("task_id", "priority"), ["task_id"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isNull()).alias("without_status"))
-
-
-@query("i6_i11_seeded_whole", "SELECT count(*) AS n, count(*) FILTER (status IS NULL) AS without_status FROM (SELECT task_id, status FROM status_log WHERE status = 'ok' UNION ALL SELECT task_id, NULL FROM tasks WHERE task_id NOT IN (SELECT task_id FROM status_log WHERE status = 'ok'))")
-def i11_whole(tasks, status_log):
     """Seeded from every event that ended well."""
     earlier = status_log.filter("status = 'ok'").select("task_id", "status")
     return O.seeded(earlier, tasks.select("task_id", "priority"), ["task_id"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isNull()).alias("without_status"))
@@ -136,3 +144,87 @@ def j19(judgements):
     rows = judgements.groupBy("task_id").agg(ids(F.col("changed")).alias("x"), ids(F.col("criterion_weight") > 1).alias("y"))
     found = rows.select("task_id", O.one_sided_ids(F.col("x"), F.col("y")).alias("s"))
     return found.select("task_id", F.size("s.confirmed").cast("long").alias("confirmed"), F.size("s.missed").cast("long").alias("missed"))
+
+
+@query("d2_d3_reports", r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS t FROM turns), h AS (SELECT 'th_word' AS pattern, count(*) FILTER (regexp_matches(t, '\bthe\b')) AS n FROM l UNION ALL SELECT 'digits', count(*) FILTER (regexp_matches(t, '[0-9]{3}')) FROM l UNION ALL SELECT 'never', 0)
+SELECT 'closure' AS report, pattern, CASE WHEN n > 0 THEN 'failed' ELSE 'ok' END AS status, n FROM h UNION ALL SELECT 'metrics', 'differs', CASE WHEN count(*) > 0 THEN 'failed' ELSE 'ok' END, count(*) FROM tasks WHERE task_id % 50 = 0""")
+def d2(turns, tasks):
+    """A closure scan by pattern and a comparison of metrics, each with its outcome."""
+    from ..functions.text import forbidden
+
+    patterns = {"th_word": r"\bthe\b", "digits": r"[0-9]{3}", "never": "\x01"}
+    hits = forbidden(turns.select(F.col("conv_id").alias("path"), "text"), patterns)
+    t = F.col("task_id")
+    flat = lambda weight: O.flattened(tasks.select("task_id", weight.alias("weight")), "task_id")
+    found = O.differences(flat(t * 2), flat(t * 2 + (t % 50 == 0).cast("int")))
+    return O.outcome(hits, "pattern", list(patterns)).select(F.lit("closure").alias("report"), "pattern", "status", "n").unionByName(O.outcome(found, "problem", ["differs"]).select(F.lit("metrics").alias("report"), F.col("problem").alias("pattern"), "status", "n"))
+
+
+@query("a28_dimensions", "SELECT CASE WHEN changed THEN 'human' ELSE 'model' END AS side, d AS dimension, count(*) AS n FROM (SELECT changed, unnest(string_split(criterion_dimension, ' ')) AS d FROM judgements) GROUP BY 1, 2")
+def a28(judgements):
+    rows = judgements.select(F.when(F.col("changed"), "human").otherwise("model").alias("side"), F.split("criterion_dimension", " ").alias("dimensions"))
+    return O.dimension_distribution(rows, "dimensions")
+
+
+@query("p14_blank_responses", "SELECT model, count(*) AS n FROM judgements WHERE trim(coalesce(response, '')) = '' GROUP BY 1")
+def p14(judgements):
+    """The rows over which a run fails."""
+    from ..operators.rubric import blank_rows
+
+    return blank_rows(judgements, "response").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p15_expected_rows", "SELECT count(*) AS n FROM tasks")
+def p15(tasks):
+    """Fails if rows are lost between two counts."""
+    from ..operators.rubric import require_count
+
+    n = tasks.count()
+    require_count(tasks.select("task_id").distinct(), n)
+    return tasks.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("i4_status_with_metrics", "WITH l AS (SELECT task_id, arg_max(status, seq) AS status, arg_max(elapsed_sec, seq) AS e FROM status_log GROUP BY 1) SELECT task_id, l.status, CASE WHEN l.status = 'ok' THEN e ELSE cust END AS metric FROM l JOIN tasks USING (task_id) WHERE task_id % 3 = 0 UNION ALL SELECT task_id, l.status, CASE WHEN l.status = 'ok' THEN e END FROM l WHERE task_id % 3 <> 0 OR task_id NOT IN (SELECT task_id FROM tasks)")
+def i4b(status_log, tasks):
+    """Tasks whose last row has no metric get it from an earlier run's table, which has a third of them."""
+    log = status_log.select("task_id", "seq", "status", F.when(F.col("status") == "ok", F.col("elapsed_sec")).alias("metric"))
+    return O.backfilled(log, tasks.filter("task_id % 3 = 0").select("task_id", F.col("cust").cast("double").alias("metric")), "metric")
+
+
+@query("i7_timed_out", "SELECT coalesce(elapsed_sec > 50 OR status = 'error', false) AS dead, count(*) AS n FROM status_log GROUP BY 1")
+def i7(status_log):
+    from ..sources.writers import split_errors
+
+    good, dead = split_errors(status_log, O.timed_out(F.col("elapsed_sec"), 50) | (F.col("status") == "error"))
+    n = lambda rows, which: rows.groupBy(F.lit(which).alias("dead")).agg(F.count(F.lit(1)).alias("n"))
+    return n(good, False).unionByName(n(dead, True))
+
+
+@query("i10_answers", "SELECT task_id, 'About ' || priority || ': yes' AS answer FROM tasks")
+def i10(tasks):
+    """A judge that knows no top_p and leaves every third prompt blank at first; any other is plugged in alike."""
+
+    def judge(prompts: list[str], attempt: int, **options: object) -> list[str]:
+        if "top_p" in options:
+            raise ValueError("unsupported parameter: top_p")
+        return ["" if attempt == 0 and n % 3 == 0 else f"{p}: yes" for n, p in enumerate(prompts)]
+
+    prompts = tasks.select("task_id", F.concat(F.lit("About "), "priority").alias("prompt"))
+    return J.answered(prompts, judge, options={"top_p": 0.9, "temperature": 0.0}, wait=0.0).select("task_id", "answer")
+
+
+@query("i8_i13_gated_run", "SELECT 'done' AS outcome, count(*) AS done, true AS complete FROM tasks")
+def i8(spark, tasks):
+    """A run that writes a pilot, then the rest of all tasks, to a folder."""
+    from ..sources.durable import shared_dir
+
+    path = f"{shared_dir(spark)}/scorelake-files/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    done = lambda: readers.json_lines_or_empty(spark, path, "task_id long")
+
+    def work(upto: int | None) -> None:
+        todo = J.todo_first(tasks.select("task_id"), "task_id", upto)
+        writers.append_json(todo.join(done().select("task_id"), "task_id", "left_anti"), path)
+
+    outcome, count = J.pilot_then_full(lambda: done().count(), work, 10, tasks.count())
+    summary = spark.createDataFrame([(outcome, count)], "outcome string, done long")
+    return summary.withColumn("complete", F.lit(O.is_complete(summary.withColumnRenamed("done", "ok"), "full", "full", tasks.count())))

@@ -1,11 +1,10 @@
-"""Queries of text functions and raw-output parsers (X, L), with their oracles."""
+"""Queries of text functions (X), with their oracles."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions import verdicts as V
 from .catalog import query
 
 _NS = "regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({t}, '\\s+', ' ', 'g')), '\\s+([,.;:!?])', '\\1', 'g'), '\\(\\s+', '(', 'g'), '\\s+\\)', ')', 'g')"
@@ -23,17 +22,17 @@ b AS (SELECT *, regexp_replace(t, '(?i)^({"|".join(X.LEADING_ADVERBS)})\s+', '')
 SELECT pos, CASE WHEN t = '' OR regexp_matches(t, '(?i)^(the )?response\b') OR regexp_matches(t, '(?i)^advice\s*,') OR regexp_matches(t, '(?i)^suggests?\s*,.*\bfails?\b') OR regexp_matches(t, '(?i)^({_NEG})') OR regexp_matches(t, '(?i)^detrimental\s*:') THEN t
 WHEN regexp_matches(t, '^\S*[-/]') AND regexp_matches(t, '(?s)^\S+(?:\s*,\s*[\p{{L}}\p{{N}}_]+)*(?:\s+or\s+[\p{{L}}\p{{N}}_]+)?\s+(.+)$') THEN '{X.QUESTION}' || regexp_extract(t, '(?s)^\S+(?:\s*,\s*[\p{{L}}\p{{N}}_]+)*(?:\s+or\s+[\p{{L}}\p{{N}}_]+)?\s+(.+)$', 1)
 WHEN regexp_matches(bare, '(?s)^([\p{{L}}\p{{N}}_]+),\s*[^,]+,\s*(.+)$') THEN '{X.QUESTION}' || regexp_extract(bare, '(?s)^([\p{{L}}\p{{N}}_]+),\s*[^,]+,\s*(.+)$', 2)
-WHEN regexp_matches(bare, '(?s)^[\p{{L}}\p{{N}}_]+\s+(.+)$') THEN '{X.QUESTION}' || regexp_extract(bare, '(?s)^[\p{{L}}\p{{N}}_]+\s+(.+)$', 1) ELSE t END AS text FROM b""", whole=True)
+WHEN regexp_matches(bare, '(?s)^[\p{{L}}\p{{N}}_]+\s+(.+)$') THEN '{X.QUESTION}' || regexp_extract(bare, '(?s)^[\p{{L}}\p{{N}}_]+\s+(.+)$', 1) ELSE t END AS text FROM b""")
 def x1(criteria_text):
     return criteria_text.select("pos", X.embedding_form(F.col("title")).alias("text"))
 
 
-@query("x2_x3_normal_space", f"SELECT pos, {_ns('title')} AS spaced, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS folded FROM criteria_text", whole=True)
+@query("x2_x3_normal_space", f"SELECT pos, {_ns('title')} AS spaced, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS folded FROM criteria_text")
 def x2(criteria_text):
     return criteria_text.select("pos", X.normal_space(F.col("title")).alias("spaced"), X.folded(F.col("title")).alias("folded"))
 
 
-@query("x4_shell", "SELECT pos, CASE " + " ".join(f"WHEN starts_with(title, '{p}') THEN '{p}'" for p in X.SHELL_PREFIXES) + " ELSE '' END AS shell FROM criteria_text", whole=True)
+@query("x4_shell", "SELECT pos, CASE " + " ".join(f"WHEN starts_with(title, '{p}') THEN '{p}'" for p in X.SHELL_PREFIXES) + " ELSE '' END AS shell FROM criteria_text")
 def x4(criteria_text):
     return criteria_text.select("pos", X.shell(F.col("title")).alias("shell"))
 
@@ -45,13 +44,13 @@ _ADVERBS = "(" + ", ".join(f"'{a}'" for a in X.OPENING_ADVERBS) + ")"
 @query("x5_opening", rf"""WITH w AS (SELECT pos, title, ltrim(substr(title, length({_SHELL}) + 1)) AS working FROM criteria_text), t AS (SELECT *, list_filter(regexp_split_to_array(working, '\s+'), lambda x: x <> '') AS tokens FROM w),
 a AS (SELECT *, coalesce(list_position(list_transform(tokens, lambda x: NOT (lower(trim(x, ' ,.;:!?')) IN {_ADVERBS})), true), 0) AS k FROM t)
 SELECT pos, substr(title, 1, length(title) - length(working)) AS shell, array_to_string(CASE WHEN k > 0 THEN tokens[1:k - 1] ELSE tokens END, ' ') AS adverbs, CASE WHEN k > 0 THEN lower(trim(tokens[k], ' ,.;:!?')) END AS verb, CASE WHEN k > 0 THEN tokens[k] END AS verb_token,
-CASE WHEN k > 0 THEN substr(working, length(array_to_string(tokens[1:k], ' ')) + 1) ELSE '' END AS rest FROM a""", whole=True)
+CASE WHEN k > 0 THEN substr(working, length(array_to_string(tokens[1:k], ' ')) + 1) ELSE '' END AS rest FROM a""")
 def x5(criteria_text):
     rows = criteria_text.select("pos", X.opening(F.col("title")).alias("o")).select("pos", "o.*")
     return rows.withColumn("adverbs", F.array_join("adverbs", " "))
 
 
-@query("x6_with_verb", whole=True)
+@query("x6_with_verb")
 def x6(criteria_text):
     return criteria_text.select("pos", X.with_verb(F.col("title"), F.lit("Weighs")).alias("text"))
 
@@ -60,41 +59,42 @@ _STRIPPED = rf"regexp_replace(title, '(?i)\b(?:{'|'.join(X.DEGREE_WORDS)})\b\s*'
 
 
 @query("x7_degree_words", f"""SELECT pos, array_to_string(list_filter([{', '.join(f"'{w}'" for w in X.DEGREE_WORDS)}], lambda w: regexp_matches(title, '(?i)\\b' || w || '\\b')), ',') AS words,
-CASE WHEN {_ns(_STRIPPED)} <> {_ns('title')} THEN {_ns(_STRIPPED)} END AS text FROM criteria_text""", whole=True)
+CASE WHEN {_ns(_STRIPPED)} <> {_ns('title')} THEN {_ns(_STRIPPED)} END AS text FROM criteria_text""")
 def x7(criteria_text):
     return criteria_text.select("pos", F.array_join(X.degree_words(F.col("title")), ",").alias("words"), X.without_degrees(F.col("title")).alias("text"))
 
 
 @query("x8_enumerations", r"""SELECT pos, array_to_string(list_filter([CASE WHEN contains(lower(title), 'including') THEN 'including' END, CASE WHEN contains(lower(title), 'such as') THEN 'such as' END, CASE WHEN contains(lower(title), 'e.g.') THEN 'e.g.' END,
-CASE WHEN contains(lower(title), 'for example') THEN 'for example' END, CASE WHEN contains(lower(title), 'i.e.') THEN 'i.e.' END, CASE WHEN regexp_matches(title, '\([^)]*,[^)]*,[^)]*\)') THEN 'parenthetical_list' END], lambda x: x IS NOT NULL), ',') AS marks FROM criteria_text""", whole=True)
+CASE WHEN contains(lower(title), 'for example') THEN 'for example' END, CASE WHEN contains(lower(title), 'i.e.') THEN 'i.e.' END, CASE WHEN regexp_matches(title, '\([^)]*,[^)]*,[^)]*\)') THEN 'parenthetical_list' END], lambda x: x IS NOT NULL), ',') AS marks FROM criteria_text""")
 def x8(criteria_text):
     return criteria_text.select("pos", F.array_join(X.enumeration_marks(F.col("title")), ",").alias("marks"))
 
 
-@query("x8_without_enumerations", whole=True)
+@query("x8_without_enumerations")
 def x8b(criteria_text):
     return criteria_text.select("pos", X.without_enumerations(F.col("title")).alias("text"))
 
 
-@query("x9_counts", r"""SELECT pos, CAST(1 + len(regexp_extract_all(title, '(?i),|\bif\b|\bwhether\b|\bincluding\b|\bsuch as\b')) AS INTEGER) AS units FROM criteria_text""", whole=True)
+@query("x9_counts", r"""SELECT pos, CAST(1 + len(regexp_extract_all(title, '(?i),|\bif\b|\bwhether\b|\bincluding\b|\bsuch as\b')) AS INTEGER) AS units FROM criteria_text""")
 def x9(criteria_text):
     return criteria_text.select("pos", X.info_units(F.col("title")).alias("units"))
 
 
-@query("x9_inner_capitals", whole=True)
+@query("x9_inner_capitals")
 def x9b(criteria_text):
     return criteria_text.select("pos", X.inner_capitals(F.col("title")).alias("capitals"))
 
 
-@query("x10_rewrites", whole=True)
+@query("x10_rewrites")
 def x10(criteria_text):
     pairs = criteria_text.withColumn("model", F.when(F.col("pos") % 5 == 0, "").otherwise("Weighs the cost"))
     return X.rewrites(pairs, ["pos"], "title", "model")
 
 
-@query("x11_length_order", "SELECT pos, CASE WHEN length(title) < 60 THEN '<' WHEN length(title) > 60 THEN '>' ELSE '=' END AS o FROM criteria_text", whole=True)
-def x11(criteria_text):
-    return criteria_text.select("pos", X.length_order(F.col("title"), F.repeat(F.lit("x"), F.lit(60))).alias("o"))
+@query("x11_length_order", "SELECT a.pos, CASE WHEN length(a.title) < length(b.title) THEN '<' WHEN length(a.title) > length(b.title) THEN '>' ELSE '=' END AS o FROM criteria_text a JOIN titles b USING (pos)")
+def x11(criteria_text, titles):
+    both = criteria_text.join(titles.select("pos", F.col("title").alias("original")), "pos")
+    return both.select("pos", X.length_order(F.col("title"), F.col("original")).alias("o"))
 
 
 @query("x12_slug", "SELECT task_id, regexp_replace(lower('Model ' || priority || '.v1'), '[^a-z0-9]+', '_', 'g') AS slug FROM tasks")
@@ -119,69 +119,3 @@ def x15(tasks):
     model = F.when(F.col("task_id") % 2 == 0, "m").otherwise("m__rubricasresp")
     variants = {"standard": "Judge task ", "careful": "Rubric as response: task "}
     return tasks.select("task_id", F.concat(X.prompt_variant(model, variants, "careful"), X.templated("{task} by {who}.", task=F.col("task_id"), who=F.col("priority"))).alias("prompt"))
-
-
-# ---- parsers, over raw answers that take every step -------------------------------------------
-
-_FENCE = "```json\n{j}\n```"
-#: (raw answer, verdict of the ladder)
-LADDER = [
-    ('{"meets_requirements": true, "reason": "r"}', True),
-    (_FENCE.format(j='{"passes_generality": false}'), False),
-    ('Sure. {"meets_requirements": false, "reason": "x"} done', False),
-    ("broken {'meets_requirements': true", True),
-    ('broken {"passes_generality": false', False),
-    ("I think it passes", True),
-    ("It is too specific", False),
-    ("Reason: this is a broad idea", True),
-    ("Reason: mandates one thing", False),
-    ("no idea", None),
-]
-
-
-def _numbered(cases: list, spark):
-    return spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "case int, raw string").coalesce(1)
-
-
-@query("l4_ladder", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{'null' if v is None else str(v).lower()}')" for i, (_, v) in enumerate(LADDER)) + ") t(\"case\", verdict)")
-def l4(spark):
-    rows = _numbered(LADDER, spark)
-    return rows.select("case", F.coalesce(V.ladder_verdict(F.col("raw")).cast("string"), F.lit("null")).alias("verdict"))
-
-
-_ARRAYS = ['[{"id": "a", "title": "t", "weight": 2,},]', _FENCE.format(j='[{"id": "a", "title": "t", "weight": 2}]'), 'Here: [{"id": "a", "title": "t", "weight": 2}] ok']
-
-
-@query("l1_l2_l3_rubric_array", "SELECT CAST(i AS INTEGER) AS \"case\", 'a' AS id, 't' AS title, 2 AS weight FROM range(3) r(i)")
-def l3(spark):
-    rows = _numbered([(a,) for a in _ARRAYS], spark)
-    return rows.select("case", F.explode(F.filter(V.rubric_array(F.col("raw")), lambda c: c["id"].isNotNull())).alias("c")).select("case", "c.id", "c.title", "c.weight")
-
-
-@query("l5_batched", "SELECT * FROM (VALUES (0, 'true'), (1, 'false'), (2, 'missing')) t(idx, verdict)")
-def l5(spark):
-    raw = F.lit('[{"idx": 0, "verdict": "Pass"}, {"idx": 1, "verdict": "no"}]')
-    return spark.range(3).select(F.col("id").cast("int").alias("idx"), F.coalesce(F.try_element_at(V.batched_verdicts(raw), F.col("id").cast("int")).cast("string"), F.lit("missing")).alias("verdict"))
-
-
-@query("l6_l11_numbered_map", "SELECT * FROM (VALUES (1, 'yes', 'no'), (2, 'no', 'no'), (3, 'no', 'no'), (4, 'yes', 'no')) t(item, enough, too_few)")
-def l6(spark):
-    rows = spark.range(1, 5).select(F.col("id").cast("int").alias("item"), F.lit('x {"1": "Yes!", "2": "no", "q": "yes", "4": "yes, 3"} y').alias("a"), F.lit('{"1": "yes"}').alias("b"))
-    at = lambda c: V.positional_verdict(V.numbered_map(F.col(c), F.lit(4)), F.col("item"), "no")
-    return rows.select("item", at("a").alias("enough"), at("b").alias("too_few"))
-
-
-@query("l8_settled_match", "SELECT * FROM (VALUES (0, 'matched', 'M1'), (1, 'nearby', 'M2'), (2, 'matched', 'M1,M2'), (3, 'none', ''), (4, 'none', '')) t(\"case\", status, ids)")
-def l8(spark):
-    cases = [(0, "Covered", [" m1", "M1"]), (1, "partially", ["m2", "m9"]), (2, None, ["m1", "m2"]), (3, "matched", ["m9"]), (4, "missing", ["m1"])]
-    rows = spark.createDataFrame(cases, "case int, status string, ids array<string>").coalesce(1)
-    valid = F.array(F.lit("M1"), F.lit("M2"))
-    found = rows.select("case", V.settled_match(F.col("status"), V.matched_ids(F.col("ids")), valid).alias("m"))
-    return found.select("case", "m.status", F.array_join("m.ids", ",").alias("ids"))
-
-
-@query("v5_marked_item", "SELECT * FROM (VALUES (0, 'true', 12), (1, 'false', -1), (2, 'null', -1), (3, 'true', -1)) t(\"case\", verdict, item)")
-def v5(spark):
-    rows = _numbered([("**Yes, item 12",), ("# no 3",), ("maybe 4",), ("yes",)], spark)
-    j = F.col("raw")
-    return rows.select("case", F.coalesce(V.marked_verdict(j).cast("string"), F.lit("null")).alias("verdict"), F.coalesce(V.marked_item(j), F.lit(-1)).cast("int").alias("item"))

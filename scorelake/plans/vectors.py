@@ -8,12 +8,12 @@ from ..operators import vectors as C
 from .catalog import query
 from .scoring import rounded
 
-_V = "v AS (SELECT pos, side, model, weight, pos % 12 AS \"case\", CAST(vec AS DOUBLE[]) AS vec FROM concepts)"
+_V = "v AS (SELECT pos, side, model, weight, pos // 40 AS \"case\", CAST(vec AS DOUBLE[]) AS vec FROM concepts)"
 _U = "u AS (SELECT * EXCLUDE (vec), list_transform(vec, lambda x: x / CASE WHEN list_inner_product(vec, vec) = 0 THEN 1 ELSE sqrt(list_inner_product(vec, vec)) END) AS vec FROM v)"
 
 
 def _unit(concepts):
-    return concepts.withColumn("vec", C.unit(F.col("vec"))).withColumn("case", F.col("pos") % 12)
+    return concepts.withColumn("vec", C.unit(F.col("vec"))).withColumn("case", F.expr("pos div 40"))
 
 
 @query("c1_c2_unit", f"WITH {_V}, {_U} SELECT pos, round(list_inner_product(vec, vec), 6) AS norm, round(vec[1], 6) AS first FROM u")
@@ -83,11 +83,11 @@ def c10(concepts):
     return C.case_components(rows.select("case", "pos"), edges)
 
 
-@query("c11_embedded", whole=True)
-def c11(titles):
+@query("c11_embedded")
+def c11(texts):
     """Letter shares in place of a paid embedder; the interface is the same."""
 
     def letters(texts: list[str]) -> list[list[float]]:
         return [[t.lower().count(c) / max(1, len(t)) for c in "aeiou"] for t in texts]
 
-    return C.embedded(titles.select("pos", F.col("title").alias("text")), letters).select("pos", "vec")
+    return C.embedded(texts.select("pos", F.col("title").alias("text")), letters).select("pos", "vec")

@@ -77,8 +77,8 @@ def inventory(files: DataFrame, section: Column) -> DataFrame:
     return files.groupBy(section.alias("section")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
-def _is_data() -> Column:
-    name = F.element_at(F.split("path", "/"), -1)
+def _is_data(part: int = -1) -> Column:
+    name = F.element_at(F.split("path", "/"), part)
     bad = F.lit(False)
     for mark in NOT_DATA:
         bad = bad | name.contains(mark)
@@ -93,13 +93,37 @@ def single_file(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> str
     return found[0]
 
 
-def judgement_tree(spark: SparkSession, folder: str, schema: str = JUDGEMENT) -> DataFrame:
-    """All judgement files of a tree as one table, with model and rubric read from their paths (model/.../rubric/file)."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(folder)
-    path = F.col("_metadata.file_path")
-    kept = rows.withColumn("path", path).filter(_is_data())
-    parts = F.split("path", "/")
-    return kept.withColumn("_rubric", F.element_at(parts, -2)).withColumn("_model", F.regexp_extract("path", r"([^/]+)/full/judgements/", 1)).drop("path")
+def rubric_pair(spark: SparkSession, folder: str, exact_ai: str, exact_human: str) -> tuple[str, str]:
+    """The model's and the human rubric file of a folder: those of the exact names if both are there, else the only one of either side that is neither a pilot nor a backup."""
+    there = {p.rsplit("/", 1)[1]: p for p in (r["path"] for r in listed(spark, folder, ".jsonl").select("path").collect())}
+    if exact_ai in there and exact_human in there:
+        return there[exact_ai], there[exact_human]
+    found = {side: [p for name, p in sorted(there.items()) if name.startswith(f"{side}_rubric_") and "backup" not in name] for side in ("ai", "human")}
+    if [len(x) for x in found.values()] != [1, 1]:
+        raise ValueError(f"expected one rubric file of either side in {folder}, found {({k: len(v) for k, v in found.items()})}")
+    return found["ai"][0], found["human"][0]
+
+
+def case_documents(spark: SparkSession, path: str, schema: str, model: str, case: str) -> DataFrame:
+    """Documents of cases, with model (md) and case (c) read from their paths by patterns of one group."""
+    docs = json_documents(spark, path, schema)
+    return docs.select(F.regexp_extract("_file", model, 1).alias("md"), F.regexp_extract("_file", case, 1).alias("c"), *[f.name for f in _schema(schema)])
+
+
+def provenance(stock: DataFrame, expected: DataFrame) -> DataFrame:
+    """Sections of an inventory (section, files, bytes) beside the numbers that there should be (section, expected): same, differs, missing or unexpected."""
+    both = stock.join(expected, "section", "full")
+    found = F.when(F.col("expected").isNull(), "unexpected").when(F.col("files").isNull(), "missing").when(F.col("files") != F.col("expected"), "differs").otherwise("same")
+    return both.select("section", "files", "bytes", "expected", found.alias("found"))
+
+
+def judgement_tree(spark: SparkSession, folder: str, schema: str = JUDGEMENT, suffix: str = ".jsonl", model: str = r"([^/]+)/full/judgements/", rubric: str = r"([^/]+)/[^/]*$", bad_folders: bool = False) -> DataFrame:
+    """All judgement files of a tree as one table, with model and rubric read from their paths (model/.../rubric/file, unless patterns say otherwise). Error files, backups and pilots don't count; bad_folders: neither do folders of such names."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").json(folder)
+    kept = rows.withColumn("path", F.col("_metadata.file_path")).filter(_is_data())
+    if bad_folders:
+        kept = kept.filter(_is_data(-2))
+    return kept.withColumn("_rubric", F.regexp_extract("path", rubric, 1)).withColumn("_model", F.regexp_extract("path", model, 1)).drop("path")
 
 
 def submissions(spark: SparkSession, path: str, answer: str) -> DataFrame:

@@ -43,3 +43,30 @@ def report_rows(df: DataFrame, columns: Sequence[str], style: str = "latex") ->
     if style == "latex":
         return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(r" \\")).alias("line"))
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def replace_file(lines: DataFrame, path: str) -> None:
+    """K3: one file of lines (column value), written beside its place and moved there when it is complete. For small outputs."""
+    spark = lines.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.tmp")
+    lines.coalesce(1).write.mode("overwrite").text(aside.toString())
+    written = next(f.getPath() for f in fs.listStatus(aside) if f.getPath().getName().startswith("part-"))
+    fs.delete(at, False)
+    if not fs.rename(written, at):
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(aside, True)
+
+
+def case_reports(rows: DataFrame, case: str, model: str, score: str, text: str) -> DataFrame:
+    """K8: a Markdown text for each case, its models worst first. To have them as files, write them partitioned by case."""
+    each = F.array_sort(F.collect_list(F.struct(score, model, text)))
+    parts = F.transform(each, lambda x: F.concat(F.lit("## "), x[model], F.lit(" "), x[text], F.lit("\n")))
+    return rows.groupBy(case).agg(F.concat(F.lit("# "), F.first(F.col(case)).cast("string"), F.lit("\n"), F.array_join(parts, "")).alias("text"))
+
+
+def save_vectors(df: DataFrame, path: str, key: str, text: str, vec: str) -> None:
+    """Texts and their vectors in one table, so that they can't get out of step."""
+    df.select(key, text, vec).write.mode("overwrite").parquet(path)
