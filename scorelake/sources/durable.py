@@ -17,6 +17,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or f"file://{tempfile.gettempdir()}/scorelake-{sc.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own below the shared folder and the application's."""
+    return f"{shared_dir(spark)}/scorelake-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write df once under the shared folder and return a scan of what was written.
 
@@ -24,6 +29,6 @@ def table(df: DataFrame) -> DataFrame:
     disk. The folder is named by application, so one recursive delete clears a finished job.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scorelake-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
