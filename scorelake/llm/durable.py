@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.durable import shared_dir, table
+from ..sources.durable import new_path, shared_dir, table
 
-__all__ = ["fields", "kept_by_worker", "row_key", "shared_dir", "stored_rows", "table"]
+__all__ = ["fields", "kept_by_worker", "new_path", "row_key", "shared_dir", "stored_rows", "table"]
 
 
 def row_key(row: Column | None) -> Column:

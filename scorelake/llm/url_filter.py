@@ -27,40 +27,64 @@ def url_path(url: Column) -> Column:
 
 
 def _reversed(host: Column) -> Column:
-    return F.concat_ws(".", F.reverse(F.split(host, r"\.", -1)))
+    """The host's labels from last to first, each with a dot after it, so that a host's key begins with those of all hosts above it."""
+    return F.concat(F.concat_ws(".", F.reverse(F.split(host, r"\.", -1))), F.lit("."))
 
 
 def _dealt(bounds: list[str], is_rule: bool):
-    """Each key with the number of its range; a rule goes to every range that its interval meets."""
+    """Each key with the number of its range; a rule goes to every range that its host's interval meets."""
     from bisect import bisect_right
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not is_rule:
-                pdf["pid"] = [bisect_right(bounds, k) for k in pdf["skey"]]
+                pdf["pid"] = [bisect_right(bounds, h + _GAP + p) for h, p in zip(pdf["skey"], pdf["path"], strict=True)]
             else:
-                # the ranges from the rule's own key to the last key that it is a prefix of
-                pdf["pid"] = [list(range(bisect_right(bounds, k), bisect_right(bounds, k + _TOP * 4) + 1)) for k in pdf["skey"]]
+                # the ranges from the host's own key to the last key that it is a prefix of
+                pdf["pid"] = [list(range(bisect_right(bounds, k), bisect_right(bounds, k + _TOP) + 1)) for k in pdf["skey"]]
                 pdf = pdf.explode("pid", ignore_index=True)
             yield pdf.astype({"pid": "int64"})
 
     return run
 
 
+class HostRules:
+    """The rules of one host on the stack: by path, with the lengths that their paths have."""
+
+    def __init__(self, skey: str):
+        self.skey, self.by_path, self.lengths = skey, {}, []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        self.by_path[path] = (rule, verdict)
+        if len(path) not in self.lengths:
+            self.lengths = sorted([*self.lengths, len(path)], reverse=True)
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        return next((self.by_path[path[:n]] for n in self.lengths if path[:n] in self.by_path), None)
+
+
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of (pid, skey, rules first): a stack holds the rules that are prefixes of the current key."""
+    """Rows in order of (pid, skey, rules first): the stack holds the rules of the current host and of all hosts above it."""
     pid, stack = None, []
     for pdf in batches:
         out = []
         for p, skey, is_key, rule, verdict, host, path in zip(pdf["pid"], pdf["skey"], pdf["is_key"], pdf["rule"], pdf["verdict"], pdf["host"], pdf["path"], strict=True):
             if p != pid:
                 pid, stack = p, []
-            while stack and not skey.startswith(stack[-1][0]):
+            while stack and not skey.startswith(stack[-1].skey):
                 stack.pop()
             if not is_key:
-                stack.append((skey, rule, verdict))
+                if not stack or stack[-1].skey != skey:
+                    stack.append(HostRules(skey))
+                stack[-1].add(path, rule, verdict)
             elif stack:
-                out.append((host, path, stack[-1][1], stack[-1][2]))
+                best = None
+                for level in reversed(stack):  # longer hosts first, so that they win at equal length
+                    found = level.longest(path)
+                    if found and (best is None or len(found[0]) > len(best[0])):
+                        best = found
+                if best:
+                    out.append((host, path, *best))
         yield pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
 
 
@@ -71,37 +95,31 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     with the rule's. The longest rule (host and path together) wins; of equally long ones that with the
     longer host. No rule: `default`. Of rules repeated with different verdicts, block wins.
 
-    A URL gives one key for each suffix of its host: the reversed labels, a gap, the path. A rule's key
-    is a prefix of just those keys that it fits, so it covers one interval of the sorted keys. Distinct
-    keys and rules meet in one range-partitioned, sorted sweep whose stack holds the active nested
-    rules; a rule is sent to each range that its interval meets (as many extra rows as ranges, at
-    most, for each level of nesting), so nothing is broadcast. Repeated URLs are swept once.
+    A URL has one key, its reversed host and path. A rule's reversed host is a prefix of just the keys
+    of the hosts that it fits, so it covers one interval of the sorted keys. Distinct keys and rules meet in
+    one range-partitioned, sorted sweep whose stack holds the rules of the nested hosts that are open; at a
+    key, each level of the stack looks up the prefixes of the path of as many lengths as its rules have.
+    A rule is sent to each range that its interval meets, so nothing is broadcast, and a host with very
+    many paths is dealt over ranges. Repeated URLs are swept once.
 
-    Null or odd URLs have an empty host and path and fit no rule. Empty rules: all get the default.
+    Null or odd URLs have an empty host and path and fit no rule. Empty rules: all get the default. Ids are
+    of any type.
     """
     spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")).fillna("", ["host", "path"])
     r = rules.select(F.lower("host").alias("h"), F.coalesce(F.col("path"), F.lit("")).alias("p"), F.col("verdict"))
     r = r.filter("h is not null").groupBy("h", "p").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict")).alias("v"))
-    r = table(r.select(F.concat(_reversed(F.col("h")), F.lit(_GAP), "p").alias("skey"), F.concat("h", "p").alias("rule"), F.col("v.verdict").alias("verdict"), _reversed(F.col("h")).alias("suffix")))
-    labels = F.split("host", r"\.", -1)
-    keys = (
-        urls.filter("host <> ''").select("host", "path").distinct()
-        .select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat_ws(".", F.reverse(F.slice(labels, -n, n))))).alias("suffix"))
-    )
-    hosts = table(r.select("suffix").distinct())
-    keys = table(keys.join(hosts, "suffix", "left_semi").select(F.concat("suffix", F.lit(_GAP), "path").alias("skey"), "host", "path"))
+    r = table(r.select(_reversed(F.col("h")).alias("skey"), F.concat("h", "p").alias("rule"), F.col("v.verdict").alias("verdict"), F.col("p").alias("path")))
+    keys = table(urls.filter("host <> ''").select("host", "path").distinct().select(_reversed(F.col("host")).alias("skey"), "host", "path"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    firsts = keys.select("skey").repartitionByRange(parts, "skey").groupBy(F.spark_partition_id().alias("n")).agg(F.min("skey").alias("first"))
+    whole = F.concat("skey", F.lit(_GAP), "path")
+    firsts = keys.select(whole.alias("key")).repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("n")).agg(F.min("key").alias("first"))
     bounds = sorted(x["first"] for x in firsts.collect())[1:]
     shape = "skey string, is_key boolean, rule string, verdict string, host string, path string, pid long"
     none = F.lit(None).cast("string")
     events = keys.select("skey", F.lit(True).alias("is_key"), none.alias("rule"), none.alias("verdict"), "host", "path").mapInPandas(_dealt(bounds, False), shape)
-    events = events.unionByName(r.select("skey", F.lit(False).alias("is_key"), "rule", "verdict", none.alias("host"), none.alias("path")).mapInPandas(_dealt(bounds, True), shape))
-    swept = events.repartition(parts, "pid").sortWithinPartitions("pid", "skey", "is_key").mapInPandas(_sweep, "host string, path string, rule string, verdict string")
-    # the rule with the longer host is the longer suffix: at equal length its path is the shorter
-    best = swept.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.length(F.regexp_extract("rule", "^[^/]*", 0)).alias("m"), "rule", "verdict")).alias("best"))
-    best = table(best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")))
+    events = events.unionByName(r.select("skey", F.lit(False).alias("is_key"), "rule", "verdict", none.alias("host"), "path").mapInPandas(_dealt(bounds, True), shape))
+    best = table(events.repartition(parts, "pid").sortWithinPartitions("pid", "skey", "is_key").mapInPandas(_sweep, "host string, path string, rule string, verdict string"))
     return urls.join(best, ["host", "path"], "left").select("id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.mixing import mix, word_count
 from scorelake.llm.preference import preference_format
-from scorelake.llm.topk import ApproximationFile, exact_topk
+from scorelake.llm.topk import ApproximationFile, cells_of, exact_topk
 from scorelake.llm.url_filter import url_filter
 
 # ---- mixing -----------------------------------------------------------------------------------
@@ -189,10 +189,23 @@ def test_topk_matches_brute_force(spark, block, queries):
     assert exact_topk(df.limit(0), "id % 50 = 0").count() == 0
 
 
+def test_ids_that_are_no_numbers(spark):
+    rows = [(f"v{i % 7}", [float(i % 3), float(i % 5)]) for i in range(40)] + [("v0", None)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["score"], r["id"]) for r in exact_topk(df, "id = 'v3'", k=3, block=16).collect())
+    want = []
+    whole = [(n, i, [256 * int(x) for x in v]) for n, (i, v) in enumerate(rows) if v]
+    for n, i, q in whole:
+        if i == "v3":
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j, m) for m, j, v in whole if m != n)[:3]
+            want += [(i, r + 1, -s, j) for r, (s, j, _) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_bounds_hold_every_product():
     rng = np.random.default_rng(4)
     rows, qs = np.floor(rng.normal(0, 300, (500, 16))), np.floor(rng.normal(0, 300, (20, 16)))
-    low, high = ApproximationFile(rows).bounds(qs)
+    low, high = ApproximationFile(*cells_of(rows, 4)).bounds(qs)
     exact = qs @ rows.T
     assert (low <= exact).all() and (exact <= high).all()
     assert (high - low).mean() < (exact.max() - exact.min())
