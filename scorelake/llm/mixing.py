@@ -66,7 +66,7 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...], share: float, ceiling: flo
     return rows.withColumn("water", water).select("sid", "source", "size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("w"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block_words: int = 1024, chunk_bits: int = 12, seed: int = 42, row: Column | None = None) -> Mix:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block_words: int = 1024, chunk_rows: int = 500, seed: int = 42, row: Column | None = None) -> Mix:
     """Plan a mix of all rows of df that takes `target` words of each source, to the nearest word.
 
     A source's documents, shuffled by a hash of id and text, form one stream of words, cut into blocks
@@ -78,8 +78,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     the k-th takes block k modulo the source's blocks: every block once before any twice. So a document is
     taken `ceiling` times at most.
 
-    Streams and ranks are prefix sums in two levels, by 2**chunk_bits chunks of the order and inside each,
-    so a source with a third of all rows is many small windows. Reruns agree whatever the partitions.
+    Streams and ranks are prefix sums in two levels, by chunks of the order and inside each.
+    Their number follows that of all rows (about chunk_rows rows a chunk), so a source with a third of them is
+    many small windows. Sums of chunks grow with the rows, so they are merged, never broadcast. Reruns agree whatever the partitions.
 
     Null text: size 0, nothing taken. A null source is a source. Null ids and repeated rows are rows of
     their own. Empty input: empty plan. Other columns are not read. uid is `row` (stored, unique) where
@@ -89,6 +90,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     text = F.col(text_col)
     rows = df.select(row_key(row), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"))
     rows = table(rows)
+    chunk_bits = max(4, (rows.count() // chunk_rows).bit_length())
     sized = targets(rows.groupBy("source").agg(F.sum("size").alias("size")), cycle, share, ceiling)
     sources = sized.withColumn("words", F.round("target").cast("long")).withColumn("blocks", F.expr(f"(size + {block_words - 1}) div {block_words}"))
     rest = F.expr("CASE WHEN size > 0 THEN words % size ELSE 0L END")
@@ -99,7 +101,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     docs = table(docs.withColumn("chunk", F.shiftrightunsigned("h", 64 - chunk_bits)))
     within = Window.partitionBy("sid", "chunk").orderBy("h", "id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.filter("size > 0").withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(_offsets(docs, "sid", "chunk", F.col("size")), ["sid", "chunk"]).withColumn("start", F.col("offset") + F.col("before"))
+    placed = placed.join(_offsets(docs, "sid", "chunk", F.col("size")).hint("merge"), ["sid", "chunk"]).withColumn("start", F.col("offset") + F.col("before"))
     pieces = placed.select("uid", "sid", "start", "size", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")).alias("block"))
     at = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
     pieces = pieces.select("uid", "sid", "block", at.alias("at"), (F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)) - at).alias("words"))
@@ -114,7 +116,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     reversed_bits = F.conv(F.reverse(F.lpad(F.bin("v"), bits, "0")), 2, 10).cast("long")
     slots = points.select("sid", "blocks", "slots", "cut", reversed_bits.alias("slot")).withColumn("chunk", F.expr(f"slot div {max(1, (1 << bits) >> chunk_bits)}"))
     inside = Window.partitionBy("sid", "chunk").orderBy("slot")
-    ranked = slots.withColumn("n", F.row_number().over(inside)).join(_offsets(slots, "sid", "chunk", F.lit(1)), ["sid", "chunk"]).withColumn("rank", F.col("offset") + F.col("n") - 1)
+    ranked = slots.withColumn("n", F.row_number().over(inside)).join(_offsets(slots, "sid", "chunk", F.lit(1)).hint("merge"), ["sid", "chunk"]).withColumn("rank", F.col("offset") + F.col("n") - 1)
     schedule = table(ranked.select("slot", "sid", "rank", F.expr("rank div blocks").alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"), F.when(F.col("rank") == F.col("slots") - 1, F.col("cut")).alias("words")))
     return Mix(sources, docs.select("uid", "id", "sid", "size"), schedule, pieces)
 
