@@ -178,8 +178,9 @@ def toxicity(df: DataFrame, labels: DataFrame, learn: str = "true", id_col: str
 
     A word is the mean of its subwords' embeddings (character n-grams of 3 to 6 and the word, hashed to
     2**18 buckets), so an unseen misspelling shares most of its vectors with the word it hides. A window
-    of about 64 words is the mean of its words (repeats count as blanks) under a linear softmax, and a text scores as its highest
-    window, so that a toxic passage isn't thinned out by the rest. After training both layers are one
+    of about 64 words has 64 places: its vector is the mean over them of its distinct words, repeats and places
+    without a word being blanks, under a linear softmax. A text scores as its highest window, so that a toxic
+    passage isn't thinned out by the rest. Subwords that differ too little between the labels weigh 0 (see train). After training both layers are one
     weight a bucket: a megabyte, whatever the corpus, is all that is sent to the tasks.
 
     It learns from at most per_class rows of each label (see sample_labelled) for which the SQL condition

@@ -10,7 +10,7 @@ from scorelake.llm import lm
 from scorelake.llm import sentencepiece as sp
 from scorelake.llm.language import NgramModel, documents_model, html_language, html_text, language_id, letters, op9_language_id
 from scorelake.llm.ngrams import subwords
-from scorelake.llm.toxicity import op5_toxicity, toxicity
+from scorelake.llm.toxicity import BagModel, op5_toxicity, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -147,6 +147,25 @@ def test_held_out_toxicity(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for i, r in got.items())
     held = [i for i in labels if got[i]["held_out"]]
     assert np.mean([got[i]["predicted"] == labels[i] for i in held]) >= 0.93
+    said, toxic = {i for i in held if got[i]["predicted"]}, {i for i in held if labels[i]}
+    assert len(said & toxic) >= 0.6 * len(toxic) and len(said - toxic) <= 0.05 * len(said)  # six toxic documents are held out here
+
+
+def test_scores_are_those_of_the_highest_window():
+    """The forward pass in plain Python, one word and one window at a time."""
+    rng = np.random.default_rng(3)
+    model = BagModel(rng.normal(0, 5, 512).astype(np.float32), -1.5, 3, 6, 8)
+    words = ["scum", "a", "the", "idiots", "naïve", "x" * 30]
+    texts = ["", "scum", "  ", "the scum the scum", *[" ".join(rng.choice(words, n)) for n in (7, 8, 11, 12, 40, 101)]]
+    for text, got in zip(texts, model.logits(texts, {})):
+        some = text.split()
+        windows = max(1, len(some) // 8 + (len(some) % 8 >= 4))
+        sums = []
+        for k in range(windows):
+            mine = some[k * 8 : (k + 1) * 8 if k < windows - 1 else len(some)]
+            means = [float(np.mean([float(model.weights[b]) for b in subwords([w], 3, 6, 512)[0]])) for w in sorted(set(mine))]
+            sums.append(sum(means) / 8)
+        assert got == pytest.approx(-1.5 + (max(sums) if some else 0.0), abs=1e-5)
 
 
 def toxic_table(spark, n=300):
