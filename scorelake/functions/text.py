@@ -86,31 +86,44 @@ def shell(text: Column) -> Column:
     return out.otherwise("")
 
 
-_EDGE = r"^[ ,.;:!?]+|[ ,.;:!?]+$"
+def _let(value: Column, body) -> Column:
+    """body of value, which is worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Fixed value: signs that a token's bare form lacks at either end.
+_EDGE = " ,.;:!?"
 
 
 def opening(text: Column) -> Column:
     """Shell (with the space after it), adverbs, verb (bare and lower-case), verb_token and rest of a criterion; verb and token are null without one."""
+    bare = lambda w: F.lower(F.btrim(w, F.lit(_EDGE)))
     after = F.substr(text, F.length(shell(text)) + 1)
-    working = F.regexp_replace(after, r"(?U)^\s+", "")
-    head = F.substr(text, F.lit(1), F.length(text) - F.length(working))
-    tokens = F.filter(F.split(working, r"(?U)\s+"), lambda w: w != "")
-    bare = lambda w: F.lower(F.regexp_replace(w, _EDGE, ""))
-    is_other = F.transform(tokens, lambda w: ~bare(w).isin(*OPENING_ADVERBS))
-    at = F.array_position(is_other, True).cast("int")
-    some = at > 0
-    token = F.when(some, F.try_element_at(tokens, F.when(some, at).otherwise(1)))
-    consumed = F.length(F.array_join(F.slice(tokens, 1, F.greatest(at, F.lit(0))), " "))
-    return F.struct(
-        head.alias("shell"), F.when(some, F.slice(tokens, 1, F.greatest(at - 1, F.lit(0)))).otherwise(tokens).alias("adverbs"),
-        F.when(some, bare(token)).alias("verb"), token.alias("verb_token"), F.when(some, F.substr(working, consumed + 1)).otherwise(F.lit("")).alias("rest"),
-    )
+
+    def parts(working: Column, tokens: Column, at: Column) -> Column:
+        some = at > 0
+        token = F.when(some, F.try_element_at(tokens, F.when(some, at).otherwise(1)))
+        consumed = F.length(F.array_join(F.slice(tokens, 1, F.greatest(at, F.lit(0))), " "))
+        return F.struct(
+            F.substr(text, F.lit(1), F.length(text) - F.length(working)).alias("shell"), F.when(some, F.slice(tokens, 1, F.greatest(at - 1, F.lit(0)))).otherwise(tokens).alias("adverbs"),
+            F.when(some, bare(token)).alias("verb"), token.alias("verb_token"), F.when(some, F.substr(working, consumed + 1)).otherwise(F.lit("")).alias("rest"),
+        )
+
+    def split(working: Column) -> Column:
+        tokens = F.filter(F.split(working, r"(?U)\s+"), lambda w: w != "")
+        at = lambda t: F.array_position(F.transform(t, lambda w: ~bare(w).isin(*OPENING_ADVERBS)), True).cast("int")
+        return _let(tokens, lambda t: _let(at(t), lambda n: parts(working, t, n)))
+
+    return _let(F.regexp_replace(after, r"(?U)^\s+", ""), split)
 
 
 def with_verb(text: Column, token: Column) -> Column:
     """The text opened by another verb, without its adverbs; null if either has no verb."""
-    o = opening(text)
-    return F.when(o["verb_token"].isNotNull() & token.isNotNull(), normal_space(F.concat(o["shell"], token, o["rest"])))
+    return _let(opening(text), lambda o: F.when(o["verb_token"].isNotNull() & token.isNotNull(), normal_space(F.concat(o["shell"], token, o["rest"]))))
+
+
+def _changed(out: Column, text: Column) -> Column:
+    return _let(normal_space(out), lambda v: F.when(v != normal_space(text), v))
 
 
 def degree_words(text: Column) -> Column:
@@ -121,8 +134,7 @@ def degree_words(text: Column) -> Column:
 
 def without_degrees(text: Column) -> Column:
     """The text without them; null if that changes nothing."""
-    out = normal_space(F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(DEGREE_WORDS)})\b\s*", ""))
-    return F.when(out != normal_space(text), out)
+    return _changed(F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(DEGREE_WORDS)})\b\s*", ""), text)
 
 
 def enumeration_marks(text: Column) -> Column:
@@ -137,8 +149,7 @@ def without_enumerations(text: Column) -> Column:
     out = F.regexp_replace(text, _LONG_LIST, "")
     for m in ENUM_MARKERS:
         out = F.regexp_replace(out, rf"(?i),?\s*\Q{m}\E\s*.*?(?=[.;]|$)", "")
-    out = normal_space(out)
-    return F.when(out != normal_space(text), out)
+    return _changed(out, text)
 
 
 def inner_capitals(text: Column) -> Column:
@@ -178,8 +189,9 @@ def rewrites(df: DataFrame, keep: list[str], human: str, model: str) -> DataFram
         made[taken] = name
     found = []
     for factor, taken in FACTORS.items():
-        text = normal_space(F.col(made[taken]))
-        changed = F.when((text != F.col("_plain")) & (F.col("_verb").isNotNull() if "verb" in taken else F.lit(True)), text)
+        changed = _let(normal_space(F.col(made[taken])), lambda text: F.when(text != F.col("_plain"), text))
+        if "verb" in taken:
+            changed = F.when(F.col("_verb").isNotNull(), changed)
         found.append(F.struct(F.lit(factor).alias("factor"), changed.alias("text")))
     return out.select(*keep, F.explode(F.array(*found)).alias("f")).select(*keep, "f.*")
 
