@@ -73,21 +73,26 @@ _RUN = 6
 
 
 def _grams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (_RUN - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(_RUN))))
+    """Distinct runs of a text's characters. The characters are split once: to count up to each run's start would be quadratic in the text."""
+    runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (_RUN - 1), F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(_RUN)), ""))
+    return F.array_distinct(F.element_at(F.transform(F.array(F.split(text, "")), runs), 1))
 
 
 def _holding(inner: DataFrame, outer: DataFrame, blocks: int = 16) -> DataFrame:
     """Pairs (task_id, inner, outer) of distinct texts (task_id, text) of which the outer one holds the inner one.
 
     Candidates share the inner text's rarest six characters in a row, so that common words don't pair everything.
+    Texts are their MD5 until then, so that a long one isn't repeated for each of its runs.
     Shorter inner texts, which can be in any text, meet all texts of their task, in blocks.
     """
-    index = outer.select("task_id", "text", F.explode(_grams(F.col("text"))).alias("gram")).withColumn("outer", F.col("text")).drop("text")
+    keyed = lambda df, name: df.select("task_id", F.md5("text").alias(f"{name}_key"), F.col("text").alias(name))
+    runs = lambda df, name: keyed(df, name).select("task_id", f"{name}_key", F.explode(_grams(F.col(name))).alias("gram"))
+    index = runs(outer, "outer")
     counts = index.groupBy("task_id", "gram").agg(F.count(F.lit(1)).alias("n"))
     long, short = inner.filter(F.length("text") >= _RUN), inner.filter(F.length("text") < _RUN)
-    asked = long.select("task_id", F.col("text").alias("inner"), F.explode(_grams(F.col("text"))).alias("gram")).join(counts, ["task_id", "gram"], "left")
-    rarest = asked.groupBy("task_id", "inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0").select("task_id", "inner", F.col("g.gram").alias("gram"))
-    found = rarest.join(index, ["task_id", "gram"]).filter(F.col("outer").contains(F.col("inner"))).select("task_id", "inner", "outer")
+    rarest = runs(long, "inner").join(counts, ["task_id", "gram"], "left").groupBy("task_id", "inner_key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    near = rarest.filter("g.n > 0").select("task_id", "inner_key", F.col("g.gram").alias("gram")).join(index, ["task_id", "gram"]).select("task_id", "inner_key", "outer_key")
+    found = near.join(keyed(long, "inner"), ["task_id", "inner_key"]).join(keyed(outer, "outer"), ["task_id", "outer_key"]).filter(F.col("outer").contains(F.col("inner"))).select("task_id", "inner", "outer")
     dealt = outer.select("task_id", F.col("text").alias("outer"), F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
     every = short.select("task_id", F.col("text").alias("inner"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     return found.unionByName(every.join(dealt, ["task_id", "block"]).filter(F.col("outer").contains(F.col("inner"))).select("task_id", "inner", "outer"))
