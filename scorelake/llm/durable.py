@@ -5,13 +5,13 @@ from __future__ import annotations
 import sys
 
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.durable import new_path, shared_dir, table
 
-__all__ = ["fields", "kept_by_worker", "new_path", "row_key", "shared_dir", "stored_rows", "table"]
+__all__ = ["fields", "forgotten", "kept_by_worker", "new_path", "row_key", "shared_dir", "stored_rows", "sums_joined", "table"]
 
 
 def row_key(row: Column | None) -> Column:
@@ -45,3 +45,30 @@ def kept_by_worker(name: str, key: object) -> dict:
     if name not in held or held[name][0] != key:
         held[name] = (key, {})
     return held[name][1]
+
+
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours below the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sums_joined(rows: DataFrame, sums: DataFrame, on: list[str], uid: str, few: int = 200_000, spread: int = 32) -> DataFrame:
+    """rows with the columns of sums (one row a key; null keys are equal). Up to `few` keys are broadcast.
+
+    Beyond, a key may still hold a third of the rows, so each key's sums are repeated `spread` times and rows are
+    dealt over them by their uid: no task gets more than that part of a key.
+    """
+    sums = table(sums)
+    keys = [f"_key_{c}" for c in on]
+    named = sums.select(*[F.col(f"`{c}`").alias(f"_key_{c}") for c in on], *[F.col(f"`{c}`") for c in sums.columns if c not in on])
+    match = F.lit(True)
+    if sums.count() <= few:
+        named = F.broadcast(named)
+    else:
+        rows = rows.withColumn("_deal", F.pmod(F.xxhash64(uid), F.lit(spread)))
+        named = named.withColumn("_dealt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+        match = F.col("_deal") == F.col("_dealt")
+    for c in on:
+        match = match & F.col(f"`{c}`").eqNullSafe(F.col(f"_key_{c}"))
+    return rows.join(named, match, "left").drop(*keys, "_deal", "_dealt")
