@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op13_token_alignment
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language import op9_language_id
 from .lm import op6_lm_score
@@ -13,9 +14,11 @@ from .mixing import op4_mixing
 from .preference import OP7_SQL, op7_preference
 from .sentencepiece import op3_sentencepiece
 from .simhash import op2_simhash
+from .token_counts import op12_token_counts
 from .topk import OP10_SQL, op10_topk
 from .toxicity import op5_toxicity
 from .url_filter import OP8_SQL, op8_url_filter
+from .vector_codes import OP11_SQL, op11_vector_codes
 
 _QUERIES = [
     (op1_exact_dedup, OP1_SQL),
@@ -28,6 +31,9 @@ _QUERIES = [
     (op8_url_filter, OP8_SQL),
     (op9_language_id, None),
     (op10_topk, OP10_SQL),
+    (op11_vector_codes, OP11_SQL),
+    (op12_token_counts, None),
+    (op13_token_alignment, None),
 ]
 
 
