@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.durable import table
+from ..sources.durable import exists, table
+from .similarity import case_pairs, greatest_cosine, similar_pairs
+
+__all__ = ["case_components", "case_pairs", "dedupe_appended", "dedupe_by_case", "dot", "embedded", "global_dedupe", "greatest_cosine", "leaders", "merged", "merged_global", "side_label", "similar_pairs", "unit"]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,58 +26,6 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def _blocks(df: DataFrame, pos: str, vec: str, block: int) -> DataFrame:
-    """Rows of `block` positions each: block, ids and vectors."""
-    rows = df.select(F.expr(f"`{pos}` div {block}").alias("block"), F.struct(F.col(pos).alias("pos"), F.col(vec).alias("vec")).alias("v"))
-    return rows.groupBy("block").agg(F.array_sort(F.collect_list("v"), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("rows"))
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, pos: str = "pos", vec: str = "vec", block: int = 1024, ordered: bool = False) -> DataFrame:
-    """Pairs (a, b, cos) of rows of left and right at cosine >= threshold; ordered: only a < b.
-
-    A cosine threshold on arbitrary vectors has no key to join on, so every block of one side meets every
-    block of the other, as one matrix product; only pairs at the threshold leave it. A task holds two
-    blocks. Positions are to be about dense, for blocks of about one size.
-    """
-    a = _blocks(left, pos, vec, block).select(F.col("block").alias("i"), F.col("rows").alias("x"))
-    b = _blocks(right, pos, vec, block).select(F.col("block").alias("j"), F.col("rows").alias("y"))
-    pairs = a.join(b, F.col("i") <= F.col("j")) if ordered else a.crossJoin(b)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for xs, ys in zip(pdf["x"], pdf["y"], strict=True):
-                ids = [np.array([r["pos"] for r in s], dtype=np.int64) for s in (xs, ys)]
-                m = [np.array([r["vec"] for r in s], dtype=np.float64) for s in (xs, ys)]
-                cos = m[0] @ m[1].T
-                i, j = np.nonzero(cos >= threshold)
-                if ordered:
-                    keep = ids[0][i] < ids[1][j]
-                    i, j = i[keep], j[keep]
-                yield pd.DataFrame({"a": ids[0][i], "b": ids[1][j], "cos": cos[i, j]})
-
-    return pairs.select("x", "y").mapInPandas(run, "a long, b long, cos double")
-
-
-def greatest_cosine(left: DataFrame, right: DataFrame, block: int = 1024, pos: str = "pos", vec: str = "vec") -> DataFrame:
-    """Each row of left with its greatest cosine to right and the first row that has it; 0 and null if right is empty.
-
-    Each pair of blocks leaves one row a row of left, so what is shuffled is left times right's blocks.
-    """
-    a = _blocks(left, pos, vec, block).select(F.col("rows").alias("x"))
-    b = _blocks(right, pos, vec, block).select(F.col("rows").alias("y"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for xs, ys in zip(pdf["x"], pdf["y"], strict=True):
-                ids = [np.array([r["pos"] for r in s], dtype=np.int64) for s in (xs, ys)]
-                cos = np.array([r["vec"] for r in xs], dtype=np.float64) @ np.array([r["vec"] for r in ys], dtype=np.float64).T
-                top = cos.argmax(1)
-                yield pd.DataFrame({"pos": ids[0], "other": ids[1][top], "cos": cos[np.arange(len(top)), top]})
-
-    best = a.crossJoin(b).mapInPandas(run, "pos long, other long, cos double").groupBy("pos").agg(F.max(F.struct("cos", (-F.col("other")).alias("o"))).alias("m"))
-    return left.select(F.col(pos).alias("pos")).join(best, "pos", "left").select("pos", F.coalesce("m.cos", F.lit(0.0)).alias("cos"), (-F.col("m.o")).alias("other"))
-
-
 def side_label(cos: Column, side: str, threshold: float) -> Column:
     """Shared, or this side only."""
     return F.when(cos >= threshold, "shared").otherwise(f"{side}_only")
@@ -132,7 +83,7 @@ def _first_come(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pos": [p for p in by if p not in covered]}, dtype="int64")
 
 
-def leaders(nodes: DataFrame, edges: DataFrame, few: int = 2_000_000) -> DataFrame:
+def leaders(nodes: DataFrame, edges: DataFrame, few: int = 100_000) -> DataFrame:
     """Of nodes (pos) and edges (a < b): the nodes that greedy de-duplication in order of pos would keep.
 
     A node leads just when no earlier leader is its neighbour: the first maximal independent set. Each
@@ -155,21 +106,47 @@ def leaders(nodes: DataFrame, edges: DataFrame, few: int = 2_000_000) -> DataFra
         state = table(state.join(new.withColumn("leads", F.lit(2)), "pos", "left").join(covered, "pos", "left").select("pos", F.coalesce("leads", F.when(F.col("state") == 1, F.col("gone")), "state").alias("state")))
 
 
-def global_dedupe(rows: DataFrame, threshold: float, batch: int = 512, block: int = 1024) -> DataFrame:
-    """Leader of every row (pos, vec, and what `merged_global` sums) under batched greedy de-duplication.
-
-    Leaders don't depend on the batch. Which leader a row joins does: the most similar one of earlier
-    batches if that is at the threshold, else the most similar earlier one of its own batch.
-    """
+def _settled(rows: DataFrame, threshold: float, block: int, older: Column) -> DataFrame:
+    """Leaders among rows (pos, vec), and the leader that every other joins: of those that `older` marks (a before b) the most similar, else of the others."""
     edges = table(similar_pairs(rows, rows, threshold, block=block, ordered=True))
     lead = table(leaders(rows, edges))
     options = edges.join(lead.withColumnRenamed("pos", "a"), "a").join(lead.withColumnRenamed("pos", "b"), "b", "left_anti")
-    older = F.expr(f"a div {batch} < b div {batch}")
     best = options.groupBy("b").agg(F.max(F.struct(older.alias("older"), "cos", (-F.col("a")).alias("a"))).alias("m"))
     joined = best.select(F.col("b").alias("pos"), (-F.col("m.a")).alias("leader"), F.col("m.cos").alias("cos"))
     return joined.unionByName(lead.select("pos", F.col("pos").alias("leader"), F.lit(0.0).alias("cos")))
 
 
+def global_dedupe(rows: DataFrame, threshold: float, batch: int = 512, block: int = 1024) -> DataFrame:
+    """Leader of every row (pos, vec, and what `merged_global` sums) under batched greedy de-duplication.
+
+    Leaders don't depend on the batch. Which leader a row joins does: the most similar one of earlier
+    batches if that is at the threshold, else the most similar earlier one of its own batch.
+    """
+    return _settled(rows, threshold, block, F.expr(f"a div {batch} < b div {batch}"))
+
+
+def dedupe_appended(folder: str, number: int, rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """C6, batch by batch: leader and cos of every row (pos, vec) of batch `number`, given the leaders of the batches before it, which `folder` keeps.
+
+    A row joins the most similar earlier leader at the threshold; only rows without one meet each other, and
+    those that lead are added to the folder. So a batch costs a search in the leaders and its own rest, and all
+    batches, in order of pos, give what `global_dedupe` gives for them at once. A batch done again
+    replaces its own part and gives the same. An empty batch is one without leaders.
+    """
+    spark, kind = rows.sparkSession, "pos long, vec array<double>"
+    rows = table(rows.select(F.col("pos").cast("long").alias("pos"), F.col("vec").cast("array<double>").alias("vec")))
+    earlier = spark.createDataFrame([], f"{kind}, batch int")
+    if exists(spark, folder):
+        earlier = spark.read.schema(f"{kind}, batch int").parquet(folder)
+    near = table(greatest_cosine(rows, earlier.filter(F.col("batch") < number), block))
+    joined = near.filter(F.col("other").isNotNull() & (F.col("cos") >= threshold)).select("pos", F.col("other").alias("leader"), "cos")
+    rest = table(rows.join(joined, "pos", "left_anti"))
+    found = table(joined.unionByName(_settled(rest, threshold, block, F.lit(False))))
+    lead = rest.join(found.filter("pos = leader").select("pos"), "pos", "left_semi")
+    lead.select("pos", "vec").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    return found
+
+
 def merged_global(found: DataFrame, rows: DataFrame) -> DataFrame:
     """One row a leader: models of its group, sorted, how many joined, and the weight of greatest size (of equal ones the first)."""
     both = found.join(rows.select("pos", "model", "weight"), "pos")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import vectors as C
+from ..sources.durable import new_path, table
 from .catalog import query
 from .scoring import rounded
 
@@ -43,19 +44,39 @@ def c5(concepts):
     return C.merged(C.dedupe_by_case(rows.select("case", "rank", "pos", "vec", "model"), 0.3, "model")).withColumn("tags", F.array_join("tags", ","))
 
 
-@query("c6_a29_global_dedupe", f"""WITH RECURSIVE {_V}, {_U}, o AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM u WHERE side = 'model'),
+_GLOBAL = f"""WITH RECURSIVE {_V}, {_U}, o AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM u WHERE side = 'model'),
 s(i, kept, ids) AS (SELECT CAST(0 AS BIGINT), CAST([] AS DOUBLE[][]), CAST([] AS BIGINT[]) UNION ALL
 SELECT o.i, CASE WHEN len(list_filter(s.kept, lambda x: list_inner_product(x, o.vec) >= 0.3)) > 0 THEN s.kept ELSE list_append(s.kept, o.vec) END,
 CASE WHEN len(list_filter(s.kept, lambda x: list_inner_product(x, o.vec) >= 0.3)) > 0 THEN s.ids ELSE list_append(s.ids, o.pos) END FROM s JOIN o ON o.i = s.i + 1),
 l AS (SELECT unnest(arg_max(ids, i)) AS leader FROM s),
-j AS (SELECT o.pos, o.model, o.weight, b.pos AS lead, list_inner_product(o.vec, b.vec) AS cos, b.pos // 64 < o.pos // 64 AS older FROM o JOIN o b ON b.pos < o.pos JOIN l ON l.leader = b.pos WHERE o.pos NOT IN (SELECT leader FROM l)),
+j AS (SELECT o.pos, o.model, o.weight, b.pos AS lead, list_inner_product(o.vec, b.vec) AS cos, b.pos // :size < o.pos // :size AS older FROM o JOIN o b ON b.pos < o.pos JOIN l ON l.leader = b.pos WHERE o.pos NOT IN (SELECT leader FROM l)),
 w AS (SELECT pos, model, weight, lead AS leader FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY older DESC, cos DESC, lead) AS r FROM j WHERE cos >= 0.3) WHERE r = 1 UNION ALL SELECT pos, model, weight, pos FROM o WHERE pos IN (SELECT leader FROM l))
-SELECT leader, array_to_string(list_sort(list(DISTINCT model)), ',') AS models, count(*) - 1 AS n_merged, arg_max(weight, abs(weight) * 1e9::DOUBLE + CASE WHEN pos = leader THEN 1e8::DOUBLE ELSE -pos END) AS weight FROM w GROUP BY 1""")
+SELECT leader, array_to_string(list_sort(list(DISTINCT model)), ',') AS models, count(*) - 1 AS n_merged, arg_max(weight, abs(weight) * 1e9::DOUBLE + CASE WHEN pos = leader THEN 1e8::DOUBLE ELSE -pos END) AS weight FROM w GROUP BY 1"""
+
+
+@query("c6_a29_global_dedupe", _GLOBAL.replace(":size", "64"))
 def c6(concepts):
     rows = _unit(concepts).filter("side = 'model'")
     return C.merged_global(C.global_dedupe(rows, 0.3, batch=64, block=128), rows).withColumn("models", F.array_join("models", ","))
 
 
+@query("c6_appended_batches", _GLOBAL.replace(":size", "(SELECT max(pos) // 4 + 1 FROM v)"))
+def c6_batches(concepts):
+    """Four batches one after the other, each against the leaders kept so far."""
+    rows, folder = table(_unit(concepts).filter("side = 'model'")), new_path(concepts.sparkSession)
+    size = (concepts.agg(F.max("pos")).head()[0] or 0) // 4 + 1
+    found = [C.dedupe_appended(folder, i, rows.filter(F.expr(f"pos div {size}") == i), 0.3, block=128) for i in range(4)]
+    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return C.merged_global(every, rows).withColumn("models", F.array_join("models", ","))
+
+
+@query("j16_similar_pairs", f"""WITH {_V}, {_U} SELECT a.pos AS a, b.pos AS b, round(list_inner_product(a.vec, b.vec), 6) AS cos
+FROM u a JOIN u b ON a.side = 'human' AND b.side = 'model' AND list_inner_product(a.vec, b.vec) >= 0.35""")
+def j16(concepts):
+    rows = _unit(concepts)
+    return rounded(C.similar_pairs(rows.filter("side = 'human'"), rows.filter("side = 'model'"), 0.35, block=128), "cos")
+
+
 @query("c7_c8_j16_sides", f"""WITH {_V}, {_U}, m AS (SELECT a.pos, a.side, max(list_inner_product(a.vec, b.vec)) AS cos FROM u a JOIN u b ON a.side <> b.side GROUP BY 1, 2)
 SELECT pos, round(cos, 6) AS cos, CASE WHEN cos >= 0.35 THEN 'shared' ELSE side || '_only' END AS side FROM m""")
 def c7(concepts):
@@ -78,9 +99,7 @@ r(pos, k, reach) AS (SELECT pos, "case", pos FROM u UNION SELECT r.pos, r.k, e.b
 SELECT k AS "case", pos, min(reach) AS component FROM r GROUP BY 1, 2""")
 def c10(concepts):
     rows = _unit(concepts).select("case", "pos", "vec")
-    other = rows.select("case", F.col("pos").alias("b"), F.col("vec").alias("w"))
-    edges = rows.join(other, "case").filter((F.col("pos") < F.col("b")) & (C.dot(F.col("vec"), F.col("w")) >= 0.3)).select("case", F.col("pos").alias("a"), "b")
-    return C.case_components(rows.select("case", "pos"), edges)
+    return C.case_components(rows.select("case", "pos"), C.case_pairs(rows, 0.3))
 
 
 @query("c11_embedded")
