@@ -253,7 +253,7 @@ def _aligned(a: ByteLevel, b: PieceLevel, links: str, groups: bool):
             kept["encoders"] = (a.encoder(), b.encoder())
             kept["digits"] = (Digits(len(a.said.size)), Digits(len(b.said.size)))
         for batch in batches:
-            for some in _slices(batch, "text", 2 << 20):
+            for some in _slices(batch, "text", 3 << 19):
                 texts = [(t or b"").decode("utf-8", "replace").encode() for t in some.column("text").cast(pa.binary()).to_pylist()]
                 got = Aligned(texts, a, b, kept, kept["encoders"], links)
                 lines = got.lines(*kept["digits"])
@@ -302,17 +302,28 @@ def _tallied(most: int):
             return pa.RecordBatch.from_arrays([pa.array(keys >> 32, pa.int64()), pa.array(keys & 0xFFFFFFFF, pa.int64()), pa.array(counts)], names=["a", "b", "n"])
 
         for batch in batches:
-            new, n = np.unique(_pairs(batch), return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > most:
-                yield out()
-                keys, counts = keys[:0], counts[:0]
+            for some in _by_links(batch):
+                new, n = np.unique(_pairs(some), return_counts=True)
+                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+                if len(keys) > most:
+                    yield out()
+                    keys, counts = keys[:0], counts[:0]
         yield out()
 
     return run
 
 
+def _by_links(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` links; one row's links stay together."""
+    ends = batch.column("link_a").offsets.to_numpy()
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _pairs(batch: pa.RecordBatch) -> np.ndarray:
     a, b = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("link_a", "link_b"))
     return a << 32 | b
@@ -323,15 +334,16 @@ def _looked_up(keys: np.ndarray, counts: np.ndarray, best: np.ndarray, names: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, at = np.unique(_pairs(batch), return_inverse=True)
-            where = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
-            here = keys[where] == pairs if len(keys) else np.zeros(len(pairs), bool)
-            n = np.where(here, counts[where], 0)[at] if len(keys) else np.zeros(len(at), np.int64)
-            top = np.where(here, best[where], False)[at] if len(keys) else np.zeros(len(at), bool)
-            ends = batch.column("link_a").offsets.to_numpy()
-            ends = ends - ends[0]
-            sums = [np.diff(np.r_[0, np.cumsum(x)][ends]) for x in (top, n)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array(x.astype(np.int64)) for x in sums]], names=[*names, "n_best", "count_sum"])
+            for some in _by_links(batch):
+                pairs = _pairs(some)
+                n, top = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+                if len(keys):
+                    where = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+                    here = keys[where] == pairs
+                    n[here], top[here] = counts[where[here]], best[where[here]]
+                ends = some.column("link_a").offsets.to_numpy()
+                sums = [np.diff(np.r_[0, np.cumsum(x)][ends - ends[0]]) for x in (top, n)]
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], *[pa.array(x) for x in sums]], names=[*names, "n_best", "count_sum"])
 
     return run
 
