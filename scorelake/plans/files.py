@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import readers, writers
 from ..sources.durable import shared_dir
-from ..streaming import incremental
+from ..streaming import incremental, keyed
 from .catalog import query
 
 
@@ -170,12 +170,39 @@ def k7(tasks):
 
 @query("i4_i5_stream_last_status", "SELECT task_id, arg_max(status, seq) AS status, max(seq) AS seq FROM status_log GROUP BY 1")
 def i4(spark, status_log):
-    """The log as a stream of files, merged batch by batch."""
+    """The log as a stream of files: each batch writes the tasks that it changes, the first ones are then compacted."""
     path = _place(spark)
-    status_log.select("task_id", "status", "seq").repartition(3, "seq").write.json(f"{path}/in")
-    sink = incremental.upsert_last(spark, f"{path}/out")
-    incremental.run_to_end(incremental.row_stream(spark, f"{path}/in", "task_id long, status string, seq long"), sink, f"{path}/checkpoint")
-    return incremental.current(spark, f"{path}/out", sink)
+    log = status_log.select("task_id", "status", "seq")
+    for rest in (0, 1):  # two runs of one stream
+        log.filter(F.col("seq") % 2 == rest).repartition(2, "seq").write.mode("append").json(f"{path}/in")
+        rows = incremental.row_stream(spark, f"{path}/in", "task_id long, status string, seq long")
+        incremental.run_to_end(keyed.changed_last(rows), keyed.changes_to(f"{path}/out"), f"{path}/checkpoint", "update")
+        if not rest:
+            keyed.compacted(spark, f"{path}/out")
+    return keyed.current_last(spark, f"{path}/out")
+
+
+_STALLS = """WITH e AS (SELECT event_id AS task_id, epoch_ms(ts) AS asked, CASE WHEN event_type <> 'error' THEN epoch_ms(ts) + CAST(round(value * 1000) AS BIGINT) END AS answered FROM events WHERE ts IS NOT NULL),
+w AS (SELECT max(greatest(asked, coalesce(answered, asked))) - 3600000 AS upto FROM e)
+SELECT task_id, 'answered' AS outcome, answered - asked AS waited FROM e WHERE answered <= asked + 20000
+UNION ALL SELECT task_id, 'late', answered - asked FROM e WHERE answered > asked + 20000
+UNION ALL SELECT task_id, 'timed out', 20000 FROM e, w WHERE answered > asked + 20000 OR answered IS NULL AND asked + 20000 <= upto"""
+
+
+@query("i7_stall_timer", _STALLS)
+def i7(spark, sf_dir):
+    """Every event is a question that is answered after `value` seconds, errors never: those without an answer in 20 seconds time out, however late it comes."""
+    path = _place(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("task_id"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ms"), F.when(F.col("event_type") != "error", F.round(F.col("value") * 1000).cast("long")).alias("takes")).filter("ms is not null")
+    both = events.select("task_id", F.lit("ask").alias("kind"), "ms").unionByName(events.filter("takes is not null").select("task_id", F.lit("answer").alias("kind"), (F.col("ms") + F.col("takes")).alias("ms")))
+    first, last = both.agg(F.min("ms"), F.max("ms")).head()
+    step = ((last or 0) - (first or 0)) // 4 + 1
+    for i in range(4):  # files in order of time, as they would appear
+        part = both.filter(F.expr(f"(ms - {first or 0}) div {step}") == i)
+        part.select("task_id", "kind", F.timestamp_millis("ms").alias("at")).coalesce(1).write.mode("append").json(f"{path}/in")
+    rows = incremental.row_stream(spark, f"{path}/in", "task_id long, kind string, at timestamp")
+    incremental.run_to_end(keyed.with_stall_limit(rows, 20, "1 hour"), lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/n={number}"), f"{path}/checkpoint", "update")
+    return spark.read.parquet(f"{path}/out").select("task_id", "outcome", (F.unix_millis("at") - F.unix_millis("asked_at")).alias("waited"))
 
 
 @query("i1_i2_stream_resume", "SELECT DISTINCT task_id FROM status_log WHERE status = 'ok'")

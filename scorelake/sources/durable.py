@@ -38,3 +38,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is anything at a path of any store that Spark writes to."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

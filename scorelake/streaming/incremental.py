@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.runs import last_status, progress
+from ..operators.runs import progress
 
 
 def row_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -21,40 +21,13 @@ def completed_once(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.dropDuplicates(list(keys))
 
 
-def upsert_last(spark: SparkSession, folder: str, key: str = "task_id", order: str = "seq"):
-    """A sink that keeps each task's last row. A batch merges with the last complete version and writes a new one, named by the batch, so a batch run again writes the same."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions() -> list[int]:
-        if not fs.exists(base):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(base)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
-
-    def merge(batch: DataFrame, number: int) -> None:
-        older = [v for v in versions() if v < number]
-        if older:
-            batch = batch.sparkSession.read.parquet(f"{folder}/v={older[-1]}").unionByName(batch.select(key, "status", order))
-        last_status(batch, key, order).write.mode("overwrite").parquet(f"{folder}/v={number}")
-
-    merge.versions = versions
-    return merge
-
-
-def run_to_end(rows: DataFrame, sink, checkpoint: str) -> StreamingQuery:
-    """All rows that are there, in micro-batches, each through the sink once."""
-    query = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(rows: DataFrame, sink, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """All rows that are there, in micro-batches, each through the sink once; a later run of the same checkpoint goes on from its state."""
+    query = rows.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def current(spark: SparkSession, folder: str, sink) -> DataFrame:
-    """The tasks' last rows as of the last complete batch."""
-    return spark.read.parquet(f"{folder}/v={sink.versions()[-1]}")
-
-
 def current_progress(tasks: DataFrame, last: DataFrame) -> DataFrame:
     """A25 from a stream's current state."""
     return progress(tasks, last.select("task_id", "status", F.col("seq")))
