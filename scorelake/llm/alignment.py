@@ -246,21 +246,35 @@ class Aligned:
         return [data[i : max(i, j - 1)] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def _aligned(a: ByteLevel, b: PieceLevel, links: str, groups: bool):
+def _packed(ids: np.ndarray, counts: np.ndarray, kind: str) -> pa.Array:
+    """Each text's numbers as bytes of one kind."""
+    data = ids.astype(kind)
+    ends = np.r_[0, np.cumsum(counts)] * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _kind(top: int) -> str:
+    return "<u2" if top <= 1 << 16 else "<u4"
+
+
+def _aligned(a: ByteLevel, b: PieceLevel, links: str, groups: bool, packed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = kept_by_worker("alignment", (a.key, b.key))
         if "encoders" not in kept:
             kept["encoders"] = (a.encoder(), b.encoder())
             kept["digits"] = (Digits(len(a.said.size)), Digits(len(b.said.size)))
         for batch in batches:
-            for some in _slices(batch, "text", 3 << 19):
+            for some in _slices(batch, "text", 1 << 20):
                 texts = [(t or b"").decode("utf-8", "replace").encode() for t in some.column("text").cast(pa.binary()).to_pylist()]
                 got = Aligned(texts, a, b, kept, kept["encoders"], links)
                 lines = got.lines(*kept["digits"])
-                ends = pa.array(np.r_[0, np.cumsum(got.n_links)].astype(np.int32))
                 out = {"uid": some.column("uid"), "id": some.column("id")} | {k: pa.array(getattr(got, k), pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")}
                 out["groups_sha256"] = pa.array([sha256(x).hexdigest() if x else "" for x in lines], pa.string())
-                out |= {k: pa.ListArray.from_arrays(ends, pa.array(getattr(got, k), pa.int32())) for k in ("link_a", "link_b")}
+                if packed:
+                    out |= {k: _packed(getattr(got, k), got.n_links, _kind(len(x.said.size))) for k, x in (("link_a", a), ("link_b", b))}
+                else:
+                    ends = pa.array(np.r_[0, np.cumsum(got.n_links)].astype(np.int32))
+                    out |= {k: pa.ListArray.from_arrays(ends, pa.array(getattr(got, k), pa.int32())) for k in ("link_a", "link_b")}
                 if groups:
                     out["groups"] = pa.array([x.decode() for x in lines], pa.string())
                 yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
@@ -268,14 +282,16 @@ def _aligned(a: ByteLevel, b: PieceLevel, links: str, groups: bool):
     return run
 
 
-def tokens_aligned(df: DataFrame, byte_level: str = BYTE_LEVEL, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", links: str = "end", groups: bool = False) -> DataFrame:
+def tokens_aligned(df: DataFrame, byte_level: str = BYTE_LEVEL, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", links: str = "end", groups: bool = False, packed: bool = False) -> DataFrame:
     """Each text in a byte-level vocabulary (A: a space and the text) and a piece model (B: the text), aligned by bytes.
 
     uid, id, n_a, n_b, n_groups, n_links, groups_sha256, link_a and link_b (the numbers of every link's tokens, in
     order) and, if asked for, groups: `a1,a2|b1;a3|b2,b3`. The union of both arrays of ends cuts a text's bytes into
     elementary intervals; each has one owner in A and one in B, found by binary search. Where both end a group
     closes. links: `end`, pairs of tokens that end together; `overlap`, one for each interval; `group`, all
-    pairs of a group, which may be many where texts have long stretches without a shared end.
+    pairs of a group, which may be many where texts have long stretches without a shared end. packed: link_a and
+    link_b as bytes (little-endian, two for each number if the vocabulary has up to 65,536, else four), which costs
+    Spark less.
 
     Encoding is the libraries', of units (words) that neither vocabulary's tokens cross, kept by the
     worker. Special strings are plain text. Texts that are null or empty, or whose tokens' bytes are not
@@ -289,7 +305,8 @@ def tokens_aligned(df: DataFrame, byte_level: str = BYTE_LEVEL, model: str = MOD
     rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     numbers = dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), "bigint")
     more = {"groups": "string"} if groups else {}
-    return rows.mapInArrow(_aligned(a, b, links, groups), fields(rows, "uid", "id", **numbers, groups_sha256="string", link_a="array<int>", link_b="array<int>", **more))
+    link = dict.fromkeys(("link_a", "link_b"), "binary" if packed else "array<int>")
+    return rows.mapInArrow(_aligned(a, b, links, groups, packed), fields(rows, "uid", "id", **numbers, groups_sha256="string", **link, **more))
 
 
 def _tallied(most: int):
@@ -316,17 +333,24 @@ def _tallied(most: int):
 
 def _by_links(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about `most` links; one row's links stay together."""
-    ends = batch.column("link_a").offsets.to_numpy()
-    a = 0
+    ends, a = np.r_[0, np.cumsum(batch.column("n_links").to_numpy())], 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
         yield batch.slice(a, b - a)
         a = b
 
 
+def _numbers(column: pa.Array, n: int) -> np.ndarray:
+    """All token numbers of lists, or of packed bytes, one after the other."""
+    if not pa.types.is_binary(column.type):
+        return column.flatten().to_numpy().astype(np.int64)
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
+
+
 def _pairs(batch: pa.RecordBatch) -> np.ndarray:
-    a, b = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("link_a", "link_b"))
-    return a << 32 | b
+    n = int(batch.column("n_links").to_numpy().sum())
+    return _numbers(batch.column("link_a"), n) << 32 | _numbers(batch.column("link_b"), n)
 
 
 def _looked_up(keys: np.ndarray, counts: np.ndarray, best: np.ndarray, names: list[str]):
@@ -341,8 +365,8 @@ def _looked_up(keys: np.ndarray, counts: np.ndarray, best: np.ndarray, names: li
                     where = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
                     here = keys[where] == pairs
                     n[here], top[here] = counts[where[here]], best[where[here]]
-                ends = some.column("link_a").offsets.to_numpy()
-                sums = [np.diff(np.r_[0, np.cumsum(x)][ends - ends[0]]) for x in (top, n)]
+                ends = np.r_[0, np.cumsum(some.column("n_links").to_numpy())]
+                sums = [np.diff(np.r_[0, np.cumsum(x)][ends]) for x in (top, n)]
                 yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], *[pa.array(x) for x in sums]], names=[*names, "n_best", "count_sum"])
 
     return run
@@ -350,7 +374,7 @@ def _looked_up(keys: np.ndarray, counts: np.ndarray, best: np.ndarray, names: li
 
 def link_counts(found: DataFrame, most: int = 1_000_000) -> DataFrame:
     """a, b, n (how many links of all texts have the pair) and best (whether no pair of its b has more), of every pair."""
-    pairs = found.select("link_a", "link_b").mapInArrow(_tallied(most), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = found.select("n_links", "link_a", "link_b").mapInArrow(_tallied(most), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = table(pairs)
     top = pairs.groupBy("b").agg(F.max("n").alias("top"))
     return pairs.join(top, "b").select("a", "b", "n", (F.col("n") == F.col("top")).alias("best"))
@@ -379,7 +403,7 @@ def linked_best(found: DataFrame, few: int = 2_000_000) -> DataFrame:
     if blocks == 1:
         return found.select(*names, "link_a", "link_b").mapInArrow(_looked_up(*held(0), names), fields(found, *names, n_best="bigint", count_sum="bigint"))
     for i in range(blocks):
-        part = found.select("uid", "link_a", "link_b").mapInArrow(_looked_up(*held(i), ["uid"]), fields(found, "uid", n_best="bigint", count_sum="bigint"))
+        part = found.select("uid", "n_links", "link_a", "link_b").mapInArrow(_looked_up(*held(i), ["uid"]), fields(found, "uid", n_best="bigint", count_sum="bigint"))
         part.write.mode("append").parquet(path)
     sums = spark.read.schema(part.schema).parquet(path).groupBy("uid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     return found.select(*names).join(sums, "uid")
@@ -387,5 +411,5 @@ def linked_best(found: DataFrame, few: int = 2_000_000) -> DataFrame:
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens under both vocabularies, their groups, and how common its links are over all documents."""
-    found = table(tokens_aligned(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    found = table(tokens_aligned(spark.read.parquet(f"{sf_dir}/documents.parquet"), packed=True))
     return linked_best(found).select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -127,8 +127,8 @@ def test_groups_and_links_are_those_of_brute_force(spark, links, at):
         assert sorted(zip(r["link_a"], r["link_b"], strict=True)) == sorted(w[at])
 
 
-@pytest.mark.parametrize("few", [1_000_000, 40])
-def test_counts_of_links_over_all_texts(spark, few):
+@pytest.mark.parametrize(("few", "packed"), [(1_000_000, True), (1_000_000, False), (40, True)])
+def test_counts_of_links_over_all_texts(spark, few, packed):
     """One block of pairs and several give the same sums."""
     df = docs(spark, SMALL)
     texts = [*SMALL, "", "again", "again"]
@@ -139,7 +139,7 @@ def test_counts_of_links_over_all_texts(spark, few):
         top[b] = max(top[b], n)
     ids = [*range(len(SMALL)), None, 3, 3]
     rows = Counter((i, len(w[3]), sum(total[p] == top[p[1]] for p in w[3]), sum(total[p] for p in w[3])) for i, w in zip(ids, want, strict=True))
-    got = linked_best(table(tokens_aligned(df)), few=few).collect()
+    got = linked_best(table(tokens_aligned(df, packed=packed)), few=few).collect()
     assert Counter((r["id"], r["n_links"], r["n_best"], r["count_sum"]) for r in got) == rows
 
 
