@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def match_metrics(rows: DataFrame, by: Sequence[str] = ("case",)) -> DataFrame:
@@ -77,33 +76,6 @@ def side_shares(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return counts.withColumns({f"{s}_pct": F.coalesce(F.bround(F.try_divide(100.0 * F.col(s), F.col("total")), 1), F.lit(0.0)) for s in names})
 
 
-def flattened(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, path, type, value) of every scalar of nested rows."""
-
-    def walk(c: Column, kind: T.DataType, path: str) -> list[Column]:
-        if isinstance(kind, T.StructType):
-            return [x for f in kind.fields for x in walk(c[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)]
-        name = kind.simpleString()
-        value = F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))) if isinstance(kind, T.ArrayType) else c.cast("string")
-        return [F.struct(F.lit(path).alias("path"), F.lit("double" if name in ("float", "double") else name).alias("type"), value.alias("value"))]
-
-    parts = [x for f in df.schema.fields if f.name != id_col for x in walk(F.col(f.name), f.dataType, f.name)]
-    return df.select(F.col(id_col).alias("id"), F.explode(F.array(*parts)).alias("x")).select("id", "x.*").filter("value is not null")
-
-
-def differences(actual: DataFrame, expected: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Paths (id, path, type, value on each side) that only one side has, whose types differ, or whose values do: doubles by more than the tolerance."""
-    a = actual.select("id", "path", F.col("type").alias("type_a"), F.col("value").alias("a"))
-    e = expected.select("id", "path", F.col("type").alias("type_e"), F.col("value").alias("e"))
-    both = a.join(e, ["id", "path"], "full")
-    far = F.abs(F.col("a").try_cast("double") - F.col("e").try_cast("double")) > tolerance
-    problem = (
-        F.when(F.col("type_e").isNull(), "missing from expected").when(F.col("type_a").isNull(), "missing from actual")
-        .when(F.col("type_a") != F.col("type_e"), "type mismatch").when((F.col("type_a") == "double") & far, "differs").when((F.col("type_a") != "double") & (F.col("a") != F.col("e")), "differs")
-    )
-    return both.withColumn("problem", problem).filter("problem is not null").select("id", "path", "problem", "a", "e")
-
-
 def one_sided_ids(residual: Column, found: Column) -> Column:
     """Residual ids that were found, and those that were missed."""
     return F.struct(F.array_intersect(residual, found).alias("confirmed"), F.array_except(residual, found).alias("missed"))

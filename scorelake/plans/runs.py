@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as M
 from ..operators import agree as G
+from ..operators import compare as D
 from ..operators import control as J
 from ..operators import runs as O
 from ..sources import readers, writers
@@ -115,12 +116,37 @@ def m10(tasks):
     return tasks.select("task_id", F.bround(F.col("task_id") / 4, 1).alias("r"))
 
 
-@query("d1_d2_differences", "SELECT task_id AS id, 'stats.weight' AS path, 'differs' AS problem, CAST(2 * task_id AS VARCHAR) AS a, CAST(2 * task_id + 1 AS VARCHAR) AS e FROM tasks WHERE task_id % 50 = 0 UNION ALL SELECT task_id, 'name', 'missing from expected', priority, NULL FROM tasks WHERE task_id % 70 = 0")
+@query("d1_d2_differences", "SELECT task_id AS id, 'stats.weight' AS path, 'differs' AS problem, CAST(2 * task_id AS VARCHAR) AS a, CAST(2 * task_id + 1 AS VARCHAR) AS e FROM tasks WHERE task_id % 50 = 0 UNION ALL SELECT task_id, 'name', 'type mismatch', 'str', 'null' FROM tasks WHERE task_id % 70 = 0")
 def d1(tasks):
+    """Metrics as columns; a missing name is null."""
     t = F.col("task_id")
     actual = tasks.select("task_id", F.struct((t * 2).alias("weight"), (t / 3).alias("mean")).alias("stats"), F.col("priority").alias("name"))
     expected = tasks.select("task_id", F.struct((t * 2 + (t % 50 == 0).cast("int")).alias("weight"), (t / 3 + 1e-9).alias("mean")).alias("stats"), F.when(t % 70 != 0, F.col("priority")).alias("name"))
-    return O.differences(O.flattened(actual, "task_id"), O.flattened(expected, "task_id"))
+    return D.differences(D.documents(actual, "task_id"), D.documents(expected, "task_id"))
+
+
+_DEEP = """SELECT task_id AS id, 'runs[1].rate' AS path, 'differs' AS problem, '0.5' AS a, '0.25' AS e FROM tasks WHERE task_id % 11 = 0
+UNION ALL SELECT task_id, 'runs', 'length mismatch', '2', '3' FROM tasks WHERE task_id % 11 = 1
+UNION ALL SELECT task_id, 'runs[0].tags[1]', 'type mismatch', 'str', 'int' FROM tasks WHERE task_id % 11 = 2
+UNION ALL SELECT task_id, 'runs[0].extra', 'missing from expected', '[1,2]', NULL FROM tasks WHERE task_id % 11 = 3
+UNION ALL SELECT task_id, 'by.' || status, 'missing from actual', NULL, '{"n":' || task_id || '}' FROM tasks WHERE task_id % 11 = 4
+UNION ALL SELECT task_id, 'runs[1]', 'type mismatch', 'object', 'list' FROM tasks WHERE task_id % 11 = 5
+UNION ALL SELECT task_id, '', 'missing from actual', NULL, '{"by":{},"runs":[]}' FROM tasks WHERE task_id % 11 = 6
+UNION ALL SELECT task_id, 'note', 'type mismatch', 'null', 'str' FROM tasks WHERE task_id % 11 = 8"""
+
+
+@query("d1_deep_differences", _DEEP)
+def d1_deep(tasks):
+    """Documents of lists in objects in lists, different in one way each by the task's number; 7 differs within the tolerance, 9 and 10 not at all."""
+    t, m = F.col("task_id").cast("string"), F.col("task_id") % 11
+    at = lambda n, special, usual: F.when(m == n, special).otherwise(usual)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    a = text('{"runs":[{"rate":0.125,"tags":["x","y"]', at(3, F.lit(',"extra":[1,2]'), F.lit("")), '},{"rate":0.5}],"by":{}', at(8, F.lit(',"note":null'), F.lit("")), "}")
+    second = at(0, F.lit('{"rate":0.25}'), at(5, F.lit("[0.5]"), at(7, F.lit('{"rate":0.50000001}'), F.lit('{"rate":0.5}'))))
+    e = text('{"runs":[{"rate":0.125,"tags":["x",', at(2, F.lit("1"), F.lit('"y"')), "]},", second, at(1, F.lit(',{"rate":1.5}'), F.lit("")), '],"by":{', at(4, text('"', F.col("status"), '":{"n":', t, "}"), F.lit("")), "}", at(8, F.lit(',"note":"q"'), F.lit("")), "}")
+    actual = tasks.filter(m != 6).select("task_id", a.alias("j"))
+    expected = tasks.select("task_id", at(6, F.lit('{"runs":[],"by":{}}'), e).alias("j"))
+    return D.differences(D.json_documents(actual, "task_id", "j"), D.json_documents(expected, "task_id", "j"))
 
 
 @query("i3_k11_complete_cases", "WITH n AS (SELECT task_id, count(*) AS n FROM judgements GROUP BY 1), e AS (SELECT task_id, CASE WHEN task_id % 3 = 0 THEN coalesce(n, 0) + 1 ELSE coalesce(n, 0) END AS expected, coalesce(n, 0) AS n FROM tasks LEFT JOIN n USING (task_id)) SELECT count(*) FILTER (n <> expected) AS again, CAST(sum(n) FILTER (n = expected) AS BIGINT) AS kept FROM e")
@@ -155,8 +181,8 @@ def d2(turns, tasks):
     patterns = {"th_word": r"\bthe\b", "digits": r"[0-9]{3}", "never": "\x01"}
     hits = forbidden(turns.select(F.col("conv_id").alias("path"), "text"), patterns)
     t = F.col("task_id")
-    flat = lambda weight: O.flattened(tasks.select("task_id", weight.alias("weight")), "task_id")
-    found = O.differences(flat(t * 2), flat(t * 2 + (t % 50 == 0).cast("int")))
+    whole = lambda weight: D.documents(tasks.select("task_id", weight.alias("weight")), "task_id")
+    found = D.differences(whole(t * 2), whole(t * 2 + (t % 50 == 0).cast("int")))
     return O.outcome(hits, "pattern", list(patterns)).select(F.lit("closure").alias("report"), "pattern", "status", "n").unionByName(O.outcome(found, "problem", ["differs"]).select(F.lit("metrics").alias("report"), F.col("problem").alias("pattern"), "status", "n"))
 
 

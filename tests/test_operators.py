@@ -14,7 +14,6 @@ from scorelake.operators import runs as O
 from scorelake.operators import score as S
 from scorelake.operators import vectors as C
 from scorelake.sources import readers, writers
-from scorelake.streaming import incremental as I
 
 J = "task_id string, criterion_id string, pos int, criterion_weight int, judgement string"
 
@@ -262,13 +261,6 @@ def test_tranches_are_disjoint_and_samples_nest(spark):
     assert {r["k"] for r in got} == {r["k"] for r in R.sample(rows, "k", 50, 9).collect()}
 
 
-def test_differences_name_paths(spark):
-    a = spark.createDataFrame([(1, (1.0, "x"), [1, 2])], "id int, s struct<m:double,n:string>, l array<int>")
-    e = spark.createDataFrame([(1, (1.0 + 1e-9, "y"), [1, 3])], "id int, s struct<m:double,n:string>, l array<int>")
-    got = {r["path"]: r["problem"] for r in O.differences(O.flattened(a, "id"), O.flattened(e, "id")).collect()}
-    assert got == {"s.n": "differs", "l": "differs"}
-
-
 def test_worker_budget():
     assert O.worker_budget(3, 8) == [3, 3, 2] and O.worker_budget(4, 2) == [1, 1, 1, 1]
 
@@ -331,21 +323,3 @@ def test_writers(spark, tmp_path):
     assert good.count() == bad.count() == 1
     assert writers.report_rows(a, ["i", "s"]).first()["line"] == r"1 & x \\"
     assert writers.annotation_sheet(spark.createDataFrame([("y" * 500,)], "s string"), "s", ["note"]).first().asDict() == {"s": "y" * 400, "note": ""}
-
-
-def test_stream_equals_batch_and_survives_a_rerun(spark, tmp_path):
-    schema = "task_id long, status string, seq long"
-    log = [(i % 7, "ok" if i % 3 else "error", i) for i in range(60)]
-    (tmp_path / "in").mkdir()
-    for n in range(3):
-        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("task_id", "status", "seq"), r))) for r in log[n * 20 : n * 20 + 20]))
-    sink = I.upsert_last(spark, str(tmp_path / "out"))
-    for _ in range(2):  # the second run finds nothing new
-        I.run_to_end(I.row_stream(spark, str(tmp_path / "in"), schema), sink, str(tmp_path / "ck"))
-    want = O.last_status(spark.createDataFrame(log, schema))
-    got = I.current(spark, str(tmp_path / "out"), sink)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert I.current_progress(spark.range(9).withColumnRenamed("id", "task_id"), got).first()["pending"] == 2
-    seen = []
-    I.run_to_end(I.completed_once(I.row_stream(spark, str(tmp_path / "in"), schema), ["task_id"]), lambda b, n: seen.extend(r["task_id"] for r in b.collect()), str(tmp_path / "ck2"))
-    assert sorted(seen) == list(range(7))
