@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .durable import fields, kept_by_worker, row_key, table
-from .ngrams import spread_slices, subwords
+from .durable import fields, kept_by_worker, row_key, stored_rows, table
+from .ngrams import subwords
 from .url_filter import url_host
 
 
@@ -33,16 +33,31 @@ def letters(text: str | None) -> list[str]:
     return [w for w in (text or "").lower().split() if not w.isascii() or any(c.isalpha() for c in w)]
 
 
-def train(texts: list[str], labels: list[str], buckets: int = 1 << 16) -> NgramModel:
-    """Multinomial estimates, smoothed by half a count."""
-    languages = sorted(set(labels))
-    counts = np.full((buckets, max(1, len(languages))), 0.5)
-    for t, y in zip(texts, labels, strict=True):
-        words = letters(t)
-        if words:
-            flat, _ = subwords(words, 1, 3, buckets)
-            counts[:, languages.index(y)] += np.bincount(flat, minlength=buckets)
-    return NgramModel(languages, np.log(counts / counts.sum(0)))
+def fitted(counts: dict[str, np.ndarray], buckets: int = 1 << 16) -> NgramModel:
+    """Multinomial estimates from each language's counts of buckets, smoothed by half a count."""
+    languages = sorted(counts)
+    every = np.full((buckets, max(1, len(languages))), 0.5)
+    for i, y in enumerate(languages):
+        every[:, i] += counts[y]
+    return NgramModel(languages, np.log(every / every.sum(0)).astype(np.float32))
+
+
+def _counted(buckets: int):
+    """Of each label of a task its n-grams' counts, one row a label and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for y, text in zip(batch.column("y").to_pylist(), batch.column("text"), strict=True):
+                total = held.setdefault(y, np.zeros(buckets, np.int64))
+                words = letters(text.as_py())
+                for a in range(0, len(words), 50_000):
+                    total += np.bincount(subwords(words[a : a + 50_000], 1, 3, buckets)[0], minlength=buckets)
+        for y, total in held.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([y] * (len(at) + 1), pa.string()), pa.array(np.r_[at, 0].astype(np.int32)), pa.array(np.r_[total[at], 0])], names=["y", "bucket", "n"])
+
+    return run
 
 
 def _likelihoods(model: NgramModel, key: int, room: int = 500_000):
@@ -63,7 +78,7 @@ def _likelihoods(model: NgramModel, key: int, room: int = 500_000):
             if not t:
                 out.append(None)
                 continue
-            total = rows[np.fromiter(map(kept.__getitem__, t), np.int64, len(t))].sum(0)
+            total = rows[np.fromiter(map(kept.__getitem__, t), np.int64, len(t))].sum(0, dtype=np.float64)
             out.append((total - total.max()).tolist())
         return out
 
@@ -79,19 +94,24 @@ def _likelihoods(model: NgramModel, key: int, room: int = 500_000):
     return run
 
 
-def sample_texts(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, longest: int, seed: int) -> tuple[list[str], list[str]]:
-    """Texts and labels of at most per_language rows of every label, each of at most `longest` characters (spread over the whole of a longer one): so much comes to the driver.
+def thinned(h: Column, count: Column, per_language: int) -> Column:
+    """Whether a row with a hash of 40 bits is among about twice per_language of its label's `count` rows; in doubles, so no count is too large."""
+    return h.cast("double") / F.lit(float(1 << 40)) < F.lit(2.0 * per_language) / count.cast("double")
+
+
+def sample_texts(df: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, seed: int, row: Column | None = None) -> DataFrame:
+    """Whole texts (y, text) of at most per_language rows of every label, drawn by a hash of the id and the row's place in its file.
 
-    A label's rows are thinned to about twice per_language by their hash before they are ranked, so no task ranks a common label.
+    A label's rows are thinned to about twice per_language before they are ranked, so no task ranks a common label, and a
+    label of few rows keeps them all. Rows that share an id, or are alike, are drawn each by itself.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("y")).filter("id is not null and y is not null and text is not null")
+    if row is None:
+        df, row = stored_rows(df, "_sample_row"), F.col("_sample_row")
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.pmod(F.xxhash64(F.col(id_col), row["place"], F.lit(seed)), F.lit(1 << 40)).alias("h"), row.alias("row"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("y"))
     counts = table(rows.groupBy("y").count())
-    drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
-    few = rows.select("id", "y", drawn.alias("h")).join(counts, "y").filter(F.col("h") * F.col("count") <= float(2 * per_language * (1 << 40)))
-    ids = few.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).filter(F.col("n") <= per_language).select("id", "y").distinct()
-    picked = rows.join(table(ids), ["id", "y"]).select("id", "y", spread_slices(F.col("text"), longest).alias("text"))
-    got = picked.orderBy(F.xxhash64("id", F.lit(seed)), "id", "text").collect()
-    return [r["text"] for r in got], [r["y"] for r in got]
+    few = rows.join(counts, "y").filter(thinned(F.col("h"), F.col("count"), per_language))
+    return few.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "row"))).filter(F.col("n") <= per_language).select("y", "text")
 
 
 def _grouped(rows: DataFrame, by: str, n: int) -> DataFrame:
@@ -120,7 +140,7 @@ def language_id(df: DataFrame, model: NgramModel, id_col: str = "id", text_col:
     A row is rejected (kept false) if its text has no word with a letter, or if no language reaches
     `least`. Null and empty texts are rejected; their lang is what the other evidence says. Null hosts,
     suffixes and declared languages are no evidence. Without languages, lang is null and texts with letters are kept.
-    Ties go to the first language. Ids are of any type. Empty input: empty output. Other columns are not read.
+    Ties go to the first language. Ids are of any type, repeated rows are rows of their own. Empty input: empty output. Other columns are not read.
     uid is `row` (stored, unique) where given, else the number of the row in this scan.
     """
     none = F.lit(None).cast("string")
@@ -171,9 +191,20 @@ def html_language(html: Column) -> Column:
     return F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""", 1))
 
 
-def documents_model(docs: DataFrame, per_language: int = 512, longest: int = 20_000, seed: int = 9) -> NgramModel:
-    """The text model, learnt from a bounded sample of the documents' own language labels."""
-    return train(*sample_texts(docs, "doc_id", "text", "lang", per_language, longest, seed))
+def documents_model(docs: DataFrame, per_language: int = 512, seed: int = 9, buckets: int = 1 << 16, row: Column | None = None) -> NgramModel:
+    """The text model, learnt from a bounded sample of the documents' own language labels: whole texts of up to per_language rows of each.
+
+    N-grams are counted in tasks and summed by Spark, so only counts come to the driver: one for each language and
+    n-gram bucket. Rows without id, label or text don't teach; repeated rows teach each by itself.
+    """
+    found = sample_texts(docs, "doc_id", "text", "lang", per_language, seed, row).mapInArrow(_counted(buckets), "y string, bucket int, n long")
+    counts: dict[str, np.ndarray] = {}
+    for batch in found.groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        labels = batch.column("y").dictionary_encode()
+        which, bucket, n = labels.indices.to_numpy(), batch.column("bucket").to_numpy(), batch.column("n").to_numpy()
+        for i, y in enumerate(labels.dictionary.to_pylist()):
+            counts.setdefault(y, np.zeros(buckets))[bucket[which == i]] += n[which == i]
+    return fitted(counts, buckets)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,8 +153,9 @@ def _keyed(bits: int):
             for r in batch.to_pylist():
                 tokens = Tokens(_texts(r["sizes"], r["texts"]))
                 own = tokens.own(_token_use(tokens, r["learnt"]))
-                cuts = np.searchsorted(tokens.keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                parts = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+                part = (tokens.keys >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()  # only the parts that the chunk has, however many there are
+                parts = [(int(part[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _, _ in parts], pa.int32()), pa.array([r["chunk"]] * len(parts), pa.int64()), pa.array([_keys_packed(tokens.keys[a:b]) for _, a, b in parts], pa.binary()), pa.array([_packed(own[a:b]) for _, a, b in parts], pa.binary())],
                     names=["part", "chunk", "keys", "own"],

@@ -15,10 +15,15 @@ _GAP = "\x01"
 _TOP = "\U0010ffff"
 
 
+def _lowered(c: Column) -> Column:
+    """A-Z in lower case, no other letter: hosts of URLs and of rules alike."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def url_host(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
     rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)).otherwise(F.lit(""))
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lowered(rest)
 
 
 def url_path(url: Column) -> Column:
@@ -107,7 +112,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")).fillna("", ["host", "path"])
-    r = rules.select(F.lower("host").alias("h"), F.coalesce(F.col("path"), F.lit("")).alias("p"), F.col("verdict"))
+    r = rules.select(_lowered(F.col("host")).alias("h"), F.coalesce(F.col("path"), F.lit("")).alias("p"), F.col("verdict"))
     r = r.filter("h is not null").groupBy("h", "p").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict")).alias("v"))
     r = table(r.select(_reversed(F.col("h")).alias("skey"), F.concat("h", "p").alias("rule"), F.col("v.verdict").alias("verdict"), F.col("p").alias("path")))
     keys = table(urls.filter("host <> ''").select("host", "path").distinct().select(_reversed(F.col("host")).alias("skey"), "host", "path"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from scorelake.llm import lm
 from scorelake.llm import sentencepiece as sp
-from scorelake.llm.language import NgramModel, documents_model, html_language, html_text, language_id, letters, op9_language_id
+from scorelake.llm.durable import table
+from scorelake.llm.language import NgramModel, documents_model, html_language, html_text, language_id, letters, op9_language_id, sample_texts, thinned
 from scorelake.llm.ngrams import subwords
 from scorelake.llm.toxicity import BagModel, op5_toxicity, toxicity
 
@@ -297,11 +298,41 @@ def test_evidence_and_edges(spark):
     assert {(r["lang"], r["kept"]) for r in language_id(df.filter("id in (100, 101)"), unlabelled).collect()} == {(None, True), (None, False)}
 
 
+def test_any_count_of_rows_is_thinned(spark):
+    """10^10 rows of a label: about one in 10^7 is drawn, and no product overflows."""
+    got = spark.range(1_000_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h")).agg(
+        F.count_if(thinned(F.col("h"), F.lit(10**10), 512)).alias("all"), F.count_if(thinned(F.col("h"), F.lit(10**6), 512)).alias("some"), F.count_if(thinned(F.col("h"), F.lit(700), 512)).alias("few")).first()
+    assert got["all"] <= 3 and 850 < got["some"] < 1200 and got["few"] == 1_000_000
+
+
+@pytest.mark.parametrize("same", [1, 7, 2**40])
+def test_rows_that_share_an_id_are_drawn_each(spark, same):
+    """20,000 rows of one id and text: 512 are taken, whichever id; a label all of whose rows share an id, and one of one row, are learnt."""
+    rows = [(same, "the same words", "en", "s", 1)] * 20_000 + [(same, f"otros {i}", "es", "s", 1) for i in range(40)] + [(5, "seul", "fr", "s", 1), (None, "x", "de", "s", 1), (6, None, "de", "s", 1), (8, "x", None, "s", 1)]
+    docs = table(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    got = {r["y"]: r["count"] for r in sample_texts(docs, "doc_id", "text", "lang", 512, 9).groupBy("y").count().collect()}
+    assert got == {"en": 512, "es": 40, "fr": 1}
+    assert documents_model(docs).languages == ["en", "es", "fr"]
+
+
+def test_counts_of_tasks_are_the_whole_texts_counts(spark):
+    """Long texts teach whole: summed counts against one count of all texts."""
+    texts = [("a", "uno dos tres " * 30_000), ("a", "quatro"), ("b", "one two 3 !!")]
+    docs = table(spark.createDataFrame([(i, t, y) for i, (y, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(3))
+    model = documents_model(docs, buckets=512)
+    for i, y in enumerate(("a", "b")):
+        want = np.full(512, 0.5)
+        for own, t in texts:
+            if own == y:
+                want += np.bincount(subwords(letters(t), 1, 3, 512)[0], minlength=512)
+        np.testing.assert_allclose(model.weights[:, i], np.log(want / want.sum()), rtol=1e-4)
+
+
 def test_seventy_languages_and_long_texts_only(spark):
     words = lambda n: " ".join(chr(0x4E00 + 50 * n + k % 40) * 3 for k in range(300))
     rows = [(i, words(i % 70), f"l{i % 70:02}") for i in range(210)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = documents_model(docs, per_language=2, longest=160)  # every text is longer
+    model = documents_model(docs, per_language=2)
     assert model.languages == [f"l{n:02}" for n in range(70)]
     assert {r["id"]: r["lang"] for r in language_id(docs, model, id_col="doc_id").collect()} == {i: y for i, _, y in rows}
 
