@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import table
+from .containment import first_related
+
 
 def resume(todo: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """What is not done yet."""
@@ -68,36 +71,6 @@ def first_label_wins(pairs: DataFrame, labels: DataFrame, on: Sequence[str], ord
     return pairs.join(first, list(on), "left")
 
 
-#: Characters of a run that containment is looked up by.
-_RUN = 6
-
-
-def _grams(text: Column) -> Column:
-    """Distinct runs of a text's characters. The characters are split once: to count up to each run's start would be quadratic in the text."""
-    runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (_RUN - 1), F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(_RUN)), ""))
-    return F.array_distinct(F.element_at(F.transform(F.array(F.split(text, "")), runs), 1))
-
-
-def _holding(inner: DataFrame, outer: DataFrame, blocks: int = 16) -> DataFrame:
-    """Pairs (task_id, inner, outer) of distinct texts (task_id, text) of which the outer one holds the inner one.
-
-    Candidates share the inner text's rarest six characters in a row, so that common words don't pair everything.
-    Texts are their MD5 until then, so that a long one isn't repeated for each of its runs.
-    Shorter inner texts, which can be in any text, meet all texts of their task, in blocks.
-    """
-    keyed = lambda df, name: df.select("task_id", F.md5("text").alias(f"{name}_key"), F.col("text").alias(name))
-    runs = lambda df, name: keyed(df, name).select("task_id", f"{name}_key", F.explode(_grams(F.col(name))).alias("gram"))
-    index = runs(outer, "outer")
-    counts = index.groupBy("task_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    long, short = inner.filter(F.length("text") >= _RUN), inner.filter(F.length("text") < _RUN)
-    rarest = runs(long, "inner").join(counts, ["task_id", "gram"], "left").groupBy("task_id", "inner_key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
-    near = rarest.filter("g.n > 0").select("task_id", "inner_key", F.col("g.gram").alias("gram")).join(index, ["task_id", "gram"]).select("task_id", "inner_key", "outer_key")
-    found = near.join(keyed(long, "inner"), ["task_id", "inner_key"]).join(keyed(outer, "outer"), ["task_id", "outer_key"]).filter(F.col("outer").contains(F.col("inner"))).select("task_id", "inner", "outer")
-    dealt = outer.select("task_id", F.col("text").alias("outer"), F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
-    every = short.select("task_id", F.col("text").alias("inner"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return found.unionByName(every.join(dealt, ["task_id", "block"]).filter(F.col("outer").contains(F.col("inner"))).select("task_id", "inner", "outer"))
-
-
 def resolved_ids(concepts: DataFrame, criteria: DataFrame, norm) -> DataFrame:
     """The criterion a concept's title names: equal title (the last such criterion), else equal in normal form, else the first whose title holds the concept's or is held by it; else null. The last step is on distinct texts."""
     by_title = criteria.groupBy("task_id", "title").agg(F.max_by("criterion_id", "place").alias("exact"))
@@ -105,9 +78,7 @@ def resolved_ids(concepts: DataFrame, criteria: DataFrame, norm) -> DataFrame:
     found = concepts.join(by_title, ["task_id", "title"], "left").withColumn("norm", norm(F.col("title"))).join(by_norm, ["task_id", "norm"], "left").withColumn("low", F.lower("title"))
     rest = found.filter("exact is null and normal is null").select("task_id", F.col("low").alias("text")).distinct()
     first = criteria.groupBy("task_id", F.lower("title").alias("text")).agg(F.min(F.struct("place", "criterion_id")).alias("first"))
-    texts = first.select("task_id", "text")
-    held = _holding(rest, texts).unionByName(_holding(texts, rest).select("task_id", F.col("outer").alias("inner"), F.col("inner").alias("outer")))
-    partial = held.join(first, (held["task_id"] == first["task_id"]) & (held["outer"] == first["text"])).groupBy(held["task_id"], F.col("inner").alias("low")).agg(F.min("first").alias("p"))
+    partial = first_related(table(rest), table(first)).select("task_id", F.col("text").alias("low"), F.col("first").alias("p"))
     known = found.join(partial, ["task_id", "low"], "left")
     return known.select("concept_id", F.coalesce("exact", "normal", F.col("p.criterion_id")).alias("criterion_id"))
 
