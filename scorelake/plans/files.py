@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rewrites import RewriteCache
 from ..sources import readers, writers
 from ..sources.durable import shared_dir
+from ..sources.versions import Versioned
 from ..streaming import incremental, keyed
 from .catalog import query
 
@@ -34,9 +36,62 @@ def s1(spark, tasks):
     return readers.json_lines(spark, path, "task_id long, status string, priority string")
 
 
-@query("s2_missing_file", "SELECT task_id FROM tasks WHERE false")
-def s2(spark):
-    return readers.json_lines_or_empty(spark, _place(spark), "task_id long")
+@query("s2_missing_file", "SELECT task_id FROM tasks WHERE task_id % 2 = 0")
+def s2(spark, tasks):
+    """Two outputs of a run, of which the second was never begun."""
+    path = _place(spark)
+    writers.append_json(tasks.filter("task_id % 2 = 0").select("task_id"), f"{path}/first")
+    parts = [readers.json_lines_or_empty(spark, f"{path}/{name}", "task_id long") for name in ("first", "second")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("k3_versions", "SELECT 1 AS version, task_id, status FROM tasks WHERE task_id % 2 = 0 UNION ALL SELECT 2, task_id, status FROM tasks UNION ALL SELECT 3, task_id, upper(priority) FROM tasks WHERE task_id % 3 = 0")
+def k3(spark, tasks):
+    """An output written, appended to and replaced by rows read from itself; every version as its readers have it."""
+    out = Versioned(spark, _place(spark), "json", keep=3)
+    rows, kind = tasks.select("task_id", "status"), "task_id long, status string"
+    out.replace(rows.filter("task_id % 2 = 0"))
+    out.append(rows.filter("task_id % 2 = 1"))
+    out.replace(out.read(kind).filter("task_id % 3 = 0").join(tasks.select("task_id", F.upper("priority").alias("p")), "task_id").select("task_id", F.col("p").alias("status")))
+    parts = [out.read(kind, v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s4_bad_lines", """WITH f AS (SELECT task_id // 5000 AS part, min(task_id) AS bad FROM tasks WHERE task_id % 97 = 0 GROUP BY 1)
+SELECT part, count(*) AS line, max(bad) AS task_id FROM tasks JOIN f ON task_id // 5000 = part AND task_id <= bad GROUP BY 1""")
+def s4_bad(spark, tasks):
+    """A file for each 5,000 task numbers, in order, with torn lines: the first of each file and its number."""
+    path, line = _place(spark), F.to_json(F.struct("task_id", "priority"))
+    torn = F.when(F.col("task_id") % 97 == 0, F.concat(F.lit('{"task_id": '), F.col("task_id").cast("string"))).otherwise(line)
+    tasks.select(F.expr("task_id div 5000").alias("part"), "task_id", torn.alias("value")).repartition("part").sortWithinPartitions("part", "task_id").select("part", "value").write.partitionBy("part").text(path)
+    bad = readers.bad_lines(spark, f"{path}/*", "task_id long, priority string")
+    return bad.select(F.regexp_extract("file", r"/part=([0-9]+)/", 1).cast("long").alias("part"), "line", F.regexp_extract("text", "([0-9]+)$", 1).cast("long").alias("task_id"))
+
+
+@query("s12_compacted", "SELECT CAST(task_id // 1000 AS VARCHAR) AS c, CAST(count(*) AS BIGINT) AS n, max(CASE WHEN task_id // 1000 % 2 = 0 THEN 2 ELSE 1 END) AS run FROM tasks GROUP BY 1")
+def s12_compacted(spark, tasks):
+    """Case documents compacted twice: the second run adds those that have come since."""
+    path, to = _place(spark), _place(spark)
+    cases = tasks.groupBy(F.expr("task_id div 1000").alias("c")).agg(F.to_json(F.collect_list("task_id")).alias("value"))
+    for run, rest in ((1, 1), (2, 0)):
+        cases.filter(F.col("c") % 2 == rest).withColumn("run", F.lit(run)).repartition("c").write.mode("append").partitionBy("run", "c").text(path)
+        docs = readers.compacted_documents(spark, f"{path}/*/*/*.txt", to, {"run": r"/run=([^/]+)/", "c": r"/c=([^/]+)/"})
+    return docs.select("c", F.size(F.from_json("text", "array<long>")).cast("long").alias("n"), F.col("run").cast("int").alias("run"))
+
+
+@query("i6_rewrite_cache", "SELECT pos, CASE WHEN title LIKE '%the%' THEN translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE title END AS final, title LIKE '%the%' AS changed FROM titles")
+def i6_cache(spark, titles):
+    """All lines of all documents through a cache that is asked twice: the second time for nothing."""
+
+    def judge(texts: list[str]) -> list[str | None]:
+        return ["".join(c.upper() if "a" <= c <= "z" else c for c in t) if "the" in t else None for t in texts]
+
+    cache = RewriteCache(spark, f"rewrites_{uuid.uuid4().hex}", buckets=16)
+    plain = titles.select("pos", F.col("title").alias("text"))
+    cache.fill(plain, judge)
+    if cache.fill(plain, judge):
+        raise RuntimeError("a second run asked again")
+    return cache.rewritten(plain).select("pos", "final", "changed")
 
 
 @query("s3_torn_lines", "SELECT task_id, priority FROM tasks WHERE task_id % 10 <> 0")

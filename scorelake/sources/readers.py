@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.rubric import CRITERION
+from .durable import exists
 
 #: Marks of files that are no data.
 NOT_DATA = (".errors.", ".bak", "pilot", "backup")
@@ -44,8 +45,31 @@ def json_lines_tolerant(spark: SparkSession, path: str, schema: str) -> DataFram
     return rows.filter(F.col(_CORRUPT).isNull() | (F.length(_CORRUPT) == 0)).drop(_CORRUPT)
 
 
-def json_lines_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """As S1, failing on the first bad line."""
+def bad_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    """The first line of each file that is no JSON of the schema: file, line (from 1) and text; blank lines are fine.
+
+    Large files are read in splits, several to a task. Lines are numbered within their split by the row's place in the task,
+    and a split's first number is the lines of the file's splits before it, all from one pass with one row left for
+    each split. Lines end with a line feed.
+    """
+    parsed = F.from_json("value", f"{schema}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    bad = (F.trim("value") != "") & parsed[_CORRUPT].isNotNull()
+    splits = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min(F.when(bad, F.struct("at", "value"))).alias("bad"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = splits.withColumn("line", before + F.col("bad.at") - F.col("first") + 1).filter("bad is not null")
+    return found.groupBy("file").agg(F.min(F.struct("line", "bad.value")).alias("x")).select("file", "x.line", F.col("x.value").alias("text"))
+
+
+class BadLine(ValueError):
+    """A line that is no JSON of its schema."""
+
+
+def json_lines_strict(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    """As S1, failing with the file and number of the first bad line (of the first such file), before any row is read."""
+    first = bad_lines(spark, path, schema).orderBy("file").limit(1).collect()
+    if first:
+        raise BadLine(f"{first[0]['file']}, line {first[0]['line']}: no JSON of the schema: {first[0]['text'][:200]}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -110,6 +134,37 @@ def case_documents(spark: SparkSession, path: str, schema: str, model: str, case
     return docs.select(F.regexp_extract("_file", model, 1).alias("md"), F.regexp_extract("_file", case, 1).alias("c"), *[f.name for f in _schema(schema)])
 
 
+def packed_documents(spark: SparkSession, paths: str | Sequence[str], task_bytes: int = 64 << 20) -> DataFrame:
+    """Many small files, one row each: path, length, modified and content, in as many tasks as their bytes need.
+
+    Files are listed without being read; then the scan's tasks, which Spark sizes by the number of files where these are
+    small, are joined to about one for each task_bytes, without a shuffle. Files of over that size are tasks of their own.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    total = files.agg(F.sum("length")).head()[0] or 0
+    tasks = max(1, -(-total // task_bytes))
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), "content").coalesce(tasks)
+
+
+def compacted_documents(spark: SparkSession, paths: str | Sequence[str], to: str, keys: dict[str, str], task_bytes: int = 64 << 20) -> DataFrame:
+    """Documents as a Parquet table: keys (columns read from the path by patterns of one group), text, path, length and modified.
+
+    A later run adds only files that the table lacks, or that have changed since, whose earlier rows then no longer count. What
+    comes back is the table as it is: each path once, the latest.
+    """
+    kind = ", ".join([*[f"{k} string" for k in keys], "text string, path string, length long, modified timestamp"])
+    there = exists(spark, to)
+    known = (spark.read.schema(kind).parquet(to) if there else spark.createDataFrame([], kind)).select("path", "length", "modified")
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("modified"))
+    new = [r["path"] for r in files.join(known, ["path", "length", "modified"], "left_anti").select("path").collect()] if there else paths
+    if new:
+        docs = packed_documents(spark, new, task_bytes)
+        docs.select(*[F.regexp_extract("path", p, 1).alias(k) for k, p in keys.items()], F.decode("content", "UTF-8").alias("text"), "path", "length", "modified").write.mode("append").parquet(to)
+    rows = spark.read.schema(kind).parquet(to)
+    last = rows.groupBy(F.col("path").alias("_path")).agg(F.max("modified").alias("_last"))
+    return rows.join(last, (F.col("path") == F.col("_path")) & (F.col("modified") == F.col("_last")), "left_semi")
+
+
 def provenance(stock: DataFrame, expected: DataFrame) -> DataFrame:
     """Sections of an inventory (section, files, bytes) beside the numbers that there should be (section, expected): same, differs, missing or unexpected."""
     both = stock.join(expected, "section", "full")

@@ -14,7 +14,7 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def replace_json(df: DataFrame, path: str) -> None:
-    """K2, K3: the whole output, seen only when it is complete."""
+    """K2: the whole output anew. Readers may find it half-way; where that matters, use `versions.Versioned` (K3)."""
     df.write.mode("overwrite").json(path)
 
 
