@@ -226,6 +226,14 @@ def templated(template: str, **fields: Column) -> Column:
     return F.concat(*[F.coalesce(fields[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
+def templated_by(name: Column, templates: dict[str, str], **fields: Column) -> Column:
+    """The template that each row names, filled in; a name that there is none of fails, a null name is null."""
+    out = F.when(name.isNull(), F.lit(None).cast("string"))
+    for n, template in templates.items():
+        out = out.when(name == n, templated(template, **fields))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no template is named "), name)))
+
+
 def prompt_variant(model: Column, variants: dict[str, str], name: str, suffix: str = "__rubricasresp") -> Column:
     """The named variant of a prompt for models with a suffix, the standard one for others."""
     return F.when(model.endswith(suffix), F.lit(variants[name])).otherwise(F.lit(variants["standard"]))

@@ -89,6 +89,20 @@ def outcome(findings: DataFrame, by: str, names: Sequence[str]) -> DataFrame:
     return every.join(counts, by, "left").select(by, F.when(F.col("n") > 0, "failed").otherwise("ok").alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def named_runs(specs: DataFrame) -> DataFrame:
+    """Specs (label, response_tag, rubric_tag, ...) with run_slug, display_label and selectors.
+
+    A response tag that only one spec has names its run by itself, and the label stays; where several specs share it,
+    slug and label say the rubric too. selectors are the names that a run is asked for by: its tag and its slug, once if equal.
+    Counts are joined, so a tag that a third of the specs share is split like any join. Specs without a tag have null names.
+    """
+    shared = specs.groupBy(F.col("response_tag").alias("_tag")).agg((F.count(F.lit(1)) > 1).alias("_shared"))
+    both = specs.join(shared, specs["response_tag"] == shared["_tag"], "left")
+    slug = F.when(F.col("_shared"), F.concat("response_tag", F.lit("__rubric__"), "rubric_tag")).otherwise(F.col("response_tag"))
+    label = F.when(F.col("_shared"), F.concat("label", F.lit(" | response="), "response_tag", F.lit(" rubric="), "rubric_tag")).otherwise(F.when(F.col("_shared").isNotNull(), F.col("label")))
+    return both.select(*specs.columns, slug.alias("run_slug"), label.alias("display_label"), F.array_distinct(F.array("response_tag", slug)).alias("selectors"))
+
+
 def backfilled(log: DataFrame, earlier: DataFrame, metric: str, key: str = "task_id", order: str = "seq") -> DataFrame:
     """I4: each task's last status and metric; a metric that the last row lacks comes from an earlier table (key, metric)."""
     last = log.groupBy(key).agg(F.max_by(F.struct("status", metric), order).alias("l")).select(key, "l.status", F.col(f"l.{metric}").alias("_now"))

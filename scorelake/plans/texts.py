@@ -102,6 +102,30 @@ def x12(tasks):
     return tasks.select("task_id", X.slug(F.concat(F.lit("maker/Model "), "priority", F.lit(".v1"))).alias("slug"))
 
 
+@query("x12_run_labels", """WITH s AS (SELECT task_id, priority AS label, 'r' || (task_id % 7001) AS response_tag, status AS rubric_tag FROM tasks), n AS (SELECT response_tag, count(*) > 1 AS shared FROM s GROUP BY 1)
+SELECT task_id, CASE WHEN shared THEN s.response_tag || '__rubric__' || rubric_tag ELSE s.response_tag END AS run_slug, CASE WHEN shared THEN label || ' | response=' || s.response_tag || ' rubric=' || rubric_tag ELSE label END AS display_label,
+CASE WHEN shared THEN 2 ELSE 1 END AS selectors FROM s JOIN n ON s.response_tag = n.response_tag""")
+def x12_labels(tasks):
+    from ..operators.runs import named_runs
+
+    specs = tasks.select("task_id", F.col("priority").alias("label"), F.concat(F.lit("r"), (F.col("task_id") % 7001).cast("string")).alias("response_tag"), F.col("status").alias("rubric_tag"))
+    return named_runs(specs).select("task_id", "run_slug", "display_label", F.size("selectors").alias("selectors"))
+
+
+@query("x15_named_templates", "SELECT task_id, CASE status WHEN 'F' THEN 'Closed: ' || priority || '?' WHEN 'O' THEN 'Open task ' || task_id || chr(10) || 'by ' || priority ELSE 'Part of ' || task_id END AS prompt FROM tasks")
+def x15_named(spark, tasks):
+    """Templates kept in files, by the name that each row's status gives."""
+    from ..functions.text import templated_by
+    from ..sources.durable import new_path
+    from ..sources.readers import templates
+
+    folder = new_path(spark)
+    for name, text in (("F", "Closed: {who}?"), ("O", "Open task {task}\nby {who}"), ("P", "Part of {task}")):
+        tasks.limit(1).select(F.lit(text).alias("value")).coalesce(1).write.option("lineSep", "\x01").text(f"{folder}/{name}")
+    texts = {n: next(iter(templates(spark, f"{folder}/{n}").values()), "").removesuffix("\x01") for n in "FOP"}
+    return tasks.select("task_id", templated_by(F.col("status"), texts, task=F.col("task_id"), who=F.col("priority")).alias("prompt"))
+
+
 @query("x13_redacted", "SELECT task_id, 'run --api_key ***' || ' --n ' || cust AS command FROM tasks")
 def x13(tasks):
     return tasks.select("task_id", X.redacted(F.concat(F.lit("run --api_key k"), F.col("cust").cast("string"), F.lit(" --n "), F.col("cust").cast("string"))).alias("command"))

@@ -22,7 +22,8 @@ def c1(concepts):
     return rounded(_unit(concepts).select("pos", C.dot(F.col("vec"), F.col("vec")).alias("norm"), F.col("vec")[0].alias("first")), "norm", "first")
 
 
-_GREEDY = f"""WITH RECURSIVE {_V}, {_U}, o AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY side, pos) AS i FROM u),
+_V_GRP = _V.replace("weight, pos //", "weight, grp, pos //")
+_GREEDY = f"""WITH RECURSIVE {_V_GRP}, {_U}, o AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY side, pos) AS i FROM u),
 s(k, i, kept, ids) AS (SELECT DISTINCT "case", CAST(0 AS BIGINT), CAST([] AS DOUBLE[][]), CAST([] AS BIGINT[]) FROM o UNION ALL
 SELECT s.k, o.i, CASE WHEN len(list_filter(s.kept, lambda x: list_inner_product(x, o.vec) >= 0.3)) > 0 THEN s.kept ELSE list_append(s.kept, o.vec) END,
 CASE WHEN len(list_filter(s.kept, lambda x: list_inner_product(x, o.vec) >= 0.3)) > 0 THEN s.ids ELSE list_append(s.ids, o.pos) END FROM s JOIN o ON o."case" = s.k AND o.i = s.i + 1),
@@ -38,10 +39,13 @@ def c3(concepts):
     return rounded(found.withColumn("tags", F.array_join("tags", ",")), "max_cos_merged")
 
 
-@query("c4_c5_merge_models")
+_BY_MODEL = _GREEDY.replace("ORDER BY side, pos) AS i FROM u)", "ORDER BY grp, pos) AS i FROM u WHERE side = 'model')").replace("o.side, o.i", "o.model AS side, o.i").replace('"case", pos, side, pos, 0 FROM o', '"case", pos, model, pos, 0 FROM o')
+
+
+@query("c4_c5_merge_models", _BY_MODEL + """ SELECT "case", leader, array_to_string(list_sort(list(DISTINCT side)), ',') AS tags, count(*) - 1 AS n_merged, round(max(cos), 6) AS max_cos_merged FROM w GROUP BY 1, 2""")
 def c5(concepts):
     rows = _unit(concepts).filter("side = 'model'").withColumn("rank", F.col("grp").cast("long") * 10**9 + F.col("pos"))
-    return C.merged(C.dedupe_by_case(rows.select("case", "rank", "pos", "vec", "model"), 0.3, "model")).withColumn("tags", F.array_join("tags", ","))
+    return rounded(C.merged(C.dedupe_by_case(rows.select("case", "rank", "pos", "vec", "model"), 0.3, "model")).withColumn("tags", F.array_join("tags", ",")), "max_cos_merged")
 
 
 _GLOBAL = f"""WITH RECURSIVE {_V}, {_U}, o AS (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM u WHERE side = 'model'),
@@ -102,11 +106,12 @@ def c10(concepts):
     return C.case_components(rows.select("case", "pos"), C.case_pairs(rows, 0.3))
 
 
-@query("c11_embedded")
+@query("c11_embedded", "SELECT pos, " + ", ".join(f"round((len(lower(title)) - len(replace(lower(title), '{c}', ''))) / greatest(1, len(title)), 9) AS {c}" for c in "aeiou") + " FROM texts")
 def c11(texts):
     """Letter shares in place of a paid embedder; the interface is the same."""
 
     def letters(texts: list[str]) -> list[list[float]]:
         return [[t.lower().count(c) / max(1, len(t)) for c in "aeiou"] for t in texts]
 
-    return C.embedded(texts.select("pos", F.col("title").alias("text")), letters).select("pos", "vec")
+    found = C.embedded(texts.select("pos", F.col("title").alias("text")), letters)
+    return found.select("pos", *[F.round(F.col("vec")[i], 9).alias(c) for i, c in enumerate("aeiou")])

@@ -188,6 +188,15 @@ def submissions(spark: SparkSession, path: str, answer: str) -> DataFrame:
     return docs.filter("answers is not null").select("annotator", F.explode("answers").alias("trial_id", "a")).select("annotator", "trial_id", "a.*")
 
 
+def templates(spark: SparkSession, folder: str, suffix: str = ".txt") -> dict[str, str]:
+    """Prompt templates by name: the texts of a folder's files, each named without its suffix. Configuration, so it comes to the driver; two of one name fail."""
+    rows = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value").collect()
+    found = {r["file"].removesuffix(suffix): r["value"] for r in rows}
+    if len(found) < len(rows):
+        raise ValueError(f"templates of one name in {folder}")
+    return found
+
+
 def missing_embeddings(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """The texts that a cache (text, vec) lacks; only these are to be embedded."""
     return texts.select("text").distinct().join(cache.select("text"), "text", "left_anti")

@@ -323,3 +323,17 @@ def test_writers(spark, tmp_path):
     assert good.count() == bad.count() == 1
     assert writers.report_rows(a, ["i", "s"]).first()["line"] == r"1 & x \\"
     assert writers.annotation_sheet(spark.createDataFrame([("y" * 500,)], "s string"), "s", ["note"]).first().asDict() == {"s": "y" * 400, "note": ""}
+
+
+def test_runs_are_named_apart_and_templates_by_name(spark, tmp_path):
+    specs = spark.createDataFrame([("A", "r1", "x"), ("B", "r2", "x"), ("C", "r2", "y"), ("D", None, "z")], "label string, response_tag string, rubric_tag string")
+    got = {r["label"]: (r["run_slug"], r["display_label"], r["selectors"]) for r in O.named_runs(specs).collect()}
+    assert got["A"] == ("r1", "A", ["r1"]) and got["C"] == ("r2__rubric__y", "C | response=r2 rubric=y", ["r2", "r2__rubric__y"]) and got["D"][:2] == (None, None)
+    (tmp_path / "one.txt").write_text("Say {a}\nand {b}.")
+    (tmp_path / "two.txt").write_text("{b}")
+    texts = readers.templates(spark, str(tmp_path))
+    df = spark.createDataFrame([("one", 1, None), ("two", 2, "{a}"), (None, 3, "c")], "n string, a int, b string")
+    filled = X.templated_by(F.col("n"), texts, a=F.col("a"), b=F.col("b"))
+    assert [r[0] for r in df.select(filled).collect()] == ["Say 1\nand .", "{a}", None]
+    with pytest.raises(Exception, match="no template is named three"):
+        df.select(X.templated_by(F.lit("three"), texts, a=F.col("a"), b=F.col("b"))).collect()
