@@ -1,58 +1,16 @@
-"""Control of runs: which models, which paths, pilots before full runs, locks, and calls of a judge that may fail."""
+"""Control of runs: pilots before full runs, locks, tables that one of several runs makes, and calls of a judge that may fail."""
 
 from __future__ import annotations
 
-import os
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Entry:
-    """One model of a run's matrix."""
-
-    label: str
-    response_tag: str
-    rubric_tag: str
-    reuse_response: bool = False
-    reuse_rubric: bool = False
-    enabled: bool = True
-
-
-def matrix_entries(raw: Iterable[dict], selected: str = "") -> list[Entry]:
-    """The enabled entries of a matrix, or those of them that a list of tags or labels, with commas between, names. A missing key, an unknown tag, and nothing left each fail."""
-    entries = []
-    for number, given in enumerate(raw):
-        lacking = [k for k in ("label", "response_tag", "rubric_tag") if k not in given]
-        if lacking:
-            raise ValueError(f"entry {number} of the matrix lacks {', '.join(lacking)}")
-        entries.append(Entry(**{f.name: (bool if f.type == "bool" else str)(given[f.name]) for f in fields(Entry) if f.name in given}))
-    live = [e for e in entries if e.enabled]
-    if wanted := {t.strip() for t in selected.split(",")} - {""}:
-        if unknown := wanted - {t for e in live for t in (e.response_tag, e.label)}:
-            raise ValueError(f"unknown tags {sorted(unknown)}; there are {sorted(e.response_tag for e in live)}")
-        live = [e for e in live if wanted & {e.response_tag, e.label}]
-    if not live:
-        raise ValueError("no model is left to run")
-    return live
-
-
-def resolved_path(path: str, release: str, repository: str, exists: Callable[[str], bool] = os.path.exists) -> str:
-    """An absolute path as it is; else below the release, or the repository, whichever has it; if neither has, below the release for its own folders."""
-    if os.path.isabs(path):
-        return path
-    places = [os.path.join(root, path) for root in (release, repository)]
-    #: The release's own folders.
-    own = path.split("/")[0] in ("code", "data", "docs", "manifests")
-    return next((p for p in places if exists(p)), places[0] if own else places[1])
-
-
 def todo_first(tasks: DataFrame, key: str, upto: int | None) -> DataFrame:
     """I8: all tasks, or the first `upto` of them for a pilot."""
     return tasks if upto is None else tasks.orderBy(key).limit(upto)
@@ -76,19 +34,42 @@ def pilot_then_full(done: Callable[[], int], run: Callable[[int | None], None],
 
 
 @contextmanager
-def run_lock(spark: SparkSession, folder: str) -> Iterator[str]:
-    """Only one run at a time in a folder: a lock file that only one can create, gone at the end. In any file system that Spark writes to."""
+def run_lock(spark: SparkSession, folder: str, wait: float = 0.0, stale: float | None = None, step: float = 0.5) -> Iterator[str]:
+    """Only one run at a time in a folder: a lock file that only one can create, gone at the end. In any file system that Spark writes to.
+
+    A second run waits up to `wait` seconds for the first to end, looking every `step`. A lock of over `stale` seconds, which a run
+    that was killed has left, is taken away once; who then creates it first has it.
+    """
     jvm = spark.sparkContext._jvm
     lock = jvm.org.apache.hadoop.fs.Path(f"{folder}/.lock")
     fs = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.createNewFile(lock):
-        raise RuntimeError(f"{folder} is locked; remove {folder}/.lock if no run is in it")
+    until = time.monotonic() + wait
+    while not fs.createNewFile(lock):
+        if stale is not None and fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale:
+            fs.delete(lock, False)
+            stale = None
+        elif time.monotonic() >= until:
+            raise RuntimeError(f"{folder} is locked; remove {folder}/.lock if no run is in it")
+        else:
+            time.sleep(step)
     try:
         yield lock.toString()
     finally:
         fs.delete(lock, False)
 
 
+def cached_once(spark: SparkSession, folder: str, make: Callable[[], DataFrame], wait: float = 3600.0, stale: float | None = None) -> DataFrame:
+    """The table of a folder, made by whichever run comes first; others wait for it and read it. A run that was cut off leaves no _SUCCESS, so the next makes it anew."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{folder}/table/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        with run_lock(spark, folder, wait, stale):
+            if not fs.exists(done):
+                make().write.mode("overwrite").parquet(f"{folder}/table")
+    return spark.read.parquet(f"{folder}/table")
+
+
 def answered(prompts: DataFrame, judge: Callable[..., list[str]], options: dict, prompt: str = "prompt", batch: int = 100, attempts: int = 5, wait: float = 1.0) -> DataFrame:
     """Prompts with a judge's answers: judge(prompts, attempt=..., **options).
 

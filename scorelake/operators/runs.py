@@ -55,11 +55,6 @@ def seeded(earlier: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
     return earlier.unionByName(rows.join(earlier.select(*on).distinct(), list(on), "left_anti"), allowMissingColumns=True)
 
 
-def worker_budget(jobs: int, workers: int) -> list[int]:
-    """Workers of each job: as even as can be, one at least."""
-    return [max(1, workers // jobs + (i < workers % jobs)) for i in range(jobs)]
-
-
 def weight_distribution(rows: DataFrame) -> DataFrame:
     """Rows of each side by weight; null weights are left out."""
     return rows.filter("weight is not null").groupBy("side", "weight").agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import control, matrix
 from ..operators.rewrites import RewriteCache
 from ..sources import readers, writers
 from ..sources.durable import shared_dir
@@ -57,6 +58,45 @@ def k3(spark, tasks):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_SPECS = "s AS (SELECT priority || status AS label, 'r' || priority[1] AS response_tag, status AS rubric_tag, count(*) AS n FROM tasks WHERE status <> 'P' GROUP BY priority, status)"
+
+
+@query("s15_run_matrix", f"WITH {_SPECS}, c AS (SELECT response_tag, count(*) AS k FROM s GROUP BY 1) SELECT label, CASE WHEN k > 1 THEN s.response_tag || '__rubric__' || rubric_tag ELSE s.response_tag END AS run_slug, n > 1000 AS reuse_rubric FROM s JOIN c ON c.response_tag = s.response_tag WHERE s.response_tag IN ('r1', 'r2', 'r3')")
+def s15(spark, tasks):
+    """A matrix document of all kinds of tasks, those of one status not enabled, read back for three tags."""
+    path = _place(spark)
+    kinds = tasks.groupBy("priority", "status").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct(F.concat("priority", "status").alias("label"), F.concat(F.lit("r"), F.substring("priority", 1, 1)).alias("response_tag"), F.col("status").alias("rubric_tag"), (F.col("n") > 1000).alias("reuse_rubric"), (F.col("status") != "P").alias("enabled"))
+    kinds.agg(F.collect_list(entry).alias("models")).select(F.to_json(F.struct("models")).alias("value")).write.text(path)
+    return matrix.run_matrix(spark, path, "r1, r2, r3").select("label", "run_slug", "reuse_rubric")
+
+
+@query("s17_resolved_paths", "SELECT task_id, CASE WHEN task_id % 4 = 0 THEN '' WHEN status = 'F' THEN 'release' WHEN status = 'O' THEN 'repository' WHEN task_id % 4 = 1 THEN 'release' ELSE 'repository' END AS root FROM tasks")
+def s17(spark, tasks):
+    """A path for each task, into folders of which the release has one and the repository two, one of the same name."""
+    path = _place(spark)
+    for root, found in (("release", ["F"]), ("repository", ["F", "O"])):
+        tasks.filter(F.col("status").isin(found)).select("status", "task_id").repartition("status").write.partitionBy("status").parquet(f"{path}/{root}")
+    name = F.when(F.col("task_id") % 4 == 0, F.concat(F.lit("/"), "status")).when(F.col("status").isin("F", "O"), F.concat(F.lit("status="), "status")).when(F.col("task_id") % 4 == 1, F.concat(F.lit("data/"), "status")).otherwise(F.col("status"))
+    found = matrix.resolved_paths(tasks.select("task_id", name.alias("path")), f"{path}/release", f"{path}/repository")
+    return found.select("task_id", F.regexp_extract("resolved", "/(release|repository)/", 1).alias("root"))
+
+
+@query("i12_worker_shares", "WITH j AS (SELECT DISTINCT priority, status FROM tasks) SELECT priority, status, CAST((row_number() OVER (ORDER BY priority || status) - 1) // 4 AS INT) AS wave, 1 AS workers FROM j")
+def i12(tasks):
+    """The jobs of a matrix over four workers."""
+    jobs = tasks.select("priority", "status", F.concat("priority", "status").alias("name")).distinct()
+    return matrix.worker_shares(jobs, 4, "name").select("priority", "status", "wave", "workers")
+
+
+@query("i9_cached_once", "SELECT status, count(*) AS n FROM tasks GROUP BY 1")
+def i9(spark, tasks):
+    """A table that one run makes and the next finds; it would fail if it were made again."""
+    path = _place(spark)
+    control.cached_once(spark, path, lambda: tasks.groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+    return control.cached_once(spark, path, lambda: tasks.select(F.raise_error(F.lit("made twice"))))
+
+
 @query("s4_bad_lines", """WITH f AS (SELECT task_id // 5000 AS part, min(task_id) AS bad FROM tasks WHERE task_id % 97 = 0 GROUP BY 1)
 SELECT part, count(*) AS line, max(bad) AS task_id FROM tasks JOIN f ON task_id // 5000 = part AND task_id <= bad GROUP BY 1""")
 def s4_bad(spark, tasks):

@@ -1,10 +1,16 @@
 """Readers of raw answers, trials and the control of runs, on cases made by hand."""
 
+import json
+import os
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from scorelake.functions import verdicts as V
 from scorelake.operators import control as J
+from scorelake.operators import matrix as N
 from scorelake.operators import trials as T
 from scorelake.plans import catalog
 from scorelake.sources import readers, writers
@@ -61,14 +67,36 @@ def test_running_order_spreads_kinds(spark):
     assert sum(a.startswith("FOIL") and b.startswith("FOIL") for a, b in zip(kinds, kinds[1:])) <= 1
 
 
-def test_matrix_entries_and_paths():
-    raw = [{"label": "A", "response_tag": "a", "rubric_tag": "ra"}, {"label": "B", "response_tag": "b", "rubric_tag": "rb", "enabled": False}, {"label": "C", "response_tag": "c", "rubric_tag": "rc", "reuse_rubric": 1}]
-    assert [e.label for e in J.matrix_entries(raw)] == ["A", "C"] and [e.label for e in J.matrix_entries(raw, " C, ")] == ["C"]
-    for bad, tags, why in ((raw, "b", "unknown"), ([{"label": "x"}], "", "lacks response_tag"), (raw[1:2], "", "no model")):
+def test_matrix_of_a_run(spark, tmp_path):
+    raw = [{"label": "A", "response_tag": "a", "rubric_tag": "ra"}, {"label": "B", "response_tag": "b", "rubric_tag": "rb", "enabled": False}, {"label": "C", "response_tag": "c", "rubric_tag": "rc", "reuse_rubric": True}, {"label": "D", "response_tag": "c", "rubric_tag": "rd"}]
+
+    def matrix(entries, selected=""):
+        (tmp_path / "m.json").write_text(json.dumps({"models": entries}, indent=1))
+        return {r["label"]: r for r in N.run_matrix(spark, str(tmp_path / "m.json"), selected).collect()}
+
+    every = matrix(raw)
+    assert set(every) == {"A", "C", "D"} and every["C"]["reuse_rubric"] and not every["A"]["reuse_response"] and every["C"]["run_slug"] == "c__rubric__rc"
+    assert set(matrix(raw, " a, c__rubric__rd,")) == {"A", "D"} and set(matrix(raw, "c")) == {"C", "D"}
+    for bad, tags, why in ((raw, "b", "called b"), ([raw[0], {"label": "x", "rubric_tag": "r"}], "", "entry 1 .* lacks response_tag"), (raw[1:2], "", "no entry is left"), ([], "", "no entry is left")):
         with pytest.raises(ValueError, match=why):
-            J.matrix_entries(bad, tags)
-    at = lambda path, *there: J.resolved_path(path, "/rel", "/repo", set(there).__contains__)
-    assert [at("/x"), at("a", "/rel/a", "/repo/a"), at("a", "/repo/a"), at("data/z"), at("z")] == ["/x", "/rel/a", "/repo/a", "/rel/data/z", "/repo/z"]
+            matrix(bad, tags)
+
+
+def test_paths_below_two_roots(spark, tmp_path):
+    release, repository = tmp_path / "re.l (1)", tmp_path / "repo"
+    for f in (release / "a" / "x.txt", repository / "a" / "x.txt", repository / "b" / "c" / "y.txt"):
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    names = ["/x", "a/x.txt", "a", "b/c", "b/c/", "b/c/y.txt", "b/c/y", "data/z", "z", None]
+    got = {r["path"]: r["resolved"] for r in N.resolved_paths(spark.createDataFrame([(n, 1) for n in names], "path string, _n int"), str(release), str(repository)).collect()}
+    below = {"a/x.txt": release, "a": release, "b/c": repository, "b/c/": repository, "b/c/y.txt": repository, "b/c/y": repository, "data/z": release, "z": repository}
+    assert got == {"/x": "/x", None: None} | {n: f"{root}/{n}" for n, root in below.items()}
+
+
+@pytest.mark.parametrize(("jobs", "workers", "want"), [(3, 8, [(0, 2)] * 3), (4, 2, [(0, 1), (0, 1), (1, 1), (1, 1)]), (2, 0, [(0, 1), (1, 1)]), (0, 4, [])])
+def test_workers_of_jobs(spark, jobs, workers, want):
+    got = N.worker_shares(spark.range(jobs), workers, "id").orderBy("id").collect()
+    assert [(r["wave"], r["workers"]) for r in got] == want
 
 
 def test_pilots_come_before_full_runs():
@@ -90,6 +118,30 @@ def test_only_one_run_holds_a_lock(spark, tmp_path):
             pass
     with J.run_lock(spark, str(tmp_path)):
         pass
+    (tmp_path / ".lock").touch()  # of a run that was killed
+    os.utime(tmp_path / ".lock", (1, 1))
+    with J.run_lock(spark, str(tmp_path), stale=60):
+        pass
+    assert not (tmp_path / ".lock").exists()
+
+
+def test_a_table_is_made_by_one_run_and_waited_for_by_others(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        time.sleep(1)
+        return spark.range(5)
+
+    found = []
+    runs = [threading.Thread(target=lambda: found.append(J.cached_once(spark, str(tmp_path), make, wait=60).count())) for _ in range(3)]
+    for r in runs:
+        r.start()
+    for r in runs:
+        r.join()
+    assert found == [5, 5, 5] and made == [1]
+    os.remove(tmp_path / "table" / "_SUCCESS")  # cut off: made anew
+    assert J.cached_once(spark, str(tmp_path), make).count() == 5 and made == [1, 1]
 
 
 def test_failing_judges_are_asked_again(spark):
