@@ -127,35 +127,44 @@ def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarra
 
 
 def _floors(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
-    """For each query the k greatest lower bounds of each block; reads cells only."""
+    """For each query the k greatest lower bounds of all the blocks of a task; reads cells only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = {dims: np.full((len(quids), k), -np.inf) for dims, (quids, _) in queries.items()}
         for dims, uids, file, _ in _blocks_of(batches):
             quids, qs = queries.get(dims, ((), ()))
             for a in range(0, len(quids), 256):
                 low, _ = file.bounds(qs[a : a + 256])
-                some = np.asarray(quids[a : a + 256])
-                low[some[:, None] == uids[None, :]] = -np.inf
-                top = -np.partition(-low, min(k, low.shape[1]) - 1, axis=1)[:, :k]
-                yield pd.DataFrame({"query": np.repeat(some, top.shape[1]), "low": top.ravel()})
+                low[np.asarray(quids[a : a + 256])[:, None] == uids[None, :]] = -np.inf
+                both = np.concatenate([best[dims][a : a + 256], low], axis=1)
+                best[dims][a : a + 256] = -np.partition(-both, k - 1, axis=1)[:, :k]
+        for dims, low in best.items():
+            pdf = pd.DataFrame({"query": np.repeat(queries[dims][0], k), "low": low.ravel()})
+            yield pdf[pdf["low"] > -np.inf]
 
     return run
 
 
 def _searched(queries: dict[int, tuple[np.ndarray, np.ndarray]], floors: dict[int, float], k: int):
-    """Search of one block of queries in each block of vectors that passes: exact vectors only where the bound reaches the query's floor."""
+    """The k best of one block of queries in all the blocks of a task: exact vectors only where the bound reaches the query's floor, or the k-th best that the task has found."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, list[tuple[int, int, int]]] = {}  # (-score, id, uid), least first
         for dims, uids, file, r in _blocks_of(batches):
             quids, qs = queries.get(dims, ((), ()))
             ids, rows = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["exact"], r["kind"]).reshape(len(uids), dims)
-            where, out = {int(u): i for i, u in enumerate(uids)}, []
+            where = {int(u): i for i, u in enumerate(uids)}
             for a in range(0, len(quids), 256):
                 _, high = file.bounds(qs[a : a + 256])
                 for j in range(len(high)):
                     u = int(quids[a + j])
-                    out += [(u, int(uids[p]), int(ids[p]), s) for s, p in search(rows, qs[a + j], high[j], floors.get(u, -np.inf), ids, where.get(u, -1), k)]
-            yield pd.DataFrame(out, columns=["query", "uid", "place", "score"])
+                    held = best.get(u, [])
+                    floor = max(floors.get(u, -np.inf), -held[-1][0] if len(held) == k else -np.inf)
+                    found = search(rows, qs[a + j], high[j], floor, ids, where.get(u, -1), k)
+                    if found:
+                        best[u] = sorted(held + [(-s, int(ids[p]), int(uids[p])) for s, p in found])[:k]
+        out = [(u, uid, i, -s) for u, held in best.items() for s, i, uid in held]
+        yield pd.DataFrame(out, columns=["query", "uid", "place", "score"])
 
     return run
 
@@ -168,8 +177,10 @@ def exact_topk(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec
     the SQL condition is_query on the id holds) are taken in blocks of about query_block, the only thing
     that the driver and the tasks hold of them, each in two scans. The first reads cells only, and the k-th
     greatest lower bound over all blocks is a query's floor. The second reads, of the vectors whose upper
-    bound reaches the floor, the exact ones in order of their bound until the k-th result is certain. What
-    a block of queries finds is written before the next, so memory does not grow with their number.
+    bound reaches the floor, the exact ones in order of their bound until the k-th result is certain. Both keep k
+    rows a query and task, however many blocks of vectors it has. What a block of queries finds is written before the
+    next, so memory does not grow with their number; a scan of the files is shared by query_block queries, so that
+    its work is their products and not its reading.
 
     Vectors that are null or hold null or non-finite components, or whose scaled components are
     infinite, take no part, neither do rows with a null id. Vectors of another length are not compared.
