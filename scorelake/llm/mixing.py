@@ -19,11 +19,18 @@ def word_count(text: Column) -> Column:
     return F.length(F.rtrim(marks, F.lit(" \t\n\x0b\x0c\r"))).cast("long")
 
 
-def _offsets(rows: DataFrame, group: str, chunk: str, value: Column) -> DataFrame:
-    """Sum of value over a group's earlier chunks: one row for each (group, chunk)."""
-    totals = rows.groupBy(group, chunk).agg(F.sum(value).alias("total"))
-    before = Window.partitionBy(group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    return table(totals.select(group, chunk, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")))
+def _offsets(rows: DataFrame, group: str, chunk: str, value: Column, wide: int = 4096) -> DataFrame:
+    """Sum of value over a group's earlier chunks: one row for each (group, chunk).
+
+    In two levels, runs of `wide` chunks and the runs themselves, so a task has that many rows of a group, or a row for each run.
+    """
+    totals = rows.groupBy(group, chunk).agg(F.sum(value).alias("total")).withColumn("run", F.expr(f"`{chunk}` div {wide}"))
+    earlier = lambda by, order: F.coalesce(F.sum("total").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = table(totals.withColumn("inside", earlier((group, "run"), chunk)))
+    runs = totals.groupBy(group, "run").agg(F.sum("total").alias("total"))
+    before = runs.select(F.col(group).alias("_group"), F.col("run").alias("_run"), earlier((group,), "run").alias("before"))
+    both = totals.join(before.hint("merge"), totals[group].eqNullSafe(before["_group"]) & (totals["run"] == before["_run"]))
+    return table(both.select(group, chunk, (F.col("before") + F.col("inside")).alias("offset")))
 
 
 @dataclass

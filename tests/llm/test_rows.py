@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorelake.llm.mixing import mix, word_count
+from scorelake.llm.mixing import _offsets, mix, word_count
 from scorelake.llm.preference import preference_format
 from scorelake.llm.topk import ApproximationFile, cells_of, exact_topk
 from scorelake.llm.url_filter import url_filter
@@ -75,6 +75,14 @@ def test_taken_words_are_those_of_the_scheduled_blocks(spark, block_words):
     assert {i: n for i, n in got.items() if n} == want
 
 
+@pytest.mark.parametrize("wide", [2, 4096])
+def test_offsets_in_two_levels(spark, wide):
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(40), rng.randrange(9)) for _ in range(500)]
+    got = {(r["g"], r["c"]): r["offset"] for r in _offsets(spark.createDataFrame(rows, "g long, c long, v long"), "g", "c", F.col("v"), wide).collect()}
+    assert got == {(g, c): sum(v for h, d, v in rows if h == g and d < c) for g, c, _ in rows}
+
+
 def test_mix_reruns_agree_whatever_the_partitions(spark):
     df = spark.createDataFrame(mixed_rows(2), "doc_id long, text string, source string")
     runs = [sorted((str(r["id"]), r["size"], r["taken"]) for r in mix(d, block_words=64).taken().collect()) for d in (df.repartition(1), df.repartition(7))]
