@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.durable import exists, table
 from .similarity import case_pairs, greatest_cosine, similar_pairs
 
-__all__ = ["case_components", "case_pairs", "dedupe_appended", "dedupe_by_case", "dot", "embedded", "global_dedupe", "greatest_cosine", "leaders", "merged", "merged_global", "side_label", "similar_pairs", "unit"]
+__all__ = ["case_components", "case_pairs", "components", "dedupe_appended", "dedupe_by_case", "dot", "embedded", "global_dedupe", "greatest_cosine", "leaders", "merged", "merged_global", "side_label", "similar_pairs", "unit"]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,15 +55,36 @@ def _greedy(threshold: float, tags: str):
     return run
 
 
-def dedupe_by_case(rows: DataFrame, threshold: float, tag: str) -> DataFrame:
+def _large(rows: DataFrame, most: int) -> DataFrame:
+    """Cases of over `most` rows."""
+    return table(rows.groupBy("case").count().filter(F.col("count") > most).select(F.col("case").alias("_large")))
+
+
+def _of_cases(rows: DataFrame, cases: DataFrame, how: str) -> DataFrame:
+    """Rows of these cases (left_semi), or of all others (left_anti)."""
+    return rows.join(cases, rows["case"].eqNullSafe(cases["_large"]), how)
+
+
+def dedupe_by_case(rows: DataFrame, threshold: float, tag: str, most: int = 4096, block: int = 1024) -> DataFrame:
     """Greedy de-duplication within each case, in order of rank: pos, leader, cos (0 for leaders) and tag of every row.
 
-    rows: case, rank, pos, vec and the tag that groups collect (a side or a model). A case is one
-    rubric, so a group is small by nature; the order is the algorithm.
+    rows: case, rank (unique in a case), pos, vec and the tag that groups collect (a side or a model). A case is one rubric, so
+    nearly all are groups that a task goes through in order. A case of over `most` rows is not gathered: its pairs are found
+    in blocks, and its leaders by rounds over them, as `leaders` does; both ways give the same.
     """
-    case = rows.schema["case"].dataType.simpleString()
-    kind = rows.schema[tag].dataType.simpleString()
-    return rows.groupBy("case").applyInPandas(_greedy(threshold, tag), f"pos long, leader long, cos double, tag {kind}, case {case}")
+    case, kind = rows.schema["case"].dataType.simpleString(), rows.schema[tag].dataType.simpleString()
+    rows = table(rows.select("case", "rank", F.col("pos").cast("long").alias("pos"), F.col("vec").cast("array<double>").alias("vec"), F.col(tag).alias(tag)))
+    large = _large(rows, most)
+    found = _of_cases(rows, large, "left_anti").groupBy("case").applyInPandas(_greedy(threshold, tag), f"pos long, leader long, cos double, tag {kind}, case {case}")
+    if large.isEmpty():
+        return found
+    # numbers in order of case and rank, given where range partitions have sorted them
+    named = table(_of_cases(rows, large, "left_semi").orderBy("case", "rank").withColumn("at", F.monotonically_increasing_id()))
+    nodes = named.select("case", F.col("at").alias("pos"), "vec")
+    joins = _settled(nodes, table(case_pairs(nodes, threshold, block=block).select("a", "b", "cos")), F.lit(False))
+    names = named.select(F.col("at").alias("_at"), F.col("pos").alias("_pos"))
+    more = joins.join(named.select("at", "case", F.col("pos").alias("_own"), F.col(tag).alias("tag")), joins["pos"] == F.col("at")).join(names, F.col("leader") == F.col("_at"))
+    return found.unionByName(more.select(F.col("_own").alias("pos"), F.col("_pos").alias("leader"), "cos", "tag", "case"))
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -106,9 +127,8 @@ def leaders(nodes: DataFrame, edges: DataFrame, few: int = 100_000) -> DataFrame
         state = table(state.join(new.withColumn("leads", F.lit(2)), "pos", "left").join(covered, "pos", "left").select("pos", F.coalesce("leads", F.when(F.col("state") == 1, F.col("gone")), "state").alias("state")))
 
 
-def _settled(rows: DataFrame, threshold: float, block: int, older: Column) -> DataFrame:
-    """Leaders among rows (pos, vec), and the leader that every other joins: of those that `older` marks (a before b) the most similar, else of the others."""
-    edges = table(similar_pairs(rows, rows, threshold, block=block, ordered=True))
+def _settled(rows: DataFrame, edges: DataFrame, older: Column) -> DataFrame:
+    """Leaders among rows (pos) with edges (a < b, cos), and the leader that every other joins: of those that `older` marks (a before b) the most similar, else of the others; of equal ones the first."""
     lead = table(leaders(rows, edges))
     options = edges.join(lead.withColumnRenamed("pos", "a"), "a").join(lead.withColumnRenamed("pos", "b"), "b", "left_anti")
     best = options.groupBy("b").agg(F.max(F.struct(older.alias("older"), "cos", (-F.col("a")).alias("a"))).alias("m"))
@@ -122,7 +142,7 @@ def global_dedupe(rows: DataFrame, threshold: float, batch: int = 512, block: in
     Leaders don't depend on the batch. Which leader a row joins does: the most similar one of earlier
     batches if that is at the threshold, else the most similar earlier one of its own batch.
     """
-    return _settled(rows, threshold, block, F.expr(f"a div {batch} < b div {batch}"))
+    return _settled(rows, table(similar_pairs(rows, rows, threshold, block=block, ordered=True)), F.expr(f"a div {batch} < b div {batch}"))
 
 
 def dedupe_appended(folder: str, number: int, rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
@@ -141,7 +161,7 @@ def dedupe_appended(folder: str, number: int, rows: DataFrame, threshold: float,
     near = table(greatest_cosine(rows, earlier.filter(F.col("batch") < number), block))
     joined = near.filter(F.col("other").isNotNull() & (F.col("cos") >= threshold)).select("pos", F.col("other").alias("leader"), "cos")
     rest = table(rows.join(joined, "pos", "left_anti"))
-    found = table(joined.unionByName(_settled(rest, threshold, block, F.lit(False))))
+    found = table(joined.unionByName(_settled(rest, table(similar_pairs(rest, rest, threshold, block=block, ordered=True)), F.lit(False))))
     lead = rest.join(found.filter("pos = leader").select("pos"), "pos", "left_semi")
     lead.select("pos", "vec").write.mode("overwrite").parquet(f"{folder}/batch={number}")
     return found
@@ -156,8 +176,33 @@ def merged_global(found: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("leader", "models", "n_merged", F.col("w.weight").alias("weight"))
 
 
-def case_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Component of every node of each case: nodes (case, pos), edges (case, a, b); its least node names it."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Least node reachable from each: nodes (pos), edges (a, b) in either direction: pos, component.
+
+    Each round gives every node the least label around it and then the label of that label, so labels travel in jumps that
+    double; rounds are written tables, about as many as the logarithm of the longest path. Labels of a common node are
+    joined, not gathered.
+    """
+    both = table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = table(nodes.select("pos", F.col("pos").alias("component")))
+    while True:
+        around = both.join(labels.select(F.col("pos").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        hooked = table(labels.join(around.withColumnRenamed("a", "pos"), "pos", "left").select("pos", "component", F.least("component", "near").alias("new")))
+        # a label's own node takes the least that any of its members has found
+        told = hooked.groupBy(F.col("component").alias("pos")).agg(F.min("new").alias("told"))
+        better = table(hooked.join(told, "pos", "left").select("pos", "component", F.least("new", "told").alias("new")))
+        jump = better.select(F.col("pos").alias("new"), F.col("new").alias("far"))
+        after = table(better.join(jump, "new").select("pos", "component", F.least("new", "far").alias("new")))
+        labels = after.select("pos", F.col("new").alias("component"))
+        if after.filter("component <> new").isEmpty():
+            return labels
+
+
+def case_components(nodes: DataFrame, edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """Component of every node of each case: nodes (case, pos), edges (case, a, b); its least node names it.
+
+    Cases of up to `most` nodes and edges are groups of their own; a larger one goes through `components`, in rounds.
+    """
 
     def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         parent = {int(p): int(p) for p in nodes["pos"]}
@@ -175,8 +220,15 @@ def case_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"case": [key[0]] * len(parent), "pos": list(parent), "component": [find(p) for p in parent]})
 
     # fresh columns: both sides often come from one table
-    nodes, edges = nodes.toDF("case", "pos"), edges.select("case", "a", "b").toDF("of", "a", "b")
-    return nodes.groupBy("case").cogroup(edges.groupBy("of")).applyInPandas(run, "case long, pos long, component long")
+    nodes, edges = table(nodes.toDF("case", "pos")), table(edges.select("case", "a", "b"))
+    large = _large(nodes.select("case").unionByName(edges.select("case")), most)
+    small = _of_cases(edges, large, "left_anti").toDF("of", "a", "b")
+    found = _of_cases(nodes, large, "left_anti").groupBy("case").cogroup(small.groupBy("of")).applyInPandas(run, "case long, pos long, component long")
+    if large.isEmpty():
+        return found
+    named = lambda *c: F.struct(F.col("case"), *c)
+    many = components(_of_cases(nodes, large, "left_semi").select(named("pos").alias("pos")), _of_cases(edges, large, "left_semi").select(named(F.col("a").alias("pos")).alias("a"), named(F.col("b").alias("pos")).alias("b")))
+    return found.unionByName(many.select(F.col("pos.case").cast("long").alias("case"), F.col("pos.pos").cast("long").alias("pos"), F.col("component.pos").cast("long").alias("component")))
 
 
 def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 100, retries: int = 5, wait: float = 1.0) -> DataFrame:

@@ -225,17 +225,17 @@ def m8(verdicts):
     return rounded(R.coverage_agreement(items, "judge_a", "judge_b"), "jaccard", "same_item")
 
 
-_RATES = "SELECT {name} AS source, avg(rate) AS mean, max(rate) FILTER (judge = 'judge_a') AS judge_a, max(rate) FILTER (judge = 'judge_b') AS judge_b FROM (SELECT {key} AS k, judge, 100 * avg(CAST(meets AS INT)) AS rate FROM v GROUP BY 1, 2) GROUP BY k"
+_RATES = "SELECT {name} AS source, avg(rate) AS mean, max(rate) FILTER (judge = 'judge_a') AS judge_a, max(rate) FILTER (judge = 'judge_b') AS judge_b, max(rate) FILTER (judge = 'judge_c') AS judge_c FROM (SELECT {key} AS k, judge, 100 * avg(CAST(meets AS INT)) AS rate FROM v GROUP BY 1, 2) GROUP BY k"
 
 
-@query("a20_verdict_rates", f"""WITH v AS (SELECT *, 's' || (criterion_id % 4) AS src FROM verdicts WHERE judge <> 'judge_c'),
+@query("a20_verdict_rates", f"""WITH v AS (SELECT *, 's' || (criterion_id % 4) AS src FROM verdicts),
 e AS ({_RATES.format(name="k", key="src")}), p AS ({_RATES.format(name="k", key="CASE WHEN src = 's0' THEN 'Human' ELSE 'Pooled AI' END")}),
 g AS (SELECT 'Gap' AS source, max(round_even(mean, 1)) FILTER (source = 'Pooled AI') - max(round_even(mean, 1)) FILTER (source = 'Human') AS mean, max(round_even(judge_a, 1)) FILTER (source = 'Pooled AI') - max(round_even(judge_a, 1)) FILTER (source = 'Human') AS judge_a,
-max(round_even(judge_b, 1)) FILTER (source = 'Pooled AI') - max(round_even(judge_b, 1)) FILTER (source = 'Human') AS judge_b FROM p)
-SELECT source, round(mean, 6) AS mean, round(judge_a, 6) AS judge_a, round(judge_b, 6) AS judge_b FROM (SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM g)""")
+max(round_even(judge_b, 1)) FILTER (source = 'Pooled AI') - max(round_even(judge_b, 1)) FILTER (source = 'Human') AS judge_b, max(round_even(judge_c, 1)) FILTER (source = 'Pooled AI') - max(round_even(judge_c, 1)) FILTER (source = 'Human') AS judge_c FROM p)
+SELECT source, round(mean, 6) AS mean, round(judge_a, 6) AS judge_a, round(judge_b, 6) AS judge_b, round(judge_c, 6) AS judge_c FROM (SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM g)""")
 def a20(verdicts):
-    v = verdicts.filter("judge <> 'judge_c'").withColumn("src", F.concat(F.lit("s"), (F.col("criterion_id") % 4).cast("string")))
-    return rounded(R.verdict_rates(v, "src", "s0", ["judge_a", "judge_b"]), "mean", "judge_a", "judge_b")
+    v = verdicts.withColumn("src", F.concat(F.lit("s"), (F.col("criterion_id") % 4).cast("string")))
+    return rounded(R.verdict_rates(v, "src", "s0", ["judge_a", "judge_b", "judge_c"]), "mean", "judge_a", "judge_b", "judge_c")
 
 
 @query("j12_a31_candidate_labels", """SELECT count(*) FILTER (a.meets AND b.meets) AS tp, count(*) FILTER (NOT a.meets AND NOT b.meets) AS tn, count(*) FILTER (a.meets AND NOT b.meets) AS fp, count(*) FILTER (NOT a.meets AND b.meets) AS fn,
@@ -254,16 +254,16 @@ def j13(pairs):
     return R.first_label_wins(pairs.select("c", "ha"), labels, ["c", "ha"], "pos").groupBy(F.coalesce("status", F.lit("unlabelled")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j14_j15_resolved_ids", """WITH k AS (SELECT pos, task_id, CASE pos % 3 WHEN 0 THEN title WHEN 1 THEN '  ' || title ELSE substr(title, 2, 12) END AS title FROM titles),
+@query("j14_j15_resolved_ids", """WITH k AS (SELECT pos, task_id, CASE pos % 3 WHEN 0 THEN title WHEN 1 THEN '  ' || title ELSE substr(title, 2) END AS title FROM titles),
 n AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM titles), kn AS (SELECT *, trim(lower(regexp_replace(title, '\\s+', ' ', 'g'))) AS nt FROM k),
 a AS (SELECT task_id, title, max(pos) AS a FROM n GROUP BY 1, 2), b AS (SELECT task_id, nt, max(pos) AS b FROM n GROUP BY 1, 2),
 r AS (SELECT kn.*, a, b FROM kn LEFT JOIN a USING (task_id, title) LEFT JOIN b USING (task_id, nt)), d AS (SELECT task_id, lower(title) AS t, min(pos) AS c FROM n GROUP BY 1, 2),
 x AS (SELECT DISTINCT task_id, lower(title) AS t FROM r WHERE a IS NULL AND b IS NULL), y AS (SELECT x.task_id, x.t, min(d.c) AS c FROM x JOIN d ON x.task_id = d.task_id AND (contains(d.t, x.t) OR contains(x.t, d.t)) GROUP BY 1, 2)
 SELECT r.pos AS concept_id, coalesce(a, b, c) AS criterion_id FROM r LEFT JOIN y ON r.task_id = y.task_id AND lower(r.title) = y.t AND a IS NULL AND b IS NULL""")
 def j14(titles):
-    """Every line of every document, whole, cut or indented, among all lines of its source."""
+    """Every line of every document, whole, indented or without its first character, among all lines of its source."""
     kind = F.col("pos") % 3
-    concepts = titles.select(F.col("pos").alias("concept_id"), "task_id", F.when(kind == 0, F.col("title")).when(kind == 1, F.concat(F.lit("  "), "title")).otherwise(F.substring("title", 2, 12)).alias("title"))
+    concepts = titles.select(F.col("pos").alias("concept_id"), "task_id", F.when(kind == 0, F.col("title")).when(kind == 1, F.concat(F.lit("  "), "title")).otherwise(F.expr("substring(title, 2)")).alias("title"))
     norm = lambda c: F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
     return R.resolved_ids(concepts, titles.select("task_id", F.col("pos").alias("place"), F.col("pos").alias("criterion_id"), "title"), norm)
 

@@ -114,3 +114,37 @@ def test_appended_batches_equal_one_run(spark):
         found += got
     whole = C.global_dedupe(rows, 0.8, batch=100, block=32).collect()
     assert sorted((r["pos"], r["leader"], round(r["cos"], 9)) for r in found) == sorted((r["pos"], r["leader"], round(r["cos"], 9)) for r in whole)
+
+
+@pytest.mark.parametrize("most", [10_000, 20])
+def test_large_cases_are_settled_without_gathering_them(spark, most):
+    x = unit_rows("clustered", 300, 7)
+    case = [1] * 200 + [2] * 60 + [3] * 15 + [4] * 25
+    order = np.random.default_rng(1).permutation(300)
+    df = spark.createDataFrame([(c, int(order[i]), i, v.tolist(), f"m{i % 3}") for i, (c, v) in enumerate(zip(case, x, strict=True))], "case long, rank long, pos long, vec array<double>, model string").repartition(3)
+    got = {r["pos"]: (r["leader"], round(r["cos"], 9), r["tag"], r["case"]) for r in C.dedupe_by_case(df, 0.8, "model", most=most, block=16).collect()}
+    want, leaders = {}, {}
+    for i in np.argsort(order):
+        mine = leaders.setdefault(case[i], [])
+        cos = [float(x[j] @ x[i]) for j in mine]
+        if cos and max(cos) >= 0.8:
+            best = max(cos)
+            want[int(i)] = (next(j for j, c in zip(mine, cos, strict=True) if c > best - 1e-12), round(best, 9), f"m{i % 3}", case[i])
+        else:
+            mine.append(int(i))
+            want[int(i)] = (int(i), 0.0, f"m{i % 3}", case[i])
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [100_000, 8])
+def test_components_of_large_cases(spark, most):
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(60).tolist()
+    edges = [(1, a, b) for a, b in zip(chain, chain[1:])] + [(2, 0, j) for j in range(1, 40)] + [(3, 4, 5)] + [(4, int(a), int(b)) for a, b in rng.integers(0, 50, size=(30, 2))]
+    nodes = [(1, i) for i in range(60)] + [(2, i) for i in range(45)] + [(3, i) for i in range(6)] + [(4, i) for i in range(50)]
+    label = {n: n[1] for n in nodes}
+    for _ in nodes:
+        for c, a, b in edges:
+            label[(c, a)] = label[(c, b)] = min(label[(c, a)], label[(c, b)])
+    got = C.case_components(spark.createDataFrame(nodes, "case long, pos long"), spark.createDataFrame(edges, "case long, a long, b long"), most).collect()
+    assert {(r["case"], r["pos"]): r["component"] for r in got} == label and len(got) == len(nodes)
