@@ -49,6 +49,17 @@ def l4(tasks):
     return tasks.select("task_id", V.ladder(raw).alias("l")).select("task_id", F.coalesce(F.col("l.verdict").cast("string"), F.lit("null")).alias("verdict"), "l.reason")
 
 
+@query("l4_ladder_lines", r"""WITH k AS (SELECT pos, title, CASE WHEN pos % 3 = 0 THEN 'true' ELSE 'false' END AS v, CASE WHEN pos % 4 = 2 AND (contains(title, '{') OR contains(title, '}')) THEN 0 ELSE pos % 4 END AS kind FROM titles)
+SELECT pos, v AS verdict, CASE WHEN kind = 3 THEN substr('"meets_requirements": ' || v || ', ' || title, 1, 200) ELSE title END AS reason FROM k""")
+def l4_lines(titles):
+    """Every line as the reason of an answer: bare JSON, in a fence, inside a sentence, or after a key and value as text."""
+    said = F.col("pos") % 3 == 0
+    body = F.to_json(F.struct(said.alias("meets_requirements"), F.col("title").alias("reason")))
+    kind = F.when((F.col("pos") % 4 == 2) & F.col("title").rlike("[{}]"), 0).otherwise(F.col("pos") % 4)
+    raw = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Well: "), body, F.lit(" ok"))).otherwise(F.concat(F.lit('"meets_requirements": '), said.cast("string"), F.lit(", "), "title"))
+    return titles.select("pos", V.ladder(raw).alias("l")).select("pos", F.col("l.verdict").cast("string").alias("verdict"), "l.reason")
+
+
 @query("l1_l2_l3_rubric_array", f"WITH {_ITEMS} SELECT task_id, criterion_id AS id, 't' AS title, w AS weight FROM i")
 def l3(judgements):
     """Arrays with a comma too many, in a fence, or inside a sentence."""

@@ -104,10 +104,11 @@ def m5(judgements):
     return rounded(G.weak_floor(gaps, 600, 10), "retention")
 
 
-@query("m9_threshold_verdict", "SELECT priority, CASE WHEN a >= 0.6 AND b >= 0.6 THEN 'confirmed' WHEN a >= 0.6 AND b <= 0.4 THEN 'meaning kept only' WHEN a > 0.4 AND a < 0.6 THEN 'middle' ELSE 'mixed' END AS verdict FROM (SELECT priority, (ascii(priority) - 48) / 5 AS a, (ascii(priority) % 3) / 2 AS b FROM tasks GROUP BY 1)")
-def m9(tasks):
-    rates = tasks.select("priority").distinct().select("priority", ((F.ascii("priority") - 48) / 5).alias("a"), ((F.ascii("priority") % 3) / 2).alias("b"))
-    return rates.select("priority", G.threshold_verdict(F.col("a"), F.col("b")).alias("verdict"))
+@query("m9_threshold_verdict", "SELECT task_id, CASE WHEN a >= 0.6 AND b >= 0.6 THEN 'confirmed' WHEN a >= 0.6 AND b <= 0.4 THEN 'meaning kept only' WHEN a > 0.4 AND a < 0.6 THEN 'middle' ELSE 'mixed' END AS verdict FROM (SELECT task_id, avg(CAST(changed AS INT)) AS a, avg(CASE WHEN criterion_weight > 1 THEN 1 ELSE 0 END) AS b FROM judgements GROUP BY 1)")
+def m9(judgements):
+    """Of each task: the shares of its judgements that changed, and of its heavy criteria."""
+    rates = judgements.groupBy("task_id").agg(F.avg(F.col("changed").cast("int")).alias("a"), F.avg((F.col("criterion_weight") > 1).cast("int")).alias("b"))
+    return rates.select("task_id", G.threshold_verdict(F.col("a"), F.col("b")).alias("verdict"))
 
 
 @query("m10_rounding", "SELECT task_id, round_even(task_id / 4.0::DOUBLE, 1) AS r FROM tasks")
@@ -200,14 +201,21 @@ def p14(judgements):
     return blank_rows(judgements, "response").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p15_expected_rows", "SELECT count(*) AS n FROM tasks")
-def p15(tasks):
-    """Fails if rows are lost between two counts."""
+@query("p15_expected_rows", "SELECT 'whole' AS part, count(*) AS n, '' AS refusal FROM tasks UNION ALL SELECT status, count(*), 'expected ' || (SELECT count(*) FROM tasks) || ' rows, found ' || count(*) FROM tasks GROUP BY 1")
+def p15(spark, tasks):
+    """The guard over the whole table, which passes, and over each status of it, which it refuses."""
     from ..operators.rubric import require_count
 
-    n = tasks.count()
-    require_count(tasks.select("task_id").distinct(), n)
-    return tasks.agg(F.count(F.lit(1)).alias("n"))
+    n, rows = tasks.count(), []
+    for part in ("whole", *[r["status"] for r in tasks.select("status").distinct().collect()]):
+        some = tasks if part == "whole" else tasks.filter(F.col("status") == part)
+        try:
+            require_count(some, n)
+            refusal = ""
+        except ValueError as found:
+            refusal = str(found)
+        rows.append((part, some.count(), refusal))
+    return spark.createDataFrame(rows, "part string, n long, refusal string")
 
 
 @query("i4_status_with_metrics", "WITH l AS (SELECT task_id, arg_max(status, seq) AS status, arg_max(elapsed_sec, seq) AS e FROM status_log GROUP BY 1) SELECT task_id, l.status, CASE WHEN l.status = 'ok' THEN e ELSE cust END AS metric FROM l JOIN tasks USING (task_id) WHERE task_id % 3 = 0 UNION ALL SELECT task_id, l.status, CASE WHEN l.status = 'ok' THEN e END FROM l WHERE task_id % 3 <> 0 OR task_id NOT IN (SELECT task_id FROM tasks)")
@@ -239,7 +247,7 @@ def i10(tasks):
     return J.answered(prompts, judge, options={"top_p": 0.9, "temperature": 0.0}, wait=0.0).select("task_id", "answer")
 
 
-@query("i8_i13_gated_run", "SELECT 'done' AS outcome, count(*) AS done, true AS complete FROM tasks")
+@query("i8_i13_gated_run", "SELECT 'done' AS outcome, true AS complete, status, count(*) AS n, CAST(sum(task_id) AS BIGINT) AS ids FROM tasks GROUP BY status")
 def i8(spark, tasks):
     """A run that writes a pilot, then the rest of all tasks, to a folder."""
     from ..sources.durable import shared_dir
@@ -252,5 +260,7 @@ def i8(spark, tasks):
         writers.append_json(todo.join(done().select("task_id"), "task_id", "left_anti"), path)
 
     outcome, count = J.pilot_then_full(lambda: done().count(), work, 10, tasks.count())
-    summary = spark.createDataFrame([(outcome, count)], "outcome string, done long")
-    return summary.withColumn("complete", F.lit(O.is_complete(summary.withColumnRenamed("done", "ok"), "full", "full", tasks.count())))
+    summary = spark.createDataFrame([(outcome, count)], "outcome string, ok long")
+    complete = O.is_complete(summary, "full", "full", tasks.count())
+    rows = done().join(tasks.select("task_id", "status"), "task_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("task_id").alias("ids"))
+    return rows.select(F.lit(outcome).alias("outcome"), F.lit(complete).alias("complete"), "status", "n", "ids")
