@@ -41,8 +41,11 @@ _SHELL = "CASE " + " ".join(f"WHEN starts_with(title, '{p}') THEN '{p}'" for p i
 _ADVERBS = "(" + ", ".join(f"'{a}'" for a in X.OPENING_ADVERBS) + ")"
 
 
-@query("x5_opening", rf"""WITH w AS (SELECT pos, title, ltrim(substr(title, length({_SHELL}) + 1)) AS working FROM criteria_text), t AS (SELECT *, list_filter(regexp_split_to_array(working, '\s+'), lambda x: x <> '') AS tokens FROM w),
-a AS (SELECT *, coalesce(list_position(list_transform(tokens, lambda x: NOT (lower(trim(x, ' ,.;:!?')) IN {_ADVERBS})), true), 0) AS k FROM t)
+_OPENED = rf"""WITH w AS (SELECT pos, title, ltrim(substr(title, length({_SHELL}) + 1)) AS working FROM criteria_text), t AS (SELECT *, list_filter(regexp_split_to_array(working, '\s+'), lambda x: x <> '') AS tokens FROM w),
+a AS (SELECT *, coalesce(list_position(list_transform(tokens, lambda x: NOT (lower(trim(x, ' ,.;:!?')) IN {_ADVERBS})), true), 0) AS k FROM t)"""
+
+
+@query("x5_opening", _OPENED + f"""
 SELECT pos, substr(title, 1, length(title) - length(working)) AS shell, array_to_string(CASE WHEN k > 0 THEN tokens[1:k - 1] ELSE tokens END, ' ') AS adverbs, CASE WHEN k > 0 THEN lower(trim(tokens[k], ' ,.;:!?')) END AS verb, CASE WHEN k > 0 THEN tokens[k] END AS verb_token,
 CASE WHEN k > 0 THEN substr(working, length(array_to_string(tokens[1:k], ' ')) + 1) ELSE '' END AS rest FROM a""")
 def x5(criteria_text):
@@ -50,7 +53,10 @@ def x5(criteria_text):
     return rows.withColumn("adverbs", F.array_join("adverbs", " "))
 
 
-@query("x6_with_verb")
+_OTHER_VERB = _ns("substr(title, 1, length(title) - length(working)) || 'Weighs' || substr(working, length(array_to_string(tokens[1:k], ' ')) + 1)")
+
+
+@query("x6_with_verb", f"{_OPENED} SELECT pos, CASE WHEN k > 0 THEN {_OTHER_VERB} END AS text FROM a")
 def x6(criteria_text):
     return criteria_text.select("pos", X.with_verb(F.col("title"), F.lit("Weighs")).alias("text"))
 
@@ -70,7 +76,19 @@ def x8(criteria_text):
     return criteria_text.select("pos", F.array_join(X.enumeration_marks(F.col("title")), ",").alias("marks"))
 
 
-@query("x8_without_enumerations")
+def _without_lists(t: str) -> str:
+    """X8 in SQL: no look-ahead there, so a marker takes what is neither stop nor semicolon."""
+    out = f"regexp_replace({t}, '\\s*\\((?:[^)]*,){{2,}}[^)]*\\)', '', 'g')"
+    for m in X.ENUM_MARKERS:
+        out = f"regexp_replace({out}, '(?i),?\\s*{m.replace('.', chr(92) + '.')}\\s*[^.;]*', '', 'g')"
+    return out
+
+
+def _if_changed(out: str, t: str) -> str:
+    return f"CASE WHEN {_ns(out)} <> {_ns(t)} THEN {_ns(out)} END"
+
+
+@query("x8_without_enumerations", f"SELECT pos, {_if_changed(_without_lists('title'), 'title')} AS text FROM criteria_text")
 def x8b(criteria_text):
     return criteria_text.select("pos", X.without_enumerations(F.col("title")).alias("text"))
 
@@ -85,7 +103,26 @@ def x9b(criteria_text):
     return criteria_text.select("pos", X.inner_capitals(F.col("title")).alias("capitals"))
 
 
-@query("x10_rewrites")
+def _stripped(t: str) -> str:
+    return rf"regexp_replace({t}, '(?i)\b(?:{'|'.join(X.DEGREE_WORDS)})\b\s*', '', 'g')"
+
+
+def _rewrites() -> str:
+    """X10 in SQL: a table of each intermediate text, from the one that it shares its first steps with."""
+    step = {"degree": lambda t: f"coalesce({_if_changed(_stripped(t), t)}, {t})", "enum": lambda t: f"coalesce({_if_changed(_without_lists(t), t)}, {t})"}
+    out, made, last = [f"{_OPENED}, s0 AS MATERIALIZED (SELECT pos, title AS at_first, {_ns('title')} AS plain, pos % 5 <> 0 AS said, CASE WHEN k > 0 AND pos % 5 <> 0 THEN {_OTHER_VERB} ELSE title END AS at_verb FROM a)"], {(): "at_first", ("verb",): "at_verb"}, "s0"
+    for taken in sorted(X.FACTORS.values(), key=len):
+        if taken in made:
+            continue
+        made[taken] = "at_" + "_".join(taken)
+        new = f"s{len(out)}"
+        out.append(f"{new} AS MATERIALIZED (SELECT *, {step[taken[-1]](made[taken[:-1]])} AS {made[taken]} FROM {last})")
+        last = new
+    rows = [f"SELECT pos, '{factor}' AS factor, CASE WHEN {'said AND ' if 'verb' in taken else ''}{_ns(made[taken])} <> plain THEN {_ns(made[taken])} END AS text FROM {last}" for factor, taken in X.FACTORS.items()]
+    return ", ".join(out) + " " + " UNION ALL ".join(rows)
+
+
+@query("x10_rewrites", _rewrites())
 def x10(criteria_text):
     pairs = criteria_text.withColumn("model", F.when(F.col("pos") % 5 == 0, "").otherwise("Weighs the cost"))
     return X.rewrites(pairs, ["pos"], "title", "model")
