@@ -40,9 +40,10 @@ def fields(df: DataFrame, *names: str, **more: str) -> T.StructType:
 
 
 def kept_by_worker(name: str, key: object) -> dict:
-    """A dictionary that a Python worker keeps from task to task, emptied when key changes. For caches only."""
+    """A dictionary that a Python worker keeps from task to task, emptied when name or key changes, so that a worker has one at a time. For caches only."""
     held = sys.__dict__.setdefault("_scorelake_kept", {})
     if name not in held or held[name][0] != key:
+        held.clear()
         held[name] = (key, {})
     return held[name][1]
 

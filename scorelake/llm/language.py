@@ -60,7 +60,7 @@ def _counted(buckets: int):
     return run
 
 
-def _likelihoods(model: NgramModel, key: int, room: int = 500_000):
+def _likelihoods(model: NgramModel, key: int, room: int = 200_000):
     def likelihood(texts: list[str | None], kept: dict) -> list[list[float] | None]:
         words = [letters(t) for t in texts]
         if len(kept) > room:
