@@ -125,7 +125,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     events = keys.select("skey", F.lit(True).alias("is_key"), none.alias("rule"), none.alias("verdict"), "host", "path").mapInPandas(_dealt(bounds, False), shape)
     events = events.unionByName(r.select("skey", F.lit(False).alias("is_key"), "rule", "verdict", none.alias("host"), "path").mapInPandas(_dealt(bounds, True), shape))
     best = table(events.repartition(parts, "pid").sortWithinPartitions("pid", "skey", "is_key").mapInPandas(_sweep, "host string, path string, rule string, verdict string"))
-    return urls.join(best, ["host", "path"], "left").select("id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # grows with the pages, so it is never to be broadcast
+    return urls.join(best.hint("merge"), ["host", "path"], "left").select("id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the query.
