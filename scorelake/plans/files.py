@@ -157,6 +157,13 @@ def s8(texts):
     return readers.missing_embeddings(named, named.filter("pos % 3 = 0"))
 
 
+@query("s8_cache_fingerprint", """WITH h AS (SELECT pos, sha256(pos || '|' || title) AS h FROM texts), c AS (SELECT pos // 65536 AS c, sha256(string_agg(h, ',' ORDER BY pos)) AS h FROM h GROUP BY 1)
+SELECT sha256(string_agg(h, ',' ORDER BY c)) AS fingerprint FROM c""")
+def s8_fingerprint(texts):
+    """One hash of the whole list of documents."""
+    return readers.cache_fingerprint(texts.select(F.col("pos").alias("text_idx"), F.col("title").alias("text")))
+
+
 @query("s11_judgement_tree", "SELECT model, 'human' AS rubric, count(*) AS n FROM judgements GROUP BY 1")
 def s11(spark, judgements):
     """Folders by model and rubric, written in one pass, read as one table with both from their paths; files of errors and backups don't count."""
