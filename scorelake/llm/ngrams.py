@@ -3,15 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def spread_slices(text: Column, longest: int, slices: int = 16) -> Column:
-    """text, or for one of over `longest` characters that many of them: slices spread evenly from its start to its end."""
-    each = max(1, longest // slices)
-    cut = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: F.substr(text, (F.lit(1) + F.floor(i * (F.length(text) - each) / (slices - 1))).cast("int"), F.lit(each)))
-    return F.when(F.length(text) <= longest, text).otherwise(F.array_join(cut, "\n"))
 
 
 def subwords(words: list[str], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:

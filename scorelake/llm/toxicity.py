@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .durable import fields, kept_by_worker
-from .ngrams import spread_slices, subwords
+from .ngrams import subwords
 
 
 def places_in(n: int, size: int) -> int:
@@ -158,22 +158,21 @@ def _scores(model: BagModel, key: int):
     return run
 
 
-def sample_labelled(df: DataFrame, labels: DataFrame, learn: str, id_col: str, text_col: str, label_col: str, per_class: int, longest: int, seed: int) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of at most per_class rows of each label, least hash first, and the share of label 1.
+def sample_labelled(df: DataFrame, labels: DataFrame, learn: str, id_col: str, text_col: str, label_col: str, per_class: int, seed: int) -> tuple[list[str], np.ndarray, float]:
+    """Whole texts and labels of at most per_class rows of each label, least hash first, and the share of label 1.
 
-    Of a text of over `longest` characters that many teach, spread over the whole of it, so at most
-    2 * per_class * longest characters come to the driver. A row labelled twice has the higher label.
+    So 2 * per_class texts come to the driver. A row labelled twice has the higher label.
     """
     marked = labels.filter(learn).filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     prior = marked.agg(F.avg("y")).first()[0]
     rank = F.xxhash64("id", F.lit(seed))
     picked = marked.filter("y = 1").orderBy(rank, "id").limit(per_class).unionByName(marked.filter("y = 0").orderBy(rank, "id").limit(per_class))
-    texts = df.select(F.col(id_col).alias("id"), spread_slices(F.col(text_col), longest).alias("text")).filter("text is not null")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     rows = texts.join(F.broadcast(picked), "id").orderBy(rank, "id", "text").limit(2 * per_class).collect()
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.int64), min(0.99, max(0.01, prior or 0.5))
 
 
-def toxicity(df: DataFrame, labels: DataFrame, learn: str = "true", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2048, longest: int = 20_000, seed: int = 7) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, learn: str = "true", id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2048, seed: int = 7) -> DataFrame:
     """uid, id and score (0 to 1, higher: label 1 likelier) of every row of df.
 
     A word is the mean of its subwords' embeddings (character n-grams of 3 to 6 and the word, hashed to
@@ -188,7 +187,7 @@ def toxicity(df: DataFrame, labels: DataFrame, learn: str = "true", id_col: str
     Null and empty texts get the bias's score. Without labels of both kinds every score is their share
     (0.5 without any). Empty input: empty output. Ids are of any type. Repeated rows score alike; other columns are not read.
     """
-    texts, y, prior = sample_labelled(df, labels, learn, id_col, text_col, label_col, per_class, longest, seed)
+    texts, y, prior = sample_labelled(df, labels, learn, id_col, text_col, label_col, per_class, seed)
     model = train(texts, y, prior, seed=seed)
     rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = crc32(model.weights.tobytes())
