@@ -11,6 +11,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .durable import table
 
@@ -21,7 +22,7 @@ FREQUENCIES = 16
 #: Histogram cells of probability ratios are a tenth of a decade wide and 20 decades long at most.
 _CELL, _SPAN = 0.1, 200
 
-_CHUNK = "chunk long, em boolean, uids array<long>, ids array<long>, learnt array<boolean>, sizes array<int>, texts binary, train_tokens long, bytes long"
+_CHUNK = "chunk long, em boolean, uids array<long>, ids array<{id}>, learnt array<boolean>, sizes array<int>, texts binary, train_tokens long, bytes long"
 
 
 def _mix(a: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def _texts(sizes: list[int], data: bytes) -> list[bytes]:
     return out
 
 
-def _chunked(chunk_bytes: int):
+def _chunked(chunk_bytes: int, id_type: pa.DataType):
     """Documents gathered to chunks, those of the weight estimation apart; A-Z lower-cased."""
 
     def row(number: int, em: bool, held: list[tuple]) -> dict:
@@ -124,7 +125,7 @@ def _chunked(chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[tuple]] = {False: [], True: []}
         size, number, shape = {False: 0, True: 0}, 0, None
-        shape = pa.schema([("chunk", pa.int64()), ("em", pa.bool_()), ("uids", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("learnt", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary()), ("train_tokens", pa.int64()), ("bytes", pa.int64())])
+        shape = pa.schema([("chunk", pa.int64()), ("em", pa.bool_()), ("uids", pa.list_(pa.int64())), ("ids", pa.list_(id_type)), ("learnt", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary()), ("train_tokens", pa.int64()), ("bytes", pa.int64())])
         for batch in batches:
             for uid, i, learnt, em, text in zip(*[batch.column(c).to_pylist() for c in ("uid", "id", "learnt", "em", "text")], strict=True):
                 t = (text or "").encode("utf-8", "surrogatepass").lower()
@@ -235,7 +236,7 @@ def estimate(cells: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
     return weights
 
 
-def _scored(total: int, words: int, weights: np.ndarray):
+def _scored(total: int, words: int, weights: np.ndarray, id_type: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
@@ -246,7 +247,7 @@ def _scored(total: int, words: int, weights: np.ndarray):
             score = np.log10((w[:, 0] * two + w[:, 1] * one + w[:, 2]) / (words + 1)) if total else np.zeros(len(two))
             base = np.log10((counts[1] + 1) / (total + words + 1))
             sums_of = lambda x: np.add.reduceat(x, tokens.first)
-            out.append(pa.table([pa.array(row["uids"], pa.int64()), pa.array(row["ids"], pa.int64()), pa.array(tokens.lengths), pa.array(sums_of((counts[1] > 0).astype(np.int64))), pa.array(sums_of(base)), pa.array(sums_of(score))], names=["uid", "id", "n_tokens", "n_known", "base_score", "score"]))
+            out.append(pa.table([pa.array(row["uids"], pa.int64()), pa.array(row["ids"], id_type), pa.array(tokens.lengths), pa.array(sums_of((counts[1] > 0).astype(np.int64))), pa.array(sums_of(base)), pa.array(sums_of(score))], names=["uid", "id", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out)
 
     return run
@@ -269,14 +270,16 @@ def lm_score(df: DataFrame, learn: str, estimation: str, id_col: str = "doc_id",
     travels once for each chunk that has it, a frequent one too, and no table of counts is ever sent to
     all tasks. A chunk and a part are what a task holds.
 
-    Null text: as empty, one end token. Null ids stay null. Repeated rows are rows of their own. Nothing
+    Null text: as empty, one end token. Ids are of any type, null ones stay null. Repeated rows are rows of their own. Nothing
     to learn from: N and V are 0 and both scores 0. No text for estimation: the weights' starting values.
     Empty input: empty output. Other columns are not read.
     """
     spark = df.sparkSession
     flag = lambda c: F.coalesce(F.expr(c), F.lit(False))
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), flag(learn).alias("learnt"), (flag(learn) & flag(estimation)).alias("em"), F.col(text_col).alias("text"))
-    chunks = table(rows.mapInArrow(_chunked(chunk_bytes), _CHUNK))
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), flag(learn).alias("learnt"), (flag(learn) & flag(estimation)).alias("em"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType
+    id_type = to_arrow_schema(rows.select("id").schema).field("id").type
+    chunks = table(rows.mapInArrow(_chunked(chunk_bytes, id_type), _CHUNK.format(id=kind.simpleString())))
     sizes = chunks.agg(F.sum("train_tokens").alias("n"), F.sum("bytes").alias("bytes")).first()
     total = sizes["n"] or 0
     bits = max(4, (-(-(sizes["bytes"] or 0) // part_bytes)).bit_length())
@@ -289,8 +292,8 @@ def lm_score(df: DataFrame, learn: str, estimation: str, id_col: str = "doc_id",
     cells = own.filter("em").groupBy("chunk").cogroup(asked).applyInArrow(_only(_histogram(total, words), {"cell": pa.int64(), "n": pa.int64()}), "cell long, n long")
     got = cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = estimate(np.array([r["cell"] for r in got], dtype=np.int64), np.array([r["n"] for r in got], dtype=np.float64))
-    shape = {"uid": pa.int64(), "id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    scored = own.groupBy("chunk").cogroup(asked).applyInArrow(_only(_scored(total, words, weights), shape), "uid long, id long, n_tokens long, n_known long, base_score double, score double")
+    shape = {"uid": pa.int64(), "id": id_type, "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+    scored = own.groupBy("chunk").cogroup(asked).applyInArrow(_only(_scored(total, words, weights, id_type), shape), f"uid long, id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

@@ -270,6 +270,13 @@ def test_keys_and_counts_pack_exactly():
         assert (lm._unpacked(lm._packed(counts)) == counts).all()
 
 
+@pytest.mark.parametrize("ids, kind", [(["a", None, "b", "b"], "string"), ([(1, "x"), None, (2, None), (2, None)], "struct<n:int,s:string>")])
+def test_scores_keep_ids_of_any_type(spark, ids, kind):
+    df = spark.createDataFrame([(i, t, 0) for i, t in zip(ids, ["a b a", "b", None, "a"], strict=True)], f"doc_id {kind}, text string, uid int")
+    got = lm.lm_score(df, "true", "text = 'b'").collect()
+    assert Counter((None if r["id"] is None else r["id"] if kind == "string" else tuple(r["id"]), r["n_tokens"]) for r in got) == Counter(zip(ids, [4, 2, 1, 2], strict=True))
+
+
 # ---- language identification ------------------------------------------------------------------
 
 
