@@ -21,6 +21,11 @@ from ..sources.durable import table
 RINGS = 64
 #: Rounding of cosines may move an angle by less than this.
 SLACK = 1e-6
+#: A row is copied to about so many blocks at most, until blocks have MOST_ROWS rows.
+COPIES = 16
+MOST_ROWS = 16384
+#: Entries of one product of a slice of x with y.
+TILE = 1 << 22
 
 
 @dataclass
@@ -149,9 +154,35 @@ def meetings(left: DataFrame, parts: Parts, block: int, nearest: bool = False, o
     return x.join(parts.blocks.withColumnRenamed("rows", "y"), ["part", "block"]).select("part", "x", "y")
 
 
-def _cosines(x: pa.Scalar, y: pa.Scalar) -> tuple[pa.StructArray, pa.StructArray, np.ndarray]:
+def _copies(left: DataFrame, parts: Parts, some: int = 512) -> float:
+    """Blocks that a row of left (pos, vec, reach) goes to, on average over `some` rows of a draw."""
+    drawn = left.orderBy(F.xxhash64("pos"), "pos").limit(some).select("vec", "reach").collect()
+    if not drawn:
+        return 0.0
+    angle = _angles(np.array([r["vec"] for r in drawn], dtype=np.float64), parts.bounds.pivots)[:, parts.bounds.pivot]
+    gap = np.maximum(angle - parts.bounds.high, parts.bounds.low - angle)
+    return float(((gap <= np.array([[r["reach"]] for r in drawn])) * parts.blocks_of).sum(1).mean())
+
+
+def _fitting(rows: DataFrame, left: DataFrame, block: int) -> tuple[Parts | None, int]:
+    """Rows (pos, vec) filed for left (pos, vec, reach), and the size of blocks: fine ones where most never meet; where each row would be copied to more than COPIES of them, as much larger, up to MOST_ROWS, so that the rows moved grow with the rows and not with their pairs."""
+    block = max(block, min(MOST_ROWS, -(-rows.count() // 2048)))
+    parts = filed(rows, block)
+    copies = _copies(left, parts) if parts is not None else 0
+    if copies <= COPIES or block >= MOST_ROWS:
+        return parts, block
+    block = min(MOST_ROWS, round(block * copies / COPIES))
+    return filed(rows, block), block
+
+
+def _cosines(x: pa.Scalar, y: pa.Scalar) -> Iterator[tuple[pa.StructArray, pa.StructArray, np.ndarray]]:
+    """Slices of x with y and their products, of about TILE entries each."""
     x, y = x.values, y.values
-    return x, y, _matrix(x.field("vec")) @ _matrix(y.field("vec")).T
+    of_y = _matrix(y.field("vec")).T
+    step = max(1, TILE // max(1, len(y)))
+    for a in range(0, len(x), step):
+        part = x.slice(a, step)
+        yield part, y, _matrix(part.field("vec")) @ of_y
 
 
 def _rows(df: DataFrame, pos: str, vec: str) -> DataFrame:
@@ -166,24 +197,26 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, pos: str
     is low) every block meets every other, as the definition then asks. Only pairs at the threshold leave a task.
     """
     reach = float(np.arccos(np.clip(threshold, -1, 1))) if threshold > 0 else np.pi
-    parts = filed(table(_rows(right, pos, vec)), block)
+    rows = table(_rows(right, pos, vec))
+    x = rows if ordered else table(_rows(left, pos, vec))
+    parts, block = _fitting(rows, x.withColumn("reach", F.lit(reach)), block)
     if parts is None:
         return right.sparkSession.createDataFrame([], "a long, b long, cos double")
     if ordered:
         x = parts.homes.select("pos", "vec", F.lit(reach).alias("reach"), F.col("part").alias("at_least"))
     else:
-        x = _rows(left, pos, vec).select("pos", "vec", F.lit(reach).alias("reach"), F.lit(-1).alias("at_least"))
+        x = x.select("pos", "vec", F.lit(reach).alias("reach"), F.lit(-1).alias("at_least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, s, t in zip(batch.column("part").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                x, y, cos = _cosines(s, t)
-                i, j = np.nonzero(cos >= threshold)
-                a, b = x.field("pos").to_numpy()[i], y.field("pos").to_numpy()[j]
-                if ordered:  # within a part both ways are met, between two only one
-                    keep = (a < b) | (x.field("at_least").to_numpy()[i] != part)
-                    a, b, i, j = np.minimum(a, b)[keep], np.maximum(a, b)[keep], i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cos[i, j])], names=["a", "b", "cos"])
+                for x, y, cos in _cosines(s, t):
+                    i, j = np.nonzero(cos >= threshold)
+                    a, b = x.field("pos").to_numpy()[i], y.field("pos").to_numpy()[j]
+                    if ordered:  # within a part both ways are met, between two only one
+                        keep = (a < b) | (x.field("at_least").to_numpy()[i] != part)
+                        a, b, i, j = np.minimum(a, b)[keep], np.maximum(a, b)[keep], i[keep], j[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cos[i, j])], names=["a", "b", "cos"])
 
     return meetings(x, parts, block, ordered=ordered).mapInArrow(run, "a long, b long, cos double")
 
@@ -197,24 +230,23 @@ def greatest_cosine(left: DataFrame, right: DataFrame, block: int = 1024, pos: s
     """
     every = left.select(F.col(pos).cast("long").alias("pos"))
     distinct = table(_rows(right, pos, vec).groupBy("vec").agg(F.min("pos").alias("pos")))
-    parts = filed(distinct, block)
+    x = table(_rows(left, pos, vec))
+    zero = ~F.exists("vec", lambda v: v != 0)
+    parts, block = _fitting(distinct, x.filter(~zero).withColumn("reach", F.lit(float(np.pi / 3))), block)
     none = every.select("pos", F.lit(0.0).alias("cos"), F.lit(None).cast("long").alias("other"))
     if parts is None:
         return none
     first = int(distinct.agg(F.min("pos")).head()[0])
-    x = table(_rows(left, pos, vec))
-    zero = ~F.exists("vec", lambda v: v != 0)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, s, t in zip(batch.column("part").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                x, y, cos = _cosines(s, t)
-                there = y.field("pos").to_numpy()
-                order = np.argsort(there)  # of equal cosines the first row's
-                top = order[cos[:, order].argmax(1)]
-                cos = cos[np.arange(len(top)), top]
-                keep = np.arccos(np.clip(cos, -1, 1)) <= x.field("reach").to_numpy() + SLACK
-                yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (x.field("pos").to_numpy(), cos, there[top], np.full(len(top), part, np.int32))], names=["pos", "cos", "other", "part"])
+                for x, y, cos in _cosines(s, t):
+                    there = y.field("pos").to_numpy()
+                    most = cos.max(1)
+                    top = np.where(cos == most[:, None], there, np.iinfo(np.int64).max).min(1)  # of equal cosines the first row's
+                    keep = np.arccos(np.clip(most, -1, 1)) <= x.field("reach").to_numpy() + SLACK
+                    yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (x.field("pos").to_numpy(), most, top, np.full(len(top), part, np.int32))], names=["pos", "cos", "other", "part"])
 
     kind = "pos long, cos double, other long, part int"
     some = x.filter(~zero).select("pos", "vec", F.lit(float(np.pi)).alias("reach"), F.lit(-1).alias("at_least"))
@@ -245,14 +277,14 @@ def case_pairs(rows: DataFrame, threshold: float, case: str = "case", block: int
         for batch in batches:
             at, first, second, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for k, (same, s, t) in enumerate(zip(batch.column("same").to_pylist(), batch.column("x"), batch.column("y"), strict=True)):
-                x, y, cos = _cosines(s, t)
-                i, j = np.nonzero(cos >= threshold)
-                a, b = x.field("pos").to_numpy()[i], y.field("pos").to_numpy()[j]
-                keep = (a < b) | (not same)
-                at.append(np.full(int(keep.sum()), k))
-                first.append(np.minimum(a, b)[keep])
-                second.append(np.maximum(a, b)[keep])
-                found.append(cos[i, j][keep])
+                for x, y, cos in _cosines(s, t):
+                    i, j = np.nonzero(cos >= threshold)
+                    a, b = x.field("pos").to_numpy()[i], y.field("pos").to_numpy()[j]
+                    keep = (a < b) | (not same)
+                    at.append(np.full(int(keep.sum()), k))
+                    first.append(np.minimum(a, b)[keep])
+                    second.append(np.maximum(a, b)[keep])
+                    found.append(cos[i, j][keep])
             yield pa.RecordBatch.from_arrays([batch.column("case").take(pa.array(np.concatenate(at))), *[pa.array(np.concatenate(c)) for c in (first, second, found)]], names=["case", "a", "b", "cos"])
 
     met = a.join(b, F.col("case").eqNullSafe(F.col("of")) & (F.col("i") <= F.col("j"))).select("case", (F.col("i") == F.col("j")).alias("same"), "x", "y")

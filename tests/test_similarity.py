@@ -148,3 +148,27 @@ def test_components_of_large_cases(spark, most):
             label[(c, a)] = label[(c, b)] = min(label[(c, a)], label[(c, b)])
     got = C.case_components(spark.createDataFrame(nodes, "case long, pos long"), spark.createDataFrame(edges, "case long, a long, b long"), most).collect()
     assert {(r["case"], r["pos"]): r["component"] for r in got} == label and len(got) == len(nodes)
+
+
+@pytest.mark.parametrize("how", ["pairs", "own", "greatest"])
+def test_rows_moved_grow_with_rows_where_every_block_meets_every_other(spark, monkeypatch, how):
+    """Random vectors have no clusters: fine blocks would copy each row to 125 of them."""
+    moved, meet = [], S.meetings
+
+    def counted(left, *args, **named):
+        out = table(meet(left, *args, **named))
+        moved.append(out.agg(F.sum(F.size("x"))).head()[0] or 0)
+        return out
+
+    monkeypatch.setattr(S, "meetings", counted)
+    monkeypatch.setattr(S, "TILE", 5000)  # several slices a product
+    a, b = unit_rows("random", 2000, 1), unit_rows("random", 2000, 2)
+    cos = (a if how == "own" else b) @ a.T
+    if how == "greatest":
+        got = S.greatest_cosine(frame(spark, b), frame(spark, a), block=16).collect()
+        assert len(got) == 2000 and all(abs(r["cos"] - cos[r["pos"]].max()) < 1e-9 for r in got if r["pos"] != 5)
+    else:
+        found = S.similar_pairs(frame(spark, b), frame(spark, a), 0.6, block=16, ordered=how == "own")
+        want = np.argwhere(np.triu(cos >= 0.6, 1) if how == "own" else cos >= 0.6)
+        assert sorted((r["a"], r["b"]) for r in found.collect() if abs(r["cos"] - 0.6) > 1e-9) == [(i, j) for i, j in want.tolist() if abs(cos[i, j] - 0.6) > 1e-9]
+    assert sum(moved) < 2000 * 40
