@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.verdicts import once
 from ..sources.durable import exists, table
 from .similarity import case_pairs, greatest_cosine, similar_pairs
 
@@ -23,7 +24,7 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
     norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    return once(F.when(norm == 0, F.lit(1.0)).otherwise(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def side_label(cos: Column, side: str, threshold: float) -> Column:
