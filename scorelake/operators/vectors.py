@@ -137,13 +137,41 @@ def _settled(rows: DataFrame, edges: DataFrame, older: Column) -> DataFrame:
     return joined.unionByName(lead.select("pos", F.col("pos").alias("leader"), F.lit(0.0).alias("cos")))
 
 
+def _joined(rows: DataFrame, threshold: float, older: Column, block: int, first: int = 4096) -> DataFrame:
+    """What `_settled` gives of all pairs of rows (pos, vec) at the threshold, of which only those with a leader are made.
+
+    Rows come in slices in order of pos, the first of about `first` rows, each later one three times as many as all before it. A row that
+    is near a leader of the slices before it is settled; only the rest of a slice meet each other. Then all rows meet the leaders. So what is
+    written grows with rows and what is near leaders, not with all pairs of rows that are near each other.
+    """
+    rows = table(rows.select(F.col("pos").cast("long").alias("pos"), F.col("vec").cast("array<double>").alias("vec")))
+    n, shares = rows.count(), []
+    while first * 4 ** len(shares) < n:
+        shares.append(first * 4 ** len(shares) / n)
+    ends = rows.agg(F.percentile_approx("pos", shares, 100_000)).head()[0] if shares else []
+    lead, last = None, None
+    for end in [*sorted(set(ends)), None]:
+        here = F.lit(True) if last is None else F.col("pos") > last
+        part = rows.filter(here if end is None else here & (F.col("pos") <= end))
+        if lead is not None:
+            near = greatest_cosine(part, lead, block).filter(F.col("other").isNotNull() & (F.col("cos") >= threshold))
+            part = table(part.join(near.select("pos"), "pos", "left_anti"))
+        new = part.join(leaders(part, table(similar_pairs(part, part, threshold, block=block, ordered=True))), "pos", "left_semi").select("pos", "vec")
+        lead, last = table(new if lead is None else lead.unionByName(new)), end
+    rest = rows.join(lead.select("pos"), "pos", "left_anti")
+    # products of other shapes may round to the other side of the threshold
+    best = similar_pairs(lead, rest, threshold - 1e-9, block=block).filter("a < b").groupBy("b").agg(F.max(F.struct((F.col("cos") >= threshold).alias("near"), older.alias("older"), "cos", (-F.col("a")).alias("a"))).alias("m"))
+    joined = best.select(F.col("b").alias("pos"), (-F.col("m.a")).alias("leader"), F.col("m.cos").alias("cos"))
+    return table(joined.unionByName(lead.select("pos", F.col("pos").alias("leader"), F.lit(0.0).alias("cos"))))
+
+
 def global_dedupe(rows: DataFrame, threshold: float, batch: int = 512, block: int = 1024) -> DataFrame:
     """Leader of every row (pos, vec, and what `merged_global` sums) under batched greedy de-duplication.
 
     Leaders don't depend on the batch. Which leader a row joins does: the most similar one of earlier
     batches if that is at the threshold, else the most similar earlier one of its own batch.
     """
-    return _settled(rows, table(similar_pairs(rows, rows, threshold, block=block, ordered=True)), F.expr(f"a div {batch} < b div {batch}"))
+    return _joined(rows, threshold, F.expr(f"a div {batch} < b div {batch}"), block)
 
 
 def dedupe_appended(folder: str, number: int, rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:

@@ -172,3 +172,14 @@ def test_rows_moved_grow_with_rows_where_every_block_meets_every_other(spark, mo
         want = np.argwhere(np.triu(cos >= 0.6, 1) if how == "own" else cos >= 0.6)
         assert sorted((r["a"], r["b"]) for r in found.collect() if abs(r["cos"] - 0.6) > 1e-9) == [(i, j) for i, j in want.tolist() if abs(cos[i, j] - 0.6) > 1e-9]
     assert sum(moved) < 2000 * 40
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random"])
+def test_leaders_of_slices_are_those_of_all_pairs(spark, kind):
+    x = unit_rows(kind, 400, 8)
+    rows = table(frame(spark, x).select("pos", "vec"))
+    older = F.expr("a div 50 < b div 50")
+    want = C._settled(rows, table(S.similar_pairs(rows, rows, 0.55, block=32, ordered=True)), older)
+    got = C._joined(rows, 0.55, older, 32, first=20)
+    key = lambda df: sorted((r["pos"], r["leader"], round(r["cos"], 9)) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) == 400
