@@ -190,7 +190,7 @@ def dedupe_appended(folder: str, number: int, rows: DataFrame, threshold: float,
     near = table(greatest_cosine(rows, earlier.filter(F.col("batch") < number), block))
     joined = near.filter(F.col("other").isNotNull() & (F.col("cos") >= threshold)).select("pos", F.col("other").alias("leader"), "cos")
     rest = table(rows.join(joined, "pos", "left_anti"))
-    found = table(joined.unionByName(_settled(rest, table(similar_pairs(rest, rest, threshold, block=block, ordered=True)), F.lit(False))))
+    found = table(joined.unionByName(_joined(rest, threshold, F.lit(False), block)))
     lead = rest.join(found.filter("pos = leader").select("pos"), "pos", "left_semi")
     lead.select("pos", "vec").write.mode("overwrite").parquet(f"{folder}/batch={number}")
     return found
