@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import table
 from .relate import draw, interleaved, sample, stratified
 
 
@@ -50,14 +51,15 @@ def spot_trials(changed: DataFrame, n_real: int, n_control: int, n_hard: int, n_
     which side the rewrite is shown.
     """
     name = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "key", "task_id", "original", "final")
-    real = name(sample(changed, "key", n_real, seed), "REAL")
+    changed = table(changed)  # each draw would work it out again
+    real = table(name(sample(changed, "key", n_real, seed), "REAL"))
     shorter = changed.filter(F.length("final") < F.length("original")).join(real.select("task_id").distinct(), "task_id", "left_anti")
-    control = name(sample(shorter, "key", n_control, seed + 1), "REAL_CONTROL")
+    control = table(name(sample(shorter, "key", n_control, seed + 1), "REAL_CONTROL"))
     free = changed.join(real.unionByName(control).select("task_id").distinct(), "task_id", "left_anti")
     best = F.sort_array(F.collect_list(F.struct(draw(F.col("key"), seed + 2).alias("d"), "key", "original", "final")))
     # two rows of each task are enough: ranked by a window whose first rows are kept before the shuffle
-    two = stratified(free, ["task_id"], "key", 2, seed + 2).groupBy("task_id").agg(best.alias("x"))
-    hard_tasks = sample(two.filter("size(x) = 2"), "task_id", n_hard, seed + 3)
+    two = table(stratified(free, ["task_id"], "key", 2, seed + 2).groupBy("task_id").agg(best.alias("x")))
+    hard_tasks = table(sample(two.filter("size(x) = 2"), "task_id", n_hard, seed + 3))
     hard = hard_tasks.select(F.lit("FOIL_HARD").alias("kind"), F.col("x")[1]["key"].alias("key"), "task_id", F.col("x")[0]["original"].alias("original"), F.col("x")[1]["final"].alias("final"))
     pool = two.join(hard_tasks.select("task_id"), "task_id", "left_anti")
     a, b = _places(pool, "task_id", seed + 4, n_easy), _places(pool, "task_id", seed + 5, n_easy)
@@ -81,7 +83,7 @@ def foils_apart(kinds: list[str]) -> list[int]:
 
 def running_order(trials: DataFrame, key: str, order: str, seed: int, jitter: float = 0.01) -> DataFrame:
     """Trials (a sample: its order is settled in one task) with their place from 0: kinds spread evenly, foils not side by side where that can be helped. order: a whole number that is unique."""
-    spread = interleaved(trials, "kind", order, jitter, seed).select(key, "kind", "share")
+    spread = interleaved(table(trials), "kind", order, jitter, seed).select(key, "kind", "share")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["share", key])
