@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.verdicts import once
 from ..sources.durable import table
 
 
@@ -23,7 +24,10 @@ def json_documents(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 def kind(v: Column) -> Column:
     """object, list, str, bool, int, float or null; decimals without places are int, others float; other types by their names."""
-    s = F.schema_of_variant(v)
+    return once(F.schema_of_variant(v), _named)
+
+
+def _named(s: Column) -> Column:
     named = [(s.startswith("OBJECT"), "object"), (s.startswith("ARRAY"), "list"), (s == "STRING", "str"), (s == "BOOLEAN", "bool"), (s == "VOID", "null")]
     named += [(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "int"), (s.isin("DOUBLE", "FLOAT") | s.startswith("DECIMAL"), "float")]
     out = F.when(named[0][0], named[0][1])
