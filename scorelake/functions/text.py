@@ -67,7 +67,7 @@ _UNITS = r"(?i),|\bif\b|\bwhether\b|\bincluding\b|\bsuch as\b"
 
 def normal_space(text: Column) -> Column:
     """Single spaces, none before punctuation or inside the ends of parentheses."""
-    t = strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))  # only plain spaces are left
     for pattern, to in SPACES:
         t = F.regexp_replace(t, pattern, to)
     return t
@@ -126,15 +126,21 @@ def _changed(out: Column, text: Column) -> Column:
     return _let(normal_space(out), lambda v: F.when(v != normal_space(text), v))
 
 
+_DEGREES = rf"(?i)\b(?:{'|'.join(DEGREE_WORDS)})\b"
+#: What any text has that loses an enumeration.
+_MAY_LIST = r"(?i)\(|" + "|".join(m.replace(".", r"\.") for m in ENUM_MARKERS)
+
+
 def degree_words(text: Column) -> Column:
     """Which of the degree words the text has, in their fixed order."""
-    words = F.array(*map(F.lit, DEGREE_WORDS))
-    return F.filter(words, lambda w: F.regexp_like(text, F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b"))))
+    # fixed patterns, which are compiled once; most texts have none
+    found = F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b{w}\b"), F.lit(w)) for w in DEGREE_WORDS]))
+    return F.when(text.rlike(_DEGREES), found).otherwise(F.array().cast("array<string>"))
 
 
 def without_degrees(text: Column) -> Column:
     """The text without them; null if that changes nothing."""
-    return _changed(F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(DEGREE_WORDS)})\b\s*", ""), text)
+    return F.when(text.rlike(_DEGREES), _changed(F.regexp_replace(text, rf"{_DEGREES}\s*", ""), text))
 
 
 def enumeration_marks(text: Column) -> Column:
@@ -149,7 +155,7 @@ def without_enumerations(text: Column) -> Column:
     out = F.regexp_replace(text, _LONG_LIST, "")
     for m in ENUM_MARKERS:
         out = F.regexp_replace(out, rf"(?i),?\s*\Q{m}\E\s*.*?(?=[.;]|$)", "")
-    return _changed(out, text)
+    return F.when(text.rlike(_MAY_LIST), _changed(out, text))
 
 
 def inner_capitals(text: Column) -> Column:
@@ -189,7 +195,7 @@ def rewrites(df: DataFrame, keep: list[str], human: str, model: str) -> DataFram
         made[taken] = name
     found = []
     for factor, taken in FACTORS.items():
-        changed = _let(normal_space(F.col(made[taken])), lambda text: F.when(text != F.col("_plain"), text))
+        changed = F.when(F.col(made[taken]) != F.col("_at"), _let(normal_space(F.col(made[taken])), lambda text: F.when(text != F.col("_plain"), text)))
         if "verb" in taken:
             changed = F.when(F.col("_verb").isNotNull(), changed)
         found.append(F.struct(F.lit(factor).alias("factor"), changed.alias("text")))
