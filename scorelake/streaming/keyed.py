@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -119,34 +120,37 @@ class _Stall(StatefulProcessor):
         self.handle = handle
         self.asked = handle.getValueState("asked", "at long, attempt int, open boolean")
 
-    def _row(self, key: Any, outcome: str, attempt: int, asked: int, at: int) -> pd.DataFrame:
-        return pd.DataFrame({"task_id": [key[0]], "outcome": [outcome], "attempt": [attempt], "asked_at": [asked], "at": [at]})
+    def _row(self, key: Any, outcome: str, attempt: int, asked: int, at: int) -> Row:
+        return Row(task_id=key[0], outcome=outcome, attempt=attempt, asked_at=asked, at=at)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows))
-        held = self.asked.get() if self.asked.exists() else None
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.asked.get()
         asked, attempt, open_ = held if held is not None else (0, 0, False)
         timer = asked + self.limit if open_ else None
-        for ms, kind in sorted(zip(every["ms"], every["kind"], strict=True), key=lambda r: (r[0], r[1] != "answer")):
-            ms = int(ms)
+        for ms, kinds in groupby(sorted(((r["ms"], r["kind"]) for r in rows), key=lambda r: (r[0], r[1] == "ask")), key=lambda r: r[0]):
+            kinds = [kind for _, kind in kinds]  # answers, then questions
             if open_ and ms > asked + self.limit:
                 open_ = False
                 yield self._row(key, "timed out", attempt, asked, asked + self.limit)
-            if kind == "ask":
-                if not open_:
-                    asked, attempt, open_ = ms, attempt + 1, True
-            elif open_:
-                open_ = False
-                yield self._row(key, "answered", attempt, asked, ms)
-            elif attempt:
-                yield self._row(key, "late", attempt, asked, ms)
-        self.asked.update((asked, attempt, open_))
+            if not open_:  # nothing waits for the answers of this time but its own question
+                kinds.reverse()
+            for kind in kinds:
+                if kind == "ask":
+                    if not open_:
+                        asked, attempt, open_ = ms, attempt + 1, True
+                elif open_:
+                    open_ = False
+                    yield self._row(key, "answered", attempt, asked, ms)
+                elif attempt:
+                    yield self._row(key, "late", attempt, asked, ms)
+        if held != (asked, attempt, open_):
+            self.asked.update((asked, attempt, open_))
         if timer is not None and (not open_ or timer != asked + self.limit):
             self.handle.deleteTimer(timer)
         if open_ and timer != asked + self.limit:
             self.handle.registerTimer(asked + self.limit)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         asked, attempt, open_ = self.asked.get()
         if open_ and expiredTimerInfo.getExpiryTimeInMs() >= asked + self.limit:
             self.asked.update((asked, attempt, False))
@@ -162,13 +166,13 @@ def with_stall_limit(rows: DataFrame, limit: float, delay: str = "0 seconds") ->
     A question without an answer within `limit` seconds of event time times out: its timer fires once the watermark
     (the latest time less `delay`) passes it, whether or not the task has rows again. An answer
     after that is late. A task asked again (a rerun) waits anew, attempt 2 and so on; while one waits, further questions are
-    repeats of it. At one time answers come before questions; answers never asked for, and rows without a time, are passed over. Rows
+    repeats of it. At one time an answer comes first if a question waits for it, else the question comes first; answers never asked for, and rows without a time, are passed over. Rows
     more than `delay` behind the latest of the batches before are dropped by the engine: choose it as late as rows may be.
     """
     with_keyed_state(rows.sparkSession)
     kind = T.StructType([rows.schema["task_id"], *T.StructType.fromDDL("outcome string, attempt int, asked_at long, at long").fields])
     rows = rows.select("task_id", "kind", "at", F.unix_millis("at").alias("ms")).filter("at is not null").withWatermark("at", delay)
-    found = rows.groupBy("task_id").transformWithStateInPandas(_Stall(round(limit * 1000)), kind, "Update", "EventTime")
+    found = rows.groupBy("task_id").transformWithState(_Stall(round(limit * 1000)), kind, "Update", "EventTime")
     return found.select("task_id", "outcome", "attempt", *[F.timestamp_millis(c).alias(c) for c in ("asked_at", "at")])
 
 

@@ -90,3 +90,10 @@ def test_late_and_missing_answers_and_the_rerun(spark, tmp_path):
     assert sorted(again) == [(3, "answered", 2, 40, 45), (4, "timed out", 1, 21, 31)]
     every = spark.createDataFrame(out + again, rows.schema)
     assert [(r["task_id"], r["attempt"]) for r in K.dead_letters(every).collect()] == [(4, 1)]
+
+
+def test_an_answer_at_the_time_of_its_question(spark, tmp_path):
+    """1 is answered at once, 2 asked anew at the time of its answer, 3 answered at once after it timed out."""
+    ask(f"{tmp_path}/in", 0, [(1, "answer", 0), (1, "ask", 0), (2, "ask", 1), (2, "ask", 5), (2, "answer", 5), (3, "ask", 2), (3, "ask", 30), (3, "answer", 30)])
+    out = outcomes(spark, tmp_path, [])
+    assert sorted(out) == [(1, "answered", 1, 0, 0), (2, "answered", 1, 1, 5), (2, "timed out", 2, 5, 15), (3, "answered", 2, 30, 30), (3, "timed out", 1, 2, 12)]
