@@ -274,10 +274,10 @@ def k7(tasks):
 def i4(spark, status_log):
     """The log as a stream of files: each batch writes the tasks that it changes, the first ones are then compacted."""
     path = _place(spark)
-    log = status_log.select("task_id", "status", "seq")
-    for rest in (0, 1):  # two runs of one stream
-        log.filter(F.col("seq") % 2 == rest).repartition(2, "seq").write.mode("append").json(f"{path}/in")
-        rows = incremental.row_stream(spark, f"{path}/in", "task_id long, status string, seq long")
+    log, cores = status_log.select("task_id", "status", "seq"), spark.sparkContext.defaultParallelism
+    for rest in (0, 1):  # two runs of one stream, each of two batches of a file for every core
+        log.filter(F.col("seq") % 2 == rest).repartition(2 * cores, "seq").write.mode("append").json(f"{path}/in")
+        rows = incremental.row_stream(spark, f"{path}/in", "task_id long, status string, seq long", files=cores)
         incremental.run_to_end(keyed.changed_last(rows), keyed.changes_to(f"{path}/out"), f"{path}/checkpoint", "update")
         if not rest:
             keyed.compacted(spark, f"{path}/out")

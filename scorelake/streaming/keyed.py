@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from itertools import groupby
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,50 +24,19 @@ def with_keyed_state(spark: SparkSession) -> SparkSession:
     return spark
 
 
-class _Last(StatefulProcessor):
-    """Keeps a task's row of greatest order and hands it on where a batch has changed it."""
-
-    def __init__(self, key: str, order: str):
-        self.key, self.order = key, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string, place long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
-        best = None if held is None else (held[1], held[0])
-        for pdf in rows:
-            for status, place in zip(pdf["status"], pdf[self.order], strict=True):
-                if best is None or place > best[0]:
-                    best = (int(place), None if pd.isna(status) else status)
-        if held is None or best[0] != held[1]:
-            self.last.update((best[1], best[0]))
-            yield pd.DataFrame({self.key: [key[0]], "status": [best[1]], self.order: [best[0]]})
-
-    def close(self) -> None:
-        pass
-
-
-def _lasts(key: str, order: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.loc[pdf.groupby(key, dropna=False)[order].idxmax()] if len(pdf) else pdf
-
-    return run
-
-
 def changed_last(rows: DataFrame, key: str = "task_id", order: str = "seq") -> DataFrame:
     """Of a stream of rows (key, status, order) the tasks whose last row a micro-batch changes, with that row.
 
-    A task's last row, that of greatest order (of equal ones the first to come), is state in the store; a batch
-    touches the tasks that it has, and writes only those that it changes. Rows of one task in one slice of a
-    task's input are cut to the last before the shuffle, so a common task is not one long group. Rows without an order
+    A task's last row, that of greatest order (of equal ones that of the first batch, in it the greatest status), is an aggregate in
+    the store, with the time of the batch that brought it; a batch touches the tasks that it has, and hands on only those whose row is of its own time.
+    Each slice of the input is cut to its tasks' last rows before the shuffle. Rows without an order
     are passed over; a null task is one of its own. State holds one row a task ever seen, on disk.
     """
     with_keyed_state(rows.sparkSession)
-    rows = rows.select(F.col(key), F.col("status").cast("string").alias("status"), F.col(order).cast("long").alias(order)).filter(F.col(order).isNotNull())
-    kind = T.StructType([rows.schema[key], T.StructField("status", T.StringType()), T.StructField(order, T.LongType())])
-    return rows.mapInPandas(_lasts(key, order), kind).groupBy(key).transformWithStateInPandas(_Last(key, order), kind, "Update", "None")
+    now = F.unix_micros(F.current_timestamp())  # the micro-batch's, and the same if it runs again
+    row = F.struct(F.col(order).cast("long").alias("place"), (-now).alias("earliness"), F.col("status").cast("string").alias("status"))
+    last = rows.filter(F.col(order).cast("long").isNotNull()).select(key, row.alias("last")).groupBy(key).agg(F.max("last").alias("last"))
+    return last.filter(F.col("last.earliness") == -now).select(key, "last.status", F.col("last.place").alias(order))
 
 
 def changes_to(folder: str):

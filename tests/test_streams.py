@@ -97,3 +97,15 @@ def test_an_answer_at_the_time_of_its_question(spark, tmp_path):
     ask(f"{tmp_path}/in", 0, [(1, "answer", 0), (1, "ask", 0), (2, "ask", 1), (2, "ask", 5), (2, "answer", 5), (3, "ask", 2), (3, "ask", 30), (3, "answer", 30)])
     out = outcomes(spark, tmp_path, [])
     assert sorted(out) == [(1, "answered", 1, 0, 0), (2, "answered", 1, 1, 5), (2, "timed out", 2, 5, 15), (3, "answered", 2, 30, 30), (3, "timed out", 1, 2, 12)]
+
+
+def test_last_rows_are_kept_without_python(spark, tmp_path, capsys):
+    """State is an aggregate of the engine's: no call for each task. Of equal rows of a batch the greatest status stays, of equal ones of two batches the first batch's."""
+    put(f"{tmp_path}/in", 0, ("task_id", "status", "seq"), [(1, "a", 5), (1, "b", 5), (2, None, 5), (2, "c", 4)])
+    put(f"{tmp_path}/in", 1, ("task_id", "status", "seq"), [(1, "z", 5), (2, "c", 5), (2, "d", 3)])
+    query = I.run_to_end(K.changed_last(I.row_stream(spark, f"{tmp_path}/in", LOG)), K.changes_to(f"{tmp_path}/out"), f"{tmp_path}/ck", "update")
+    query.explain()
+    plan = capsys.readouterr().out
+    assert "StateStoreSave" in plan and "Python" not in plan and "Pandas" not in plan
+    assert sorted(map(tuple, K.current_last(spark, f"{tmp_path}/out").collect())) == [(1, "b", 5), (2, None, 5)]
+    assert batches(spark, tmp_path) == {0: 2}
