@@ -14,8 +14,8 @@ _COLUMNS = "text_key string, text string, rewrite string"
 class RewriteCache:
     """A table of the session's warehouse: text_key (SHA-256 of the text), text and rewrite, bucketed and sorted by the key.
 
-    A lookup joins texts to it bucket by bucket: the cache is neither shuffled nor sorted again, and texts that are
-    bucketed alike (`bucketed`) are not either.
+    A lookup joins texts to it bucket by bucket: the cache is not shuffled, and texts that are bucketed alike
+    (`bucketed`) are not either. New answers stay in the bucket where they were asked.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
@@ -24,15 +24,15 @@ class RewriteCache:
             self._written(spark.createDataFrame([], _COLUMNS), name)
 
     def _written(self, df: DataFrame, name: str) -> None:
-        df.repartition(self.buckets, "text_key").write.bucketBy(self.buckets, "text_key").sortBy("text_key").mode("append").format("parquet").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "text_key").sortBy("text_key").option("compression", "zstd").mode("append").format("parquet").saveAsTable(name)
 
     def bucketed(self, texts: DataFrame, name: str, text: str = "text") -> DataFrame:
         """texts as a table with their key, bucketed as the cache is, for lookups without any shuffle."""
-        self._written(texts.withColumn("text_key", F.sha2(F.col(text), 256)), name)
+        self._written(self._keyed(texts.drop("text_key"), text), name)
         return self.spark.table(name)
 
     def _keyed(self, texts: DataFrame, text: str) -> DataFrame:
-        return texts if "text_key" in texts.columns else texts.withColumn("text_key", F.sha2(F.col(text), 256))
+        return texts if "text_key" in texts.columns else texts.withColumn("text_key", F.sha2(F.col(text), 256)).repartition(self.buckets, "text_key")
 
     def unasked(self, texts: DataFrame, text: str = "text") -> DataFrame:
         """The distinct texts that the cache lacks: text_key and text. Null texts are never asked."""

@@ -97,6 +97,17 @@ def test_lookups_do_not_shuffle_the_cache(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_texts_bucketed_alike_are_asked_without_a_shuffle(spark):
+    used = lambda: sum(e.totalShuffleWrite() for e in map(found().apply, range(found().size())))
+    found = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    cache = RewriteCache(spark, f"cache_{uuid.uuid4().hex}", buckets=4)
+    texts = spark.range(2000).select("id", F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(8)]).alias("text"))
+    alike, before = cache.bucketed(texts, f"texts_{uuid.uuid4().hex}"), used()
+    assert cache.fill(alike, lambda ts: [t.upper() for t in ts]) == 2000 and cache.fill(alike, lambda ts: [None for _ in ts]) == 0
+    assert cache.rewritten(alike).filter("changed and final = upper(text)").count() == 2000
+    assert used() - before < 20_000  # counts only; the texts alone are 526,000 bytes
+
+
 def test_bad_lines_have_their_numbers_in_split_files(spark, tmp_path):
     schema, lines = "a int, b string", ['{"a": %d, "b": "é%s"}' % (i, "x" * (i % 50)) for i in range(4000)]
     for name, bad in (("one", {2500: '{"a": 1', 3000: "no"}), ("two", {}), ("three", {0: '{"a": "x"}', 7: "}"}), ("four", {3999: "[1"})):
