@@ -299,12 +299,12 @@ def i7(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("task_id"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ms"), F.when(F.col("event_type") != "error", F.round(F.col("value") * 1000).cast("long")).alias("takes")).filter("ms is not null")
     both = events.select("task_id", F.lit("ask").alias("kind"), "ms").unionByName(events.filter("takes is not null").select("task_id", F.lit("answer").alias("kind"), (F.col("ms") + F.col("takes")).alias("ms")))
     first, last = both.agg(F.min("ms"), F.max("ms")).head()
-    step = ((last or 0) - (first or 0)) // 4 + 1
-    for i in range(4):  # files in order of time, as they would appear
+    step, cores = ((last or 0) - (first or 0)) // 4 + 1, spark.sparkContext.defaultParallelism
+    for i in range(4):  # files in order of time, as they would appear: a run of the stream for each quarter, which is one batch
         part = both.filter(F.expr(f"(ms - {first or 0}) div {step}") == i)
-        part.select("task_id", "kind", F.timestamp_millis("ms").alias("at")).coalesce(1).write.mode("append").json(f"{path}/in")
-    rows = incremental.row_stream(spark, f"{path}/in", "task_id long, kind string, at timestamp")
-    incremental.run_to_end(keyed.with_stall_limit(rows, 20, "1 hour"), lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/n={number}"), f"{path}/checkpoint", "update")
+        part.select("task_id", "kind", F.timestamp_millis("ms").alias("at")).coalesce(cores).write.mode("append").json(f"{path}/in")
+        rows = incremental.row_stream(spark, f"{path}/in", "task_id long, kind string, at timestamp", files=cores)
+        incremental.run_to_end(keyed.with_stall_limit(rows, 20, "1 hour"), lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/n={number}"), f"{path}/checkpoint", "update")
     return spark.read.parquet(f"{path}/out").select("task_id", "outcome", (F.unix_millis("at") - F.unix_millis("asked_at")).alias("waited"))
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -78,57 +82,116 @@ def _parts(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if s.isDirectory()]
 
 
-class _Stall(StatefulProcessor):
-    """Holds the question a task waits for, and a timer at its limit."""
+def _outcomes(held: tuple[int, int, bool], rows: list[tuple[int, bool]], limit: int, found: list[tuple]) -> tuple[int, int, bool]:
+    """What a task's rows (time, whether a question), in order of time, answers before questions, make of the question that it holds (asked, attempt, waits); their outcomes go to `found`."""
+    asked, attempt, open_ = held
+    for ms, kinds in groupby(rows, key=itemgetter(0)):
+        if open_ and ms > asked + limit:
+            open_ = False
+            found.append(("timed out", attempt, asked, asked + limit))
+        if not open_:  # nothing waits for the answers of this time but its own question
+            kinds = reversed(list(kinds))
+        for _, ask in kinds:
+            if ask:
+                if not open_:
+                    asked, attempt, open_ = ms, attempt + 1, True
+            elif open_:
+                open_ = False
+                found.append(("answered", attempt, asked, ms))
+            elif attempt:
+                found.append(("late", attempt, asked, ms))
+    return asked, attempt, open_
+
+
+class _Stalls(StatefulProcessor):
+    """Holds the questions of a bucket of tasks, and a timer at the first limit of those that wait.
+
+    State is parts of rows (task, asked, attempt, waits): a call appends the tasks that it changes, and puts the parts together once those after the first outgrow it.
+    """
 
-    def __init__(self, limit_ms: int):
-        self.limit = limit_ms
+    _names = ("id", "asked", "attempt", "waits")
+
+    def __init__(self, limit_ms: int, kind: pa.DataType):
+        self.limit, self.kind = limit_ms, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.asked = handle.getValueState("asked", "at long, attempt int, open boolean")
-
-    def _row(self, key: Any, outcome: str, attempt: int, asked: int, at: int) -> Row:
-        return Row(task_id=key[0], outcome=outcome, attempt=attempt, asked_at=asked, at=at)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.asked.get()
-        asked, attempt, open_ = held if held is not None else (0, 0, False)
-        timer = asked + self.limit if open_ else None
-        for ms, kinds in groupby(sorted(((r["ms"], r["kind"]) for r in rows), key=lambda r: (r[0], r[1] == "ask")), key=lambda r: r[0]):
-            kinds = [kind for _, kind in kinds]  # answers, then questions
-            if open_ and ms > asked + self.limit:
-                open_ = False
-                yield self._row(key, "timed out", attempt, asked, asked + self.limit)
-            if not open_:  # nothing waits for the answers of this time but its own question
-                kinds.reverse()
-            for kind in kinds:
-                if kind == "ask":
-                    if not open_:
-                        asked, attempt, open_ = ms, attempt + 1, True
-                elif open_:
-                    open_ = False
-                    yield self._row(key, "answered", attempt, asked, ms)
-                elif attempt:
-                    yield self._row(key, "late", attempt, asked, ms)
-        if held != (asked, attempt, open_):
-            self.asked.update((asked, attempt, open_))
-        if timer is not None and (not open_ or timer != asked + self.limit):
+        self.parts = handle.getListState("parts", "rows binary")
+        self.due = handle.getValueState("due", "at long, first long, rest long, parts int")
+
+    def _held(self) -> pd.DataFrame:
+        """The last row of every task of the bucket, by task."""
+        parts = [pa.ipc.open_stream(p[0]).read_all() for p in self.parts.get()] if self.parts.exists() else []
+        held = pa.concat_tables(parts).to_pandas().set_index("id") if parts else pd.DataFrame({"id": [], "asked": np.zeros(0, np.int64), "attempt": np.zeros(0, np.int32), "waits": np.zeros(0, bool)}).set_index("id")
+        return held[~held.index.duplicated(keep="last")] if len(parts) > 1 else held
+
+    def _keep(self, held: pd.DataFrame, changed: pd.DataFrame) -> None:
+        """Append what changed, and put the timer where the first question's limit now is."""
+        before = self.due.get()
+        timer, first, rest, parts = before if before is not None else (None, 0, 0, 0)
+        now = pd.concat([held[~held.index.isin(changed.index)], changed]) if len(held) else changed
+        if len(changed):
+            rest += len(changed)
+            whole = rest > first or parts >= 64
+            rows = now if whole else changed
+            table = pa.table([pa.array(rows.index, self.kind), *(pa.array(rows[n].to_numpy()) for n in self._names[1:])], names=self._names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            part = (sink.getvalue().to_pybytes(),)
+            if whole:
+                self.parts.put([part])
+                first, rest, parts = len(now), 0, 1
+            else:
+                self.parts.appendValue(part)
+                parts += 1
+        waits = now["asked"].to_numpy()[now["waits"].to_numpy(bool)]
+        due = int(waits.min()) + self.limit if len(waits) else None
+        if timer != due and timer is not None:
             self.handle.deleteTimer(timer)
-        if open_ and timer != asked + self.limit:
-            self.handle.registerTimer(asked + self.limit)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        asked, attempt, open_ = self.asked.get()
-        if open_ and expiredTimerInfo.getExpiryTimeInMs() >= asked + self.limit:
-            self.asked.update((asked, attempt, False))
-            yield self._row(key, "timed out", attempt, asked, asked + self.limit)
+        if timer != due and due is not None:
+            self.handle.registerTimer(due)
+        if before != (due, first, rest, parts):
+            self.due.update((due, first, rest, parts))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = pd.concat([r[["id", "ms", "ask"]] for r in rows])
+        if key[0] < 0:  # the null task
+            new["id"] = 0 if pa.types.is_integer(self.kind) else ""
+        codes, ids = pd.factorize(new["id"], use_na_sentinel=False)
+        order = np.lexsort((new["ask"].to_numpy(bool), new["ms"].to_numpy(), codes))
+        ends = np.cumsum(np.bincount(codes, minlength=len(ids)))
+        steps = list(zip(new["ms"].to_numpy()[order].tolist(), new["ask"].to_numpy(bool)[order].tolist(), strict=True))
+        held = self._held()
+        at = held.index.get_indexer(ids) if len(held) else np.full(len(ids), -1)
+        known = [held[n].to_numpy()[at].tolist() if len(held) else [0] * len(ids) for n in self._names[1:]]
+        found, owners, states, begin = [], [], [], 0
+        for i, (end, place, *was) in enumerate(zip(ends.tolist(), at.tolist(), *known, strict=True)):
+            states.append(_outcomes(tuple(was) if place >= 0 else (0, 0, False), steps[begin:end], self.limit, found))
+            owners.extend([i] * (len(found) - len(owners)))
+            begin = end
+        after = [np.array(c, t) for c, t in zip(zip(*states, strict=True), (np.int64, np.int32, bool), strict=True)]
+        moved = (at < 0) & (after[1] > 0) | (at >= 0) & np.any([a != np.array(k, a.dtype) for a, k in zip(after, known, strict=True)], axis=0)
+        changed = pd.DataFrame(dict(zip(self._names[1:], (a[moved] for a in after), strict=True)), index=pd.Index(ids)[moved])
+        self._keep(held, changed)
+        if found:
+            yield self._rows(key, pd.Index(ids)[owners], *zip(*found, strict=True))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        held, upto = self._held(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = held[held["waits"].to_numpy(bool) & (held["asked"].to_numpy() + self.limit <= upto)]
+        self._keep(held, over.assign(waits=False))
+        if len(over):
+            yield self._rows(key, over.index, "timed out", over["attempt"].to_numpy(), over["asked"].to_numpy(), over["asked"].to_numpy() + self.limit)
+
+    def _rows(self, key: Any, ids: pd.Index, outcome: Any, attempt: Any, asked: Any, at: Any) -> pd.DataFrame:
+        return pd.DataFrame({"id": [None] * len(ids) if key[0] < 0 else ids.to_numpy(), "outcome": outcome, "attempt": attempt, "asked_at": asked, "at": at})
 
     def close(self) -> None:
         pass
 
 
-def with_stall_limit(rows: DataFrame, limit: float, delay: str = "0 seconds") -> DataFrame:
+def with_stall_limit(rows: DataFrame, limit: float, delay: str = "0 seconds", buckets: int = 256) -> DataFrame:
     """Outcomes of a stream of questions and answers (task_id, kind: ask or answer, at): answered, timed out or late.
 
     A question without an answer within `limit` seconds of event time times out: its timer fires once the watermark
@@ -136,12 +199,23 @@ def with_stall_limit(rows: DataFrame, limit: float, delay: str = "0 seconds") ->
     after that is late. A task asked again (a rerun) waits anew, attempt 2 and so on; while one waits, further questions are
     repeats of it. At one time an answer comes first if a question waits for it, else the question comes first; answers never asked for, and rows without a time, are passed over. Rows
     more than `delay` behind the latest of the batches before are dropped by the engine: choose it as late as rows may be.
+
+    Tasks share a state and a timer with those of their bucket by hash, so a micro-batch calls the store some times a bucket, not a task.
+    It reads the buckets that have rows or a timer due, writes the tasks that change, and holds one bucket in memory: more tasks want more buckets, which a checkpoint then fixes.
     """
     with_keyed_state(rows.sparkSession)
-    kind = T.StructType([rows.schema["task_id"], *T.StructType.fromDDL("outcome string, attempt int, asked_at long, at long").fields])
-    rows = rows.select("task_id", "kind", "at", F.unix_millis("at").alias("ms")).filter("at is not null").withWatermark("at", delay)
-    found = rows.groupBy("task_id").transformWithState(_Stall(round(limit * 1000)), kind, "Update", "EventTime")
-    return found.select("task_id", "outcome", "attempt", *[F.timestamp_millis(c).alias(c) for c in ("asked_at", "at")])
+    task = rows.schema["task_id"].dataType
+    plain = isinstance(task, (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.StringType))
+    day = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # of ids that are times
+    one = T.StructType([T.StructField("task_id", task)])
+    ident = F.col("task_id") if plain else F.to_json(F.struct("task_id"), day)
+    bucket = F.when(F.col("task_id").isNull(), -1).otherwise(F.pmod(F.xxhash64(ident), F.lit(buckets))).cast("int")
+    rows = rows.filter("at is not null").select(bucket.alias("bucket"), ident.alias("id"), F.unix_millis("at").alias("ms"), F.expr("coalesce(kind = 'ask', false)").alias("ask"), "at").withWatermark("at", delay)
+    kind = T.StructType([T.StructField("id", task if plain else T.StringType()), *T.StructType.fromDDL("outcome string, attempt int, asked_at long, at long").fields])
+    stalls = _Stalls(round(limit * 1000), pa.int64() if plain and not isinstance(task, T.StringType) else pa.string())
+    found = rows.groupBy("bucket").transformWithStateInPandas(stalls, kind, "Update", "EventTime")
+    known = F.col("id") if plain else F.from_json("id", one, day)["task_id"]
+    return found.select(known.alias("task_id"), "outcome", "attempt", *[F.timestamp_millis(c).alias(c) for c in ("asked_at", "at")])
 
 
 def dead_letters(outcomes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 from scorelake.operators import runs as O
 from scorelake.streaming import incremental as I
@@ -109,3 +110,53 @@ def test_last_rows_are_kept_without_python(spark, tmp_path, capsys):
     assert "StateStoreSave" in plan and "Python" not in plan and "Pandas" not in plan
     assert sorted(map(tuple, K.current_last(spark, f"{tmp_path}/out").collect())) == [(1, "b", 5), (2, None, 5)]
     assert batches(spark, tmp_path) == {0: 2}
+
+
+def stalls(rows, limit):
+    """Outcomes of (task, kind, second) row by row, but for those that only a timer finds."""
+    out = []
+    for task in sorted({r[0] for r in rows}, key=str):
+        asked, attempt, waits = 0, 0, False
+        for second, kind in sorted((s, k) for t, k, s in rows if t == task):  # no two rows of a task at one time
+            if waits and second > asked + limit:
+                waits = False
+                out.append((task, "timed out", attempt, asked, asked + limit))
+            if kind == "ask" and not waits:
+                asked, attempt, waits = second, attempt + 1, True
+            elif kind == "answer" and attempt:
+                out.append((task, "answered" if waits else "late", attempt, asked, second))
+                waits = False
+        if waits and asked + limit <= max(r[2] for r in rows):
+            out.append((task, "timed out", attempt, asked, asked + limit))
+    return sorted(out, key=str)
+
+
+def test_tasks_share_the_state_and_timer_of_their_bucket(spark, tmp_path):
+    """What the store holds grows with the buckets, not with the tasks, which are asked and answered over several batches and restarts; a null task is one of its own."""
+    rng, rows, n = random.Random(8), [], 700
+    for task in [None, *range(n)]:
+        name = None if task is None else f"t{task}"
+        rows += [(name, rng.choice(["ask", "ask", "answer"]), s) for s in rng.sample(range(0, 120), rng.randrange(1, 6))]
+    rows = sorted(rows, key=lambda r: r[2]) + [("end", "ask", 120)]
+    out = []
+    for batch in range(6):
+        ask(f"{tmp_path}/in", batch, [r for r in rows if r[2] // 21 == batch])
+        stream = K.with_stall_limit(I.row_stream(spark, f"{tmp_path}/in", "task_id string, kind string, at timestamp"), 10, "0 seconds", 3)
+        query = I.run_to_end(stream, lambda b, n: out.extend((r["task_id"], r["outcome"], r["attempt"], *(r[c].second + 60 * r[c].minute for c in ("asked_at", "at"))) for r in b.collect()), f"{tmp_path}/ck", "update")
+    assert sorted(out, key=str) == stalls(rows, 10)
+    assert 0 < query.lastProgress.stateOperators[0].numRowsTotal < n / 10
+
+
+def test_a_limit_that_the_watermark_just_reaches(spark, tmp_path):
+    ask(f"{tmp_path}/in", 0, [(1, "ask", 0), (2, "ask", 1), (3, "ask", 10)])
+    assert outcomes(spark, tmp_path, []) == [(1, "timed out", 1, 0, 10)]
+
+
+def test_ids_of_other_types(spark, tmp_path):
+    """Numbers beside a null task, and times to the microsecond."""
+    for kind, name in (("int", 7), ("timestamp", "2024-01-01T00:00:00.123456Z")):
+        ask(f"{tmp_path}/{kind}", 0, [(None, "ask", 0), (name, "ask", 0), (name, "answer", 3), (None, "answer", 4), (None, "ask", 5)])
+        out = []
+        stream = K.with_stall_limit(I.row_stream(spark, f"{tmp_path}/{kind}", f"task_id {kind}, kind string, at timestamp"), 10)
+        I.run_to_end(stream, lambda b, n: out.extend(tuple(r) for r in b.selectExpr("date_format(task_id, 'ss.SSSSSS')" if kind == "timestamp" else "task_id", "outcome").collect()), f"{tmp_path}/ck_{kind}", "update")  # noqa: B023
+        assert sorted(out, key=str) == sorted([(7 if kind == "int" else "00.123456", "answered"), (None, "answered")], key=str)
